@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, langid, linededup, mixing, pii, toxicity
+from quillspark.llm import bpe, chat, jaccard, langid, linededup, mixing, pii, toxicity
 from quillspark.llm.sampling import held_out
 
 
@@ -34,6 +34,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), *_tokenizer())
     decoded = bpe.decode(encoded.drop("text"), *_tokenizer())
@@ -71,6 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
+    "op3_jaccard": op3_jaccard,
     "op6_bpe": op6_bpe,
     "op7_mixing": op7_mixing,
     "op8_chat": op8_chat,
