@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, jaccard, langid, linededup, mixing, pii, toxicity
+from quillspark.llm import bpe, chat, jaccard, langid, linededup, mixing, pii, toxicity, vectors
 from quillspark.llm.sampling import held_out
 
 
@@ -38,6 +38,14 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(_table(spark, sf_dir, "documents"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings")).drop("recall")
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_inner_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), *_tokenizer())
     decoded = bpe.decode(encoded.drop("text"), *_tokenizer())
@@ -76,6 +84,8 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
     "op3_jaccard": op3_jaccard,
+    "op4_embeddings": op4_embeddings,
+    "op5_topk": op5_topk,
     "op6_bpe": op6_bpe,
     "op7_mixing": op7_mixing,
     "op8_chat": op8_chat,
@@ -84,6 +94,8 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_embeddings": vectors.ORACLE_NEAR,
+    "op5_topk": vectors.ORACLE_TOP,
     "op8_chat": chat.ORACLE,
     "op9_lines": linededup.ORACLE,
 }
