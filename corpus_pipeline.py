@@ -1,16 +1,76 @@
-"""A corpus pipeline: filter, deduplicate, mix and encode the documents of a folder."""
+"""A corpus pipeline: filter, deduplicate, mix and encode the documents of a folder.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of docs, the documents that the stage
+before it kept, and returns a DataFrame with the same columns; the last returns token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import bpe, jaccard, linededup, mixing, toxicity
+from quillspark.llm.common import materialize
+from quillspark.shipping import shipped
+
+
+@shipped
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the threshold; the model is fitted on the labelled ones among docs."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+@shipped
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later occurrences of passages of three lines; n_chars follows the text."""
+    kept = linededup.dedup(docs)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
+
+
+@shipped
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id."""
+    return jaccard.keep_first(docs).select(*docs.columns)
+
+
+@shipped
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.repeat(docs)
+
+
+@shipped
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens, ids, ids_sha256, decoded_sha256) of each document."""
+    import public_tokenizers
+
+    tokenizer = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(docs.select("doc_id", "source", "text"), *tokenizer).drop("text")
+    return bpe.decode(encoded, *tokenizer).select(
+        "doc_id", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("byte-level BPE", encode),
+]
 
-STAGES: list = []
+#: A fitted model and dependent rounding have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents."""
+    """Apply all stages to documents; what a stage returns is written and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs)
     return docs

@@ -163,3 +163,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, group: int = GROUP
         F.when(F.col("key.size") > 0, F.col("taken") / F.col("key.size")).otherwise(F.lit(0)).cast("bigint").alias("copies"),
         "key.size", "key.source_size", "key.target", "taken",
     )
+
+
+def repeat(docs: DataFrame, weights=WEIGHTS, most: float = MOST, group: int = GROUP) -> DataFrame:
+    """The rows of docs as often as mix() takes them, 0 times too, with the columns of docs.
+
+    Rows equal in doc_id, source and text share their copies, which all come from one of them.
+    """
+    mixed = mix(docs, weights, most, group).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("__copies"))
+    mixed = mixed.where("__copies > 0").select(
+        F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), F.col("__copies").cast("int").alias("__copies")
+    )
+    rows = docs.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__key"])
+    met = rows.join(mixed, rows["doc_id"].eqNullSafe(mixed["__doc"]) & rows["source"].eqNullSafe(mixed["__source"]) & (F.col("__key") == F.col("__hash")))
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
