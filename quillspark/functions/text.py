@@ -13,7 +13,9 @@ def compact_count(n: Column) -> Column:
     def scaled(unit: float, suffix: str) -> Column:
         v = x / unit
         # One decimal of the double's exact value: 2^52 times it is a whole number.
-        tenths = F.floor(((v * float(1 << 52)).cast("decimal(20,0)") * 10 + F.lit(1 << 51).cast("decimal(20,0)")) / F.lit(1 << 52).cast("decimal(20,0)")).cast("bigint")
+        scaled_up = (v * float(1 << 52)).cast("decimal(20,0)") * 10 + F.lit(1 << 51).cast("decimal(20,0)")
+        rest = scaled_up % F.lit(1 << 52).cast("decimal(20,0)")
+        tenths = ((scaled_up - rest) / F.lit(1 << 52).cast("decimal(20,0)")).cast("bigint")
         short = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
         return F.when(v < 10, F.concat(short, F.lit(suffix))).otherwise(F.concat(F.round(v).cast("bigint").cast("string"), F.lit(suffix)))
 
