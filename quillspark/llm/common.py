@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +24,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back, so that lost executors cost no recomputation."""
+def materialize(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back, so that lost executors cost no recomputation.
+
+    parts bounds the number of tasks and files of a table that is known to be small for its input.
+    """
     spark = df.sparkSession
+    df = df if parts is None else df.coalesce(parts)
     path = f"{scratch_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -41,31 +47,46 @@ def release(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for undirected edges (src, dst): component is the smallest node reachable.
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) as stars around the smallest node of what they connect, batch by batch."""
+    for batch in batches:
+        parent: dict[int, int] = {}
+
+        def root(a: int, parent: dict[int, int] = parent) -> int:
+            while parent.setdefault(a, a) != a:
+                parent[a] = parent[parent[a]]
+                a = parent[a]
+            return a
+
+        for a, b in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        leaves = [x for x in parent if parent[x] != x]
+        yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array([root(x) for x in leaves], pa.int64())], names=["u", "v"])
+
+
+def connected_components(edges: DataFrame, parts: int = 8) -> DataFrame:
+    """(node, component) for undirected edges (src, dst) of longs: component is the smallest node reachable.
 
-    Alternates large-star and small-star steps. Each step groups by node with partial aggregation
-    and joins the minimum back, so a node that holds a third of the edges is split by AQE's skew
-    join. Self loops and nulls are dropped; nodes without an edge do not appear. No edge reaches
-    the driver, only one count and one checksum a round.
+    Edges are first contracted to stars within each batch, then large-star and small-star steps
+    alternate. Each step groups by node with partial aggregation and joins the minimum back, so a
+    node that holds a third of the edges is split by AQE's skew join. Self loops and nulls are
+    dropped; nodes without an edge do not appear. No edge reaches the driver, only one count and
+    one checksum a round. parts is the number of tasks that write the edges.
     """
-    pairs = edges.select(
-        F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
-    ).where("u > v").distinct()
-    table, before = materialize(pairs), None
+    pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u > v")
+    table, before = materialize(pairs.coalesce(parts).mapInArrow(_contracted, "u long, v long").distinct(), parts), None
     while True:
         both = table.select("u", "v").union(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         )
-        small = materialize(small)
+        small = materialize(small, parts)
         release(table)
-        release(large)
         table = small
         state = table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:

@@ -8,11 +8,13 @@ lengths of the token lists it still has to read, and the verifications they boun
 
 1. One pass over the texts hashes shingles; documents with equal sets are one node from here on.
 2. Prefix tokens are dealt by token, which gives each list's length; tokens of one document go.
-3. Lists of at most SHORT nodes are joined directly. Nodes left with longer lists only are linked to
-   one leader a list, the most typical node, which takes as many rows as there are list entries.
-4. Links are verified on the full sets and give components. Lists in which several components are
-   left are led again, and in the end joined across components, which is exact and, where near
-   copies have come together, small.
+3. Lists of at most SHORT nodes are joined directly. For nodes that still read longer lists, all
+   tokens are counted among such nodes: those that no other holds cannot be shared, which bounds
+   every overlap of a node and drops the nodes that can link with none.
+4. The rest are linked to one leader a list, the most typical node, which takes as many rows as
+   there are list entries. Links are verified on the full sets and give components. Lists in which
+   several components are left are led again, and in the end joined across components, by classes
+   of sizes that the bounds admit; that is exact and, where near copies have come together, small.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ ROUNDS = 3
 #: Rows up to which a table of nodes is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _BYTES = 5
+_STEP = 1.05
 
 
 def _least(n, threshold):
@@ -105,19 +108,17 @@ def _plans(threshold):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(6)]
             for node, n, rows in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("rows"), strict=True):
                 rows = rows.values
                 pos, df, token = (rows.field(i).to_numpy() for i in range(3))
                 l, m, read = choose(n, pos, df)
-                t = _least(n, threshold)
-                private = (n - t + 1) - int((pos <= n - t + 1).sum())
                 for column, values in zip(out, (token[read], df[read]), strict=False):
                     column.append(values)
-                for column, value in zip(out[2:], (node, n, l, m, private), strict=True):
+                for column, value in zip(out[2:], (node, n, l, m), strict=True):
                     column.append(np.full(len(read), value))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["token", "df", "node", "n", "l", "m", "private"]
+                [pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["token", "df", "node", "n", "l", "m"]
             )
 
     return each
@@ -126,17 +127,11 @@ def _plans(threshold):
 def _verified(pairs: DataFrame, sets: DataFrame, threshold) -> DataFrame:
     """The pairs (a, b) whose sets link."""
 
-    def unpack(x: bytes) -> np.ndarray:
-        part = np.frombuffer(x, dtype=np.uint8).reshape(-1, _BYTES)
-        out = np.zeros((len(part), 8), dtype=np.uint8)
-        out[:, :_BYTES] = part
-        return out.view("<u8").ravel()
-
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = unpack(x), unpack(y)
+                x, y = _unpack(x), _unpack(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both * threshold[1] >= (len(x) + len(y) - both) * threshold[0])
             kept = batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
@@ -164,6 +159,59 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return keyed.join(_small(nodes), "key").select("node", "text").mapInArrow(each, "node long, set binary").dropDuplicates(["node"])
 
 
+def _shared(sets: DataFrame, nodes: DataFrame, threshold, parts: int) -> DataFrame:
+    """(node, n, shared) of the nodes(node, n) that can link with another one of them.
+
+    shared counts a node's tokens that another node holds too. Nodes whose shared tokens are fewer
+    than their least overlap go, and the rest are counted again.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                raw = part.column("set").to_pylist()
+                out = np.concatenate([_unpack(x) for x in raw]).view(np.int64)
+                n = [len(x) // _BYTES for x in raw]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out), pa.array(np.repeat(part.column("node").to_numpy(), n))], names=["token", "node"]
+                )
+
+    left = nodes
+    for _ in range(2):
+        tokens = sets.join(_small(left), "node").select("node", "set").mapInArrow(each, "token long, node long")
+        counted = tokens.withColumn("df", F.expr("count(*) over (partition by token)")).where("df > 1")
+        shared = counted.groupBy("node").agg(F.count("*").alias("shared"))
+        kept = nodes.join(shared, "node").where(F.col("shared") * threshold[1] >= F.col("n") * threshold[0])
+        kept = materialize(kept.select("node", "n", "shared"), parts)
+        left = kept.select("node")
+    return kept
+
+
+def _possible(na: Column, sa: Column, nb: Column, sb: Column, threshold) -> Column:
+    """Whether nodes with these sizes and shared tokens can link: the overlap needs t / (1 + t) of both sizes."""
+    return _fits(na, nb, threshold) & ((threshold[0] + threshold[1]) * F.least(sa, sb) >= threshold[0] * (na + nb))
+
+
+def _class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(_STEP)) + 1e-9).cast("int")
+
+
+def _classes(n: Column, shared: Column, threshold) -> Column:
+    """The classes of sizes that a node can link with."""
+    ratio = threshold[1] / threshold[0]
+    every = F.sequence(_class(n / ratio) - 1, _class(n * ratio) + 1)
+    most = (threshold[0] + threshold[1]) / threshold[0] * shared - n
+    return F.filter(every, lambda c: F.pow(F.lit(_STEP), c.cast("double")) * (1 - 1e-6) <= most)
+
+
+def _unpack(x: bytes) -> np.ndarray:
+    part = np.frombuffer(x, dtype=np.uint8).reshape(-1, _BYTES)
+    out = np.zeros((len(part), 8), dtype=np.uint8)
+    out[:, :_BYTES] = part
+    return out.view("<u8").ravel()
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -185,10 +233,12 @@ def components(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = T
     """
     docs = docs.select("doc_id", "text")
     signed = materialize(_signatures(docs, size, threshold))
+    # Tables of nodes, pairs and links are written by a task for this many documents.
+    parts = max(8, signed.count() // 20_000)
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
     copies = materialize(
         signed.where("node is not null").select("node", "key").join(nodes.withColumnRenamed("key", "first"), "node")
-        .where("key <> first").select("key").distinct()
+        .where("key <> first").select("key").distinct(), parts
     )
     reps = signed.where("node is not null").join(_small(copies), "key", "left_anti")
 
@@ -199,7 +249,7 @@ def components(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = T
     )
     plans = materialize(
         listed.groupBy("node", "n").agg(F.collect_list(F.struct("pos", "df", "token")).alias("rows"))
-        .mapInArrow(_plans(threshold), "token long, df long, node long, n long, l long, m long, private long")
+        .mapInArrow(_plans(threshold), "token long, df long, node long, n long, l long, m long")
     )
     prefix = lambda n, l: _prefix_col(n, threshold) + l - 1
 
@@ -210,62 +260,75 @@ def components(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = T
         .where((F.col("a") != F.col("b")) & (F.col("pos") <= prefix(F.col("nb"), F.col("l"))) & _fits(F.col("na"), F.col("nb"), threshold))
         .groupBy("a", "b", "m").agg(F.count("*").alias("matches")).where("matches >= m")
     )
-    # Long lists: nodes that still read one are led by the most typical of them.
-    long_reads = plans.where(F.col("df") > SHORT).select("token", "node", "n", "l", "private")
-    long_nodes = materialize(long_reads.select("node", "private").distinct())
+    direct = materialize(_ordered(direct), parts)
+    # Long lists: the nodes that still read one, less those that can link with none of them.
+    long_reads = plans.where(F.col("df") > SHORT)
+    readers = materialize(long_reads.groupBy("node").agg(F.min("n").alias("n")), parts)
+    wanted = direct.select(F.col("src").alias("node")).union(direct.select("dst")).union(readers.select("node")).distinct()
+    sets = materialize(_sets(docs, materialize(nodes.join(wanted, "node"), parts), size))
+    shared = _shared(sets, readers, threshold, parts)
+    long_reads = materialize(long_reads.select("token", "node", "l").join(_small(shared), "node").select("token", "node", "n", "shared", "l"), parts)
     lists = materialize(
-        listed.where(F.col("df") > SHORT).join(_small(long_nodes), "node").select("token", "node", "n", "pos", "private")
+        listed.where(F.col("df") > SHORT).select("token", "node", "pos").join(_small(shared), "node").select("token", "node", "n", "shared", "pos"), parts
     )
+    odd = (F.col("n") - F.col("shared")).alias("odd")
 
     def led(reads: DataFrame, entries: DataFrame) -> DataFrame:
-        leaders = entries.groupBy("token").agg(F.min(F.struct("private", "node", "n")).alias("lead"))
+        """Pairs of nodes and the leaders of their lists, the nodes with the fewest tokens of their own."""
+        leaders = entries.groupBy("token").agg(F.min(F.struct(odd, "node", "n", "shared")).alias("lead"))
         return (
-            reads.join(leaders, "token").where((F.col("node") != F.col("lead.node")) & _fits(F.col("n"), F.col("lead.n"), threshold))
+            reads.join(leaders, "token")
+            .where((F.col("node") != F.col("lead.node")) & _possible(F.col("n"), F.col("shared"), F.col("lead.n"), F.col("lead.shared"), threshold))
             .select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
         )
 
-    tested = materialize(_ordered(direct.select("a", "b").union(led(long_reads, lists))))
-    wanted = tested.select(F.col("src").alias("node")).union(tested.select("dst")).union(long_nodes.select("node")).distinct()
-    keys = materialize(nodes.join(wanted, "node"))
-    sets = materialize(_sets(docs, keys, size))
-    links = materialize(_verified(tested, sets, threshold))
-    labels = materialize(connected_components(links))
+    tested = materialize(_ordered(direct.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(led(long_reads, lists))), parts)
+    links = materialize(_verified(tested, sets, threshold), parts)
+    labels = materialize(connected_components(links, parts), parts)
 
     for round_ in range(ROUNDS + 1):
-        if long_nodes.isEmpty():
-            break
         comp = F.coalesce("component", "node").alias("component")
-        named = lists.join(labels, "node", "left").select("token", "node", "n", "pos", "private", comp)
-        mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("private", "node", "n", "component")).alias("lead")).where("low < high")
-        mixed = materialize(mixed.select("token", "lead"))
+        named = lists.join(_small(labels), "node", "left").select("token", "node", "n", "shared", "pos", comp)
+        mixed = named.groupBy("token").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(odd, "node", "component")).alias("lead")
+        ).where("low < high")
+        mixed = materialize(mixed.select("token", F.col("lead.component").alias("led")), parts)
         if mixed.isEmpty():
             break
-        open_entries = named.join(mixed, "token").where(F.col("component") != F.col("lead.component"))
-        reads = long_reads.join(labels, "node", "left").select("token", "node", "n", "l", comp)
+        reads = long_reads.join(_small(labels), "node", "left").select("token", "node", "n", "shared", "l", comp)
         if round_ < ROUNDS:
-            # The most typical node outside the last leader's component leads the others.
-            leaders = open_entries.groupBy("token").agg(F.min(F.struct("private", "node", "n", "component")).alias("lead"))
+            # The most typical node outside the last leader's component leads all outside its own.
+            others = named.join(mixed, "token").where("component <> led")
+            leaders = others.groupBy("token").agg(F.min(F.struct(odd, "node", "n", "shared", "component")).alias("lead"))
             found = (
-                reads.join(leaders, "token").where((F.col("component") != F.col("lead.component")) & _fits(F.col("n"), F.col("lead.n"), threshold))
+                reads.join(leaders, "token")
+                .where((F.col("component") != F.col("lead.component")) & _possible(F.col("n"), F.col("shared"), F.col("lead.n"), F.col("lead.shared"), threshold))
                 .select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
             )
         else:
-            left = reads.join(mixed.select("token"), "token").select("token", F.col("node").alias("a"), F.col("n").alias("na"), "l", F.col("component").alias("ca"))
-            right = named.join(mixed.select("token"), "token").select("token", F.col("node").alias("b"), F.col("n").alias("nb"), "pos", F.col("component").alias("cb"))
-            found = left.join(right, "token").where(
-                (F.col("ca") != F.col("cb")) & (F.col("pos") <= prefix(F.col("nb"), F.col("l"))) & _fits(F.col("na"), F.col("nb"), threshold)
+            admitted = _classes(F.col("n"), F.col("shared"), threshold)
+            left = reads.join(mixed.select("token"), "token").select(
+                "token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), "l", F.col("component").alias("ca"),
+                _class(F.col("n")).alias("own"), F.explode(admitted).alias("other"),
+            )
+            right = named.join(mixed.select("token"), "token").select(
+                "token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"), "pos", F.col("component").alias("cb"),
+                _class(F.col("n")).alias("other"), F.explode(admitted).alias("own"),
+            )
+            found = left.join(right, ["token", "own", "other"]).where(
+                (F.col("ca") != F.col("cb")) & (F.col("pos") <= prefix(F.col("nb"), F.col("l")))
+                & _possible(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), threshold)
             ).select("a", "b")
-        fresh = materialize(_ordered(found).join(tested, ["src", "dst"], "left_anti"))
-        if fresh.isEmpty() and round_ < ROUNDS:
+        fresh = materialize(_ordered(found).join(tested, ["src", "dst"], "left_anti"), parts)
+        if fresh.isEmpty():
             continue
-        tested = tested.union(fresh)
-        links = links.union(_verified(fresh, sets, threshold))
-        links = materialize(links)
-        labels = materialize(connected_components(links))
+        tested = materialize(tested.union(fresh), parts)
+        links = materialize(links.union(_verified(fresh, sets, threshold)), parts)
+        labels = materialize(connected_components(links, parts), parts)
 
     rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left")
     group = F.coalesce("component", "node")
-    rows = materialize(rows.select("doc_id", "n_shingles", group.alias("group")))
+    rows = materialize(rows.select("doc_id", "n_shingles", group.alias("group")), parts)
     least = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")).where("members > 1")
     out = rows.join(least, "group", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     for table in (signed, listed, plans, lists, sets):
