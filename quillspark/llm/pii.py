@@ -149,16 +149,22 @@ def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataF
     spanned = known.withColumn("base", base_spans(F.col("text")))
     near = F.flatten(F.transform("base", lambda s: F.transform(_near_terms(F.col("text"), s), lambda t: F.struct(_entity(s).alias("entity"), t.alias("term")))))
     based = materialize(spanned.select("doc_id", "text_md5", "base", F.array_distinct(near).alias("near")))
-    pairs = (
+    contexts = materialize(
         based.where(F.size("near") > 0).select("text_md5", F.explode("near").alias("p")).select("text_md5", "p.entity", "p.term").distinct()
-        .groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support)
     )
-    pairs = materialize(pairs)
+    total = based.agg(F.count_distinct("text_md5")).first()[0]
+    # A term that discloses e stands in at most (n / n(e)) ** (1 - 1 / alpha) times n(t, e) texts; the
+    # texts in which it stands near any entity are some of them, which rules out common words early.
+    seen = contexts.select("term", "text_md5").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    pairs = materialize(
+        contexts.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support).join(seen, "term")
+        .where(F.col("n_near") <= F.col("together") * F.pow(F.lit(float(max(total, 1))) / F.col("together"), F.lit(1 - 1 / alpha)) + 1e-9)
+    )
+    release(contexts)
     no_terms = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
     if pairs.isEmpty():
         return based.select("doc_id", "text_md5", "base", no_terms.alias("terms"))
 
-    total = based.agg(F.count_distinct("text_md5")).first()[0]
     entities = (
         based.where(F.size("base") > 0).select("text_md5", F.explode(F.transform("base", _entity)).alias("entity")).distinct()
         .groupBy("entity").agg(F.count("*").alias("n_entity"))
