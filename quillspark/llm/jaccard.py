@@ -13,8 +13,9 @@ lengths of the token lists it still has to read, and the verifications they boun
    every overlap of a node and drops the nodes that can link with none.
 4. The rest are linked to one leader a list, the most typical node, which takes as many rows as
    there are list entries. Links are verified on the full sets and give components. Lists in which
-   several components are left are led again, and in the end joined across components, by classes
-   of sizes that the bounds admit; that is exact and, where near copies have come together, small.
+   several components are left are led again. What is left after that is compared across components
+   in blocks: the smaller component's nodes with the larger one's, of a list, of sizes and bounds
+   that admit a link; a task holds two blocks and returns links only. That is exact.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,12 +37,11 @@ SIZE, THRESHOLD = 5, (4, 5)
 LONGEST, SHORT = 16, 8
 #: Cost of a verification against reading a list entry.
 VERIFY = 8
-#: Rounds of leaders before what is left is joined across components.
-ROUNDS = 3
+#: Nodes of a block on either side where lists are compared across components.
+LEFT, RIGHT = 256, 512
 #: Rows up to which a table of nodes is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 _BYTES = 5
-_STEP = 1.05
 
 
 def _least(n, threshold):
@@ -193,16 +194,65 @@ def _possible(na: Column, sa: Column, nb: Column, sb: Column, threshold) -> Colu
     return _fits(na, nb, threshold) & ((threshold[0] + threshold[1]) * F.least(sa, sb) >= threshold[0] * (na + nb))
 
 
-def _class(n: Column) -> Column:
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(_STEP)) + 1e-9).cast("int")
+def _across(reads: DataFrame, named: DataFrame, sets: DataFrame, threshold) -> DataFrame:
+    """Links (src, dst) between nodes of a list that are in different components.
 
-
-def _classes(n: Column, shared: Column, threshold) -> Column:
-    """The classes of sizes that a node can link with."""
-    ratio = threshold[1] / threshold[0]
-    every = F.sequence(_class(n / ratio) - 1, _class(n * ratio) + 1)
-    most = (threshold[0] + threshold[1]) / threshold[0] * shared - n
-    return F.filter(every, lambda c: F.pow(F.lit(_STEP), c.cast("double")) * (1 - 1e-6) <= most)
+    reads(token, node, n, shared, l, rank) and named(token, node, n, shared, pos, rank), rank being
+    (size, name) of a component. The node whose component has the lower rank reads, so each pair is
+    compared from one side, with all the lists of that side.
+    """
+    own, name = threshold
+    most = lambda least: (own + name) * F.col("shared") >= own * (F.col("n") + F.col(least))
+    bounds = named.groupBy("token").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.min("n").alias("least")).where("low < high")
+    left = materialize(reads.join(bounds, "token").where((F.col("rank") < F.col("high")) & most("least")).select(*reads.columns), 8)
+    asked = left.groupBy("token").agg(F.count("*").alias("left"), F.min("rank").alias("low"), F.min("n").alias("least"))
+    right = named.join(asked, "token").where((F.col("rank") > F.col("low")) & most("least"))
+    count = right.groupBy("token").agg(F.ceil(F.first("left") / LEFT).alias("lefts"), F.ceil(F.count("*") / RIGHT).alias("rights"))
+    count = materialize(count, 8)
+    flat = lambda df, extra: df.join(sets, "node").select(*(
+        F.col(c).alias(c.removeprefix("rank.")) for c in ("token", "x", "y", "node", "n", "shared", "rank.size", "rank.component", extra, "set")
+    ))
+    blocks = lambda df, mine, other, x, y: df.join(count, "token").withColumn(
+        x, F.pmod(F.xxhash64("node"), F.col(mine))).withColumn(y, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    lefts = flat(blocks(left, "lefts", "rights", "x", "y"), "l")
+    rights = flat(blocks(right.select(*named.columns), "rights", "lefts", "y", "x"), "pos")
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"src": pd.Series([], dtype="int64"), "dst": pd.Series([], dtype="int64")})
+        if not len(a) or not len(b):
+            return none
+        na, nb = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
+        sa, sb = a["shared"].to_numpy()[:, None], b["shared"].to_numpy()[None, :]
+        za, zb = a["size"].to_numpy()[:, None], b["size"].to_numpy()[None, :]
+        ca, cb = a["component"].to_numpy()[:, None], b["component"].to_numpy()[None, :]
+        ok = ((za < zb) | (za == zb) & (ca < cb)) & (np.minimum(na, nb) * name >= np.maximum(na, nb) * own)
+        ok &= (own + name) * np.minimum(sa, sb) >= own * (na + nb)
+        ok &= b["pos"].to_numpy()[None, :] <= nb - (own * nb + name - 1) // name + a["l"].to_numpy()[:, None]
+        ra, rb = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+        if not len(ra):
+            return none
+        xs, ys = [_unpack(a["set"].iloc[i]) for i in ra], [_unpack(b["set"].iloc[i]) for i in rb]
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        words = np.intersect1d(x, y)
+        both = np.zeros((len(ra), len(rb)), dtype=np.float32)
+        row_x, row_y = np.repeat(np.arange(len(xs)), [len(v) for v in xs]), np.repeat(np.arange(len(ys)), [len(v) for v in ys])
+        for start in range(0, len(words), 8192):
+            part = words[start:start + 8192]
+            held = []
+            for tokens, row, n in ((x, row_x, len(xs)), (y, row_y, len(ys))):
+                at = np.minimum(np.searchsorted(part, tokens), len(part) - 1)
+                hit = part[at] == tokens
+                m = np.zeros((n, len(part)), dtype=np.float32)
+                m[row[hit], at[hit]] = 1
+                held.append(m)
+            both += held[0] @ held[1].T
+        sub = np.ix_(ra, rb)
+        link = ok[sub] & (both * name >= (na[ra] + nb[:, rb] - both) * own)
+        i, j = np.nonzero(link)
+        return pd.DataFrame({"src": a["node"].to_numpy()[ra[i]], "dst": b["node"].to_numpy()[rb[j]]})
+
+    found = lefts.groupBy("token", "x", "y").cogroup(rights.groupBy("token", "x", "y")).applyInPandas(compare, "src long, dst long")
+    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
 def _unpack(x: bytes) -> np.ndarray:
@@ -286,45 +336,32 @@ def components(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = T
     links = materialize(_verified(tested, sets, threshold), parts)
     labels = materialize(connected_components(links, parts), parts)
 
-    for round_ in range(ROUNDS + 1):
-        comp = F.coalesce("component", "node").alias("component")
-        named = lists.join(_small(labels), "node", "left").select("token", "node", "n", "shared", "pos", comp)
-        mixed = named.groupBy("token").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(odd, "node", "component")).alias("lead")
-        ).where("low < high")
-        mixed = materialize(mixed.select("token", F.col("lead.component").alias("led")), parts)
-        if mixed.isEmpty():
-            break
-        reads = long_reads.join(_small(labels), "node", "left").select("token", "node", "n", "shared", "l", comp)
-        if round_ < ROUNDS:
-            # The most typical node outside the last leader's component leads all outside its own.
-            others = named.join(mixed, "token").where("component <> led")
-            leaders = others.groupBy("token").agg(F.min(F.struct(odd, "node", "n", "shared", "component")).alias("lead"))
-            found = (
-                reads.join(leaders, "token")
-                .where((F.col("component") != F.col("lead.component")) & _possible(F.col("n"), F.col("shared"), F.col("lead.n"), F.col("lead.shared"), threshold))
-                .select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
-            )
-        else:
-            admitted = _classes(F.col("n"), F.col("shared"), threshold)
-            left = reads.join(mixed.select("token"), "token").select(
-                "token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"), "l", F.col("component").alias("ca"),
-                _class(F.col("n")).alias("own"), F.explode(admitted).alias("other"),
-            )
-            right = named.join(mixed.select("token"), "token").select(
-                "token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"), "pos", F.col("component").alias("cb"),
-                _class(F.col("n")).alias("other"), F.explode(admitted).alias("own"),
-            )
-            found = left.join(right, ["token", "own", "other"]).where(
-                (F.col("ca") != F.col("cb")) & (F.col("pos") <= prefix(F.col("nb"), F.col("l")))
-                & _possible(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"), threshold)
-            ).select("a", "b")
-        fresh = materialize(_ordered(found).join(tested, ["src", "dst"], "left_anti"), parts)
-        if fresh.isEmpty():
-            continue
-        tested = materialize(tested.union(fresh), parts)
-        links = materialize(links.union(_verified(fresh, sets, threshold)), parts)
+    def ranked(table: DataFrame, *more: str) -> DataFrame:
+        """table with rank, (size, component) of each node's component."""
+        sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
+        known = labels.join(_small(sizes), "component").select("node", F.struct("size", "component").alias("known"))
+        alone = F.struct(F.lit(1).cast("bigint").alias("size"), F.col("node").alias("component"))
+        return table.join(_small(materialize(known, parts)), "node", "left").select("token", "node", "n", "shared", *more, F.coalesce("known", alone).alias("rank"))
+
+    named = ranked(lists, "pos")
+    mixed = named.groupBy("token").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.min(F.struct(odd, "node", "rank")).alias("lead")).where("low < high")
+    mixed = materialize(mixed.select("token", F.col("lead.rank").alias("led")), parts)
+    # Where several components are left, the most typical node outside the leader's own leads the others.
+    others = named.join(mixed, "token").where("rank <> led")
+    leaders = others.groupBy("token").agg(F.min(F.struct(odd, "node", "n", "shared", "rank")).alias("lead"))
+    found = (
+        ranked(long_reads, "l").join(leaders, "token")
+        .where((F.col("rank") != F.col("lead.rank")) & _possible(F.col("n"), F.col("shared"), F.col("lead.n"), F.col("lead.shared"), threshold))
+        .select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
+    )
+    fresh = materialize(_ordered(found).join(tested, ["src", "dst"], "left_anti"), parts)
+    again = materialize(_verified(fresh, sets, threshold), parts)
+    if not again.isEmpty():
+        links = materialize(links.union(again), parts)
         labels = materialize(connected_components(links, parts), parts)
+    again = materialize(_across(ranked(long_reads, "l"), ranked(lists, "pos"), sets, threshold), parts)
+    if not again.isEmpty():
+        labels = materialize(connected_components(links.union(again), parts), parts)
 
     rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left")
     group = F.coalesce("component", "node")
