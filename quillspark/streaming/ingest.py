@@ -28,10 +28,11 @@ class SnapshotTable:
         self._fs.mkdirs(self._fs_path(self.path))
 
     def _pointer(self) -> dict:
-        at = self._fs_path(f"{self.path}/_current")
-        if not self._fs.exists(at):
-            return {"version": None, "batch": -1}
-        return json.loads(self.spark.read.text(f"{self.path}/_current").first()[0])
+        # Between deleting the old pointer and renaming the new one only the latter is there.
+        for name in ("current.json", "next.json"):
+            if self._fs.exists(self._fs_path(f"{self.path}/{name}")):
+                return json.loads(self.spark.read.text(f"{self.path}/{name}").first()[0])
+        return {"version": None, "batch": -1}
 
     def read(self) -> DataFrame:
         version = self._pointer()["version"]
@@ -45,11 +46,11 @@ class SnapshotTable:
             return False
         version = f"v-{uuid.uuid4().hex}"
         rows.select(*self.schema.names).write.parquet(f"{self.path}/{version}")
-        out = self._fs.create(self._fs_path(f"{self.path}/_next"), True)
+        out = self._fs.create(self._fs_path(f"{self.path}/next.json"), True)
         out.write(json.dumps({"version": version, "batch": batch}).encode())
         out.close()
-        self._fs.delete(self._fs_path(f"{self.path}/_current"), False)
-        self._fs.rename(self._fs_path(f"{self.path}/_next"), self._fs_path(f"{self.path}/_current"))
+        self._fs.delete(self._fs_path(f"{self.path}/current.json"), False)
+        self._fs.rename(self._fs_path(f"{self.path}/next.json"), self._fs_path(f"{self.path}/current.json"))
         return True
 
     def vacuum(self) -> None:
