@@ -15,7 +15,8 @@ lengths of the token lists it still has to read, and the verifications they boun
    there are list entries. Links are verified on the full sets and give components. Lists in which
    several components are left are led again. What is left after that is compared across components
    in blocks: the smaller component's nodes with the larger one's, of a list, of sizes and bounds
-   that admit a link; a task holds two blocks and returns links only. That is exact.
+   that admit a link, and bitmaps that bound their overlaps; a task holds two blocks and returns
+   the few pairs that can link, which are verified. That is exact.
 """
 
 from __future__ import annotations
@@ -194,12 +195,32 @@ def _possible(na: Column, sa: Column, nb: Column, sb: Column, threshold) -> Colu
     return _fits(na, nb, threshold) & ((threshold[0] + threshold[1]) * F.least(sa, sb) >= threshold[0] * (na + nb))
 
 
-def _across(reads: DataFrame, named: DataFrame, sets: DataFrame, threshold) -> DataFrame:
-    """Links (src, dst) between nodes of a list that are in different components.
+def _bits(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, dtype=np.uint8))
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(node, bits): each set as a bitmap of 4 to 8 bits a token; halves of a wide one fold onto a narrow one."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column("set").to_pylist():
+                tokens = _unpack(x)
+                bits = np.zeros(1 << max(3, (4 * len(tokens) - 1).bit_length()), dtype=np.uint8)
+                bits[tokens & np.uint64(len(bits) - 1)] = 1
+                out.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "bits"])
+
+    return sets.select("node", "set").mapInArrow(each, "node long, bits binary")
+
+
+def _across(reads: DataFrame, named: DataFrame, sketches: DataFrame, threshold) -> DataFrame:
+    """Pairs (src, dst) that can link, of nodes of a list that are in different components.
 
     reads(token, node, n, shared, l, rank) and named(token, node, n, shared, pos, rank), rank being
     (size, name) of a component. The node whose component has the lower rank reads, so each pair is
-    compared from one side, with all the lists of that side.
+    compared from one side, with all the lists of that side. Bitmaps bound each overlap from above.
     """
     own, name = threshold
     most = lambda least: (own + name) * F.col("shared") >= own * (F.col("n") + F.col(least))
@@ -209,8 +230,8 @@ def _across(reads: DataFrame, named: DataFrame, sets: DataFrame, threshold) -> D
     right = named.join(asked, "token").where((F.col("rank") > F.col("low")) & most("least"))
     count = right.groupBy("token").agg(F.ceil(F.first("left") / LEFT).alias("lefts"), F.ceil(F.count("*") / RIGHT).alias("rights"))
     count = materialize(count, 8)
-    flat = lambda df, extra: df.join(sets, "node").select(*(
-        F.col(c).alias(c.removeprefix("rank.")) for c in ("token", "x", "y", "node", "n", "shared", "rank.size", "rank.component", extra, "set")
+    flat = lambda df, extra: df.join(sketches, "node").select(*(
+        F.col(c).alias(c.removeprefix("rank.")) for c in ("token", "x", "y", "node", "n", "shared", "rank.size", "rank.component", extra, "bits")
     ))
     blocks = lambda df, mine, other, x, y: df.join(count, "token").withColumn(
         x, F.pmod(F.xxhash64("node"), F.col(mine))).withColumn(y, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
@@ -231,23 +252,24 @@ def _across(reads: DataFrame, named: DataFrame, sets: DataFrame, threshold) -> D
         ra, rb = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
         if not len(ra):
             return none
-        xs, ys = [_unpack(a["set"].iloc[i]) for i in ra], [_unpack(b["set"].iloc[i]) for i in rb]
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        words = np.intersect1d(x, y)
-        both = np.zeros((len(ra), len(rb)), dtype=np.float32)
-        row_x, row_y = np.repeat(np.arange(len(xs)), [len(v) for v in xs]), np.repeat(np.arange(len(ys)), [len(v) for v in ys])
-        for start in range(0, len(words), 8192):
-            part = words[start:start + 8192]
-            held = []
-            for tokens, row, n in ((x, row_x, len(xs)), (y, row_y, len(ys))):
-                at = np.minimum(np.searchsorted(part, tokens), len(part) - 1)
-                hit = part[at] == tokens
-                m = np.zeros((n, len(part)), dtype=np.float32)
-                m[row[hit], at[hit]] = 1
-                held.append(m)
-            both += held[0] @ held[1].T
+        most = np.full((len(ra), len(rb)), np.inf)
+        xs, ys = [_bits(a["bits"].iloc[i]) for i in ra], [_bits(b["bits"].iloc[i]) for i in rb]
+        lx, ly = np.array([len(v) for v in xs]), np.array([len(v) for v in ys])
+        for wide_x in np.unique(lx):
+            for wide_y in np.unique(ly):
+                i, j = np.flatnonzero(lx == wide_x), np.flatnonzero(ly == wide_y)
+                if not ok[np.ix_(ra[i], rb[j])].any():
+                    continue
+                wide = int(min(wide_x, wide_y))
+                x = np.stack([xs[k].reshape(-1, wide).max(axis=0) for k in i]).astype(np.float32)
+                y = np.stack([ys[k].reshape(-1, wide).max(axis=0) for k in j]).astype(np.float32)
+                both = x @ y.T
+                # A token whose bit the other lacks is no common one.
+                most[np.ix_(i, j)] = np.minimum(
+                    na[ra[i]] - (x.sum(axis=1)[:, None] - both), nb[:, rb[j]] - (y.sum(axis=1)[None, :] - both)
+                )
         sub = np.ix_(ra, rb)
-        link = ok[sub] & (both * name >= (na[ra] + nb[:, rb] - both) * own)
+        link = ok[sub] & ((own + name) * most >= own * (na[ra] + nb[:, rb]))
         i, j = np.nonzero(link)
         return pd.DataFrame({"src": a["node"].to_numpy()[ra[i]], "dst": b["node"].to_numpy()[rb[j]]})
 
@@ -359,7 +381,9 @@ def components(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = T
     if not again.isEmpty():
         links = materialize(links.union(again), parts)
         labels = materialize(connected_components(links, parts), parts)
-    again = materialize(_across(ranked(long_reads, "l"), ranked(lists, "pos"), sets, threshold), parts)
+    sketches = materialize(_sketches(sets.join(_small(shared.select("node")), "node")), parts)
+    across = materialize(_across(ranked(long_reads, "l"), ranked(lists, "pos"), sketches, threshold), parts)
+    again = materialize(_verified(across, sets, threshold), parts)
     if not again.isEmpty():
         labels = materialize(connected_components(links.union(again), parts), parts)
 
