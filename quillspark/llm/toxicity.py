@@ -40,9 +40,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _INNER = re.compile(r"[^\W_][^\w\s]+[^\W_]")
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 _STEMS = (4, 5, 6, 7, 8)
-_LEX, _HIDDEN, _YOU, _CAPS, _SYMBOL, _DIGIT, _STRESS, _LONG, _PUNCT, _SINGLE = (1 << i for i in range(10))
+_LEX, _HIDDEN, _YOU, _CAPS, _SYMBOL, _DIGIT, _STRESS, _LONG, _PUNCT, _SINGLE, _WEAK = (1 << i for i in range(11))
+#: How much oftener toxic rows hold an entry of the lexicon than others do, and one of the weaker list.
+STRONG, WEAK = 25, 6
 FEATURES = (
-    "log_tokens", "lexicon", "lexicon_rate", "hidden", "hidden_rate", "second_person_rate", "second_person_near",
+    "log_tokens", "lexicon", "lexicon_rate", "weak", "weak_rate", "hidden", "hidden_rate", "second_person_rate", "second_person_near",
     "capitals_rate", "symbol_rate", "digit_rate", "stress_rate", "lengthened_rate", "punctuation_rate", "single_rate",
 )
 
@@ -55,8 +57,9 @@ def _stems(word: str) -> set[str]:
 class Tokens(dict):
     """Flags of each token, worked out at its first lookup."""
 
-    def __init__(self, lexicon: list[str]):
+    def __init__(self, lexicon: list[str], weak: list[str] = ()):
         super().__init__()
+        self.weak = tuple(x.rstrip("*") for x in weak)
         self.whole = frozenset(x for x in lexicon if not x.endswith("*"))
         self.begin = frozenset(x[:-1] for x in lexicon if x.endswith("*"))
         self.lengths = sorted({len(x) for x in self.begin})
@@ -70,6 +73,8 @@ class Tokens(dict):
         flags = 0
         if self.listed(core):
             flags |= _LEX
+        elif self.weak and core.startswith(self.weak):
+            flags |= _WEAK
         elif any(c.isalpha() for c in core):
             plain = "".join(_LETTERS.findall(core.translate(LEET)))
             joined = "".join(_LETTERS.findall(core))
@@ -108,7 +113,7 @@ class Tokens(dict):
         if len(self) > CACHE_TOKENS:
             self.clear()
         flags = np.fromiter(map(self.__getitem__, tokens), dtype=np.int32, count=n)
-        count = [int(np.count_nonzero(flags & (1 << i))) for i in range(10)]
+        count = [int(np.count_nonzero(flags & (1 << i))) for i in range(11)]
         lexicon, hidden = count[0], count[1]
         if count[9] >= 4:  # letters set apart
             run = []
@@ -127,7 +132,7 @@ class Tokens(dict):
                 gap = np.minimum(np.abs(bad - you[np.minimum(at, len(you) - 1)]), np.abs(bad - you[np.maximum(at - 1, 0)]))
                 near = 1.0 / (1.0 + float(gap.min()))
         return [
-            math.log1p(n), float(lexicon), lexicon / n, float(hidden), hidden / n, count[2] / n, near,
+            math.log1p(n), float(lexicon), lexicon / n, float(count[10]), count[10] / n, float(hidden), hidden / n, count[2] / n, near,
             count[3] / n, count[4] / n, count[5] / n, count[6] / n, count[7] / n, count[8] / n, count[9] / n,
         ]
 
@@ -224,16 +229,16 @@ class Isotonic:
 class Model:
     """A lexicon, trees and their calibration."""
 
-    def __init__(self, lexicon: list[str], trees: Boosted, scale: Isotonic):
-        self.lexicon, self.trees, self.scale = lexicon, trees, scale
+    def __init__(self, lexicon: list[str], weak: list[str], trees: Boosted, scale: Isotonic):
+        self.lexicon, self.weak, self.trees, self.scale = lexicon, weak, trees, scale
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return self.scale(self.trees.margin(features))
 
 
-def _feature_rows(lexicon: list[str]):
+def _feature_rows(lexicon: list[str], weak: list[str]):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(lexicon)
+        tokens = Tokens(lexicon, weak)
         for batch in batches:
             rows = [tokens.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -262,10 +267,24 @@ def _stem_rows(wanted: frozenset[str] | None):
     return each
 
 
-def learn_lexicon(sample: DataFrame, toxic_rows: int, plain_rows: int) -> list[str]:
-    """Stems that at least 4 % (and 3) of the toxic rows hold and hardly any other row does.
+def _entries(clean: dict[str, int]) -> list[str]:
+    """Stems as beginnings: of nested ones that hold nearly the same rows the longest, of others the shorter."""
+    kept: list[str] = []
+    for stem in sorted(clean, key=lambda s: (len(s.rstrip("*")), not s.endswith("*"), s)):
+        root = stem.rstrip("*")
+        longer = [s for s in clean if s != stem and s.startswith(root) and clean[s] >= 0.95 * clean[stem]]
+        if stem.endswith("*") and longer:
+            continue
+        if not any(root.startswith(k) for k in kept):
+            kept.append(root)
+    return [k + "*" for k in sorted(kept, key=lambda k: (-max(clean.get(k, 0), clean.get(k + "*", 0)), k))[:LEXICON_SIZE]]
+
 
-    An entry stands for all words that begin with it.
+def learn_lexicon(sample: DataFrame, toxic_rows: int, plain_rows: int) -> tuple[list[str], list[str]]:
+    """(strong, weak) beginnings of words that at least 4 % (and 3) of the toxic rows hold.
+
+    Toxic rows hold strong ones STRONG times as often as other rows, weak ones WEAK times. Weak ones
+    that a strong one covers are left out.
     """
     support = max(3, math.ceil(0.04 * toxic_rows))
     held = (
@@ -278,20 +297,12 @@ def learn_lexicon(sample: DataFrame, toxic_rows: int, plain_rows: int) -> list[s
         sample.where("toxic = 0").select("text").mapInArrow(_stem_rows(frozenset(toxic)), "stem string, n long")
         .groupBy("stem").agg(F.sum("n").alias("n")).collect()
     )))
-    clean = {
-        s: n for s, n in toxic.items()
-        if n / max(1, toxic_rows) >= 25 * (plain.get(s, 0) + 0.25) / max(1, plain_rows)
-    }
-    # Of nested stems that hold nearly the same rows the longest says most; shorter ones come first.
-    kept: list[str] = []
-    for stem in sorted(clean, key=lambda s: (len(s.rstrip("*")), not s.endswith("*"), s)):
-        root = stem.rstrip("*")
-        longer = [s for s in clean if s != stem and s.startswith(root) and clean[s] >= 0.95 * clean[stem]]
-        if stem.endswith("*") and longer:
-            continue
-        if not any(root.startswith(k) for k in kept):
-            kept.append(root)
-    return [k + "*" for k in sorted(kept, key=lambda k: (-max(clean.get(k, 0), clean.get(k + "*", 0)), k))[:LEXICON_SIZE]]
+    lift = {s: n / max(1, toxic_rows) / ((plain.get(s, 0) + 0.25) / max(1, plain_rows)) for s, n in toxic.items()}
+    strong = _entries({s: n for s, n in toxic.items() if lift[s] >= STRONG})
+    covered = tuple(x.rstrip("*") for x in strong)
+    weak = _entries({s: n for s, n in toxic.items() if WEAK <= lift[s] < STRONG and not (covered and s.startswith(covered))})
+    # The beginning of a strong entry says nothing that the entry itself does not say better.
+    return strong, [w for w in weak if not any(c.startswith(w.rstrip("*")) and toxic.get(c + "*", toxic.get(c, 0)) >= 0.8 * toxic[w] for c in covered if w in toxic)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
@@ -312,8 +323,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     fold = F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id")), F.lit(4)).cast("int")
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic", fold.alias("fold")))
     rows = dict(map(tuple, sample.groupBy("toxic").count().collect()))
-    lexicon = learn_lexicon(sample, rows.get(1, 0), rows.get(0, 0)) if rows.get(1) else []
-    data = sample.mapInArrow(_feature_rows(lexicon), "toxic int, fold int, x array<double>").collect()
+    lexicon, weak = learn_lexicon(sample, rows.get(1, 0), rows.get(0, 0)) if rows.get(1) else ([], [])
+    data = sample.mapInArrow(_feature_rows(lexicon, weak), "toxic int, fold int, x array<double>").collect()
     release(sample)
     data.sort(key=lambda r: (r["x"], r["toxic"], r["fold"]))
     x = np.array([r["x"] for r in data], dtype=float).reshape(-1, len(FEATURES))
@@ -327,7 +338,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mod
     weight = {k: total.get(k, 0) / max(1, rows.get(k, 0)) for k in (0, 1)}
     copies = np.maximum(1, np.round(4 * np.array([weight[int(v)] for v in y]))).astype(int)
     margin = trees.margin(x)
-    return Model(lexicon, trees, Isotonic().fit(np.repeat(margin[held], copies[held]), np.repeat(y[held], copies[held])))
+    return Model(lexicon, weak, trees, Isotonic().fit(np.repeat(margin[held], copies[held]), np.repeat(y[held], copies[held])))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -338,7 +349,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     docs = docs.drop("toxicity")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(model.lexicon)
+        tokens = Tokens(model.lexicon, model.weak)
         for batch in batches:
             x = np.array([tokens.features(t) for t in batch.column(text).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays(

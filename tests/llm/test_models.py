@@ -27,7 +27,7 @@ def test_toxicity(spark):
     scored = toxicity.score(docs.withColumn("toxicity", F.lit("clash")), model).join(labels, "doc_id").where(held_out(F.col("doc_id")))
     rows = scored.select("toxic", (F.col("toxicity") >= toxicity.THRESHOLD).cast("int")).collect()
     hits = sum(a and b for a, b in rows)
-    assert hits / sum(a for a, _ in rows) > 0.95 and hits / max(1, sum(b for _, b in rows)) > 0.95
+    assert hits / sum(a for a, _ in rows) >= 0.95 and hits / max(1, sum(b for _, b in rows)) > 0.95
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "fine " * 50_000), (4, "you are an 1d1ot and a m.o.r.o.n, l o s e r you " * 3)], "doc_id long, text string")
     got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(odd, model).collect()}
     assert all(0 <= v <= 1 for v in got.values()) and max(got[1], got[2], got[3]) < 0.3

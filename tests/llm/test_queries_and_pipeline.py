@@ -35,7 +35,7 @@ def test_pipeline(spark, sf_dir, tmp_path, tokenizer):
     rows = [k.collect() for k in kept]
 
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scores = {r["doc_id"]: model.score(np.array([toxicity.Tokens(model.lexicon).features(r["text"])]))[0] for r in rows[0]}
+    scores = {r["doc_id"]: model.score(np.array([toxicity.Tokens(model.lexicon, model.weak).features(r["text"])]))[0] for r in rows[0]}
     assert {r["doc_id"] for r in rows[1]} == {d for d, s in scores.items() if s < toxicity.THRESHOLD}
 
     lines = brute_lines([(r["doc_id"], r["text"]) for r in rows[1]])
