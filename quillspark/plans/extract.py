@@ -179,3 +179,48 @@ def requests(rows: DataFrame, url: str = "url") -> DataFrame:
     return rows.withColumn("query_id", F.nullif(F.regexp_extract(path, "/graphql/([^/]+)/[^/]+$", 1), F.lit(""))).withColumn(
         "operation", F.nullif(F.regexp_extract(path, "/graphql/[^/]+/([^/]+)$", 1), F.lit(""))
     ).withColumn("variables", F.try_url_decode(F.try_parse_url(F.col(url), F.lit("QUERY"), F.lit("variables"))))
+
+
+#: Bounds of collect_results(): depth, nodes looked at and results taken.
+DEPTH, NODES, RESULTS = 30, 200_000, 500
+
+
+def results_within(body: str | None) -> list[str]:
+    """Every tweet_results.result anywhere in an answer as JSON, once an id, in document order; quoted ones are left out."""
+    import json
+
+    try:
+        stack = [(json.loads(body or "null"), 0)]
+    except ValueError:
+        return []
+    out, ids, seen = [], set(), 0
+    while stack and seen < NODES and len(out) < RESULTS:
+        node, depth = stack.pop()
+        seen += 1
+        below = []
+        if isinstance(node, dict):
+            found = node.get("tweet_results")
+            result = found.get("result") if isinstance(found, dict) else None
+            if isinstance(result, dict) and result.get("rest_id") not in ids:
+                ids.add(result.get("rest_id"))
+                out.append(json.dumps(result, ensure_ascii=False))
+            below = [v for k, v in node.items() if k != "quoted_status_result"]
+        elif isinstance(node, list):
+            below = node
+        if depth < DEPTH:
+            stack.extend((v, depth + 1) for v in reversed(below) if isinstance(v, (dict, list)))
+    return out
+
+
+def collect_results(rows: DataFrame, body: str = "body") -> DataFrame:
+    """(position, body) of the result nodes in each timeline answer; depths are unknown, so an Arrow pass walks them."""
+    import pyarrow as pa
+
+    def each(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = results_within(text)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int64()), pa.array(found, pa.string())], names=["position", "body"])
+
+    return rows.select(F.col(body).alias("body")).mapInArrow(each, "position long, body string")

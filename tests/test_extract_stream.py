@@ -105,3 +105,16 @@ def test_import_resumes_and_stops(spark, tmp_path):
     assert sorted(kept) == sorted(map(str, range(10))) and kept["3"] == "old" and job.state["imported"] == 9
     failing = ingest.ImportJob(str(tmp_path / "other.json"), mode="verify", batch=10)
     assert failing.run(snapshots, stored, lambda b: fetch(b, tuple("01234567")), store) == "archive-down"
+
+
+def test_results_within_a_timeline(spark):
+    entry = lambda i, **more: {"content": {"itemContent": {"tweet_results": {"result": {"rest_id": str(i), **more}}}}}
+    quoted = {"quoted_status_result": {"tweet_results": {"result": {"rest_id": "99"}}}}
+    body = {"instructions": [{"entries": [entry(1, **quoted), {"module": [entry(2), entry(1)]}, entry(3)]}]}
+    rows = spark.createDataFrame([(json.dumps(body),), ("broken",), (None,)], "body string")
+    got = extract.collect_results(rows).collect()
+    assert [json.loads(r["body"])["rest_id"] for r in sorted(got, key=lambda r: r["position"])] == ["1", "2", "3"]
+    deep = json.dumps(entry(7))
+    for _ in range(40):
+        deep = '{"a":' + deep + "}"
+    assert extract.results_within(deep) == []
