@@ -96,8 +96,7 @@ def merge_people(stored: DataFrame, fresh: DataFrame, keys: Sequence[str], first
 
 
 def newest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """One row a key, the first in an order. Partial aggregation, so a hot key is one row a task."""
-    # min over a struct needs ascending keys; descending ones are given as negated or reversed values.
+    """One row a key, the first in an order; Spark limits each task to that row before the shuffle."""
     ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where("__n = 1").drop("__n")
 
