@@ -100,22 +100,28 @@ def byte_budget(sizes: Column, budget: int, each: int) -> Column:
 def ancestors(edges: DataFrame, starts: DataFrame, most: int = 20) -> DataFrame:
     """(start, ancestor, hops): parents of parents of each start, at most `most` hops, cycles cut.
 
-    edges is (id, parent), one row an id at most; starts is (start). One join a hop over the starts
-    that still go on; hops without rows end the walk.
+    edges is (id, parent), one row an id at most; starts is (start). Each id has the list of its next
+    ancestors, and a round appends to it the list of its last one, so lists double: five joins for 20
+    hops. Rounds end when no list is full.
     """
     from pyspark import StorageLevel
 
-    edges = edges.where("parent is not null").select("id", "parent")
-    out, front = None, starts.select("start", F.col("start").alias("at"), F.array("start").alias("path"))
-    for hop in range(1, most + 1):
-        front = front.join(edges, F.col("at") == F.col("id")).where(~F.array_contains("path", F.col("parent"))).select(
-            "start", F.col("parent").alias("at"), F.concat("path", F.array("parent")).alias("path")
+    chains = edges.where("parent is not null").select("id", F.array("parent").alias("chain"))
+    length = 1
+    while length < most:
+        more = min(length, most - length)
+        rest = chains.select(F.col("id").alias("__at"), F.slice("chain", 1, more).alias("__rest"))
+        chains = chains.join(rest, F.element_at("chain", -1) == F.col("__at"), "left").select(
+            "id", F.when(F.col("__rest").isNull(), F.col("chain")).otherwise(F.concat("chain", "__rest")).alias("chain")
         ).persist(StorageLevel.DISK_ONLY)
-        if front.isEmpty():
+        length += more
+        if chains.where(F.size("chain") == length).isEmpty():
             break
-        found = front.select("start", F.col("at").alias("ancestor"), F.lit(hop).alias("hops"))
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else front.select("start", F.col("at").alias("ancestor"), F.lit(0).alias("hops"))
+    # In a cycle a list goes on with what it has: only the first of each counts, and the start not at all.
+    own = F.array_except("chain", F.array("id"))
+    return starts.join(chains, F.col("start") == F.col("id")).select("start", F.posexplode(own).alias("__n", "ancestor")).select(
+        "start", "ancestor", (F.col("__n") + 1).alias("hops")
+    )
 
 
 def children_counts(posts: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:

@@ -409,6 +409,14 @@ def _(read):
     return relate.ancestors(thread.select("id", "parent"), thread.where("turn % 3 = 2").select(F.col("id").alias("start")))
 
 
+@query("ancestor_chain_all", sql("thread", """w AS (SELECT id AS start, parent AS ancestor, 1 AS hops FROM thread WHERE parent IS NOT NULL
+ UNION ALL SELECT w.start, t.parent, w.hops + 1 FROM w JOIN thread t ON t.id = w.ancestor WHERE t.parent IS NOT NULL AND w.hops < 20) SELECT start, ancestor, hops FROM w""", recursive=True))
+def _(read):
+    """Ancestors of all posts, 20 hops at most."""
+    thread = views.thread(read)
+    return relate.ancestors(thread.select("id", "parent"), thread.select(F.col("id").alias("start")))
+
+
 @query("missing_parents", sql("thread", "k AS (SELECT * FROM thread WHERE turn <> 2) SELECT id, parent FROM k WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM k)"))
 def _(read):
     """Replies to posts that are not there."""

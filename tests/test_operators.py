@@ -114,3 +114,11 @@ def test_account_keys(spark):
     files = spark.createDataFrame([("1", "A", 0), (None, "Bob", 1), ("", "bOB", 2), (None, None, 3)], "id string, handle string, src int")
     key = relate.account_key(F.col("id"), F.col("handle"), F.col("src"))
     assert sorted(rows(relate.account_groups(files, key, "src", "src"))) == [("file:3", 1, 3), ("id:1", 1, 0), ("name:bob", 2, 2)]
+
+
+def test_ancestors_beyond_one_hop_a_round(spark):
+    line = spark.range(1, 31).selectExpr("id", "id - 1 as parent")
+    starts = spark.createDataFrame([(30,), (7,)], "start long")
+    assert sorted(rows(relate.ancestors(line, starts))) == sorted([(30, 30 - h, h) for h in range(1, 21)] + [(7, 7 - h, h) for h in range(1, 8)])
+    tail = spark.createDataFrame([(9, 1), (1, 2), (2, 3), (3, 1)], "id long, parent long")
+    assert sorted(rows(relate.ancestors(tail, tail.selectExpr("id as start").where("id in (9, 2)")))) == [(2, 1, 2), (2, 3, 1), (9, 1, 1), (9, 2, 2), (9, 3, 3)]

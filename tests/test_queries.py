@@ -44,3 +44,8 @@ def test_query(spark, sf_dir, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 30
+
+
+def test_ancestors_of_all_posts(spark, sf_dir, duck):
+    got = {r["start"] for r in entry.queries()["ancestor_chain_all"](spark, sf_dir).select("start").collect()}
+    assert got == {r[0] for r in duck.execute("SELECT conv_id * 1000 + turn FROM conversations WHERE turn > 0").fetchall()}
