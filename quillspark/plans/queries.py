@@ -88,6 +88,13 @@ def _(read):
     return ids.orderBy(*timeline.numeric_id_order(F.col("id"))).limit(100)
 
 
+@query("numeric_id_order_all", sql("posts", "SELECT id::VARCHAR AS id, row_number() OVER (ORDER BY length(id::VARCHAR), id::VARCHAR) - 1 AS position FROM posts"))
+def _(read):
+    """All digit strings with their positions as numbers."""
+    ids = views.posts(read).select(F.col("id").cast("string").alias("id"))
+    return timeline.with_positions(ids, timeline.numeric_id_order(F.col("id"))).select("id", "position")
+
+
 @query("day_jump", sql("posts", "SELECT id, created_at, created_at::DATE = DATE '1996-06-15' AS exact FROM posts WHERE created_at::DATE <= DATE '1996-06-15' ORDER BY created_at DESC, id DESC LIMIT 1"))
 def _(read):
     """The place of a day in a newest-first list."""
@@ -581,6 +588,14 @@ def _(read):
     return read("documents").select("doc_id", coerce.record_id(F.substring("source", 4, 30)).alias("id"), coerce.non_empty(F.col("text"), 20).alias("head"))
 
 
+@query("sanitised_ids_all", """SELECT doc_id, CASE WHEN regexp_matches(source, '^src[0-9]+$') THEN substr(source, 4) END AS id, length(t)::BIGINT AS chars, sha256(t) AS digest
+ FROM (SELECT doc_id, source, nullif(substr(text, 1, 200000), '') AS t FROM documents)""")
+def _(read):
+    """checked ids and whole texts, within the reference's bound."""
+    whole = coerce.non_empty(F.col("text"))
+    return read("documents").select("doc_id", coerce.record_id(F.substring("source", 4, 30)).alias("id"), F.length(whole).cast("bigint").alias("chars"), F.sha2(whole, 256).alias("digest"))
+
+
 @query("absent_answers", "SELECT event_type, count(*) FILTER (nullif(CASE WHEN event_type = 'error' THEN '' ELSE props END, '') IS NULL) AS absent, count(*) AS rows FROM events GROUP BY event_type")
 def _(read):
     """Absence of answers."""

@@ -49,3 +49,13 @@ def test_entry(spark):
 def test_ancestors_of_all_posts(spark, sf_dir, duck):
     got = {r["start"] for r in entry.queries()["ancestor_chain_all"](spark, sf_dir).select("start").collect()}
     assert got == {r[0] for r in duck.execute("SELECT conv_id * 1000 + turn FROM conversations WHERE turn > 0").fetchall()}
+
+
+def test_all_ids_in_order(spark, sf_dir, duck):
+    got = [r["id"] for r in entry.queries()["numeric_id_order_all"](spark, sf_dir).orderBy("position").collect()]
+    assert got == [str(r[0]) for r in duck.execute("SELECT o_orderkey FROM orders ORDER BY o_orderkey").fetchall()] and len(got) > 100
+
+
+def test_sanitised_texts_are_whole(spark, sf_dir, duck):
+    got = {r["doc_id"]: r["chars"] for r in entry.queries()["sanitised_ids_all"](spark, sf_dir).collect()}
+    assert got == dict(duck.execute("SELECT doc_id, nullif(length(text), 0) FROM documents").fetchall()) and max(filter(None, got.values())) > 20
