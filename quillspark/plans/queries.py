@@ -376,6 +376,14 @@ def _(read):
     return views.posts(read).where("status = 'P'").select("id").join(first, "id", "left").select("id", "media_id", F.col("f.source").alias("source"))
 
 
+@query("media_join_all", sql("posts media", """f AS (SELECT post_id, media_id, source, row_number() OVER (PARTITION BY post_id, media_id ORDER BY part, source, size) AS n FROM media)
+ SELECT p.id, f.media_id, f.source FROM posts p LEFT JOIN f ON f.post_id = p.id AND f.n = 1"""))
+def _(read):
+    """All posts with the first file of each key."""
+    first = views.media(read).groupBy(F.col("post_id").alias("id"), "media_id").agg(F.min(F.struct("part", "source", "size")).alias("f"))
+    return views.posts(read).select("id").join(first, "id", "left").select("id", "media_id", F.col("f.source").alias("source"))
+
+
 @query("missing_media", sql("posts media", "SELECT id FROM posts WHERE id NOT IN (SELECT post_id FROM media WHERE type = 'R')"))
 def _(read):
     """Posts without a file."""

@@ -59,3 +59,8 @@ def test_all_ids_in_order(spark, sf_dir, duck):
 def test_sanitised_texts_are_whole(spark, sf_dir, duck):
     got = {r["doc_id"]: r["chars"] for r in entry.queries()["sanitised_ids_all"](spark, sf_dir).collect()}
     assert got == dict(duck.execute("SELECT doc_id, nullif(length(text), 0) FROM documents").fetchall()) and max(filter(None, got.values())) > 20
+
+
+def test_media_of_all_posts(spark, sf_dir, duck):
+    got = {r["id"] for r in entry.queries()["media_join_all"](spark, sf_dir).select("id").collect()}
+    assert got == {r[0] for r in duck.execute("SELECT o_orderkey FROM orders").fetchall()}
