@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import codecs
 import io
 import json
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import IO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest file of a ZIP that is inflated in memory.
-MOST_BYTES = 64 * 1024 * 1024
+#: Largest central directory of a ZIP, with what follows it.
+MOST_DIRECTORY_BYTES = 64 * 1024 * 1024
+#: Bytes of an envelope that are read at once, and characters of records in a batch.
+CHUNK_BYTES = 1024 * 1024
+BATCH_CHARS = 8 * 1024 * 1024
 _WHITE = " \t\r\n"
+_SOLID, _OUTSIDE, _INSIDE = re.compile(r"[^ \t\r\n]"), re.compile(r'["{}\[\],]'), re.compile(r'["\\]')
 
 
 def array_elements(text: str, at: int) -> tuple[list[tuple[int, int]], bool, list[str]]:
@@ -75,57 +83,139 @@ def find_array(text: str, key: str) -> int:
     return -1
 
 
-def envelope_bytes(content: bytes, entry: str = "tweets.json") -> bytes:
-    """The envelope within a file: itself, or a ZIP's entry if the file begins with PK.
+def stream_elements(chunks: Iterator[str], key: str) -> Iterator[tuple[str | None, str | None]]:
+    """(element, problem) of the top-level array of this key, as find_array and array_elements have it.
 
-    A checksum that does not match, an unknown method or an oversize entry raises ValueError.
+    The text comes in chunks, and no more of it is held than the element or string that is read. No
+    such array raises ValueError; an array that is not closed ends with the problem 'truncated'.
+    """
+    text, i, depth, string, start, last, within = "", 0, 0, None, None, None, False
+    for chunk in chunks:
+        kept = min(len(text), i, *(p for p in (string, start) if p is not None))
+        text, i = text[kept:] + chunk, i - kept
+        string, start = (None if p is None else p - kept for p in (string, start))
+        while i < len(text):
+            m = (_OUTSIDE if string is None else _INSIDE).search(text, i)
+            at = m.start() if m else len(text)
+            if string is not None:
+                i = at + 2 if m and text[at] == "\\" else at + 1 if m else at
+                if m and text[at] == '"':
+                    last, string = None if within else text[string + 1:at], None
+                continue
+            if within and start is None and (solid := _SOLID.search(text, i, at)):
+                start = solid.start()
+            i = at + 1 if m else at
+            c = text[at] if m else ""
+            if c == '"':
+                string = at
+                start = at if within and start is None else start
+            elif not within:
+                if c == "[" and depth == 1 and last == key:
+                    within, depth = True, 0
+                elif c and c in "{[":
+                    depth, last = depth + 1, None
+                elif c and c in "}]":
+                    depth -= 1
+                elif c == ",":
+                    last = None
+            elif c and c in "{[":
+                start = at if start is None else start
+                depth += 1
+            elif c and c in "}]":
+                if depth == 0:
+                    if c == "}":
+                        yield None, "depth-underflow"
+                    elif start is not None:
+                        yield text[start:at].strip(_WHITE), None
+                    return
+                depth -= 1
+            elif c == "," and depth == 0:
+                if start is not None:
+                    yield text[start:at].strip(_WHITE), None
+                start = None
+    if not within:
+        raise ValueError(f"no array {key}")
+    yield None, "truncated"
+
+
+@contextmanager
+def open_envelope(content: bytes, entry: str = "tweets.json") -> Iterator[IO[bytes]]:
+    """The envelope within a file as a stream: itself, or a ZIP's entry of any size if the file begins with PK.
+
+    The entry's checksum is tested where the stream ends. A checksum that does not match, an unknown
+    method or an oversize central directory raises ValueError.
     """
     if content[:2] != b"PK":
-        return content
+        yield io.BytesIO(content)
+        return
+    end = content.rfind(b"PK\x05\x06")
+    if end >= 0 and len(content) - int.from_bytes(content[end + 16:end + 20], "little") > MOST_DIRECTORY_BYTES:
+        raise ValueError("the central directory is too large")
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             names = [n for n in z.namelist() if n == entry or n.endswith("/" + entry)]
             if not names:
                 raise ValueError(f"no {entry} in the archive")
-            if z.getinfo(names[0]).file_size > MOST_BYTES:
-                raise ValueError(f"{entry} is too large")
-            return z.read(names[0])
+            with z.open(names[0]) as stream:
+                yield stream
     except (zipfile.BadZipFile, zlib.error, NotImplementedError) as e:
         raise ValueError(str(e)) from e
 
 
+def envelope_bytes(content: bytes, entry: str = "tweets.json") -> bytes:
+    """The whole envelope within a file, see open_envelope."""
+    with open_envelope(content, entry) as stream:
+        return stream.read()
+
+
+def _chunks(stream: IO[bytes]) -> Iterator[str]:
+    """A stream's text; bytes that are not UTF-8 raise UnicodeDecodeError."""
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    while data := stream.read(CHUNK_BYTES):
+        yield decoder.decode(data)
+    yield decoder.decode(b"", final=True)
+
+
 def read_envelopes(spark: SparkSession, paths: list[str] | str, key: str = "tweets", entry: str = "tweets.json") -> DataFrame:
     """(path, position, record, error): each element of the files' arrays as JSON text.
 
     Files are read where the tasks run, one file a row; unreadable ones give a single row with an
     error and do not end the job. A truncated array gives the elements before the cut and one row
-    with error 'truncated'.
+    with error 'truncated'. An envelope is streamed twice: checksum and encoding first, so a damaged
+    file gives no records, then its elements.
     """
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
 
+    def rows(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            with open_envelope(content, entry) as stream:
+                for _ in _chunks(stream):
+                    pass
+            with open_envelope(content, entry) as stream:
+                for i, (record, problem) in enumerate(stream_elements(_chunks(stream), key)):
+                    yield path, None if record is None else i, record, problem
+        except (ValueError, UnicodeDecodeError) as e:
+            yield path, None, None, str(e)
+
+    def packed(part: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int64()),
+             pa.array([r[2] for r in part], pa.string()), pa.array([r[3] for r in part], pa.string())],
+            names=["path", "position", "record", "error"],
+        )
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows: list[tuple] = []
-                try:
-                    text = envelope_bytes(content, entry).decode("utf-8")
-                    at = find_array(text, key)
-                    if at < 0:
-                        raise ValueError(f"no array {key}")
-                    ranges, closed, problems = array_elements(text, at)
-                    rows = [(path, i, text[a:b].strip(_WHITE), None) for i, (a, b) in enumerate(ranges)]
-                    rows += [(path, None, None, p) for p in problems]
-                    if not closed and not problems:
-                        rows.append((path, None, None, "truncated"))
-                except (ValueError, UnicodeDecodeError) as e:
-                    rows.append((path, None, None, str(e)))
-                for start in range(0, len(rows), 5000):
-                    part = rows[start:start + 5000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int64()),
-                         pa.array([r[2] for r in part], pa.string()), pa.array([r[3] for r in part], pa.string())],
-                        names=["path", "position", "record", "error"],
-                    )
+                part, chars = [], 0
+                for row in rows(path, content):
+                    part.append(row)
+                    chars += len(row[2] or "")
+                    if len(part) == 5000 or chars >= BATCH_CHARS:
+                        yield packed(part)
+                        part, chars = [], 0
+                if part:
+                    yield packed(part)
 
     return files.mapInArrow(each, "path string, position long, record string, error string")
 

@@ -47,6 +47,45 @@ def test_files(spark, tmp_path):
     assert report["a.json"]["complete"] and report["a.json"]["stated"] == 4 and not report["c.json"]["complete"]
 
 
+def test_zip_entry_beyond_64_mib(spark, tmp_path):
+    records = [{"id": str(i), "text": "x" * (1 << 20)} for i in range(66)]
+    with zipfile.ZipFile(tmp_path / "large.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("tweets.json", build(records))
+        assert z.getinfo("tweets.json").file_size > 64 << 20
+    read = envelope.read_envelopes(spark, str(tmp_path))
+    ids = read.select("position", F.get_json_object("record", "$.id").alias("id"), F.length("record").alias("n"), "error").orderBy("position").collect()
+    assert [tuple(r) for r in ids] == [(i, str(i), len(json.dumps(x)), None) for i, x in enumerate(records)]
+
+
+def test_damaged_zip_gives_no_records(spark, tmp_path):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("tweets.json", build())
+    broken = bytearray(buffer.getvalue())
+    broken[broken.index(b"brackets")] ^= 1
+    (tmp_path / "broken.zip").write_bytes(bytes(broken))
+    assert [(r["record"], "CRC" in r["error"]) for r in envelope.read_envelopes(spark, str(tmp_path)).collect()] == [(None, True)]
+
+
+def test_large_directory_is_refused(monkeypatch):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("tweets.json", build())
+    monkeypatch.setattr(envelope, "MOST_DIRECTORY_BYTES", 60)
+    with pytest.raises(ValueError, match="directory"):
+        envelope.envelope_bytes(buffer.getvalue())
+
+
+def test_chunks_give_what_the_whole_text_gives():
+    texts = [build(), build()[:-80], '{"a":{"tweets":[1]}, "tweets" : [ 1, true ,"a,]\\"", [[]], {"b":"\\\\"} ] }', '{"tweets":[}]}', '{"tweets":[]}', '{"tweets":[1,{}}]', '{"tweets":["x\\']
+    for text in texts:
+        at = envelope.find_array(text, "tweets")
+        ranges, closed, problems = envelope.array_elements(text, at)
+        expected = [(text[a:b].strip(), None) for a, b in ranges] + [(None, p) for p in problems] + [(None, "truncated")] * (not closed and not problems)
+        for n in (1, 2, 3, 7, 1000):
+            assert list(envelope.stream_elements(iter([text[i:i + n] for i in range(0, len(text), n)]), "tweets")) == expected
+
+
 def test_bad_checksum_is_refused():
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_STORED) as z:
