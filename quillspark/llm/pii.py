@@ -125,8 +125,12 @@ def _entity(span: Column) -> Column:
 
 def _near_terms(text: Column, span: Column) -> Column:
     """The words that stand whole within NEAR characters before or after a span, in lower case."""
-    before = F.regexp_replace(F.substring(text, F.greatest(F.lit(1), span["start"] - NEAR + 1), F.least(F.lit(NEAR), span["start"])), r"^\p{L}+", "")
-    after = F.regexp_replace(F.substring(text, span["end"] + 1, F.lit(NEAR)), r"\p{L}+$", "")
+    # One character more on each side tells whether a word goes on outside; a text's own edge cuts none.
+    start = F.greatest(F.lit(0), span["start"] - NEAR - 1)
+    before = F.substring(text, start + 1, span["start"] - start)
+    before = F.when(span["start"] > NEAR, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
+    after = F.substring(text, span["end"] + 1, F.lit(NEAR + 1))
+    after = F.when(F.length(after) > NEAR, F.regexp_replace(after, r"\p{L}+\z", "")).otherwise(after)
     words = F.regexp_extract_all(F.lower(F.concat(before, F.lit(" "), after)), F.lit(_TERM), F.lit(0))
     return F.array_distinct(words)
 

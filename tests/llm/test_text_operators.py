@@ -51,6 +51,28 @@ def test_disclosing_terms(spark):
     assert pii.find(frame.limit(0)).count() == 0
 
 
+def test_terms_at_the_edges_of_texts_and_windows(spark):
+    """Words that open or end a text are whole; those that a window's edge cuts are not."""
+    import re
+
+    address = "q.w@mail.example.com"
+    texts = [f"Quibblewick mail {address} end", f"saw {address} or Quibblewick", f"{address} Quibblewick", f"Quibblewick {address}"]
+    texts += [f"{'x' * a} Quibblewick {'. ' * b}{address}{' .' * c} Quibblewick{'y' * d}" for a in (0, 3) for b in (12, 13, 14, 15, 20) for c in (13, 14, 15, 16, 20) for d in (0, 3)]
+    texts += [f"{a}Quibblewick{'!' * 29}{address}{'!' * 29}Quibblewick{b}" for a in ("", "Z", "\n", " ") for b in ("", "Z", "\n", " ")]
+
+    def near(t):
+        at, end = t.index(address), t.index(address) + len(address)
+        places = [(m.start(), m.end(), m[0].lower()) for m in re.finditer("[A-Za-z]{3,}", t)]
+        return {w for a, b, w in places if at - pii.NEAR <= a and b <= at or end <= a and b <= end + pii.NEAR}
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string").withColumn("base", pii.base_spans(F.col("text")))
+    got = {r["i"]: set(r["near"]) for r in rows.select("i", pii._near_terms(F.col("text"), F.col("base")[0]).alias("near")).collect()}
+    assert got == {i: near(t) for i, t in enumerate(texts)}
+    docs = [(i, f"Quibblewick mail {address} about things, number {i}") for i in range(6)] + [(100 + i, f"about things and number {i} from mail") for i in range(300)]
+    terms = {(r["doc_id"], r["terms"][0]["value"]) for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r["terms"]}
+    assert terms == {(i, "Quibblewick") for i in range(6)}
+
+
 def brute_lines(docs):
     seen, out = set(), {}
     for doc_id, text in sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0, d[1] or "")):
