@@ -13,6 +13,7 @@ from quillspark.operators import merge, relate, timeline
 from quillspark.plans import views
 from quillspark.plans.registry import query
 from quillspark.plans.views import sql
+from quillspark.sources import sinks
 
 # -- reading in order --------------------------------------------------------------------------------
 
@@ -313,11 +314,9 @@ def _(read):
   UNION ALL SELECT s.lang, s.doc_id, s.n, CASE WHEN w.used + s.b <= 50000 THEN w.used + s.b ELSE s.b END, CASE WHEN w.used + s.b <= 50000 THEN w.shard ELSE w.shard + 1 END FROM w JOIN s ON s.lang = w.lang AND s.n = w.n + 1)
  SELECT lang, doc_id, shard FROM w""")
 def _(read):
-    """Greedy shards by bytes, a sequential fold for each language."""
-    sized = read("documents").select("lang", F.struct("doc_id", F.octet_length("text").cast("bigint").alias("bytes")).alias("r"))
-    lists = sized.groupBy("lang").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    shards = relate.greedy_shards(F.transform("rows", lambda r: r["bytes"]), 50_000)
-    return lists.select("lang", F.explode(F.arrays_zip(F.transform("rows", lambda r: r["doc_id"]).alias("doc_id"), shards.alias("shard"))).alias("x")).select("lang", "x.doc_id", "x.shard")
+    """Greedy shards by bytes, streamed over each language's sorted rows."""
+    sized = read("documents").select("lang", "doc_id", F.octet_length("text").alias("bytes"))
+    return sinks.shard_numbers(sized, ["lang"], ["doc_id"], [], 50_000, size=F.col("bytes")).select("lang", "doc_id", "shard")
 
 
 # -- filters and joins -------------------------------------------------------------------------------

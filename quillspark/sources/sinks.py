@@ -46,8 +46,8 @@ def write_envelope(records: DataFrame, order: Sequence[Column], columns: Sequenc
     return n
 
 
-def shard_numbers(records: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str], budget: int, overhead: int = 6) -> DataFrame:
-    """records with shard: closed greedily by the bytes of each record's JSON, within each group.
+def shard_numbers(records: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str], budget: int, overhead: int = 6, size: Column | None = None) -> DataFrame:
+    """records with shard: closed greedily by the bytes of each record's JSON, or else by size, within each group.
 
     The greedy rule is sequential in a group; it streams over sorted rows of a partition and holds
     one record at a time.
@@ -55,7 +55,8 @@ def shard_numbers(records: DataFrame, group: Sequence[str], order: Sequence[str]
     import pyarrow as pa
     from pyspark.sql import types as T
 
-    sized = records.withColumn("__bytes", (F.octet_length(record_json(columns)) + overhead).cast("bigint"))
+    size = F.octet_length(record_json(columns)) + overhead if size is None else size
+    sized = records.withColumn("__bytes", size.cast("bigint"))
     dealt = sized.repartition(*group).sortWithinPartitions(*group, *order)
 
     def each(batches):

@@ -64,3 +64,8 @@ def test_sanitised_texts_are_whole(spark, sf_dir, duck):
 def test_media_of_all_posts(spark, sf_dir, duck):
     got = {r["id"] for r in entry.queries()["media_join_all"](spark, sf_dir).select("id").collect()}
     assert got == {r[0] for r in duck.execute("SELECT o_orderkey FROM orders").fetchall()}
+
+
+def test_greedy_shards_collect_no_group(spark, sf_dir):
+    plan = entry.queries()["greedy_shards"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
