@@ -27,12 +27,23 @@ def ship(spark: SparkSession) -> None:
     context._quillspark_shipped = True
 
 
+#: Bytes of an Arrow batch, so that a batch of long texts is as large as one of short ones.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, if the session does not bound them closer itself."""
+    if int(spark.conf.get(BATCH[0], str(2**31 - 1)).removesuffix("b")) > BATCH[1]:
+        spark.conf.set(*BATCH)
+
+
 def shipped(query):
-    """The query, with the package sent ahead; spark is its first argument."""
+    """The query, with the package sent ahead and Arrow batches bounded; spark is its first argument."""
 
     @wraps(query)
     def run(spark, *args, **named):
         ship(spark)
+        bound_batches(spark)
         return query(spark, *args, **named)
 
     return run
