@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quillspark.llm.common import sliced
+
 #: Words a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 17
 #: Longer words are folded one by one with a heap.
 LONG = 48
 #: Texts that are put together at once.
-CHUNK = 512
+CHUNK = 128
 _NONE = np.int32(2**31 - 1)
 #: Texts of these characters alone split alike under the standard library's faster expressions.
 _SIMPLE = re.compile("[\x00-\x1b\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*")
@@ -221,14 +223,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(content, pattern)
-        for whole in batches:
-            for start in range(0, whole.num_rows, CHUNK):
-                batch = whole.slice(start, CHUNK)
-                ids = [x.astype("<u4").tobytes() for x in bpe.encode(batch.column(text).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=[*batch.schema.names, "n_tokens", "ids"],
-                )
+        for batch in sliced(batches, CHUNK):
+            ids = [x.astype("<u4").tobytes() for x in bpe.encode(batch.column(text).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                names=[*batch.schema.names, "n_tokens", "ids"],
+            )
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     return docs.mapInArrow(each, schema)
@@ -244,10 +244,8 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> Dat
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(content, pattern)
-        for whole in batches:
-            for start in range(0, whole.num_rows, CHUNK):
-                batch = whole.slice(start, CHUNK)
-                out = [None if x is None else bpe.decode(np.frombuffer(x, dtype="<u4")) for x in batch.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+        for batch in sliced(batches, CHUNK):
+            out = [None if x is None else bpe.decode(np.frombuffer(x, dtype="<u4")) for x in batch.column(ids).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(each, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))

@@ -2,49 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: One word of a text, for all operators that count or shingle words.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from quillspark.scratch import BROADCAST_ROWS, Tables, materialize, release, scratch_dir, small
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; one is set only if the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+__all__ = ["BROADCAST_ROWS", "Tables", "materialize", "release", "scratch_dir", "small"]
 
+#: One word of a text, for all operators that count or shingle words.
+WORD = r"[^\x20\x09-\x0D]+"
 
-def materialize(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back, so that lost executors cost no recomputation.
 
-    parts bounds the number of tasks and files of a table that is known to be small for its input.
-    """
-    spark = df.sparkSession
-    df = df if parts is None else df.coalesce(parts)
-    path = f"{scratch_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
+def tidy() -> None:
+    """Give memory that a task no longer uses back to the system: workers live on, and hold what their largest batch took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
 
-def release(df: DataFrame) -> None:
-    """Delete the table that materialize() wrote, once nothing that is still to run reads it."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that Python objects are made of few rows at once."""
+    try:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                yield batch.slice(i, rows)
+    finally:
+        tidy()
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,33 +55,38 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array([root(x) for x in leaves], pa.int64())], names=["u", "v"])
 
 
-def connected_components(edges: DataFrame, parts: int = 8) -> DataFrame:
+def connected_components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(node, component) for undirected edges (src, dst) of longs: component is the smallest node reachable.
 
     Edges are first contracted to stars within each batch, then large-star and small-star steps
-    alternate. Each step groups by node with partial aggregation and joins the minimum back, so a
-    node that holds a third of the edges is split by AQE's skew join. Self loops and nulls are
-    dropped; nodes without an edge do not appear. No edge reaches the driver, only one count and
-    one checksum a round. parts is the number of tasks that write the edges.
+    alternate. Each step groups by node with partial aggregation, writes the minima and joins them
+    back: by broadcast if they are few, else by a join whose two shuffles adaptive execution splits
+    at a node that holds a third of the edges. Self loops and nulls are dropped; nodes without an
+    edge do not appear. No edge reaches the driver, only counts and one checksum a round. parts is
+    the number of tasks that write the edges, if the caller knows that they are few.
     """
+    held = Tables()
     pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u > v")
-    table, before = materialize(pairs.coalesce(parts).mapInArrow(_contracted, "u long, v long").distinct(), parts), None
-    while True:
+    pairs = pairs if parts is None else pairs.coalesce(parts)
+    state = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    table = held.keep(pairs.mapInArrow(_contracted, "u long, v long").distinct(), parts)
+    before = state(table)
+    while before[0]:
         both = table.select("u", "v").union(table.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+        low = held.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), parts)
+        # Of both directions only v > u goes on: each edge once, at its smaller end.
+        ends = table.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        large = held.keep(ends.join(small(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), parts)
+        least = held.keep(large.groupBy("u").agg(F.min("v").alias("m")), parts)
+        next_ = held.keep(
+            large.join(small(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .union(least.select("u", F.col("m").alias("v"))).where("u > v").distinct(), parts
         )
-        small = materialize(small, parts)
-        release(table)
-        table = small
-        state = table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        held.drop(table, low, large, least)
+        table = next_
+        old, before = before, state(table)
+        if old == before:
             break
-        before = tuple(state)
     stars = table.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return stars.union(table.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 

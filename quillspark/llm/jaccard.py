@@ -1,22 +1,26 @@
 """Exact n-gram Jaccard self join by adaptive multi-match prefixes.
 
-A document is its set of word shingles, ordered by hash. Two sets that reach the threshold share at
+A document is its set of word shingles in some order. Two sets that reach the threshold share at
 least l tokens within their l-prefixes (the first n - t + l tokens, t the least overlap for size n),
 for every l. So a document may pass over its l - m most frequent prefix tokens if it then asks for
 m matches among the rest. Each document picks (l, m) by the estimated cost of its candidates: the
 lengths of the token lists it still has to read, and the verifications they bound.
 
 1. One pass over the texts hashes shingles; documents with equal sets are one node from here on.
-2. Prefix tokens are dealt by token, which gives each list's length; tokens of one document go.
-3. Lists of at most SHORT nodes are joined directly. For nodes that still read longer lists, all
-   tokens are counted among such nodes: those that no other holds cannot be shared, which bounds
-   every overlap of a node and drops the nodes that can link with none.
-4. The rest are linked to one leader a list, the most typical node, which takes as many rows as
-   there are list entries. Links are verified on the full sets and give components. Lists in which
-   several components are left are led again. What is left after that is compared across components
-   in blocks: the smaller component's nodes with the larger one's, of a list, of sizes and bounds
-   that admit a link, and bitmaps that bound their overlaps; a task holds two blocks and returns
-   the few pairs that can link, which are verified. That is exact.
+2. Tokens of hash-ordered prefixes are counted; those that one node alone holds go. Nodes whose
+   cheapest plan reads lists of at most SHORT nodes are joined through them, m matches a pair.
+3. The other nodes are joined among themselves (a pair with one of the former is found from that
+   one's side). All their tokens are counted: what no other holds cannot be shared, which bounds
+   every overlap of a node and drops the nodes that can link with none. The rest order their
+   tokens by these counts, rarest first, so a prefix holds frequent tokens only if most of the set
+   is frequent, and plan again, with l up to LONGEST_COUNTED. Lists of at most MIDDLE nodes are
+   joined as before, m matches a pair.
+4. What still reads longer lists are mostly large groups of near copies. Those nodes are linked to
+   one leader a list, the most typical node. Links are verified on the full sets and give
+   components. Lists in which several components are left are led again. What is left after that
+   is compared across components in blocks: the smaller component's nodes with the larger one's,
+   of a list, of sizes and bounds that admit a link, and bitmaps that bound their overlaps; a task
+   holds two blocks and returns the few pairs that can link, which are verified. That is exact.
 """
 
 from __future__ import annotations
@@ -30,18 +34,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import connected_components, materialize, release, shingles, word_hashes
+from quillspark.llm.common import Tables, connected_components, materialize, shingles, sliced, small, word_hashes
 
 #: Words of a shingle; the least similarity, as a fraction.
 SIZE, THRESHOLD = 5, (4, 5)
-#: Tokens by which a prefix is lengthened, at most; nodes of a list that is joined directly, at most.
-LONGEST, SHORT = 16, 8
+#: Tokens by which a prefix is lengthened, at most: in the order of hashes, and in that of counts.
+LONGEST, LONGEST_COUNTED = 16, 64
+#: Beyond that, a text's share of tokens that its prefix may be lengthened by: one in so many.
+LENGTHEN = 32
+#: Nodes of a list that is joined directly, at most: in the order of hashes, and in that of counts.
+SHORT, MIDDLE = 8, 32
 #: Cost of a verification against reading a list entry.
 VERIFY = 8
-#: Nodes of a block on either side where lists are compared across components.
-LEFT, RIGHT = 256, 512
-#: Rows up to which a table of nodes is broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Nodes of a block on either side where lists are compared across components; bits of a bitmap, as a power of 2.
+LEFT, RIGHT, WIDEST = 256, 512, 16
 _BYTES = 5
 
 
@@ -50,6 +56,11 @@ def _least(n, threshold):
     return (threshold[0] * n + threshold[1] - 1) // threshold[1]
 
 
+def _longest(n: int, most: int, threshold) -> int:
+    """The largest l of a set of n tokens."""
+    return min(max(most, n // LENGTHEN), _least(n, threshold))
+
+
 def _prefix_col(n: Column, threshold) -> Column:
     return (n - F.floor((n * threshold[0] + (threshold[1] - 1)) / threshold[1]) + 1).cast("int")
 
@@ -63,7 +74,7 @@ def _signatures(docs: DataFrame, size: int, threshold) -> DataFrame:
     """(key, doc_id, n, node, tokens): node is a hash of the set, null if empty; tokens its longest prefix."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, node, tokens = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(word_hashes(text), size)
@@ -74,7 +85,7 @@ def _signatures(docs: DataFrame, size: int, threshold) -> DataFrame:
                     continue
                 node.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
                 t = _least(len(s), threshold)
-                tokens.append(s[:len(s) - t + min(LONGEST, t)].view(np.int64))
+                tokens.append(s[:len(s) - t + _longest(len(s), LONGEST, threshold)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))],
                 names=["key", "doc_id", "n", "node", "tokens"],
@@ -86,35 +97,45 @@ def _signatures(docs: DataFrame, size: int, threshold) -> DataFrame:
     )
 
 
-def _plans(threshold):
-    """For nodes with their lists of (pos, df, token): the tokens each reads, with its l and m."""
-
-    def choose(n: int, pos: np.ndarray, df: np.ndarray):
-        t = _least(n, threshold)
-        prefix, best = n - t + 1, None
-        by_df = np.argsort(df, kind="stable")
-        pos_by, df_by = pos[by_df], df[by_df]
-        for l in range(1, min(LONGEST, t) + 1):
-            inside = pos_by <= prefix + l - 1
-            own = df_by[inside]
-            for m in sorted({1, min(l, 2), min(l, 4), l}):
-                kept = max(0, len(own) - (l - m))
-                read = own[:kept]
-                if m > 1 and kept and read[-1] > SHORT:
-                    continue  # long lists are led, which counts no matches
-                lists = float((read - 1).sum())
-                cost = lists + VERIFY * lists / m
-                if best is None or cost < best[0] - 1e-9:
-                    best = (cost, l, m, by_df[inside][:kept])
-        return best[1:]
+def choose(n: int, pos: np.ndarray, df: np.ndarray, threshold, longest: int) -> tuple[int, int, np.ndarray]:
+    """(l, m, places in pos and df of the tokens to read), the cheapest plan of a set of n tokens.
+
+    pos are the places of its shared tokens in its order, from 1; df are the lengths of their lists.
+    """
+    t = _least(n, threshold)
+    prefix, best = n - t + 1, None
+    by_df = np.argsort(df, kind="stable")
+    pos_by, df_by = pos[by_df], df[by_df]
+    for l in range(1, _longest(n, longest, threshold) + 1):
+        inside = pos_by <= prefix + l - 1
+        if best is not None and not best[0]:
+            break
+        lists = np.concatenate(([0], np.cumsum(df_by[inside] - 1)))
+        for m in sorted({1, min(l, 2), min(l, 4), l}):
+            kept = max(0, len(lists) - 1 - (l - m))
+            cost = float(lists[kept]) * (1 + VERIFY / m)
+            if best is None or cost < best[0] - 1e-9:
+                best = (cost, l, m, by_df[inside][:kept])
+    return best[1:]
+
+
+def _plans(threshold, longest: int, longest_list: int):
+    """For nodes with rows of (pos, df, token): the tokens each reads, with its l and m.
+
+    A node whose plan reads a list of more than longest_list nodes has l negative. Its lists are
+    led and compared in blocks, which meets every pair that shares one of them: of m shared tokens
+    one at least is not among the m - 1 longest lists, so these are not read.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [[] for _ in range(6)]
+        for batch in sliced(batches):
+            out = [[np.zeros(0, dtype=np.int64)] for _ in range(6)]
             for node, n, rows in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("rows"), strict=True):
                 rows = rows.values
                 pos, df, token = (rows.field(i).to_numpy() for i in range(3))
-                l, m, read = choose(n, pos, df)
+                l, m, read = choose(n, pos, df, threshold, longest)
+                if len(read) and df[read].max() > longest_list:
+                    l, read = -l, read[:len(read) - m + 1]
                 for column, values in zip(out, (token[read], df[read]), strict=False):
                     column.append(values)
                 for column, value in zip(out[2:], (node, n, l, m), strict=True):
@@ -126,18 +147,30 @@ def _plans(threshold):
     return each
 
 
+_PLAN = "token long, df long, node long, n long, l long, m long"
+
+
+def _matched(plans: DataFrame, listed: DataFrame, longest_list: int, threshold) -> DataFrame:
+    """Pairs (a, b) of nodes that share m tokens of a's plan within b's l-prefix, over lists of bounded length."""
+    other = listed.where(F.col("df") <= longest_list).select("token", F.col("node").alias("b"), F.col("n").alias("nb"), "pos")
+    return (
+        plans.where("l > 0").select("token", F.col("node").alias("a"), F.col("n").alias("na"), "l", "m").join(other, "token")
+        .where((F.col("a") != F.col("b")) & (F.col("pos") <= _prefix_col(F.col("nb"), threshold) + F.col("l") - 1) & _fits(F.col("na"), F.col("nb"), threshold))
+        .groupBy("a", "b", "m").agg(F.count("*").alias("matches")).where("matches >= m").select("a", "b")
+    )
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold) -> DataFrame:
     """The pairs (a, b) whose sets link."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = _unpack(x), _unpack(y)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = _unpack(x.as_buffer()), _unpack(y.as_buffer())
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both * threshold[1] >= (len(x) + len(y) - both) * threshold[0])
-            kept = batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
-            yield kept
+            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
     return (
         pairs.join(sets.select(F.col("node").alias("src"), F.col("set").alias("x")), "src")
@@ -147,47 +180,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, set) for nodes(key, node): each set's hashes, of which _BYTES bytes suffice for two sets."""
+    """(node, set) for nodes(node, key, times): each set's hashes, of which _BYTES bytes suffice for two sets.
+
+    times is how many rows have the key; only rows that are repeated are made distinct.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 s = shingles(word_hashes(text), size)
                 out.append(s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "set"])
 
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    return keyed.join(_small(nodes), "key").select("node", "text").mapInArrow(each, "node long, set binary").dropDuplicates(["node"])
+    met = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(small(nodes), "key").select("node", "text", "times")
+    texts = met.where("times = 1").select("node", "text")
+    if not nodes.where("times > 1").isEmpty():
+        texts = texts.union(met.where("times > 1").dropDuplicates(["node"]).select("node", "text"))
+    return texts.mapInArrow(each, "node long, set binary")
 
 
-def _shared(sets: DataFrame, nodes: DataFrame, threshold, parts: int) -> DataFrame:
-    """(node, n, shared) of the nodes(node, n) that can link with another one of them.
+def _counted(sets: DataFrame, nodes: DataFrame, threshold, held: Tables) -> tuple[DataFrame, DataFrame]:
+    """What nodes(node, n) share: (token, node, n, pos, df, shared) of prefixes in the order of counts, and (node, n, rows) to plan by.
 
-    shared counts a node's tokens that another node holds too. Nodes whose shared tokens are fewer
-    than their least overlap go, and the rest are counted again.
+    shared counts a node's tokens that another node holds too; tokens of one node come first, then
+    the others by their counts. Nodes whose shared tokens are fewer than their least overlap can
+    link with none: they go, and the rest are counted again, once.
     """
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                raw = part.column("set").to_pylist()
-                out = np.concatenate([_unpack(x) for x in raw]).view(np.int64)
-                n = [len(x) // _BYTES for x in raw]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out), pa.array(np.repeat(part.column("node").to_numpy(), n))], names=["token", "node"]
-                )
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            raw = [_unpack(x.as_buffer()) for x in part.column("set")]
+            n = [len(x) for x in raw]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(raw).view(np.int64)), pa.array(np.repeat(part.column("node").to_numpy(), n))], names=["token", "node"]
+            )
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            out = [[np.zeros(0, dtype=np.int64)] for _ in range(6)]
+            for node, n, rows in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("rows"), strict=True):
+                df, token = (rows.values.field(i).to_numpy() for i in range(2))
+                t, shared = _least(n, threshold), len(df)
+                order = np.lexsort((token, df))[:max(0, shared - t + _longest(n, LONGEST_COUNTED, threshold))]
+                for column, values in zip(out, (token[order], np.full(len(order), node), np.full(len(order), n), n - shared + 1 + np.arange(len(order)), df[order], np.full(len(order), shared)), strict=True):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["token", "node", "n", "pos", "df", "shared"])
 
     left = nodes
-    for _ in range(2):
-        tokens = sets.join(_small(left), "node").select("node", "set").mapInArrow(each, "token long, node long")
-        counted = tokens.withColumn("df", F.expr("count(*) over (partition by token)")).where("df > 1")
-        shared = counted.groupBy("node").agg(F.count("*").alias("shared"))
-        kept = nodes.join(shared, "node").where(F.col("shared") * threshold[1] >= F.col("n") * threshold[0])
-        kept = materialize(kept.select("node", "n", "shared"), parts)
-        left = kept.select("node")
-    return kept
+    for last in (False, True):
+        entries = held.keep(sets.join(small(left.select("node")), "node").select("node", "set").mapInArrow(tokens, "token long, node long"))
+        counts = held.keep(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+        met = entries.join(small(counts), "token")
+        if last:
+            met = met.groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("rows")).join(small(left), "node")
+            met = met.where(F.size("rows") * threshold[1] >= F.col("n") * threshold[0]).select("node", "n", "rows")
+            listed = held.keep(met.mapInArrow(ordered, "token long, node long, n long, pos long, df long, shared long"))
+        else:
+            shared = held.keep(met.groupBy("node").agg(F.count("*").alias("shared")))
+            left = held.keep(nodes.join(small(shared), "node").where(F.col("shared") * threshold[1] >= F.col("n") * threshold[0]).select("node", "n"))
+        held.drop(entries)
+    return listed, listed.groupBy("node", "n").agg(F.collect_list(F.struct("pos", "df", "token")).alias("rows"))
 
 
 def _possible(na: Column, sa: Column, nb: Column, sb: Column, threshold) -> Column:
@@ -195,27 +248,28 @@ def _possible(na: Column, sa: Column, nb: Column, sb: Column, threshold) -> Colu
     return _fits(na, nb, threshold) & ((threshold[0] + threshold[1]) * F.least(sa, sb) >= threshold[0] * (na + nb))
 
 
-def _bits(packed: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(packed, dtype=np.uint8))
-
-
 def _sketches(sets: DataFrame) -> DataFrame:
-    """(node, bits): each set as a bitmap of 4 to 8 bits a token; halves of a wide one fold onto a narrow one."""
+    """(node, bits): each set as a bitmap of 4 to 8 bits a token, 2^WIDEST at most; halves of a wide one fold onto a narrow one."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
-            for x in batch.column("set").to_pylist():
-                tokens = _unpack(x)
-                bits = np.zeros(1 << max(3, (4 * len(tokens) - 1).bit_length()), dtype=np.uint8)
+            for x in batch.column("set"):
+                tokens = _unpack(x.as_buffer())
+                bits = np.zeros(1 << min(WIDEST, max(6, (4 * len(tokens) - 1).bit_length())), dtype=np.uint8)
                 bits[tokens & np.uint64(len(bits) - 1)] = 1
-                out.append(np.packbits(bits).tobytes())
+                out.append(np.packbits(bits, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "bits"])
 
     return sets.select("node", "set").mapInArrow(each, "node long, bits binary")
 
 
-def _across(reads: DataFrame, named: DataFrame, sketches: DataFrame, threshold) -> DataFrame:
+def _folded(packed: bytes, words: int) -> np.ndarray:
+    """A bitmap as so many 64-bit words, wider ones folded by or."""
+    return np.bitwise_or.reduce(np.frombuffer(packed, dtype="<u8").reshape(-1, words), axis=0)
+
+
+def _across(reads: DataFrame, named: DataFrame, sketches: DataFrame, threshold, held: Tables) -> DataFrame:
     """Pairs (src, dst) that can link, of nodes of a list that are in different components.
 
     reads(token, node, n, shared, l, rank) and named(token, node, n, shared, pos, rank), rank being
@@ -225,18 +279,19 @@ def _across(reads: DataFrame, named: DataFrame, sketches: DataFrame, threshold)
     own, name = threshold
     most = lambda least: (own + name) * F.col("shared") >= own * (F.col("n") + F.col(least))
     bounds = named.groupBy("token").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.min("n").alias("least")).where("low < high")
-    left = materialize(reads.join(bounds, "token").where((F.col("rank") < F.col("high")) & most("least")).select(*reads.columns), 8)
-    asked = left.groupBy("token").agg(F.count("*").alias("left"), F.min("rank").alias("low"), F.min("n").alias("least"))
-    right = named.join(asked, "token").where((F.col("rank") > F.col("low")) & most("least"))
-    count = right.groupBy("token").agg(F.ceil(F.first("left") / LEFT).alias("lefts"), F.ceil(F.count("*") / RIGHT).alias("rights"))
-    count = materialize(count, 8)
-    flat = lambda df, extra: df.join(sketches, "node").select(*(
+    left = held.keep(reads.join(small(held.keep(bounds)), "token").where((F.col("rank") < F.col("high")) & most("least")).select(*reads.columns))
+    asked = held.keep(left.groupBy("token").agg(F.count("*").alias("left"), F.min("rank").alias("low"), F.min("n").alias("least")))
+    right = named.join(small(asked), "token").where((F.col("rank") > F.col("low")) & most("least"))
+    right = held.keep(right.select(*named.columns))
+    met = right.groupBy("token").agg(F.count("*").alias("right")).join(asked, "token")
+    count = held.keep(met.select("token", F.ceil(F.col("left") / LEFT).alias("lefts"), F.ceil(F.col("right") / RIGHT).alias("rights")))
+    flat = lambda df, extra: df.join(small(sketches), "node").select(*(
         F.col(c).alias(c.removeprefix("rank.")) for c in ("token", "x", "y", "node", "n", "shared", "rank.size", "rank.component", extra, "bits")
     ))
-    blocks = lambda df, mine, other, x, y: df.join(count, "token").withColumn(
+    blocks = lambda df, mine, other, x, y: df.join(small(count), "token").withColumn(
         x, F.pmod(F.xxhash64("node"), F.col(mine))).withColumn(y, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
     lefts = flat(blocks(left, "lefts", "rights", "x", "y"), "l")
-    rights = flat(blocks(right.select(*named.columns), "rights", "lefts", "y", "x"), "pos")
+    rights = flat(blocks(right, "rights", "lefts", "y", "x"), "pos")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"src": pd.Series([], dtype="int64"), "dst": pd.Series([], dtype="int64")})
@@ -253,21 +308,18 @@ def _across(reads: DataFrame, named: DataFrame, sketches: DataFrame, threshold)
         if not len(ra):
             return none
         most = np.full((len(ra), len(rb)), np.inf)
-        xs, ys = [_bits(a["bits"].iloc[i]) for i in ra], [_bits(b["bits"].iloc[i]) for i in rb]
-        lx, ly = np.array([len(v) for v in xs]), np.array([len(v) for v in ys])
-        for wide_x in np.unique(lx):
-            for wide_y in np.unique(ly):
-                i, j = np.flatnonzero(lx == wide_x), np.flatnonzero(ly == wide_y)
-                if not ok[np.ix_(ra[i], rb[j])].any():
-                    continue
-                wide = int(min(wide_x, wide_y))
-                x = np.stack([xs[k].reshape(-1, wide).max(axis=0) for k in i]).astype(np.float32)
-                y = np.stack([ys[k].reshape(-1, wide).max(axis=0) for k in j]).astype(np.float32)
-                both = x @ y.T
-                # A token whose bit the other lacks is no common one.
-                most[np.ix_(i, j)] = np.minimum(
-                    na[ra[i]] - (x.sum(axis=1)[:, None] - both), nb[:, rb[j]] - (y.sum(axis=1)[None, :] - both)
-                )
+        xs, ys = [a["bits"].iloc[i] for i in ra], [b["bits"].iloc[i] for i in rb]
+        lx, ly = np.array([len(v) // 8 for v in xs]), np.array([len(v) // 8 for v in ys])
+        for wide_y in np.unique(ly):
+            j = np.flatnonzero(ly == wide_y)
+            for wide in np.unique(np.minimum(lx, wide_y)):
+                y = np.stack([_folded(ys[k], wide) for k in j])
+                y_bits = np.bitwise_count(y).sum(axis=1, dtype=np.int64)
+                for i in np.flatnonzero(np.minimum(lx, wide_y) == wide):
+                    x = _folded(xs[i], wide)
+                    both = np.bitwise_count(y & x).sum(axis=1, dtype=np.int64)
+                    # A token whose bit the other lacks is no common one.
+                    most[i, j] = np.minimum(na[ra[i], 0] - (np.bitwise_count(x).sum(dtype=np.int64) - both), nb[0, rb[j]] - (y_bits - both))
         sub = np.ix_(ra, rb)
         link = ok[sub] & ((own + name) * most >= own * (na[ra] + nb[:, rb]))
         i, j = np.nonzero(link)
@@ -284,10 +336,6 @@ def _unpack(x: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
@@ -303,106 +351,106 @@ def components(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = T
     repeated. Other columns are ignored. Sets are compared by 64-bit hashes of shingles (40 bits of
     them within a pair).
     """
-    docs = docs.select("doc_id", "text")
-    signed = materialize(_signatures(docs, size, threshold))
+    docs, held = docs.select("doc_id", "text"), Tables()
+    signed = held.keep(_signatures(docs, size, threshold))
     # Tables of nodes, pairs and links are written by a task for this many documents.
     parts = max(8, signed.count() // 20_000)
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
-    copies = materialize(
-        signed.where("node is not null").select("node", "key").join(nodes.withColumnRenamed("key", "first"), "node")
+    of_key = signed.where("node is not null").groupBy("node", "key").agg(F.count("*").alias("times"))
+    nodes = held.keep(of_key.groupBy("node").agg(F.min(F.struct("key", "times")).alias("r")).select("node", "r.key", "r.times"), parts)
+    copies = held.keep(
+        signed.where("node is not null").select("node", "key").join(small(nodes.select("node", F.col("key").alias("first"))), "node")
         .where("key <> first").select("key").distinct(), parts
     )
-    reps = signed.where("node is not null").join(_small(copies), "key", "left_anti")
+    # Repeated rows of one key stay here; equal (token, node) entries are made one below.
+    reps = signed.where("node is not null").join(small(copies), "key", "left_anti")
+    repeated = not nodes.where("times > 1").isEmpty()
 
-    # Lists of tokens; those of one node are of no use.
+    # Lists of tokens in the order of hashes; those of one node are of no use.
     entries = reps.select("node", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "node", F.col("n").cast("int").alias("n"), (F.col("pos") + 1).alias("pos"))
-    listed = materialize(
-        entries.withColumn("df", F.expr("count(*) over (partition by token)")).where("df > 1")
-    )
-    plans = materialize(
-        listed.groupBy("node", "n").agg(F.collect_list(F.struct("pos", "df", "token")).alias("rows"))
-        .mapInArrow(_plans(threshold), "token long, df long, node long, n long, l long, m long")
-    )
-    prefix = lambda n, l: _prefix_col(n, threshold) + l - 1
-
-    # Short lists: all their pairs, counted.
-    other = listed.where(F.col("df") <= SHORT).select("token", F.col("node").alias("b"), F.col("n").alias("nb"), "pos")
-    direct = (
-        plans.where(F.col("df") <= SHORT).select("token", F.col("node").alias("a"), F.col("n").alias("na"), "l", "m").join(other, "token")
-        .where((F.col("a") != F.col("b")) & (F.col("pos") <= prefix(F.col("nb"), F.col("l"))) & _fits(F.col("na"), F.col("nb"), threshold))
-        .groupBy("a", "b", "m").agg(F.count("*").alias("matches")).where("matches >= m")
-    )
-    direct = materialize(_ordered(direct), parts)
-    # Long lists: the nodes that still read one, less those that can link with none of them.
-    long_reads = plans.where(F.col("df") > SHORT)
-    readers = materialize(long_reads.groupBy("node").agg(F.min("n").alias("n")), parts)
-    wanted = direct.select(F.col("src").alias("node")).union(direct.select("dst")).union(readers.select("node")).distinct()
-    sets = materialize(_sets(docs, materialize(nodes.join(wanted, "node"), parts), size))
-    shared = _shared(sets, readers, threshold, parts)
-    long_reads = materialize(long_reads.select("token", "node", "l").join(_small(shared), "node").select("token", "node", "n", "shared", "l"), parts)
-    lists = materialize(
-        listed.where(F.col("df") > SHORT).select("token", "node", "pos").join(_small(shared), "node").select("token", "node", "n", "shared", "pos"), parts
+    entries = entries.distinct() if repeated else entries
+    counts = held.keep(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    listed = held.keep(entries.join(small(counts), "token"))
+    planned = lambda rows, longest, most: held.keep(rows.mapInArrow(_plans(threshold, longest, most), _PLAN))
+    plans = planned(listed.groupBy("node", "n").agg(F.collect_list(F.struct("pos", "df", "token")).alias("rows")), LONGEST, SHORT)
+    direct = held.keep(_ordered(_matched(plans, listed, SHORT, threshold)), parts)
+
+    # The nodes that would read longer lists, among themselves, in the order of counts.
+    readers = held.keep(plans.where("l < 0").select("node", "n").distinct(), parts)
+    key_of = lambda wanted: held.keep(nodes.join(small(held.keep(wanted.distinct(), parts)), "node"), parts)
+    long_sets = held.keep(_sets(docs, key_of(readers.select("node")), size))
+    counted, rows = _counted(long_sets, readers, threshold, held)
+    plans = planned(rows, LONGEST_COUNTED, MIDDLE)
+    matched = held.keep(_ordered(_matched(plans, counted, MIDDLE, threshold)), parts)
+
+    # Lists that are still longer: (token, node, n, shared, l) that is read, (token, node, n, shared, pos) that is met.
+    shared = held.keep(counted.select("node", "n", "shared").distinct(), parts)
+    still = held.keep(plans.where("l < 0").select("node").distinct(), parts)
+    long_reads = held.keep(plans.where("l < 0").select("token", "node", (-F.col("l")).alias("l")).join(small(shared), "node").select("token", "node", "n", "shared", "l"), parts)
+    # Only pairs of two such nodes are open; the others are found from the side that reads short lists.
+    lists = held.keep(
+        counted.select("token", "node", "pos", "n", "shared").join(small(still), "node", "left_semi")
+        .join(small(held.keep(long_reads.select("token").distinct(), parts)), "token", "left_semi").select("token", "node", "n", "shared", "pos"), parts
     )
     odd = (F.col("n") - F.col("shared")).alias("odd")
 
-    def led(reads: DataFrame, entries: DataFrame) -> DataFrame:
+    def led(reads: DataFrame, leaders: DataFrame, *more: Column) -> DataFrame:
         """Pairs of nodes and the leaders of their lists, the nodes with the fewest tokens of their own."""
-        leaders = entries.groupBy("token").agg(F.min(F.struct(odd, "node", "n", "shared")).alias("lead"))
-        return (
-            reads.join(leaders, "token")
-            .where((F.col("node") != F.col("lead.node")) & _possible(F.col("n"), F.col("shared"), F.col("lead.n"), F.col("lead.shared"), threshold))
-            .select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
-        )
-
-    tested = materialize(_ordered(direct.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(led(long_reads, lists))), parts)
-    links = materialize(_verified(tested, sets, threshold), parts)
-    labels = materialize(connected_components(links, parts), parts)
+        test = (F.col("node") != F.col("lead.node")) & _possible(F.col("n"), F.col("shared"), F.col("lead.n"), F.col("lead.shared"), threshold)
+        for m in more:
+            test = test & m
+        return reads.join(small(held.keep(leaders, parts)), "token").where(test).select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
+
+    leaders = lists.groupBy("token").agg(F.min(F.struct(odd, "node", "n", "shared")).alias("lead"))
+    as_pairs = lambda t: t.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    tested = held.keep(_ordered(as_pairs(direct).union(as_pairs(matched)).union(led(long_reads, leaders))), parts)
+    # Sets of the long readers are there; those of the other nodes of a pair are made now.
+    wanted = tested.select(F.col("src").alias("node")).union(tested.select("dst"))
+    sets = held.keep(_sets(docs, key_of(wanted.join(small(readers.select("node")), "node", "left_anti")), size)).union(long_sets)
+    links = held.keep(_verified(tested, sets, threshold), parts)
+    labels = held.keep(connected_components(links, parts), parts)
 
     def ranked(table: DataFrame, *more: str) -> DataFrame:
         """table with rank, (size, component) of each node's component."""
-        sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
-        known = labels.join(_small(sizes), "component").select("node", F.struct("size", "component").alias("known"))
+        sizes = held.keep(labels.groupBy("component").agg(F.count("*").alias("size")), parts)
+        known = labels.join(small(still), "node", "left_semi").join(small(sizes), "component").select("node", F.struct("size", "component").alias("known"))
         alone = F.struct(F.lit(1).cast("bigint").alias("size"), F.col("node").alias("component"))
-        return table.join(_small(materialize(known, parts)), "node", "left").select("token", "node", "n", "shared", *more, F.coalesce("known", alone).alias("rank"))
-
-    named = ranked(lists, "pos")
-    mixed = named.groupBy("token").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.min(F.struct(odd, "node", "rank")).alias("lead")).where("low < high")
-    mixed = materialize(mixed.select("token", F.col("lead.rank").alias("led")), parts)
-    # Where several components are left, the most typical node outside the leader's own leads the others.
-    others = named.join(mixed, "token").where("rank <> led")
-    leaders = others.groupBy("token").agg(F.min(F.struct(odd, "node", "n", "shared", "rank")).alias("lead"))
-    found = (
-        ranked(long_reads, "l").join(leaders, "token")
-        .where((F.col("rank") != F.col("lead.rank")) & _possible(F.col("n"), F.col("shared"), F.col("lead.n"), F.col("lead.shared"), threshold))
-        .select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
-    )
-    fresh = materialize(_ordered(found).join(tested, ["src", "dst"], "left_anti"), parts)
-    again = materialize(_verified(fresh, sets, threshold), parts)
-    if not again.isEmpty():
-        links = materialize(links.union(again), parts)
-        labels = materialize(connected_components(links, parts), parts)
-    sketches = materialize(_sketches(sets.join(_small(shared.select("node")), "node")), parts)
-    across = materialize(_across(ranked(long_reads, "l"), ranked(lists, "pos"), sketches, threshold), parts)
-    again = materialize(_verified(across, sets, threshold), parts)
-    if not again.isEmpty():
-        labels = materialize(connected_components(links.union(again), parts), parts)
-
-    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(labels, "node", "left")
+        return table.join(small(held.keep(known, parts)), "node", "left").select("token", "node", "n", "shared", *more, F.coalesce("known", alone).alias("rank"))
+
+    if not still.isEmpty():
+        named = held.keep(ranked(lists, "pos"), parts)
+        mixed = named.groupBy("token").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.min(F.struct(odd, "node", "rank")).alias("lead")).where("low < high")
+        mixed = held.keep(mixed.select("token", F.col("lead.rank").alias("led")), parts)
+        # Where several components are left, the most typical node outside the leader's own leads the others.
+        others = named.join(small(mixed), "token").where("rank <> led")
+        leaders = others.groupBy("token").agg(F.min(F.struct(odd, "node", "n", "shared", "rank")).alias("lead"))
+        found = _ordered(led(ranked(long_reads, "l"), leaders, F.col("rank") != F.col("lead.rank")))
+        fresh = held.keep(found.join(tested, ["src", "dst"], "left_anti"), parts)
+        again = held.keep(_verified(fresh, long_sets, threshold), parts)
+        if not again.isEmpty():
+            links = held.keep(links.union(again), parts)
+            labels = held.keep(connected_components(links, parts), parts)
+        sketches = held.keep(_sketches(long_sets.join(small(still), "node", "left_semi")), parts)
+        across = held.keep(_across(held.keep(ranked(long_reads, "l"), parts), held.keep(ranked(lists, "pos"), parts), sketches, threshold, held), parts)
+        again = held.keep(_verified(across, long_sets, threshold), parts)
+        if not again.isEmpty():
+            labels = held.keep(connected_components(links.union(again), parts), parts)
+
+    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(small(labels), "node", "left")
     group = F.coalesce("component", "node")
     rows = materialize(rows.select("doc_id", "n_shingles", group.alias("group")), parts)
-    least = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")).where("members > 1")
-    out = rows.join(least, "group", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    for table in (signed, listed, plans, lists, sets):
-        release(table)
-    return out
+    least = rows.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members"))
+    least = materialize(least.where("members > 1").select("group", "component_id"), parts)
+    held.close()
+    return rows.join(small(least), "group", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """docs less all but one document of each component, the one with the smallest doc_id.
 
     Documents without words stay. Of rows with equal doc_ids all stay if one does; rows with a null
-    doc_id stay only if they are alone in their component.
+    doc_id stay only if they are alone in their component. Other columns stay as they are, whatever
+    their names.
     """
     found = components(docs, size, threshold)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(_small(materialize(gone)), docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    gone = materialize(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    return docs.join(small(gone), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm.common import sliced
 from quillspark.llm.sampling import bounded_sample, held_out
 
 #: Labelled rows that are learned from, at most; languages, at most (the most frequent of the sample).
@@ -123,7 +124,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     sample = bounded_sample(known.where(~held_out(F.col("doc_id"))), F.col("doc_id"), train_rows)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             at, n = [], []
             for text in batch.column("text").to_pylist():
                 c = bucket_counts(text)
@@ -161,7 +162,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     docs = docs.drop("lang_pred", "score", "rejected")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = [
                 model.predict(bucket_counts(t)) if has_letter(t) else (UNDETERMINED, 0.0) for t in batch.column(text).to_pylist()
             ]

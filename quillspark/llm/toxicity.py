@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import materialize, release
+from quillspark.llm.common import materialize, release, sliced
 from quillspark.llm.sampling import bounded_sample, held_out
 
 #: Labelled rows of each label that are learned from, at most.
@@ -27,7 +27,7 @@ LEXICON_SIZE, CANDIDATES = 400, 20_000
 #: A document is predicted toxic from this score on.
 THRESHOLD = 0.3
 #: Distinct tokens that a worker remembers.
-CACHE_TOKENS = 1 << 19
+CACHE_TOKENS = 1 << 17
 
 # Second-person words of the corpus languages.
 SECOND_PERSON = frozenset(
@@ -239,7 +239,7 @@ class Model:
 def _feature_rows(lexicon: list[str], weak: list[str]):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(lexicon, weak)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [tokens.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic"), batch.column("fold"), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "fold", "x"]
@@ -253,7 +253,7 @@ def _stem_rows(wanted: frozenset[str] | None):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column("text").to_pylist():
                 stems: set[str] = set()
                 for word in set(_LETTERS.findall((text or "").lower())):
@@ -350,7 +350,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(model.lexicon, model.weak)
-        for batch in batches:
+        for batch in sliced(batches, 512):
             x = np.array([tokens.features(t) for t in batch.column(text).to_pylist()]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(model.score(x), pa.float64())], names=[*batch.schema.names, "toxicity"]
