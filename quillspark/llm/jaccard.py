@@ -229,7 +229,7 @@ def _counted(sets: DataFrame, nodes: DataFrame, threshold, held: Tables) -> tupl
 
     left = nodes
     for last in (False, True):
-        entries = held.keep(sets.join(small(left.select("node")), "node").select("node", "set").mapInArrow(tokens, "token long, node long"))
+        entries = held.keep(sets.join(small(left.select("node"), left), "node").select("node", "set").mapInArrow(tokens, "token long, node long"))
         counts = held.keep(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
         met = entries.join(small(counts), "token")
         if last:
@@ -358,7 +358,7 @@ def components(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = T
     of_key = signed.where("node is not null").groupBy("node", "key").agg(F.count("*").alias("times"))
     nodes = held.keep(of_key.groupBy("node").agg(F.min(F.struct("key", "times")).alias("r")).select("node", "r.key", "r.times"), parts)
     copies = held.keep(
-        signed.where("node is not null").select("node", "key").join(small(nodes.select("node", F.col("key").alias("first"))), "node")
+        signed.where("node is not null").select("node", "key").join(small(nodes.select("node", F.col("key").alias("first")), nodes), "node")
         .where("key <> first").select("key").distinct(), parts
     )
     # Repeated rows of one key stay here; equal (token, node) entries are made one below.
@@ -374,23 +374,18 @@ def components(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = T
     plans = planned(listed.groupBy("node", "n").agg(F.collect_list(F.struct("pos", "df", "token")).alias("rows")), LONGEST, SHORT)
     direct = held.keep(_ordered(_matched(plans, listed, SHORT, threshold)), parts)
 
+    as_pairs = lambda t: t.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    pairs, open_ = as_pairs(direct), False
     # The nodes that would read longer lists, among themselves, in the order of counts.
     readers = held.keep(plans.where("l < 0").select("node", "n").distinct(), parts)
     key_of = lambda wanted: held.keep(nodes.join(small(held.keep(wanted.distinct(), parts)), "node"), parts)
     long_sets = held.keep(_sets(docs, key_of(readers.select("node")), size))
-    counted, rows = _counted(long_sets, readers, threshold, held)
-    plans = planned(rows, LONGEST_COUNTED, MIDDLE)
-    matched = held.keep(_ordered(_matched(plans, counted, MIDDLE, threshold)), parts)
-
-    # Lists that are still longer: (token, node, n, shared, l) that is read, (token, node, n, shared, pos) that is met.
-    shared = held.keep(counted.select("node", "n", "shared").distinct(), parts)
-    still = held.keep(plans.where("l < 0").select("node").distinct(), parts)
-    long_reads = held.keep(plans.where("l < 0").select("token", "node", (-F.col("l")).alias("l")).join(small(shared), "node").select("token", "node", "n", "shared", "l"), parts)
-    # Only pairs of two such nodes are open; the others are found from the side that reads short lists.
-    lists = held.keep(
-        counted.select("token", "node", "pos", "n", "shared").join(small(still), "node", "left_semi")
-        .join(small(held.keep(long_reads.select("token").distinct(), parts)), "token", "left_semi").select("token", "node", "n", "shared", "pos"), parts
-    )
+    if not readers.isEmpty():
+        counted, rows = _counted(long_sets, readers, threshold, held)
+        plans = planned(rows, LONGEST_COUNTED, MIDDLE)
+        pairs = pairs.union(as_pairs(held.keep(_ordered(_matched(plans, counted, MIDDLE, threshold)), parts)))
+        still = held.keep(plans.where("l < 0").select("node").distinct(), parts)
+        open_ = not still.isEmpty()
     odd = (F.col("n") - F.col("shared")).alias("odd")
 
     def led(reads: DataFrame, leaders: DataFrame, *more: Column) -> DataFrame:
@@ -400,12 +395,20 @@ def components(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = T
             test = test & m
         return reads.join(small(held.keep(leaders, parts)), "token").where(test).select(F.col("node").alias("a"), F.col("lead.node").alias("b"))
 
-    leaders = lists.groupBy("token").agg(F.min(F.struct(odd, "node", "n", "shared")).alias("lead"))
-    as_pairs = lambda t: t.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    tested = held.keep(_ordered(as_pairs(direct).union(as_pairs(matched)).union(led(long_reads, leaders))), parts)
+    if open_:
+        # Lists that are still longer: (token, node, n, shared, l) that is read, (token, node, n, shared, pos) that is met.
+        # Only pairs of two such nodes are open; the others are found from the side that reads short lists.
+        shared = held.keep(counted.select("node", "n", "shared").distinct(), parts)
+        long_reads = plans.where("l < 0").select("token", "node", (-F.col("l")).alias("l")).join(small(shared), "node")
+        long_reads = held.keep(long_reads.select("token", "node", "n", "shared", "l"), parts)
+        read = held.keep(long_reads.select("token").distinct(), parts)
+        lists = counted.select("token", "node", "pos", "n", "shared").join(small(still), "node", "left_semi").join(small(read), "token", "left_semi")
+        lists = held.keep(lists.select("token", "node", "n", "shared", "pos"), parts)
+        pairs = pairs.union(led(long_reads, lists.groupBy("token").agg(F.min(F.struct(odd, "node", "n", "shared")).alias("lead"))))
+    tested = held.keep(_ordered(pairs), parts)
     # Sets of the long readers are there; those of the other nodes of a pair are made now.
     wanted = tested.select(F.col("src").alias("node")).union(tested.select("dst"))
-    sets = held.keep(_sets(docs, key_of(wanted.join(small(readers.select("node")), "node", "left_anti")), size)).union(long_sets)
+    sets = held.keep(_sets(docs, key_of(wanted.join(small(readers.select("node"), readers), "node", "left_anti")), size)).union(long_sets)
     links = held.keep(_verified(tested, sets, threshold), parts)
     labels = held.keep(connected_components(links, parts), parts)
 
@@ -414,10 +417,11 @@ def components(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = T
         sizes = held.keep(labels.groupBy("component").agg(F.count("*").alias("size")), parts)
         known = labels.join(small(still), "node", "left_semi").join(small(sizes), "component").select("node", F.struct("size", "component").alias("known"))
         alone = F.struct(F.lit(1).cast("bigint").alias("size"), F.col("node").alias("component"))
-        return table.join(small(held.keep(known, parts)), "node", "left").select("token", "node", "n", "shared", *more, F.coalesce("known", alone).alias("rank"))
+        ranks = table.join(small(held.keep(known, parts)), "node", "left")
+        return held.keep(ranks.select("token", "node", "n", "shared", *more, F.coalesce("known", alone).alias("rank")), parts)
 
-    if not still.isEmpty():
-        named = held.keep(ranked(lists, "pos"), parts)
+    if open_:
+        named = ranked(lists, "pos")
         mixed = named.groupBy("token").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.min(F.struct(odd, "node", "rank")).alias("lead")).where("low < high")
         mixed = held.keep(mixed.select("token", F.col("lead.rank").alias("led")), parts)
         # Where several components are left, the most typical node outside the leader's own leads the others.
@@ -430,7 +434,7 @@ def components(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = T
             links = held.keep(links.union(again), parts)
             labels = held.keep(connected_components(links, parts), parts)
         sketches = held.keep(_sketches(long_sets.join(small(still), "node", "left_semi")), parts)
-        across = held.keep(_across(held.keep(ranked(long_reads, "l"), parts), held.keep(ranked(lists, "pos"), parts), sketches, threshold, held), parts)
+        across = held.keep(_across(ranked(long_reads, "l"), ranked(lists, "pos"), sketches, threshold, held), parts)
         again = held.keep(_verified(across, long_sets, threshold), parts)
         if not again.isEmpty():
             labels = held.keep(connected_components(links.union(again), parts), parts)

@@ -39,7 +39,7 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings")).drop("recall")
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,19 +10,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import connected_components, materialize, release
+from quillspark.llm.common import Tables, connected_components, materialize, sliced, small
 
 # -- near-duplicates -------------------------------------------------------------------------------
 
 #: Cosine from which vectors link.
 COSINE = 0.98
-#: Members of a shard's graph and queries of a search, about; cluster centres over all labels, at most.
-SHARD, CENTRES = 1024, 4096
+#: Members of a cluster that is not split again, about; clusters that one is split into, at most; members and queries of one task.
+CLUSTER, FAN, TASK = 1024, 64, 4096
+#: Distance that centres keep from each other, so that near copies are not split among several.
+APART = 0.45
+#: Overlap of clusters, as a share of the one that loses no link at all; the second try takes all of it.
+OVERLAP = 0.6, 1.0
 #: Out-degree before reverse edges, candidates for it, slack of the pruning, width of the search.
-DEGREE, POOL, SLACK, BEAM = 24, 64, 1.2, 32
-#: One query in so many is compared with its whole shard, for the recall; below LEAST_RECALL the
-#: search is repeated twice as wide.
-AUDIT, LEAST_RECALL = 16, 0.99
+DEGREE, POOL, SLACK, BEAM = 20, 48, 1.2, 12
+#: Queries of a task that are compared with all its rows; share of such pairs in range from which a task compares all its rows.
+AUDIT, DENSE = 48, 1 / 32
+#: Queries that are compared with all rows of their label, about; below LEAST_RECALL of their links the search is not accepted.
+SAMPLE, LEAST_RECALL = 256, 0.99
 
 
 def _finite(x: Column) -> Column:
@@ -30,85 +35,119 @@ def _finite(x: Column) -> Column:
     return F.coalesce(x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
 
 
-def _pruned(x: np.ndarray) -> list[np.ndarray]:
-    """Neighbours of each row of unit vectors x: of the POOL nearest and some random rows, those that no chosen one covers.
+def _pruned(x: np.ndarray) -> np.ndarray:
+    """Neighbours of each row of unit vectors x, padded by -1: of the POOL nearest and some random rows, those that no chosen one covers.
 
     A candidate is covered when a chosen one is SLACK times nearer to it than the row is; so edges
     point in different directions and near copies do not use up the degree. Reverse edges are added.
     """
     n = len(x)
-    if n == 1:
-        return [np.zeros(0, dtype=np.int64)]
-    dot = x @ x.T
-    near = np.argpartition(-dot, min(POOL, n - 1), axis=1)[:, :min(POOL, n - 1) + 1]
-    far = np.random.default_rng(n).integers(0, n, (n, 16))
-    pool = np.concatenate([near, far], axis=1)
-    each = np.arange(n)[:, None]
-    gap = np.sqrt(np.maximum(0, 2 - 2 * dot[each, pool]))
-    gap[pool == each] = np.inf
-    chosen: list[list[int]] = [[] for _ in range(n)]
-    for _ in range(DEGREE):
-        at = gap.argmin(axis=1)
-        open_ = np.isfinite(gap[np.arange(n), at])
-        if not open_.any():
-            break
-        pick = pool[np.arange(n), at]
-        for i in np.flatnonzero(open_):
-            chosen[i].append(int(pick[i]))
-        between = np.sqrt(np.maximum(0, 2 - 2 * dot[pick[:, None], pool]))
-        gap[(SLACK * between <= gap) | (pool == pick[:, None])] = np.inf
-    both: list[set[int]] = [set(c) for c in chosen]
-    for i, c in enumerate(chosen):
-        for j in c:
-            if len(both[j]) < 2 * DEGREE:
-                both[j].add(i)
-    return [np.array(sorted(b), dtype=np.int64) for b in both]
-
-
-def _range_search(x: np.ndarray, neighbours: list[np.ndarray], q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    k, rng = min(POOL, n - 1), np.random.default_rng(n)
+    src, dst = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for start in range(0, n if n > 1 else 0, 256):
+        own = np.arange(start, min(n, start + 256))
+        dot = x[own] @ x.T
+        pool = np.concatenate([np.argpartition(-dot, k, axis=1)[:, :k + 1], rng.integers(0, n, (len(own), 8))], axis=1)
+        near = x[pool]
+        gap = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(dot, pool, axis=1)))
+        gap[pool == own[:, None]] = np.inf
+        rows = np.arange(len(own))
+        for _ in range(DEGREE):
+            at = gap.argmin(axis=1)
+            open_ = np.isfinite(gap[rows, at])
+            if not open_.any():
+                break
+            pick = pool[rows, at]
+            src.append(own[open_])
+            dst.append(pick[open_])
+            between = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("rd,rpd->rp", x[pick], near)))
+            gap[(SLACK * between <= gap) | (pool == pick[:, None])] = np.inf
+    a, b = np.concatenate(src), np.concatenate(dst)
+    # Own edges come first, then the reverse ones, twice the degree at most.
+    edges = np.concatenate([np.stack([a, b, np.zeros_like(a)]), np.stack([b, a, np.ones_like(a)])], axis=1)
+    edges = edges[:, np.lexsort((edges[2], edges[1], edges[0]))]
+    if edges.shape[1]:
+        edges = edges[:, np.concatenate(([True], (edges[:2, 1:] != edges[:2, :-1]).any(axis=0)))]
+    edges = edges[:, np.lexsort((edges[1], edges[2], edges[0]))]
+    place = np.arange(edges.shape[1]) - np.searchsorted(edges[0], edges[0])
+    kept = place < 2 * DEGREE
+    table = np.full((n, int(place[kept].max()) + 1 if kept.any() else 1), -1)
+    table[edges[0, kept], place[kept]] = edges[1, kept]
+    return table
+
+
+def _range_search(x: np.ndarray, table: np.ndarray, q: np.ndarray, least: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) pairs with a dot product of at least `least`, as a greedy search finds them.
 
-    All queries start at the medoid and expand their best rows until the `beam` best are expanded;
-    then rows in range go on being expanded until none is left.
+    All queries start at the medoid and expand the best of their `beam` best rows until all of
+    these are expanded; then rows in range go on being expanded until none is left.
     """
     n, m = len(x), len(q)
-    width = max(1, max(map(len, neighbours)))
-    table = np.full((n, width), -1)
-    for i, b in enumerate(neighbours):
-        table[i, :len(b)] = b
-    score = np.full((m, n), -np.inf)
-    open_ = np.zeros((m, n), dtype=bool)
+    seen = np.zeros((m, n), dtype=bool)
     start = int((x @ x.mean(axis=0)).argmax())
-    score[:, start] = q @ x[start]
-    open_[:, start] = True
-    live, at_once = np.arange(m), 4
+    seen[:, start] = True
+    ids, score, open_ = np.full((m, beam), -1), np.full((m, beam), -np.inf), np.zeros((m, beam), dtype=bool)
+    ids[:, 0], score[:, 0], open_[:, 0] = start, q @ x[start], True
+    hit = np.flatnonzero(score[:, 0] >= least)
+    found_q, found_x, live = [hit], [np.full(len(hit), start)], np.arange(m)
     while len(live):
-        left = np.where(open_[live], score[live], -np.inf)
-        k = min(at_once, n)
-        top = np.argpartition(-left, k - 1, axis=1)[:, :k]
-        value = np.take_along_axis(left, top, axis=1)
-        if n > beam:
-            bound = -np.partition(-score[live], beam - 1, axis=1)[:, beam - 1:beam]
-        else:
-            bound = np.full((len(live), 1), -np.inf)
-        good = np.isfinite(value) & ((value >= bound) | (value >= least))
-        rows, cols = np.nonzero(good)
-        if not len(rows):
-            break
-        who, node = live[rows], top[rows, cols]
-        open_[who, node] = False
-        next_ = table[node]
-        pair_q, pair_x = np.repeat(who, width), next_.ravel()
-        fresh = pair_x >= 0
-        pair_q, pair_x = pair_q[fresh], pair_x[fresh]
-        fresh = np.isneginf(score[pair_q, pair_x])
-        pairs = np.unique(pair_q[fresh] * n + pair_x[fresh])
-        pair_q, pair_x = pairs // n, pairs % n
-        score[pair_q, pair_x] = np.einsum("ij,ij->i", q[pair_q], x[pair_x])
-        open_[pair_q, pair_x] = True
-        live = np.unique(live[rows])
-        at_once = min(64, at_once * 2) if (value[good] >= least).mean() > 0.5 else 4
-    return np.nonzero(score >= least)
+        best = np.where(open_[live], score[live], -np.inf).argmax(axis=1)
+        open_[live, best] = False
+        next_ = table[ids[live, best]]
+        fresh = (next_ >= 0) & ~seen[live[:, None], next_]
+        row, col = np.nonzero(fresh)
+        node = next_[row, col]
+        seen[live[row], node] = True
+        value = np.full(next_.shape, -np.inf)
+        value[row, col] = np.einsum("ij,ij->i", q[live[row]], x[node])
+        row, col = np.nonzero(value >= least)
+        found_q.append(live[row])
+        found_x.append(next_[row, col])
+        both = np.concatenate([score[live], value], axis=1)
+        top = np.argpartition(-both, beam - 1, axis=1)[:, :beam]
+        score[live] = np.take_along_axis(both, top, axis=1)
+        ids[live] = np.take_along_axis(np.concatenate([ids[live], next_], axis=1), top, axis=1)
+        open_[live] = np.take_along_axis(np.concatenate([open_[live], fresh], axis=1), top, axis=1)
+        live = live[open_[live].any(axis=1)]
+    at_q, at_x = np.concatenate(found_q), np.concatenate(found_x)
+    while len(at_q):  # the range expands
+        next_ = table[at_x]
+        row, col = np.nonzero(next_ >= 0)
+        pair = at_q[row] * n + next_[row, col]
+        pair = np.unique(pair[~seen[pair // n, pair % n]])
+        at_q, at_x = pair // n, pair % n
+        seen[at_q, at_x] = True
+        near = np.einsum("ij,ij->i", q[at_q], x[at_x]) >= least
+        at_q, at_x = at_q[near], at_x[near]
+        found_q.append(at_q)
+        found_x.append(at_x)
+    return np.concatenate(found_q), np.concatenate(found_x)
+
+
+def _within(x: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All such pairs, by comparing everything."""
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for start in range(0, len(q), 256):
+        row, col = np.nonzero(q[start:start + 256] @ x.T >= least)
+        a.append(row + start)
+        b.append(col)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _links(x: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, rows, graph) of the pairs in range: by the graph, unless an audit speaks against it.
+
+    AUDIT queries are compared with all rows first. Where much is in range a graph saves nothing,
+    and where it then misses one of their links it is not good enough: both compare everything.
+    """
+    audited = np.arange(0, len(q), max(1, len(q) // AUDIT))
+    a, b = _within(x, q[audited], least)
+    table = _pruned(x)
+    if len(a) > DENSE * len(audited) * len(x):
+        return *_within(x, q, least), table
+    found_q, found_x = _range_search(x, table, q, least)
+    got = np.isin(audited[a] * len(x) + b, found_q * len(x) + found_x)
+    return (found_q, found_x, table) if got.all() else (*_within(x, q, least), table)
 
 
 def _forest(query: np.ndarray, found: np.ndarray) -> tuple[list[int], list[int]]:
@@ -131,35 +170,151 @@ def _forest(query: np.ndarray, found: np.ndarray) -> tuple[list[int], list[int]]
     return src, dst
 
 
-def _unit(raw: pd.Series) -> np.ndarray:
+def _unit(raw) -> np.ndarray:
     return np.stack([np.frombuffer(b, dtype="<f8") for b in raw])
 
 
-def near_duplicates(rows: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
+_MEMBER = "cell long, node long, unit binary, copies long, home boolean, was long"
+
+
+def _clustered(nodes: DataFrame, cosine: float, overlap: float, held: Tables) -> DataFrame:
+    """nodes(node, grp, unit, copies) as members (cell, node, unit, copies, home, was) of overlapping clusters.
+
+    A cell of more than two CLUSTERs is split by centres, a hashed sample of its members in
+    proportion to its size, at most FAN and at least APART from each other; its children are split
+    again until none is left that is too large and gets smaller. So the centres grow with the data,
+    and no table of all of them is ever in one place. A member goes to its nearest centre, where it
+    is at home, and to each that can be nearest for a vector in range, which the distance to the
+    bisecting plane tells; overlap is the share of that distance that is kept.
+    """
+    reach = overlap * 2 * (float(np.sqrt(2 - 2 * cosine)) * (1 + 1e-9) + 1e-9)
+    members = held.keep(nodes.select(F.col("grp").alias("cell"), "node", "unit", "copies", F.lit(True).alias("home"), F.lit(None).cast("long").alias("was")))
+    done, draw = [], F.pmod(F.xxhash64("node", "cell"), F.lit(1 << 20)) / float(1 << 20)
+
+    def centres(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame, kept = frame.sort_values("draw"), []
+        for u in map(lambda b: np.frombuffer(b, dtype="<f8"), frame["unit"]):
+            if len(kept) < frame["fan"].iloc[0] and all(u @ k <= 1 - APART**2 / 2 for k in kept):
+                kept.append(u)
+        return pd.DataFrame({"cell": [key[0]], "centres": [np.concatenate(kept).tobytes()], "size": [frame["size"].iloc[0]]})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 512):
+            take, to, home = [], [], []
+            units = _unit(batch.column("unit").to_pylist())
+            cells, ranges = batch.column("cell").to_pylist(), batch.column("centres")
+            fixed: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for i, cell in enumerate(cells):
+                if cell not in fixed:
+                    c = np.frombuffer(ranges[i].as_buffer(), dtype="<f8").reshape(-1, units.shape[1])
+                    fixed[cell] = c, np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
+                c, apart = fixed[cell]
+                gap = 2 - 2 * (c @ units[i])
+                at = int(gap.argmin())
+                near = np.flatnonzero((gap - gap[at] <= reach * apart[at] + 1e-9) | (np.arange(len(c)) == at)).tolist()
+                take += [i] * len(near)
+                to += near
+                home += [k == at for k in near]
+            part = batch.take(pa.array(take, pa.int64()))
+            home = np.array(home, dtype=bool) & np.array(part.column("home").to_pylist(), dtype=bool)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("cell"), pa.array(to, pa.int64()), *(part.column(c) for c in ("node", "unit", "copies")), pa.array(home, pa.bool_()), part.column("size")],
+                names=["parent", "k", "node", "unit", "copies", "home", "was"],
+            )
+
+    while True:
+        sizes = held.keep(members.groupBy("cell").agg(F.count("*").alias("size"), F.first("was").alias("was")))
+        wide = sizes.where((F.col("size") > 2 * CLUSTER) & (F.coalesce("was", 2 * F.col("size")) > 1.1 * F.col("size")))
+        wide = held.keep(wide.select("cell", "size", F.least(F.lit(FAN), F.ceil(F.col("size") / CLUSTER)).alias("fan")))
+        drawn = members.where("home").join(small(wide), "cell").withColumn("draw", draw).where(F.col("draw") * F.col("size") < 3 * F.col("fan"))
+        found = drawn.select("cell", "size", "fan", "draw", "unit").groupBy("cell").applyInPandas(centres, "cell long, centres binary, size long")
+        split = held.keep(found.where(F.length("centres") > F.lit(8)))
+        if split.isEmpty():
+            done.append(members)
+            break
+        done.append(held.keep(members.join(small(split.select("cell"), split), "cell", "left_anti")))
+        dealt = members.join(small(split), "cell").mapInArrow(deal, "parent long, k long, node long, unit binary, copies long, home boolean, was long")
+        members = held.keep(dealt.select(F.xxhash64("parent", "k").alias("cell"), "node", "unit", "copies", "home", "was"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return held.keep(out)
+
+
+_LINK = "kind int, a long, b long, n long, m long"
+_NODE, _EDGE, _FOREIGN = 0, 1, 2
+
+
+def _searched(members: DataFrame, cosine: float, held: Tables) -> DataFrame:
+    """What searches in all clusters find: rows (kind, a, b, n, m).
+
+    _NODE: n rows and m nodes that link with node a, in its home cluster. _EDGE: a and b are
+    connected. _FOREIGN: a links with b by the graph of a cluster where neither list was asked.
+    """
+    sizes = held.keep(members.groupBy("cell").agg(F.ceil(F.count("*") / TASK).alias("subs"), F.ceil(F.count_if("home") / TASK).alias("batches")))
+    met = members.join(small(sizes), "cell")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "node"), F.col(n))
+    rows = met.withColumn("sub", deal("sub", "subs")).withColumn("batch", each("batches")).where("batches > 0").withColumn("asks", F.lit(False))
+    asking = met.where("home and subs * batches > 1").withColumn("sub", each("subs")).withColumn("batch", deal("batch", "batches")).withColumn("asks", F.lit(True))
+    columns = ["cell", "sub", "batch", "asks", "home", "node", "unit", "copies", (F.col("subs") * F.col("batches")).alias("tasks")]
+
+    def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["asks", "node"])
+        own, ask = frame[~frame["asks"]], frame[frame["asks"]]
+        if len(frame) and frame["tasks"].iloc[0] == 1:
+            ask = own[own["home"]]
+        if not len(own) or not len(ask):
+            return pd.DataFrame({"kind": [], "a": [], "b": [], "n": [], "m": []}).astype("int64")
+        ids, weight, who = own["node"].to_numpy(), own["copies"].to_numpy(), ask["node"].to_numpy()
+        x, q = _unit(own["unit"]), _unit(ask["unit"])
+        at, to, table = _links(x, q, cosine)
+        other = who[at] != ids[to]
+        at, to = at[other], to[other]
+        src, dst = _forest(who[at], ids[to])
+        # Lists are united over clusters: what a vector's list holds where it is not at home is looked up in its home.
+        row, col = np.nonzero((table >= 0) & ~own["home"].to_numpy()[:, None])
+        far = table[row, col]
+        near = np.einsum("ij,ij->i", x[row], x[far]) >= cosine
+        a = np.concatenate([who, src, ids[row[near]]]).astype(np.int64)
+        b = np.concatenate([np.full(len(who), -1), dst, ids[far[near]]]).astype(np.int64)
+        n, m = np.bincount(at, weight[to], len(who)).astype(np.int64), np.bincount(at, minlength=len(who))
+        pad = np.zeros(len(a) - len(who), dtype=np.int64)
+        kind = np.repeat([_NODE, _EDGE, _FOREIGN], [len(who), len(src), int(near.sum())])
+        return pd.DataFrame({"kind": kind, "a": a, "b": b, "n": np.concatenate([n, pad]), "m": np.concatenate([m, pad])})
+
+    return held.keep(rows.select(*columns).unionByName(asking.select(*columns)).groupBy("cell", "sub", "batch").applyInPandas(search, _LINK))
+
+
+def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept, recall) for each row of rows(vec_id, embedding, label).
 
     Vectors with equal labels link from the given cosine on, in double precision. n_links counts
     other rows linked directly, copies included; component_id is the smallest vec_id that links
     reach; kept marks it. Null labels, null, empty and zero vectors and those with null or
     non-finite components link with nothing; so do vectors of different lengths. Repeated rows
-    count as rows. Other columns are ignored. recall is the audited share of links found.
-
-    Copies are one node. Nodes of a label are dealt to the clusters of up to CENTRES centres (a
-    hashed sample) by nearest centre, and also to every cluster that can be nearest for a vector in
-    range, which the distance to the bisecting plane tells; so each node meets all its links in its
-    own cluster. Clusters are cut by hash into shards of about `shard` members and batches of as
-    many queries, so a label or a place with a third of all rows is many tasks. Shards build pruned
-    graphs; adjacency lists are united over shards; searches count links and return spanning edges
-    only.
+    count as rows. Other columns are ignored.
+
+    Copies are one node. Nodes of a label are dealt to overlapping clusters, each of which builds a
+    pruned graph; every node is searched for in the graph of the cluster where it is at home, and
+    counts links and returns spanning edges only. Lists of nodes are united over clusters: links in
+    lists of clusters where a node is not at home are counted unless its home holds the other one.
+    A cluster beyond TASK members is cut by hash into tasks of so many rows and so many queries, so
+    a place with a third of all rows is many tasks; where most rows are in range, tasks compare them
+    outright.
+
+    recall is the share of links found for about SAMPLE nodes, which are compared with all rows of
+    their label. Below LEAST_RECALL clusters are dealt again with the overlap that loses none; if
+    that does not suffice it is an error.
     """
-    kind = rows.schema["vec_id"].dataType.simpleString()
+    held, kind = Tables(), rows.schema["vec_id"].dataType.simpleString()
     rows = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.col("label").alias("label"))
     usable = F.col("label").isNotNull() & _finite(F.col("x")) & F.exists("x", lambda v: v != 0)
     known = rows.select("vec_id", F.when(usable, F.xxhash64("label", "x")).alias("node"), "label", "x")
-    placed = materialize(known.select("vec_id", "node"))
+    placed = held.keep(known.select("vec_id", "node"))
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 512):
             out = []
             for v in batch.column("x").to_pylist():
                 a = np.array(v, dtype=float)
@@ -170,124 +325,52 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, shard: int = SHARD)
             )
 
     group = F.xxhash64("label", F.size("x"))
-    copies = placed.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"))
+    copies = held.keep(placed.where("node is not null").groupBy("node").agg(F.count("*").alias("copies")))
     nodes = known.where("node is not null").select("node", group.alias("grp"), "x").mapInArrow(units, "node long, grp long, unit binary").dropDuplicates(["node"])
-    nodes = materialize(nodes.join(copies, "node"))
-
-    # Centres: for the groups larger than a shard, in proportion to their sizes, CENTRES at most.
-    large = nodes.groupBy("grp").agg(F.count("*").alias("size")).where(F.col("size") > shard)
-    total = large.agg(F.sum("size")).first()[0] or 0
-    share = min(1.0, CENTRES / 2 / max(1, total)) if total > CENTRES / 2 * shard else 1.0 / shard
-    picked = (
-        nodes.join(F.broadcast(large.orderBy(F.desc("size"), "grp").limit(CENTRES)), "grp")
-        .where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-        .select("grp", "unit").orderBy("grp", F.xxhash64("unit")).limit(CENTRES).collect()
-    ) if total else []
-    centres: dict[int, list[np.ndarray]] = {}
-    for r in picked:
-        centres.setdefault(r["grp"], []).append(np.frombuffer(r["unit"], dtype="<f8"))
-    reach = float(np.sqrt(2 - 2 * cosine)) * (1 + 1e-9) + 1e-9
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fixed = {g: np.stack(c) for g, c in centres.items()}
-        apart = {g: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) for g, c in fixed.items()}
-        for batch in batches:
-            take, cluster, home = [], [], []
-            for i, (g, u) in enumerate(zip(batch.column("grp").to_pylist(), batch.column("unit").to_pylist(), strict=True)):
-                near, at = [0], 0
-                if g in fixed:
-                    c, u = fixed[g], np.frombuffer(u, dtype="<f8")
-                    gap = 2 - 2 * (c @ u)
-                    at = int(gap.argmin())
-                    near = np.flatnonzero(gap - gap[at] <= 2 * reach * apart[g][at] + 1e-9).tolist()
-                    near = near if at in near else [*near, at]
-                take += [i] * len(near)
-                cluster += near
-                home += [k == at for k in near]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.take(pa.array(take, pa.int64())).columns, pa.array(cluster, pa.int64()), pa.array(home, pa.bool_())],
-                names=[*batch.schema.names, "cluster", "home"],
-            )
-
-    dealt = materialize(nodes.mapInArrow(deal, "node long, grp long, unit binary, copies long, cluster long, home boolean"))
-    size = dealt.groupBy("grp", "cluster").agg(
-        F.ceil(F.count("*") / shard).alias("subs"), F.ceil(F.count_if("home") / shard).alias("batches")
-    )
-    size = materialize(size)
-    size = F.broadcast(size) if size.count() <= 200_000 else size
-    members = dealt.join(size, ["grp", "cluster"]).withColumn("sub", F.pmod(F.xxhash64(F.lit("sub"), "node"), "subs"))
-
-    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("node")
-        ids = frame["node"].to_numpy()
-        return pd.DataFrame({"node": ids, "next": [ids[b] for b in _pruned(_unit(frame["unit"]))]})
-
-    lists = (
-        members.select("grp", "cluster", "sub", "node", "unit").groupBy("grp", "cluster", "sub").applyInPandas(build, "node long, next array<long>")
-        .groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
-    )
-    members = materialize(members.join(lists, "node"))
-    rows_in = members.select("grp", "cluster", "sub", F.explode(F.sequence(F.lit(0), F.col("batches") - 1)).alias("batch"), F.lit(False).alias("asks"), "node", "unit", "copies", "next").where("batches > 0")
-    asking = members.where("home").select(
-        "grp", "cluster", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"),
-        F.pmod(F.xxhash64(F.lit("batch"), "node"), F.col("batches")).alias("batch"), F.lit(True).alias("asks"), "node", "unit", "copies",
-        F.lit(None).cast("array<long>").alias("next"),
-    )
-
-    def search(beam: int):
-        def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(["asks", "node"])
-            own, ask = frame[~frame["asks"]], frame[frame["asks"]]
-            if not len(own) or not len(ask):
-                return pd.DataFrame({"node": [], "links": [], "src": [], "dst": [], "true": [], "found": []}).astype("int64")
-            ids, weight, who = own["node"].to_numpy(), own["copies"].to_numpy(), ask["node"].to_numpy()
-            x, q = _unit(own["unit"]), _unit(ask["unit"])
-            place = pd.Series(np.arange(len(ids)), index=ids)
-            near = []
-            for b in own["next"]:
-                at = place.reindex(b).dropna()
-                near.append(at.to_numpy().astype(np.int64))
-            a, b = _range_search(x, near, q, cosine, beam)
-            audited = np.flatnonzero(who % AUDIT == 0)
-            ta, tb = np.nonzero(q[audited] @ x.T >= cosine)
-            ta = audited[ta]
-            other = who[ta] != ids[tb]
-            true = set(zip(ta[other].tolist(), tb[other].tolist(), strict=True))
-            got = set(zip(a.tolist(), b.tolist(), strict=True))
-            missed = sorted(true - got)
-            a, b = np.concatenate([a, np.array([m[0] for m in missed], dtype=np.int64)]), np.concatenate([b, np.array([m[1] for m in missed], dtype=np.int64)])
-            other = who[a] != ids[b]
-            a, b = a[other], b[other]
-            src, dst = _forest(who[a], ids[b])
-            links = np.bincount(a, weight[b], len(who)).astype(np.int64)
-            n = max(len(who), len(src))
-            pad = lambda v, fill: np.concatenate([np.asarray(v, dtype=np.int64), np.full(n - len(v), fill, dtype=np.int64)])
-            true_n, found_n = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-            true_n[0], found_n[0] = len(true), len(true) - len(missed)
-            # A node of -1 or an edge from -1 is padding: both kinds of rows share one table.
-            return pd.DataFrame({"node": pad(who, -1), "links": pad(links, 0), "src": pad(src, -1), "dst": pad(dst, -1), "true": true_n, "found": found_n})
-
-        return run
-
-    beam = BEAM
-    while True:
-        met = rows_in.unionByName(asking)
-        out = materialize(met.groupBy("grp", "cluster", "sub", "batch").applyInPandas(search(beam), "node long, links long, src long, dst long, true long, found long"))
-        true, found = out.agg(F.sum("true"), F.sum("found")).first()
-        recall = 1.0 if not true else found / true
-        if recall >= LEAST_RECALL or beam >= 16 * BEAM:
+    nodes = held.keep(nodes.join(small(copies), "node"))
+    n = nodes.count()
+    drawn = nodes.where(F.pmod(F.xxhash64(F.lit("audit"), "node"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, n)) * (1 << 30)) + 1)
+    asked = {}
+    for r in drawn.select("grp", "node", "unit").limit(4 * SAMPLE).collect():
+        asked.setdefault(r["grp"], []).append((r["node"], np.frombuffer(r["unit"], dtype="<f8")))
+
+    def audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        true: dict[int, int] = {}
+        for batch in sliced(batches, 4096):
+            grp, ids, x = batch.column("grp").to_numpy(), batch.column("node").to_numpy(), batch.column("unit").to_pylist()
+            for g in np.unique(grp):
+                if int(g) in asked:
+                    at = np.flatnonzero(grp == g)
+                    part = _unit([x[i] for i in at])
+                    for node, u in asked[int(g)]:
+                        true[node] = true.get(node, 0) + int(np.count_nonzero((part @ u >= cosine) & (ids[at] != node)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(true), pa.int64()), pa.array(list(true.values()), pa.int64())], names=["node", "true"])
+
+    true = held.keep(nodes.select("grp", "node", "unit").mapInArrow(audit, "node long, true long").groupBy("node").agg(F.sum("true").alias("true")), 1)
+    for overlap in OVERLAP:
+        members = _clustered(nodes, cosine, overlap, held)
+        out = _searched(members, cosine, held)
+        homes = members.where("home").select(F.col("node").alias("a"), "cell")
+        there = members.select(F.col("node").alias("b"), "cell")
+        foreign = held.keep(out.where(F.col("kind") == _FOREIGN).select("a", "b").distinct())
+        foreign = held.keep(foreign.join(homes, "a").join(there, ["b", "cell"], "left_anti").select("a", "b"))
+        weighed = foreign.join(small(copies), F.col("b") == F.col("node")).groupBy("a").agg(F.sum("copies").alias("n"), F.count("*").alias("m"))
+        links = out.where((F.col("kind") == _NODE) & (F.col("m") > 0)).select("a", "n", "m").union(weighed)
+        links = held.keep(links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"), F.sum("m").alias("found")))
+        both = true.join(links, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("found", F.lit(0))))).first()
+        recall = both[1] / both[0] if both[0] else 1.0
+        if recall >= LEAST_RECALL:
             break
-        beam *= 2
-        release(out)
-    links = out.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
-    labels = connected_components(out.where("src <> -1 and dst <> -1").select("src", "dst"))
-    rows = placed.join(copies, "node", "left").join(links, "node", "left").join(labels, "node", "left")
+    else:
+        raise RuntimeError(f"the search found {recall:.4f} of the audited links, less than {LEAST_RECALL}")
+    edges = out.where(F.col("kind") == _EDGE).select(F.col("a").alias("src"), F.col("b").alias("dst")).union(foreign.select("a", "b"))
+    labels = held.keep(connected_components(edges))
+    rows = placed.join(small(copies), "node", "left").join(small(links), "node", "left").join(small(labels), "node", "left")
     rows = materialize(rows.select("vec_id", F.coalesce(F.col("links"), F.lit(0)).alias("links"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("component", "node").alias("group")))
-    least = rows.where("group is not null").groupBy("group").agg(F.min("vec_id").alias("component_id"))
-    for table in (nodes, dealt, members):
-        release(table)
+    least = materialize(rows.where("group is not null").groupBy("group").agg(F.min("vec_id").alias("component_id")))
+    held.close()
     component = F.coalesce("component_id", "vec_id")
-    return rows.join(least, "group", "left").select(
+    return rows.join(small(least), "group", "left").select(
         F.col("vec_id").cast(kind).alias("vec_id"), (F.col("links") + F.col("copies") - 1).cast("bigint").alias("n_links"),
         component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(float(recall)).alias("recall"),
     )
@@ -490,6 +573,6 @@ WITH RECURSIVE v AS (
 l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.q, b.q) >= 0.98),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
 n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
-SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, min(reach.b) AS component_id, vec_id = min(reach.b) AS kept
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, min(reach.b) AS component_id, vec_id = min(reach.b) AS kept, 1.0::DOUBLE AS recall
 FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN reach ON reach.a = vec_id GROUP BY vec_id, n_links
 """

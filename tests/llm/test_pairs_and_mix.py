@@ -69,6 +69,22 @@ def test_jaccard(spark):
     assert jaccard.components(frame.limit(0)).count() == 0
 
 
+def test_graph_search_finds_what_is_in_range():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(120, 24))
+    x = np.concatenate([base] + [base[i % 120] + rng.normal(size=(1, 24)) * 0.05 for i in range(600)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = vectors._pruned(x)
+    assert all(len(set(r[r >= 0])) == (r >= 0).sum() <= 2 * vectors.DEGREE for r in table)
+    found = list(zip(*vectors._range_search(x, table, x, 0.98), strict=True))
+    true = set(zip(*np.nonzero(x @ x.T >= 0.98), strict=True))
+    assert len(found) == len(set(found)) and set(found) <= true and len(found) >= 0.95 * len(true)
+    a, b, _ = vectors._links(x, x, 0.98)
+    assert set(zip(a, b, strict=True)) <= true
+    for n in (1, 2, 3):
+        assert vectors._pruned(x[:n]).shape[0] == n
+
+
 def vectors_of(rng):
     base = rng.normal(size=(40, 16))
     near = np.concatenate([base[i % 5] + rng.normal(size=16) * 0.12 for i in range(300)]).reshape(-1, 16)
@@ -82,7 +98,7 @@ def sound(x):
     return bool(x) and all(v is not None and np.isfinite(v) for v in x)
 
 
-def test_near_duplicates(spark):
+def test_near_duplicates(spark, monkeypatch):
     rows = vectors_of(np.random.default_rng(2))
     unit = [np.array(x, dtype=float) / np.linalg.norm(x) if sound(x) and any(x) else None for _, x, _ in rows]
     ok = lambda a, b: rows[a][2] is not None and rows[a][2] == rows[b][2] and unit[a] is not None and unit[b] is not None and unit[a] @ unit[b] >= 0.98
@@ -90,7 +106,10 @@ def test_near_duplicates(spark):
     count = Counter(x for e in linked for x in e)
     component = brute_components([r[0] for r in rows], linked)
     frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, node int").repartition(3)
-    got = {r["vec_id"]: r for r in vectors.near_duplicates(frame, shard=64).collect()}
+    # Small clusters and tasks, so that cells are split and one is cut into several tasks.
+    monkeypatch.setattr(vectors, "CLUSTER", 16)
+    monkeypatch.setattr(vectors, "TASK", 24)
+    got = {r["vec_id"]: r for r in vectors.near_duplicates(frame).collect()}
     assert len(got) == len(rows) and all(r["recall"] >= 0.9 for r in got.values())
     found = sum(r["n_links"] for r in got.values())
     assert 0.98 * 2 * len(linked) <= found <= 2 * len(linked)
