@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows up to which a table is broadcast in a join; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Size up to which a table is broadcast in a join, on disk or in rows; larger ones are joined by a shuffle.
+BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 200_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -63,12 +64,17 @@ class Tables:
         self.drop(*[t for t in self.held if not any(t is x for x in but)])
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df as a broadcast side if it is counted to have few rows; else as it is, for a join by shuffle.
+def small(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """df as a broadcast side if it is measured to be small; else as it is, for a join by shuffle.
 
-    df should be a written table: it is read twice, and a join of two tables whose shuffles stand
-    right below it is one that adaptive execution can split at hot keys.
+    of is the written table that df takes rows and columns of (df itself, if it is one): its bytes
+    on disk decide, at most BROADCAST_BYTES. Anything else is counted, at most BROADCAST_ROWS. A join
+    of two written tables has both shuffles right below it, so that adaptive execution can split
+    hot keys.
     """
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.count() <= rows else df
+    path = getattr(df if of is None else of, "_scratch_path", None)
+    if not path:
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
