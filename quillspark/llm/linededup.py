@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import Tables, materialize, small
+
 #: Consecutive lines of a window.
 WINDOW = 3
 _BLANK = " \t\r\x0b\x0c"
@@ -20,11 +22,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     document and keep the same lines. Null and empty texts are unchanged (null: 0 lines); null
     doc_ids come first. Other columns stay; columns named n_lines or n_removed are replaced.
 
-    Only hashes and places of windows are shuffled, grouped with partial sums, so a window that a
-    third of all documents share costs one row a task; then the texts once, by document.
+    Each text is split and hashed once; windows (hashes and places, no lines) are written. Hashes
+    that occur again are found by a grouping with partial sums, and joined back to the windows: by
+    broadcast if they are few, else by a join of two written tables, which adaptive execution
+    splits where one window is in a third of all documents. Texts meet the lines they lose by
+    broadcast if few lines go, else by one shuffle.
     """
-    docs = docs.drop("n_lines", "n_removed")
-    keyed = docs.withColumn("__at", F.struct("doc_id", F.xxhash64("text").alias("hash")))
+    held, docs = Tables(), docs.drop("n_lines", "n_removed")
+    at = F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("at")
     lines = F.filter(
         F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(_BLANK)).alias("line"))),
         lambda x: x["line"] != "",
@@ -37,26 +42,30 @@ def dedup(docs: DataFrame) -> DataFrame:
             F.transform(F.array(*[F.lit(k) for k in range(WINDOW)]), lambda k: F.element_at("lines", j + k)["i"]).alias("covers"),
         ),
     )
-    windows = (
-        keyed.select("__at", lines.alias("lines")).where(F.size("lines") >= WINDOW)
-        .select("__at", F.explode(hashes).alias("w")).select("__at", "w.*").withColumn("place", F.struct("__at", F.element_at("covers", 1).alias("i")))
+    windows = held.keep(
+        docs.select(at, lines.alias("lines")).where(F.size("lines") >= WINDOW)
+        .select("at", F.explode(hashes).alias("w")).select("at", "w.*")
     )
-    firsts = windows.groupBy("h", "g").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").drop("last")
-    covered = (
-        windows.join(firsts, ["h", "g"]).where("place > first").select("__at", F.explode("covers").alias("i"))
-        .groupBy("__at").agg(F.collect_set("i").alias("__covered"))
+    place = F.struct("at", F.element_at("covers", 1).alias("i"))
+    firsts = held.keep(windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last"))
+    covered = materialize(
+        windows.join(small(firsts), ["h", "g"]).where(place > F.col("first")).select("at", F.explode("covers").alias("i"))
+        .groupBy("at").agg(F.collect_set("i").alias("lines"))
     )
-    rows = keyed.join(covered, keyed["__at"].eqNullSafe(covered["__at"]), "left").drop("__at")
-    parts = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__covered"))
+    held.close()
+    # Whatever columns docs has, these two are structs of this join alone.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), at)
+    rows = rows.alias("r").join(small(covered).alias("c"), F.col("r.at").eqNullSafe(F.col("c.at")), "left").select("row", F.col("c.lines").alias("gone"))
+    parts = F.split("row.text", "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
     return rows.select(
         *[
-            F.when(F.col("__covered").isNull(), F.col("text"))
+            F.when(F.col("gone").isNull(), F.col("row.text"))
             .otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")).alias("text")
-            if c == "text" else F.col(f"`{c}`") for c in docs.columns
+            if c == "text" else F.col(f"row.`{c}`") for c in docs.columns
         ],
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("bigint").alias("n_lines"),
-        F.when(F.col("__covered").isNull(), F.lit(0)).otherwise(F.size("__covered")).cast("bigint").alias("n_removed"),
+        F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size(parts)).cast("bigint").alias("n_lines"),
+        F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("bigint").alias("n_removed"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, materialize
+from quillspark.llm.common import WORD, Tables, materialize, small
 
 #: Weights of the sources in the order of their names, repeated as often as needed.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -100,29 +100,32 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, group: int = GROUP
     leaves at most one fractional unit, and those are grouped again. Deterministic: groups, order
     and draws depend on doc_id and text only. Nulls: a null text or one without words has size 0
     and is taken 0 words; null doc_id and null source are kept, null source sorting last. Rows
-    equal in doc_id, text and source share one key and are folded as separate units. Empty input
-    gives no rows; other columns are ignored.
+    equal in doc_id, text and source share one key; they are counted, numbered and dealt to groups
+    as separate units, so a million repeats are many small groups. Empty input gives no rows; other
+    columns are ignored. Shares are worked out in one task, over one row a source.
     """
-    sized = materialize(docs.select(
+    held = Tables()
+    counted = docs.select(
         "doc_id", "source",
         F.xxhash64("text").alias("text_hash"),
         F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("bigint").alias("size"),
-    ))
-    targets = materialize(source_targets(sized, weights, most))
+    ).groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").cast("int").alias("rows"))
+    sized = held.keep(counted.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("rows"))
+    targets = held.keep(source_targets(sized, weights, most))
     unit = F.struct(
         F.struct("doc_id", "source", "text_hash", "size", "source_size", "target").alias("key"),
         F.col("size"), F.col("whole"), F.col("part"), F.col("u"),
     )
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     units = (
-        sized.join(F.broadcast(targets) if targets.count() <= 10_000 else targets, sized["source"].eqNullSafe(targets["source"]))
+        sized.join(small(targets), sized["source"].eqNullSafe(targets["source"]))
         .drop(targets["source"])
         .withColumn("share", share)
         .withColumn("whole", F.floor(F.col("share") + _TINY).cast("bigint"))
         .withColumn("part", F.greatest(F.lit(0.0), F.col("share") - F.col("whole")))
         .withColumn("groups", F.ceil(F.col("source_rows") / group))
-        .withColumn("u", _u(F.concat_ws(":", "doc_id", "text_hash"), 0))
-        .select("source", "groups", F.xxhash64("doc_id", "text_hash", F.lit("group")).alias("deal"), unit.alias("unit"))
+        .withColumn("u", _u(F.concat_ws(":", "doc_id", "text_hash", "nth"), 0))
+        .select("source", "groups", F.xxhash64("doc_id", "text_hash", "nth", F.lit("group")).alias("deal"), unit.alias("unit"))
     )
     unit_type = units.schema["unit"].dataType.simpleString()
     key_type = units.schema["unit"].dataType["key"].dataType.simpleString()
@@ -142,7 +145,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, group: int = GROUP
             .withColumn("folded", _pivot_fold(F.col("units"), unit_type, f"struct<key:{key_type},taken:bigint>"))
             .select("source", "groups", "g", "folded")
         )
-        folded = materialize(folded)
+        folded = held.keep(folded)
         done.append(folded.select(F.explode("folded.done").alias("d")).select("d.key", "d.taken"))
         left = folded.where("folded.left is not null").select("source", "groups", "g", F.col("folded.left").alias("unit"))
         level += 1
@@ -158,22 +161,33 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST, group: int = GROUP
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
-    return out.select(
+    out = materialize(out.select(
         "key.doc_id", "key.source", "key.text_hash",
         F.when(F.col("key.size") > 0, F.col("taken") / F.col("key.size")).otherwise(F.lit(0)).cast("bigint").alias("copies"),
         "key.size", "key.source_size", "key.target", "taken",
-    )
+    ))
+    held.close()
+    return out
 
 
 def repeat(docs: DataFrame, weights=WEIGHTS, most: float = MOST, group: int = GROUP) -> DataFrame:
     """The rows of docs as often as mix() takes them, 0 times too, with the columns of docs.
 
-    Rows equal in doc_id, source and text share their copies, which all come from one of them.
+    Rows equal in doc_id, source and text share their copies, which all come from one of them; only
+    such rows are made distinct. Texts are shuffled once, for the join with their copies. Other
+    columns stay, whatever their names.
     """
-    mixed = mix(docs, weights, most, group).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").alias("__copies"))
-    mixed = mixed.where("__copies > 0").select(
-        F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash"), F.col("__copies").cast("int").alias("__copies")
-    )
-    rows = docs.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__key"])
-    met = rows.join(mixed, rows["doc_id"].eqNullSafe(mixed["__doc"]) & rows["source"].eqNullSafe(mixed["__source"]) & (F.col("__key") == F.col("__hash")))
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = mix(docs, weights, most, group).groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows"))
+    mixed = materialize(mixed.where("copies > 0"))
+    keyed = docs.select(F.struct("doc_id", "source", F.xxhash64("text").alias("text_hash")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+    def met(of: DataFrame) -> DataFrame:
+        same = F.lit(True)
+        for c in ("doc_id", "source", "text_hash"):
+            same = same & F.col(f"k.key.{c}").eqNullSafe(F.col(f"m.{c}"))
+        return keyed.alias("k").join(small(of, mixed).alias("m"), same).select("key", "row", "copies")
+
+    once = met(mixed.where("rows = 1"))
+    if not mixed.where("rows > 1").isEmpty():
+        once = once.union(met(mixed.where("rows > 1")).dropDuplicates(["key"]))
+    return once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
