@@ -28,8 +28,10 @@ KINDS = ("email", "ip", "card", "phone")
 # The expressions match what the nested forms of their definitions match, written without repeated
 # groups, since those recurse in java.util.regex: a card is extended while a digit follows at once or
 # after one separator, a domain while a letter follows at once or after one dot.
-_EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9-][A-Za-z0-9.-]*?(?!\.?[A-Za-z0-9-])"
-_IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+# A run of a kind's first characters is tried from its start only (or where the match before it ended):
+# what follows the run decides, so no later start in it can match, and long runs cost linear time.
+_EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9-][A-Za-z0-9.-]*?(?!\.?[A-Za-z0-9-])"
+_IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9][0-9\x20-]*?(?![\x20-]?[0-9])"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PATTERNS = dict(zip(KINDS, (_EMAIL, _IP, _CARD, _PHONE), strict=True))
@@ -41,23 +43,35 @@ _TERM = r"\p{L}{3,}"
 def _matches(text: Column, pattern: Column, kind: Column) -> Column:
     """All leftmost matches as struct(kind, start, end, value), in code points, end exclusive.
 
-    The text's gaps between matches have known lengths, so starts are running sums.
+    The text's gaps between matches have known lengths, so starts are running sums. These are taken
+    over blocks of the square root of their number, so 100,000 matches of a text do not copy a
+    growing array each.
     """
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    spans = "array<struct<kind:string,start:int,end:int,value:string>>"
-    folded = F.aggregate(
-        F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("spans")),
-        lambda acc, x: F.when(x["value"].isNull(), acc).otherwise(F.struct(
-            (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct(
-                kind.alias("kind"), (acc["at"] + x["gap"]).alias("start"),
-                (acc["at"] + x["gap"] + F.length(x["value"])).alias("end"), x["value"].alias("value"),
-            ))).alias("spans"),
-        )),
+    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, v: acc + v)
+    counted = F.zip_with(
+        F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1),
+        lambda m, g: F.struct(F.length(g).alias("gap"), (F.length(g) + F.coalesce(F.length(m), F.lit(0))).alias("step"), m.alias("value")),
     )
-    return folded["spans"]
+    empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+
+    def spans(found: Column) -> Column:
+        steps = F.transform(found, lambda x: x["step"])
+        width = F.ceil(F.sqrt(F.size(found))).cast("int")
+        return let(F.struct(steps.alias("steps"), width.alias("width")), lambda s: let(
+            F.transform(F.sequence(F.lit(0), F.floor((F.size(s["steps"]) - 1) / s["width"]).cast("int")), lambda b: total(F.slice(s["steps"], b * s["width"] + 1, s["width"]))),
+            lambda blocks: let(
+                F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b))),
+                lambda before: F.transform(found, lambda x, i: let(
+                    F.get(before, F.floor(i / s["width"]).cast("int"))
+                    + total(F.slice(s["steps"], F.floor(i / s["width"]).cast("int") * s["width"] + 1, i % s["width"])) + x["gap"],
+                    lambda start: F.struct(kind.alias("kind"), start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value")),
+                )),
+            ),
+        ))
+
+    # The last part of the split has no match after it.
+    return let(F.filter(counted, lambda x: x["value"].isNotNull()), lambda found: F.when(F.size(found) == 0, empty).otherwise(spans(found)))
 
 
 def _digits(value: Column) -> Column:

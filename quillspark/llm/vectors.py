@@ -21,7 +21,7 @@ CLUSTER, FAN, TASK = 1024, 64, 4096
 #: Distance that centres keep from each other, so that near copies are not split among several.
 APART = 0.45
 #: Overlap of clusters, as a share of the one that loses no link at all; the second try takes all of it.
-OVERLAP = 0.6, 1.0
+OVERLAP = 0.35, 1.0
 #: Out-degree before reverse edges, candidates for it, slack of the pruning, width of the search.
 DEGREE, POOL, SLACK, BEAM = 20, 48, 1.2, 12
 #: Queries of a task that are compared with all its rows; share of such pairs in range from which a task compares all its rows.
