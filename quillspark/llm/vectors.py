@@ -378,8 +378,8 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 # -- exact top-k -------------------------------------------------------------------------------------
 
-#: Vectors and queries of a block; dimensions of the first partial sum.
-BLOCK, ASK_BLOCK, HEAD = 4096, 1024, 16
+#: Vectors and queries of a block; dimensions of the first partial sum; blocks of the first norm band.
+BLOCK, ASK_BLOCK, HEAD, BAND = 4096, 1024, 16, 4
 
 
 def _blocks(size: int):
@@ -480,14 +480,19 @@ def top_inner_products(rows: DataFrame, asks: Column, k: int = 10, scale: float
     part; vectors are as long as the longest, missing components being 0. Repeated candidate rows
     are candidates each; null vec_ids take no part. Other columns are ignored.
 
-    Rows are sorted by norm into blocks. Queries, in blocks too, first meet the block of the largest
-    vectors, which gives each a floor; then every block whose largest norm can reach a floor.
+    Rows are sorted by norm into blocks, and blocks taken in bands of descending norm, each band
+    twice as wide as the one before. In a band, blocks of queries (with their floors, the k-th
+    scores so far) are sent to the blocks of vectors; vectors stay, but for one shuffle a band. What
+    reaches a floor is merged into the k best of each query, which raises floors for the next band.
+    Blocks of queries that no later vector can reach are done, and bands end when all are. The k
+    best are kept by query row, so repeated queries have a result each.
     """
+    held = Tables()
     valid = rows.where(F.col("vec_id").isNotNull() & _finite(F.col("embedding").cast("array<double>")))
     width = valid.agg(F.max(F.size("embedding"))).first()[0] or 1
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             q, norm = [], []
             for v in batch.column("embedding").to_pylist():
                 a = np.zeros(width)
@@ -498,7 +503,7 @@ def top_inner_products(rows: DataFrame, asks: Column, k: int = 10, scale: float
                 [batch.column("vec_id"), batch.column("asks"), pa.array(norm, pa.float64()), pa.array(q, pa.binary())], names=["vec_id", "asks", "norm", "q"]
             )
 
-    whole_rows = materialize(
+    whole_rows = held.keep(
         valid.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(asks, F.lit(False)).alias("asks"), F.col("embedding").cast("array<double>").alias("embedding"))
         .mapInArrow(whole, "vec_id long, asks boolean, norm double, q binary")
     )
@@ -512,49 +517,61 @@ def top_inner_products(rows: DataFrame, asks: Column, k: int = 10, scale: float
         i, j = np.indices(total.shape)
         yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["i", "j", "v"])
 
+    # One number for each pair of dimensions, however many vectors there are.
     turn = np.zeros((width, width))
     for i, j, v in whole_rows.select("q").mapInArrow(moments, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v")).collect():
         turn[i, j] = v
     turn = np.linalg.svd((turn + turn.T) / 2)[0]
 
     ordered = lambda df: df.repartitionByRange(F.desc("norm"), F.asc("vec_id")).sortWithinPartitions(F.desc("norm"), F.asc("vec_id"))
-    blocks = materialize(ordered(whole_rows.select("vec_id", "norm", "q")).mapInArrow(_blocks(BLOCK), _BLOCK_TYPE))
-    ask_blocks = materialize(ordered(whole_rows.where("asks").select("vec_id", "norm", "q")).mapInArrow(_blocks(ASK_BLOCK), _BLOCK_TYPE))
-    ask_blocks = ask_blocks.select(*(F.col(c).alias(f"ask_{c}") for c in ask_blocks.columns))
-    first = blocks.orderBy(F.desc("norm"), "block").limit(1)
+    cut = held.keep(ordered(whole_rows.select("vec_id", "norm", "q")).mapInArrow(_blocks(BLOCK), _BLOCK_TYPE))
+    # Partitions are ranges of norm and blocks are numbered within them, so this is the rank of each block; one row a partition is summed up.
+    part = F.shiftright("block", 32).alias("part")
+    before = F.sum("n_blocks").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = held.keep(cut.groupBy(part).agg(F.count("*").alias("n_blocks")).select("part", F.coalesce(before, F.lit(0)).alias("shift")))
+    rank = F.col("shift") + F.col("block").bitwiseAND((1 << 32) - 1) - 1
+    blocks = held.keep(cut.withColumn("part", part).join(small(shifts), "part").select(rank.alias("rank"), "norm", "n", "ids", "q"))
+    ask_blocks = held.keep(ordered(whole_rows.where("asks").select("vec_id", "norm", "q")).mapInArrow(_blocks(ASK_BLOCK), _BLOCK_TYPE))
+    ask_blocks = ask_blocks.select(F.col("block").alias("ask"), F.col("n").alias("ask_n"), F.col("ids").alias("ask_ids"), F.col("q").alias("ask_q"))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            r = batch.to_pylist()[0]
+            q, asked, low = _matrix(r["ask_q"], r["ask_n"]), _ids(r["ask_ids"]), np.full(r["ask_n"], -np.inf)
+            for x in r["floors"] or ():
+                low[x["row"]] = x["low"]
+            best = _score_block(_ids(r["ids"]), _matrix(r["q"], r["n"]), asked, q, low, turn, k)
+            row, col = np.nonzero(np.isfinite(best.score))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(row), r["ask"]), pa.int64()), pa.array(row, pa.int64()), pa.array(asked[row], pa.int64()),
+                 pa.array(best.id[row, col], pa.int64()), pa.array(best.score[row, col].astype(np.int64), pa.int64())],
+                names=["ask", "row", "query_id", "vec_id", "score"],
+            )
 
-    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q = _matrix(r["ask_q"], r["ask_n"])
-                best = _score_block(_ids(r["ids"]), _matrix(r["q"], r["n"]), _ids(r["ask_ids"]), q, np.full(len(q), -np.inf), turn, k)
-                low, norm = best.score[:, -1], np.sqrt((q * q).sum(axis=1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    need = np.where(norm > 0, low / norm, np.where(low > 0, np.inf, -np.inf)).min()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["ask_block"]], pa.int64()), pa.array([float(need)], pa.float64()), pa.array([low.astype("<f8").tobytes()], pa.binary())],
-                    names=["ask_block", "need", "floor"],
-                )
-
-    floor = materialize(ask_blocks.join(F.broadcast(first)).mapInArrow(floors, "ask_block long, need double, floor binary"))
-    # Blocks against blocks, by their norms: one row a pair that can matter.
-    pairs = floor.join(F.broadcast(blocks.select("block", "norm")), F.col("norm") * (1 + 1e-9) + 1e-3 >= F.col("need")).select("ask_block", "floor", "block")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                asked = _ids(r["ask_ids"])
-                best = _score_block(_ids(r["ids"]), _matrix(r["q"], r["n"]), asked, _matrix(r["ask_q"], r["ask_n"]), np.frombuffer(r["floor"], dtype="<f8"), turn, k)
-                row, col = np.nonzero(np.isfinite(best.score))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(asked[row], pa.int64()), pa.array(best.id[row, col], pa.int64()), pa.array(best.score[row, col].astype(np.int64), pa.int64())],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    met = pairs.repartition("block", "ask_block").join(blocks.drop("norm"), "block").join(ask_blocks.drop("ask_norm"), "ask_block").mapInArrow(meet, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    kind = "ask long, row long, query_id long, vec_id long, score long"
+    best, at, step, n_blocks = held.keep(rows.sparkSession.createDataFrame([], kind)), 0, BAND, blocks.count()
+    by_query = Window.partitionBy("ask", "row").orderBy(F.desc("score"), "vec_id")
+    norms = held.keep(whole_rows.where("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.max("norm").alias("norm")))
+    while at < n_blocks:
+        most = blocks.where(F.col("rank") == at).select("norm").first()[0]
+        # A floor stands where k are known; a block goes on while one of its rows has none, or has one that this band can reach.
+        floors = best.groupBy("ask", "row", "query_id").agg(F.count("*").alias("known"), F.min("score").cast("double").alias("low")).where(F.col("known") >= k)
+        reached = (F.col("norm") * F.lit(most * (1 + 1e-9)) + 1e-3 >= F.col("low")).cast("int")
+        floors = floors.join(small(norms), "query_id").groupBy("ask").agg(
+            F.collect_list(F.struct("row", "low")).alias("floors"), F.sum(1 - reached).alias("over")
+        )
+        live = ask_blocks.join(small(held.keep(floors)), "ask", "left").where(F.coalesce("over", F.lit(0)) < F.col("ask_n")).drop("over")
+        sent = live.withColumn("rank", F.explode(F.sequence(F.lit(at), F.lit(min(n_blocks, at + step) - 1))))
+        found = sent.withColumn("rank", F.col("rank").cast("long")).join(blocks.select("rank", "n", "ids", "q"), "rank").mapInArrow(met, kind)
+        merged = best.union(found).withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= k).drop("place")
+        done, best = best, held.keep(merged)
+        held.drop(done)
+        at, step = at + step, 2 * step
+        if live.isEmpty():
+            break
+    out = materialize(best.withColumn("rank", F.row_number().over(by_query).cast("int")).select("query_id", "rank", "vec_id", "score"))
+    held.close()
+    return out
 
 
 #: DuckDB SQL for the two queries.

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import jaccard, mixing, vectors
@@ -118,7 +119,10 @@ def test_near_duplicates(spark, monkeypatch):
     assert vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_top_inner_products(spark):
+@pytest.mark.parametrize("sizes", [(4096, 1024, 4), (32, 3, 1)])
+def test_top_inner_products(spark, monkeypatch, sizes):
+    for name, value in zip(("BLOCK", "ASK_BLOCK", "BAND"), sizes, strict=True):
+        monkeypatch.setattr(vectors, name, value)
     rows = [(i, x) for i, x, _ in vectors_of(np.random.default_rng(4))] + [(2000 + i, [0.5] * 16) for i in range(30)]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, score string").repartition(3)
     got = sorted(tuple(r) for r in vectors.top_inner_products(frame, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect())
