@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.timeline import numbered
+from quillspark.scratch import materialize, release
+
 
 def media_files(wanted: DataFrame, files: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """wanted left-joined with the first file of each key."""
@@ -58,9 +61,9 @@ def best_variant(variants: DataFrame, keys: Sequence[str], bitrate: str, order:
 
 
 def spill_directories(files: DataFrame, partition: Sequence[str], order: Sequence[Column], budget: int) -> DataFrame:
-    """directory number (from 0) of each file, `budget` files a directory."""
-    n = F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
-    return files.withColumn("spill", F.floor((n - 1) / budget))
+    """spill, the directory number (from 0) of each file, `budget` files a directory."""
+    placed = numbered(files.drop("spill"), partition, order, "__place")
+    return placed.withColumn("spill", F.floor(F.col("__place") / budget)).drop("__place")
 
 
 def greedy_shards(sizes: Column, budget: int) -> Column:
@@ -100,26 +103,27 @@ def byte_budget(sizes: Column, budget: int, each: int) -> Column:
 def ancestors(edges: DataFrame, starts: DataFrame, most: int = 20) -> DataFrame:
     """(start, ancestor, hops): parents of parents of each start, at most `most` hops, cycles cut.
 
-    edges is (id, parent), one row an id at most; starts is (start). Each id has the list of its next
-    ancestors, and a round appends to it the list of its last one, so lists double: five joins for 20
-    hops. Rounds end when no list is full.
+    edges is (id, parent) and may have more columns; of rows with one id the one with the largest
+    parent counts, so no id multiplies rows. starts is (start), each counted once. Each id has the
+    list of its next ancestors, and a round appends to it the list of its last one, so lists
+    double: five joins for 20 hops, each written to the shared folder. Rounds end when no list is
+    full. Null ids and parents are no edges.
     """
-    from pyspark import StorageLevel
-
-    chains = edges.where("parent is not null").select("id", F.array("parent").alias("chain"))
-    length = 1
+    edges = edges.where("id is not null and parent is not null").groupBy("id").agg(F.max("parent").alias("parent"))
+    chains, length = materialize(edges.select("id", F.array("parent").alias("chain"))), 1
     while length < most:
         more = min(length, most - length)
         rest = chains.select(F.col("id").alias("__at"), F.slice("chain", 1, more).alias("__rest"))
-        chains = chains.join(rest, F.element_at("chain", -1) == F.col("__at"), "left").select(
+        longer = materialize(chains.join(rest, F.element_at("chain", -1) == F.col("__at"), "left").select(
             "id", F.when(F.col("__rest").isNull(), F.col("chain")).otherwise(F.concat("chain", "__rest")).alias("chain")
-        ).persist(StorageLevel.DISK_ONLY)
-        length += more
+        ))
+        release(chains)
+        chains, length = longer, length + more
         if chains.where(F.size("chain") == length).isEmpty():
             break
     # In a cycle a list goes on with what it has: only the first of each counts, and the start not at all.
     own = F.array_except("chain", F.array("id"))
-    return starts.join(chains, F.col("start") == F.col("id")).select("start", F.posexplode(own).alias("__n", "ancestor")).select(
+    return starts.select("start").distinct().join(chains, F.col("start") == F.col("id")).select("start", F.posexplode(own).alias("__n", "ancestor")).select(
         "start", "ancestor", (F.col("__n") + 1).alias("hops")
     )
 

@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.scratch import materialize, small
+
 
 def keyset_page(rows: DataFrame, keys: Sequence[str], limit: int = 30, after: Sequence | None = None, where: Column | None = None) -> DataFrame:
     """The next `limit` rows in descending order of keys, strictly beyond the key `after`.
@@ -70,7 +72,7 @@ def spread_sample(rows: DataFrame, order: Sequence[Column], count: int) -> DataF
     All rows if there are no more; the first if count is at most 1. Positions come from a global
     sort (range-partitioned) and the sizes of its partitions, not from one window over all rows.
     """
-    placed = with_positions(rows, order)
+    placed = materialize(with_positions(rows, order))
     n = placed.agg(F.count("*")).first()[0]
     if n <= max(1, count):
         wanted = list(range(n if count > 1 else min(n, 1)))
@@ -84,18 +86,62 @@ def spread_sample(rows: DataFrame, order: Sequence[Column], count: int) -> DataF
 def with_positions(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     """rows with position (long, from 0) in a total order, by a distributed sort.
 
-    Row numbers within range partitions are shifted by the sizes of the partitions before; only
-    those sizes, one number a partition, are gathered.
+    The range-sorted partitions are written once, each row with its partition and its place there,
+    to the folder in spark.checkpoint.dir. What is counted and what is numbered is then one table:
+    a second sort would sample other bounds, and adaptive execution merge other partitions. Only
+    the sizes of partitions, one number each, are gathered. Ties are broken by a hash of the whole
+    row, so rows that share a key with a third of the table are still dealt to many tasks; rows
+    that are equal in all columns take neighbouring positions. Empty input gives no rows.
+    """
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"]
+    whole = [*order, F.xxhash64(*hashed)] if hashed else list(order)
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rows.columns)]
+    dealt = rows.repartitionByRange(*whole).sortWithinPartitions(*whole)
+    placed = materialize(dealt.select(F.monotonically_increasing_id().alias("at"), *columns))
+    part = F.shiftrightunsigned("at", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    shift = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = materialize(sizes.select("part", F.coalesce(shift, F.lit(0)).alias("shift")))
+    back = [F.col(f"c{i}").alias(c) for i, c in enumerate(rows.columns)]
+    return placed.withColumn("part", part).join(F.broadcast(shifts), "part").select(
+        *[b for b, c in zip(back, rows.columns, strict=True) if c != "position"], (F.col("shift") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("position")
+    )
+
+
+def numbered(rows: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str = "place") -> DataFrame:
+    """rows with their place (long, from 0) in the order within each group.
+
+    One sort by group and order, dealt by range, so a group with a third of all rows is many tasks;
+    a group's first position, one row a group, is subtracted.
+    """
+    placed = with_positions(rows.drop("position"), [*[F.col(f"`{g}`").asc_nulls_first() for g in groups], *order])
+    first = materialize(placed.groupBy(*groups).agg(F.min("position").alias("first")))
+    test = F.lit(True)
+    for g in groups:
+        test = test & placed[g].eqNullSafe(first[g])
+    met = placed.join(small(first), test)
+    return met.select(*[placed[c] for c in rows.columns if c != name], (F.col("position") - F.col("first")).alias(name))
+
+
+def running_max(rows: DataFrame, groups: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """rows with the greatest value (null, if none) of the rows before each in its group's order.
+
+    Rows are dealt by ranges of group and order and written once, so a group with a third of all
+    rows is many tasks: a window runs within each task's part of a group, and one over the parts,
+    one row each, carries their maxima on.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = dealt.withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned("__id", 33)
-    sizes = numbered.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    shift = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = sizes.withColumn("__shift", F.coalesce(shift, F.lit(0))).drop("__n")
-    return numbered.withColumn("__part", part).join(F.broadcast(shifts), "__part").withColumn(
-        "position", F.col("__shift") + F.col("__id").bitwiseAND((1 << 33) - 1)
-    ).drop("__part", "__shift", "__id")
+    whole = [*[F.col(f"`{g}`").asc_nulls_first() for g in groups], *order]
+    placed = materialize(rows.repartitionByRange(*whole).sortWithinPartitions(*whole).select("*", F.monotonically_increasing_id().alias("__at")))
+    placed = placed.withColumn("__part", F.shiftrightunsigned("__at", 33))
+    parts = placed.groupBy(*groups, "__part").agg(F.max(value).alias("__most"))
+    earlier = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = materialize(parts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__part").alias("__p"), F.max("__most").over(earlier).alias("__carried")))
+    test = F.col("__part") == F.col("__p")
+    for i, g in enumerate(groups):
+        test = test & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    local = Window.partitionBy(*groups, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    met = placed.withColumn("__local", F.max(value).over(local)).join(small(carried), test)
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], F.greatest("__local", "__carried").alias(name))
 
 
 def order_of(sampled: DataFrame, position: str, time: str) -> DataFrame:

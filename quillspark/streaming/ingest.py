@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.operators.timeline import with_positions
+
 
 class SnapshotTable:
     """A table as a chain of Parquet versions and a pointer to the newest one.
@@ -93,8 +95,8 @@ def enqueue(queue: DataFrame, fresh: DataFrame, most: int) -> tuple[DataFrame, D
     last = queue.agg(F.coalesce(F.max("place"), F.lit(-1)).alias("last"))
     added = fresh.join(queue.select("id"), "id", "left_anti").groupBy("id").agg(F.min("place").alias("place"))
     moved = added.join(F.broadcast(last)).select("id", (F.col("place") + F.col("last") + 1).alias("place"))
-    ranked = queue.select("id", "place").unionByName(moved).withColumn("__n", F.row_number().over(Window.orderBy("place", "id")))
-    return ranked.where(F.col("__n") <= most).drop("__n"), ranked.where(F.col("__n") > most).drop("__n")
+    ranked = with_positions(queue.select("id", "place").unionByName(moved), [F.col("place").asc(), F.col("id").asc()])
+    return ranked.where(F.col("position") < most).drop("position"), ranked.where(F.col("position") >= most).drop("position")
 
 
 class ImportJob:

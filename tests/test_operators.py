@@ -3,8 +3,12 @@
 import random
 from datetime import datetime
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quillspark.functions.absence import is_absent
 from quillspark.operators import merge, relate, timeline
 
 
@@ -35,6 +39,42 @@ def test_positions_and_samples(spark):
     assert rows(timeline.spread_sample(table.limit(0), [F.col("v").asc()], 3)) == []
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_positions_of_many_wide_rows(spark, adaptive):
+    """Every position once and every row kept, however partitions are merged between what is counted and what is numbered."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 400_000
+        table = spark.range(n).select((F.col("id") * 7919 % 1000).alias("v"), "id", F.repeat(F.lit("x"), F.lit(60)).alias("payload"))
+        placed = timeline.with_positions(table, [F.col("v").desc()]).cache()
+        assert placed.agg(F.count("*"), F.count_distinct("position"), F.min("position"), F.max("position")).first() == (n, n, 0, n - 1)
+        ordered = placed.select("position", "v", F.lag("v").over(Window.partitionBy(F.floor(F.col("position") / 5000)).orderBy("position")).alias("before"))
+        assert ordered.where("v > before").isEmpty()
+        sampled = rows(timeline.spread_sample(table, [F.col("v").asc()], 5).select("position"))
+        assert sorted(sampled) == [((n - 1) * k // 4,) for k in range(5)]
+        placed.unpersist()
+        grouped = timeline.numbered(table.where("id < 50000"), ["v"], [F.col("id").asc()])
+        assert grouped.agg(F.count("*"), F.count_distinct("v", "place"), F.max("place")).first() == (50000, 50000, 49)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_running_max(spark):
+    rng = random.Random(6)
+    data = [(rng.choice(["a", "b", None]), i, rng.choice([None, *range(50)])) for i in range(500)]
+    expected = {}
+    seen = {}
+    for g, i, v in data:
+        expected[i] = seen.get(g)
+        if v is not None:
+            seen[g] = v if seen.get(g) is None else max(seen[g], v)
+    table = spark.createDataFrame(data, "g string, i int, v int").repartition(5)
+    assert dict(rows(timeline.running_max(table, ["g"], [F.col("i").asc()], "v", "m").select("i", "m"))) == expected
+
+
 def test_fold_depends_on_scan_order(spark):
     copies = [("p", 0, 1, "p"), ("p", 1, 5, None), ("p", 2, 3, "q")]
     table = spark.createDataFrame(copies, "id string, place int, at int, v string")
@@ -71,6 +111,35 @@ def test_upsert_posts(spark):
     assert (one["first_captured_at"], one["captured_at"], one["updated_at"]) == (1, 1, 7)
 
 
+def test_flags_follow_merged_content(spark):
+    kind = "id string, reply_to_id string, is_reply boolean, poll struct<is_poll:boolean,choices:array<string>>, is_poll boolean, edited_from string, is_edit boolean"
+    stored = spark.createDataFrame([("1", "9", True, (True, ["x"]), True, None, False), ("2", None, True, (False, []), True, None, True)], kind)
+    fresh = spark.createDataFrame([("1", None, False, None, False, "0", False), ("2", None, True, None, True, None, False), ("3", None, True, None, True, None, True)], kind)
+    got = {r["id"]: (r["is_reply"], r["is_poll"], r["is_edit"]) for r in merge.upsert_posts(stored, fresh).collect()}
+    assert got == {"1": (True, True, True), "2": (False, False, False), "3": (True, True, True)}
+
+
+def test_protected_merge_modes(spark):
+    kind = "id int, v string, n int, tags array<string>"
+    stored = spark.createDataFrame([(1, "now", None, [])], kind)
+    fresh = spark.createDataFrame([(1, "then", 5, ["a"]), (2, "x", 1, None)], kind)
+    assert sorted(rows(merge.protected(stored, fresh, ["id"]))) == [(1, "now", 5, ["a"]), (2, "x", 1, None)]
+    assert sorted(rows(merge.protected(stored, fresh, ["id"], "parity"))) == [(1, "then", 5, ["a"]), (2, "x", 1, None)]
+    with pytest.raises(ValueError):
+        merge.protected(stored, fresh, ["id"], "other")
+
+
+def test_marks_stay_and_ties_are_settled(spark):
+    posts = spark.createDataFrame([(1, None, 5, 9), (2, None, 5, None), (3, 2, 8, None), (4, 2, 7, None)], "id int, edited_from int, updated_at int, superseded_by int")
+    got = {r["id"]: (r["superseded_by"], r["updated_at"]) for r in merge.mark_superseded(posts).collect()}
+    assert got == {1: (9, 5), 2: (3, 8), 3: (None, 8), 4: (None, 7)}
+    copies = spark.createDataFrame([(1, 5, 2, "b"), (1, 5, 1, "c"), (1, 5, 2, "a"), (1, 4, 9, "z")], "id int, at int, scan int, v string")
+    assert rows(merge.newest_answers(copies, ["id"], "at", ["v"], ties=["scan"])) == [(1, "b", 5)]
+    gone = spark.createDataFrame([(1, "2020", 0), (1, "2019", 1), (2, "", 0), (2, "2018", 1)], "id int, deleted_at string, arrival int")
+    assert sorted(rows(merge.first_deletions(gone, "arrival"))) == [(1, "2020"), (2, "2018")]
+    assert rows(spark.createDataFrame([({},)], "m map<string,int>").select(is_absent(F.col("m"), T.MapType(T.StringType(), T.IntegerType())))) == [(False,)]
+
+
 def test_people_keep_what_is_absent(spark):
     kind = "id int, bio string, followers int, first int, last int, owners array<string>"
     stored = spark.createDataFrame([(1, "bio", 5, 1, 1, ["a"])], kind)
