@@ -1,7 +1,7 @@
 """Which values count as answers, and field-by-field merging built on it.
 
-A value is absent if it is null, an empty string or an empty list; 0, false, NaN and empty structs
-are answers.
+A value is absent if it is null, an empty string or an empty list; 0, false, NaN, empty structs and
+empty maps (an object without fields) are answers.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ def is_absent(value: Column, kind: T.DataType) -> Column:
     """True where a value of this type is no answer."""
     if isinstance(kind, T.StringType):
         return value.isNull() | (value == "")
-    if isinstance(kind, (T.ArrayType, T.MapType)):
+    if isinstance(kind, T.ArrayType):
         return value.isNull() | (F.size(value) == 0)
     return value.isNull()
 

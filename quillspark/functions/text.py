@@ -26,13 +26,13 @@ def compact_count(n: Column) -> Column:
 
 
 def byte_count(n: Column) -> Column:
-    """512 B, 1.5 KB, 2.0 MB, 3.0 GB."""
+    """512 B, 1.5 KB, 2.0 MB, 3.00 GB; a dash for null, negative and NaN counts."""
     x = n.cast("double")
     return (
-        F.when(x.isNull() | (x < 0), "").when(x < 1024, F.concat(F.floor(x).cast("string"), F.lit(" B")))
+        F.when(x.isNull() | F.isnan(x) | (x < 0), "\u2014").when(x < 1024, F.concat(F.floor(x).cast("string"), F.lit(" B")))
         .when(x < 1024**2, F.concat(F.format_string("%.1f", x / 1024), F.lit(" KB")))
         .when(x < 1024**3, F.concat(F.format_string("%.1f", x / 1024**2), F.lit(" MB")))
-        .otherwise(F.concat(F.format_string("%.1f", x / 1024**3), F.lit(" GB")))
+        .otherwise(F.concat(F.format_string("%.2f", x / 1024**3), F.lit(" GB")))
     )
 
 
@@ -45,10 +45,14 @@ def duration(ms: Column) -> Column:
 
 
 def csv_cell(value: Column) -> Column:
-    """A quoted cell: leading formula characters get an apostrophe, quotes are doubled; null is empty."""
+    """A cell, quoted only if it holds a quote, a comma or a line end, with quotes doubled; null is an empty cell.
+
+    Text that a spreadsheet would take for a formula gets an apostrophe before it.
+    """
     text = F.coalesce(value.cast("string"), F.lit(""))
-    guarded = F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
-    return F.concat(F.lit('"'), F.replace(guarded, F.lit('"'), F.lit('""')), F.lit('"'))
+    guarded = F.when(text.rlike(r"\A[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
+    quoted = F.concat(F.lit('"'), F.replace(guarded, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(guarded.rlike('[",\n\r]'), quoted).otherwise(guarded)
 
 
 def escape_markup(value: Column) -> Column:

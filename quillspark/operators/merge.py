@@ -10,8 +10,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions.absence import is_absent, merge_structs, sticky
+from quillspark.operators.timeline import running_max
 
 
 def _sides(stored: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -25,11 +27,14 @@ def _sides(stored: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFram
     return old.join(new, on, "full").select("old", "new")
 
 
-def upsert(stored: DataFrame, fresh: DataFrame, keys: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Merge fresh rows: each field takes the fresh answer or keeps the stored one; keep never changes once known."""
+def upsert(stored: DataFrame, fresh: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), rules: dict[str, Column] | None = None) -> DataFrame:
+    """Merge fresh rows: each field takes the fresh answer or keeps the stored one; keep never changes once known.
+
+    rules gives fields of rows that both sides have by expressions over the structs old and new.
+    """
     kind = stored.schema
     kept = {c: sticky(F.col(f"old.{c}"), F.col(f"new.{c}"), kind[c].dataType) for c in keep}
-    merged = merge_structs(F.col("old"), F.col("new"), kind, kept)
+    merged = merge_structs(F.col("old"), F.col("new"), kind, kept | (rules or {}))
     return _sides(stored, fresh, keys).select(
         F.when(F.col("new").isNull(), F.col("old")).when(F.col("old").isNull(), F.col("new")).otherwise(merged).alias("r")
     ).select("r.*")
@@ -38,12 +43,15 @@ def upsert(stored: DataFrame, fresh: DataFrame, keys: Sequence[str], keep: Seque
 def upsert_posts(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Posts by id: a field merge, then what follows from it.
 
-    first_captured_at and captured_at keep the earliest known time, updated_at takes the fresh
-    capture's; an inferred conversation never replaces a known one; is_reply, is_poll, is_edit and
-    is_retweet are worked out again from the merged fields. Only columns that exist are touched.
+    captured_at keeps the stored time, first_captured_at falls back to it, updated_at takes the fresh
+    capture's; an inferred conversation never replaces a known one. is_reply and is_poll follow the
+    merged reply_to_id and poll (its is_poll, if it has one) alone; is_edit and is_retweet turn true
+    where edited_from and retweeted_id are there and never turn back. Rows that only one side has
+    stay as they are. Only columns that exist are touched.
     """
     has = set(stored.columns)
-    merged = upsert(stored, fresh, ["id"], [c for c in ("first_captured_at", "captured_at") if c in has])
+    first = {"first_captured_at": F.coalesce("old.first_captured_at", "old.captured_at", "new.captured_at")} if {"first_captured_at", "captured_at"} <= has else {}
+    merged = upsert(stored, fresh, ["id"], [c for c in ("captured_at",) if c in has], first)
     if "updated_at" in has:
         times = fresh.select(F.col("id").alias("__id"), F.col("captured_at").alias("__at"))
         merged = merged.join(times, F.col("id") == F.col("__id"), "left").withColumn("updated_at", F.coalesce("__at", "updated_at")).drop("__id", "__at")
@@ -56,10 +64,22 @@ def upsert_posts(stored: DataFrame, fresh: DataFrame) -> DataFrame:
             .withColumn("conversation_inferred", F.when(F.col("__k").isNotNull(), False).otherwise(F.col("conversation_inferred")))
             .withColumn("conversation_id", F.coalesce("__conversation", "conversation_id")).drop("__k", "__conversation")
         )
-    flags = {"is_reply": "reply_to_id", "is_poll": "poll", "is_edit": "edited_from", "is_retweet": "retweeted_id"}
-    for flag, field in flags.items():
+    there = lambda field: ~is_absent(F.col(field), stored.schema[field].dataType)
+    # What a row was before it was merged with nothing stays as it came.
+    both = stored.select(F.col("id").alias("__b")).join(fresh.select(F.col("id").alias("__b")), "__b", "left_semi")
+    merged = merged.join(both, F.col("id") == F.col("__b"), "left")
+    rules = {}
+    if {"is_reply", "reply_to_id"} <= has:
+        rules["is_reply"] = there("reply_to_id")
+    if {"is_poll", "poll"} <= has:
+        kind = stored.schema["poll"].dataType
+        own = F.coalesce(F.col("poll.is_poll"), F.lit(False)) if isinstance(kind, T.StructType) and "is_poll" in kind.names else there("poll")
+        rules["is_poll"] = there("poll") & own
+    for flag, field in (("is_retweet", "retweeted_id"), ("is_edit", "edited_from")):
         if {flag, field} <= has:
-            merged = merged.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)) | ~is_absent(F.col(field), stored.schema[field].dataType))
+            rules[flag] = F.coalesce(F.col(flag), F.lit(False)) | there(field)
+    for flag, rule in rules.items():
+        merged = merged.withColumn(flag, F.when(F.col("__b").isNotNull(), rule).otherwise(F.col(flag)))
     return merged.select(*stored.columns)
 
 
@@ -101,44 +121,62 @@ def newest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return ranked.where("__n = 1").drop("__n")
 
 
-def newest_answers(rows: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str]) -> DataFrame:
+def newest_answers(rows: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
     """Each column's newest answer by itself: max_by over rows that have one.
 
-    Equals folding copies pairwise where there are at most two or times are monotone in scan order.
+    ties order rows of equal times, the greatest last; among rows that are equal in these too the
+    greatest value counts, so reruns agree. Equals folding copies pairwise where there are at most two or times are monotone in scan order.
     """
     kind = rows.schema
+    last = lambda c: F.struct(time, *ties, *([c] if _ordered(kind[c].dataType) else []))
     return rows.groupBy(*keys).agg(*[
-        F.max_by(F.when(~is_absent(F.col(c), kind[c].dataType), F.col(c)), F.when(~is_absent(F.col(c), kind[c].dataType), F.col(time))).alias(c)
+        F.max_by(F.when(~is_absent(F.col(c), kind[c].dataType), F.col(c)), F.when(~is_absent(F.col(c), kind[c].dataType), last(c))).alias(c)
         for c in columns
     ], F.max(time).alias(time))
 
 
+def _ordered(kind: T.DataType) -> bool:
+    return not any(x in kind.simpleString() for x in ("map<", "variant"))
+
+
 def fold_copies(rows: DataFrame, keys: Sequence[str], scan: Sequence[str], time: str, columns: Sequence[str]) -> DataFrame:
     """Copies of a record folded pairwise in scan order, the copy with the smaller time being the older.
 
     The result carries the larger time, so the outcome depends on the order, as it does for files
-    that are read one after another. Copies of one record are few; they are collected by key.
+    that are read one after another. No copies of a key are collected: a copy whose time is not less
+    than all before it replaces answers, any other fills gaps only. So a field's outcome is the last
+    answer of the former copies or else the first answer of all, which are aggregates with partial
+    sums once the running maximum of times is known. Null times count as not less.
     """
-    kind = F.struct(*[F.col(c) for c in (time, *columns)])
-    per_key = rows.select(*keys, F.struct(*scan).alias("__scan"), kind.alias("__copy")).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("__scan", "__copy"))).alias("__copies")
-    )
-    schema = rows.select(kind.alias("c")).schema["c"].dataType
-    copies = F.transform("__copies", lambda x: x["__copy"])
-
-    def step(acc: Column, x: Column) -> Column:
-        later = merge_structs(acc, x, schema, {time: F.greatest(acc[time], x[time])})
-        earlier = merge_structs(x, acc, schema, {time: F.greatest(acc[time], x[time])})
-        return F.when(x[time] < acc[time], earlier).otherwise(later)
+    kind = rows.schema
+    marked = running_max(rows.select(*dict.fromkeys([*keys, *scan, time, *columns])), keys, [F.col(c).asc() for c in scan], time, "__before")
+    leads = ~F.coalesce(F.col(time) < F.col("__before"), F.lit(False))
+    place = F.struct(*scan)
+
+    def folded(value: Column, of: T.DataType) -> Column:
+        if isinstance(of, T.StructType):
+            fields = F.struct(*[folded(value[f.name], f.dataType).alias(f.name) for f in of.fields])
+            return F.when(F.count(value) > 0, fields)
+        answer = ~is_absent(value, of)
+        return F.coalesce(
+            F.max_by(F.when(answer & leads, value), F.when(answer & leads, place)), F.min_by(F.when(answer, value), F.when(answer, place)), F.any_value(value, F.lit(True))
+        )
 
-    folded = F.aggregate(F.slice(copies, F.lit(2), F.greatest(F.size(copies) - 1, F.lit(0))), F.element_at(copies, 1), step)
-    return per_key.select(*keys, folded.alias("__r")).select(*keys, "__r.*")
+    return marked.groupBy(*keys).agg(F.max(time).alias(time), *[folded(F.col(c), kind[c].dataType).alias(c) for c in columns if c != time])
 
 
 def mark_superseded(posts: DataFrame, at: str = "updated_at") -> DataFrame:
-    """superseded_by on the posts that another post's edited_from names, the newest edit winning."""
-    edits = posts.where(F.col("edited_from").isNotNull()).groupBy(F.col("edited_from").alias("__of")).agg(F.max_by("id", F.struct(at, "id")).alias("__by"))
-    return posts.drop("superseded_by").join(edits, F.col("id") == F.col("__of"), "left").drop("__of").withColumnRenamed("__by", "superseded_by")
+    """superseded_by on the posts that another post's edited_from names, the newest edit winning.
+
+    Marks that are stored stay where no edit is at hand; a post that is marked anew takes the edit's
+    time as its own, if it has the column `at`.
+    """
+    edits = posts.where(F.col("edited_from").isNotNull()).groupBy(F.col("edited_from").alias("__of")).agg(
+        F.max_by("id", F.struct(at, "id")).alias("__by"), F.max(at).alias("__when")
+    )
+    stored = F.col("superseded_by") if "superseded_by" in posts.columns else F.lit(None)
+    out = posts.join(edits, F.col("id") == F.col("__of"), "left").withColumn("superseded_by", F.coalesce("__by", stored))
+    return out.withColumn(at, F.coalesce("__when", at)).drop("__of", "__by", "__when")
 
 
 def mark_deleted(posts: DataFrame, deletions: DataFrame) -> DataFrame:
@@ -148,8 +186,28 @@ def mark_deleted(posts: DataFrame, deletions: DataFrame) -> DataFrame:
     return posts.join(first, F.col("id") == F.col("__gone"), "left").withColumn("deleted_at", F.coalesce(stored, F.col("__at"))).drop("__gone", "__at")
 
 
-def first_deletions(deletions: DataFrame) -> DataFrame:
-    return deletions.groupBy("id").agg(F.min("deleted_at").alias("deleted_at"))
+def first_deletions(deletions: DataFrame, arrival: str | None = None) -> DataFrame:
+    """(id, deleted_at): the deletion of each id that arrived first, by a column that tells; without one, the earliest. Empty times are no answers."""
+    known = deletions.where(~is_absent(F.col("deleted_at"), deletions.schema["deleted_at"].dataType))
+    first = F.min("deleted_at") if arrival is None else F.min_by("deleted_at", F.struct(arrival, "deleted_at"))
+    return known.groupBy("id").agg(first.alias("deleted_at"))
+
+
+def protected(stored: DataFrame, fresh: DataFrame, keys: Sequence[str], mode: str = "intended") -> DataFrame:
+    """Merge archived copies under stored rows: what is stored is newer and stays; gaps are filled.
+
+    In mode intended every field of a stored row that is an answer stays, and a fresh row only fills
+    gaps. In mode parity the copies are merged as fresh captures are, so their answers replace stored
+    ones; both add rows whose key is not stored.
+    """
+    if mode not in ("intended", "parity"):
+        raise ValueError(f"mode {mode} is neither intended nor parity")
+    if mode == "parity":
+        return upsert(stored, fresh, keys)
+    merged = merge_structs(F.col("new"), F.col("old"), stored.schema)
+    return _sides(stored, fresh, keys).select(
+        F.when(F.col("new").isNull(), F.col("old")).when(F.col("old").isNull(), F.col("new")).otherwise(merged).alias("r")
+    ).select("r.*")
 
 
 def delete_cascade(posts: DataFrame, media: DataFrame, deletions: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

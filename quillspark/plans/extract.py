@@ -54,19 +54,27 @@ def entities_of(body: Column, paths: Sequence[str], most: int = 64) -> Column:
     )
 
 
+#: Bindings of a card that are read.
+BINDINGS = 256
+
+
 def poll_of(card: Column) -> Column:
     """A poll out of a card's bindings (a list of key and value): up to four choices, end and finality; null if it is none."""
-    bindings = F.map_from_entries(F.transform(
-        F.filter(F.from_json(F.get_json_object(card, "$.legacy.binding_values"), "array<struct<key:string,value:struct<string_value:string,boolean_value:boolean>>>"), lambda b: b["key"].isNotNull()),
-        lambda b: F.struct(b["key"], b["value"]),
-    ))
+    values = F.get_json_object(card, "$.legacy.binding_values")
+    kind = "struct<string_value:string,boolean_value:boolean>"
+    listed = F.filter(F.from_json(values, f"array<struct<key:string,value:{kind}>>"), lambda b: b["key"].isNotNull())
+    # An object of bindings serves as well; of a repeated key the last counts; at most BINDINGS are read.
+    mapped = F.transform(F.map_entries(F.from_json(values, f"map<string,{kind}>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+    read = F.slice(F.when(values.startswith("["), listed).otherwise(mapped), 1, BINDINGS)
+    binding = lambda key: F.try_element_at(F.filter(read, lambda b: b["key"] == key), F.lit(-1))["value"]
     name = F.get_json_object(card, "$.legacy.name")
     parts = F.split(name, ":")
-    is_poll = name.startswith("poll") | ((F.size(parts) == 2) & F.get(parts, F.lit(1)).startswith("poll"))
-    choices = F.array_compact(F.array(*[F.try_element_at(bindings, F.lit(f"choice{i}_label"))["string_value"] for i in range(1, 5)]))
+    # Once there is a colon, the second of exactly two parts tells, and the first does not.
+    is_poll = F.when(F.contains(name, F.lit(":")), (F.size(parts) == 2) & F.get(parts, F.lit(1)).startswith("poll")).otherwise(name.startswith("poll"))
+    choices = F.array_compact(F.array(*[binding(f"choice{i}_label")["string_value"] for i in range(1, 5)]))
     return F.when(is_poll, F.struct(
-        name.alias("card_name"), choices.alias("choices"), F.try_element_at(bindings, F.lit("end_datetime_utc"))["string_value"].alias("end_at"),
-        F.try_element_at(bindings, F.lit("counts_are_final"))["boolean_value"].alias("final"),
+        name.alias("card_name"), choices.alias("choices"), binding("end_datetime_utc")["string_value"].alias("end_at"),
+        binding("counts_are_final")["boolean_value"].alias("final"),
     ))
 
 

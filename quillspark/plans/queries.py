@@ -576,10 +576,13 @@ def _(read):
     return read("pages").select("page_id", F.array_join(text.hashtags(F.col("url")), ",").alias("tags"))
 
 
-@query("csv_cell", """SELECT event_id, '"' || replace(CASE WHEN regexp_matches(v, '^[=+\\-@]') THEN '''' || v ELSE v END, '"', '""') || '"' AS cell FROM (SELECT event_id, coalesce(props, '') AS v FROM events)""")
+@query("csv_cell", r"""WITH c AS (SELECT event_id, v FROM events, (SELECT unnest([1, 2, 3, 4]) AS part) CROSS JOIN LATERAL (SELECT CASE part WHEN 1 THEN props WHEN 2 THEN '=' || event_type WHEN 3 THEN event_type || ',' || user_id WHEN 4 THEN NULL END AS v) AS x),
+ g AS (SELECT event_id, CASE WHEN substr(v, 1, 1) IN ('=', '+', '-', '@', chr(9), chr(13)) THEN chr(39) || v ELSE v END AS v FROM c)
+ SELECT event_id, CASE WHEN v IS NULL THEN '' WHEN contains(v, '"') OR contains(v, ',') OR contains(v, chr(10)) OR contains(v, chr(13)) THEN '"' || replace(v, '"', '""') || '"' ELSE v END AS cell FROM g""")
 def _(read):
-    """K7: guarded and quoted cells."""
-    return read("events").select("event_id", text.csv_cell(F.col("props")).alias("cell"))
+    """K7: cells quoted where they need it, formulas defused, null empty."""
+    kinds = F.array(F.col("props"), F.concat(F.lit("="), F.col("event_type")), F.concat_ws(",", "event_type", F.col("user_id").cast("string")), F.lit(None))
+    return read("events").select("event_id", F.explode(kinds).alias("v")).select("event_id", text.csv_cell(F.col("v")).alias("cell"))
 
 
 @query("compact_counts", """SELECT doc_id, CASE WHEN n < 1000 THEN n::VARCHAR WHEN n < 10000 THEN (((n / 1000.0::DOUBLE * 4503599627370496)::HUGEINT * 10 + 2251799813685248) // 4503599627370496 // 10)::VARCHAR || '.' || (((n / 1000.0::DOUBLE * 4503599627370496)::HUGEINT * 10 + 2251799813685248) // 4503599627370496 % 10)::VARCHAR || 'K' WHEN n < 1000000 THEN round(n / 1000.0)::BIGINT::VARCHAR || 'K' ELSE 'M' END AS label
@@ -615,5 +618,5 @@ def _(read):
  SELECT event_type, count(*) FILTER (n <= 500) AS queued, count(*) FILTER (n > 500) AS dropped FROM r GROUP BY event_type""")
 def _(read):
     """T-4: bounded queues with counted overflow."""
-    n = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    return read("events").select("event_type", n.alias("n")).groupBy("event_type").agg(F.count_if(F.col("n") <= 500).alias("queued"), F.count_if(F.col("n") > 500).alias("dropped"))
+    placed = timeline.numbered(read("events").select("event_type", "ts", "event_id"), ["event_type"], [F.col("ts").asc(), F.col("event_id").asc()], "n")
+    return placed.groupBy("event_type").agg(F.count_if(F.col("n") < 500).alias("queued"), F.count_if(F.col("n") >= 500).alias("dropped"))

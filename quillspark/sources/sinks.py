@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import csv_cell, safe_name
 from quillspark.functions.urls import safe_archive_name
+from quillspark.operators.timeline import numbered
 from quillspark.sources.envelope import dump
 
 #: Columns of a roster file, in order.
@@ -83,14 +85,14 @@ def write_shards(sharded: DataFrame, columns: Sequence[str], path: str) -> None:
 
 def roster_lines(roster: DataFrame) -> DataFrame:
     """(list, userId, line): CSV lines of the ROSTER columns; lines end with CR LF when written."""
-    cells = [csv_cell(F.col(c)) if c in roster.columns else F.lit('""') for c in ROSTER]
+    cells = [csv_cell(F.col(c)) if c in roster.columns else F.lit("") for c in ROSTER]
     return roster.select("list", "userId", F.concat_ws(",", *cells).alias("line"))
 
 
 def roster_csv(roster: DataFrame) -> str:
     """A whole roster file; rosters are small and sorted by list, handle and id."""
     rows = roster_lines(roster).orderBy("list", "userId").select("line").toLocalIterator()
-    return "\r\n".join([",".join(f'"{c}"' for c in ROSTER), *(r["line"] for r in rows)]) + "\r\n"
+    return "\r\n".join([",".join(ROSTER), *(r["line"] for r in rows)]) + "\r\n"
 
 
 def media_names(media: DataFrame) -> DataFrame:
@@ -113,9 +115,33 @@ def write_zip(entries: DataFrame, path: str) -> tuple[int, int]:
 
 
 def media_index_text(entries: DataFrame) -> DataFrame:
-    """(line): file, post and kind in columns of 43, 18 and 18, longer values uncut."""
-    pad = lambda c, n: F.rpad(c, F.greatest(F.lit(n), F.length(c)), F.lit(" "))
-    return entries.select(F.concat(pad(F.col("name"), 43), pad(F.col("post_id").cast("string"), 18), pad(F.coalesce("kind", F.lit("")), 18)).alias("line"))
+    """(line): post, media and file in columns of 18, 18 and 43, with blanks between and longer values uncut, then the kind or a question mark.
+
+    entries has post_id, media_id, name and kind.
+    """
+    pad = lambda c, n: F.rpad(F.col(c).cast("string"), F.greatest(F.lit(n), F.length(F.col(c).cast("string"))), F.lit(" "))
+    kind = F.when(F.coalesce("kind", F.lit("")) == "", "?").otherwise(F.col("kind"))
+    return entries.select(F.concat_ws(" ", pad("post_id", 18), pad("media_id", 18), pad("name", 43), kind).alias("line"))
+
+
+def media_index_json(entries: DataFrame) -> DataFrame:
+    """(entry): each file of entries(name, post_id, media_id, kind, content_type, bytes) as JSON; empty answers are null."""
+    some = lambda c: F.when(F.col(c) != "", F.col(c))
+    entry = F.struct(
+        F.col("name").alias("file"), F.col("post_id").cast("string").alias("tweetId"), F.col("media_id").cast("string").alias("mediaId"),
+        some("kind").alias("type"), some("content_type").alias("contentType"), F.col("bytes").cast("bigint").alias("bytes"),
+    )
+    return entries.select(F.to_json(entry, {"ignoreNullFields": "false"}).alias("entry"))
+
+
+def write_media_index(entries: DataFrame, path: str, meta: dict) -> None:
+    """The machine-readable index: a head of counts, and the entries as a folder of JSON lines beside it, written by the tasks."""
+    media_index_json(entries).write.mode("overwrite").text(f"{path}/files")
+    head = {
+        "generator": meta.get("generator", "quillspark"), "generatorVersion": meta.get("version") or "unknown", "schemaVersion": meta.get("schemaVersion", 1),
+        "generatedAt": meta.get("generatedAt"), "fileCount": entries.count(), "skipped": meta.get("skipped", 0),
+    }
+    entries.sparkSession.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
 
 
 def hosted_layout(files: DataFrame, budget: int) -> DataFrame:
@@ -127,12 +153,12 @@ def hosted_layout(files: DataFrame, budget: int) -> DataFrame:
     month = F.coalesce(F.date_format("created_at", "yyyy/MM"), F.lit("unknown"))
     name = F.concat(F.col("post_id").cast("string"), F.lit("_"), safe_name(F.col("media_id").cast("string")), F.coalesce("ext", F.lit("")))
     named = files.withColumn("month", month).withColumn("file", name)
+    # Files of one name are copies of one key and few; files of a month can be a third of all.
     n = F.row_number().over(Window.partitionBy("month", "file").orderBy("post_id", "media_id"))
-    marked = named.withColumn("problem", n > 1)
-    place = F.row_number().over(Window.partitionBy("month", "problem").orderBy("post_id", "media_id"))
-    spill = F.floor((place - 1) / budget)
+    marked = numbered(named.withColumn("problem", n > 1), ["month", "problem"], [F.col("post_id").asc(), F.col("media_id").asc()], "place")
+    spill = F.floor(F.col("place") / budget)
     folder = F.concat(F.lit("media/"), F.col("month"), F.when(F.col("spill") > 0, F.concat(F.lit("-"), (F.col("spill") + 1).cast("string"))).otherwise(""))
-    return marked.withColumn("spill", spill).withColumn("path", F.when(~F.col("problem"), F.concat(folder, F.lit("/"), F.col("file")))).drop("month", "spill", "file")
+    return marked.withColumn("spill", spill).withColumn("path", F.when(~F.col("problem"), F.concat(folder, F.lit("/"), F.col("file")))).drop("month", "spill", "file", "place")
 
 
 def hosted_index_valid(files: DataFrame, most_bytes: int) -> DataFrame:

@@ -38,11 +38,11 @@ def test_counts(spark):
     values = [0.0, 999.0, 1000.0, 1234.0, 9999.0, 12345.0, 1e6, 3.4e6, None, -1.0]
     assert column(spark, values, "double", text.compact_count) == ["0", "999", "1.0K", "1.2K", "10.0K", "12K", "1.0M", "3.4M", "", ""]
     assert column(spark, [0, 61_000, 3_661_000, None], "long", text.duration) == ["0:00", "1:01", "1:01:01", ""]
-    assert column(spark, [512, 1536, None], "long", text.byte_count) == ["512 B", "1.5 KB", ""]
+    assert column(spark, [512, 1536, None], "long", text.byte_count) == ["512 B", "1.5 KB", "\u2014"]
 
 
 def test_text(spark):
-    assert column(spark, ["=a", 'say "x"', None], "string", text.csv_cell) == ['"\'=a"', '"say ""x"""', '""']
+    assert column(spark, ["=a", 'say "x"', None], "string", text.csv_cell) == ["'=a", '"say ""x"""', ""]
     assert column(spark, ["Rock #Café_1 #b"], "string", text.hashtags) == [["Café_1", "b"]]
     assert column(spark, [["A", "a", "B", None]], "array<string>", lambda v: text.distinct_ignoring_case(F.array_compact(v))) == [["A", "B"]]
     assert column(spark, ["<p>a <b>b</b>\n c</p>"], "string", text.strip_tags) == ["a b c"]
