@@ -59,3 +59,9 @@ def iso_text(value: Column) -> Column:
 
 def strictly_true(value: Column) -> Column:
     return F.coalesce(value == F.lit(True), F.lit(False))
+
+
+def parsed_record(text: Column) -> Column:
+    """A variant out of JSON text that is one value from end to end, null otherwise. Within brackets the parser sees what follows a value, too."""
+    within = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_variant_get(within, "$[1]", "variant").isNull(), F.try_variant_get(within, "$[0]", "variant"))

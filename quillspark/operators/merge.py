@@ -165,18 +165,18 @@ def fold_copies(rows: DataFrame, keys: Sequence[str], scan: Sequence[str], time:
     return marked.groupBy(*keys).agg(F.max(time).alias(time), *[folded(F.col(c), kind[c].dataType).alias(c) for c in columns if c != time])
 
 
-def mark_superseded(posts: DataFrame, at: str = "updated_at") -> DataFrame:
+def mark_superseded(posts: DataFrame, at: str = "updated_at", stamp: bool = True) -> DataFrame:
     """superseded_by on the posts that another post's edited_from names, the newest edit winning.
 
     Marks that are stored stay where no edit is at hand; a post that is marked anew takes the edit's
-    time as its own, if it has the column `at`.
+    time as its own, unless stamp is off.
     """
     edits = posts.where(F.col("edited_from").isNotNull()).groupBy(F.col("edited_from").alias("__of")).agg(
         F.max_by("id", F.struct(at, "id")).alias("__by"), F.max(at).alias("__when")
     )
     stored = F.col("superseded_by") if "superseded_by" in posts.columns else F.lit(None)
     out = posts.join(edits, F.col("id") == F.col("__of"), "left").withColumn("superseded_by", F.coalesce("__by", stored))
-    return out.withColumn(at, F.coalesce("__when", at)).drop("__of", "__by", "__when")
+    return (out.withColumn(at, F.coalesce("__when", at)) if stamp else out).drop("__of", "__by", "__when")
 
 
 def mark_deleted(posts: DataFrame, deletions: DataFrame) -> DataFrame:
@@ -193,21 +193,45 @@ def first_deletions(deletions: DataFrame, arrival: str | None = None) -> DataFra
     return known.groupBy("id").agg(first.alias("deleted_at"))
 
 
-def protected(stored: DataFrame, fresh: DataFrame, keys: Sequence[str], mode: str = "intended") -> DataFrame:
-    """Merge archived copies under stored rows: what is stored is newer and stays; gaps are filled.
+#: What an archived copy's source is said to be where a null one is filled in.
+_SOURCE = {"captured_via": "fetch", "text_from_request": False, "backfilled": False, "tombstone": False}
 
-    In mode intended every field of a stored row that is an answer stays, and a fresh row only fills
-    gaps. In mode parity the copies are merged as fresh captures are, so their answers replace stored
-    ones; both add rows whose key is not stored.
+
+def protected(stored: DataFrame, fresh: DataFrame, mode: str = "parity") -> DataFrame:
+    """Merge archived copies of posts under stored ones: their metrics and source are no answers.
+
+    In mode intended a copy has no source, so the stored one stays. In mode parity the missing
+    source is filled in by defaults before the merge, as the archive does it, and these then replace
+    the stored answers. All else follows upsert_posts().
     """
-    if mode not in ("intended", "parity"):
-        raise ValueError(f"mode {mode} is neither intended nor parity")
-    if mode == "parity":
-        return upsert(stored, fresh, keys)
-    merged = merge_structs(F.col("new"), F.col("old"), stored.schema)
-    return _sides(stored, fresh, keys).select(
-        F.when(F.col("new").isNull(), F.col("old")).when(F.col("old").isNull(), F.col("new")).otherwise(merged).alias("r")
-    ).select("r.*")
+    if mode not in ("parity", "intended"):
+        raise ValueError(f"mode {mode} is neither parity nor intended")
+    copy, kind = fresh, stored.schema
+    if "metrics" in kind.names:
+        copy = copy.withColumn("metrics", F.lit(None).cast(kind["metrics"].dataType))
+    if "source" in kind.names:
+        of = kind["source"].dataType
+        filled = F.struct(*[F.lit(_SOURCE.get(f.name)).cast(f.dataType).alias(f.name) for f in of.fields])
+        copy = copy.withColumn("source", filled if mode == "parity" else F.lit(None).cast(of))
+    return upsert_posts(stored, copy.select(*stored.columns))
+
+
+def merge_archives(copies: DataFrame, deletions: DataFrame, scan: Sequence[str], columns: Sequence[str], mode: str = "reader") -> DataFrame:
+    """(id, captured_at, columns..., deleted_at, superseded_by) of copies(id, captured_at, edited_from, ...) of several archives.
+
+    Mode reader folds copies in scan order, the larger time staying, and leaves deletions and
+    supersession as the copies carry them. Mode documented takes each field's newest answer, keeps
+    the earliest capture, applies all deletions(id, deleted_at) and works superseded_by out again.
+    """
+    if mode not in ("reader", "documented"):
+        raise ValueError(f"mode {mode} is neither reader nor documented")
+    carried = [c for c in ("deleted_at", "superseded_by") if c in copies.columns]
+    if mode == "reader":
+        return fold_copies(copies, ["id"], scan, "captured_at", [*columns, *carried])
+    newest_ = newest_answers(copies, ["id"], "captured_at", [*columns, *carried], ties=scan)
+    first = copies.groupBy("id").agg(F.min("captured_at").alias("__first"))
+    merged = newest_.join(first, "id").withColumn("captured_at", F.col("__first")).drop("__first")
+    return mark_deleted(mark_superseded(merged.drop("superseded_by"), "captured_at", stamp=False), deletions)
 
 
 def delete_cascade(posts: DataFrame, media: DataFrame, deletions: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -95,10 +95,10 @@ def roster_csv(roster: DataFrame) -> str:
     return "\r\n".join([",".join(ROSTER), *(r["line"] for r in rows)]) + "\r\n"
 
 
-def media_names(media: DataFrame) -> DataFrame:
-    """(post_id, media_id, name): media/<post>_<media><ext> for rows with a blob and usable ids."""
+def media_names(media: DataFrame, *more: str) -> DataFrame:
+    """(post_id, media_id, name, blob): media/<post>_<media><ext> for rows with a blob and usable ids, with more columns."""
     name = F.concat(F.lit("media/"), F.col("post_id").cast("string"), F.lit("_"), safe_name(F.col("media_id").cast("string")), F.coalesce("ext", F.lit("")))
-    return media.where(F.col("blob").isNotNull() & F.col("post_id").cast("string").rlike("^[0-9]{1,25}$")).select("post_id", "media_id", name.alias("name"), "blob")
+    return media.where(F.col("blob").isNotNull() & F.col("post_id").cast("string").rlike("^[0-9]{1,25}$")).select("post_id", "media_id", name.alias("name"), "blob", *more)
 
 
 def write_zip(entries: DataFrame, path: str) -> tuple[int, int]:

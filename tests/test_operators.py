@@ -120,13 +120,25 @@ def test_flags_follow_merged_content(spark):
 
 
 def test_protected_merge_modes(spark):
-    kind = "id int, v string, n int, tags array<string>"
-    stored = spark.createDataFrame([(1, "now", None, [])], kind)
-    fresh = spark.createDataFrame([(1, "then", 5, ["a"]), (2, "x", 1, None)], kind)
-    assert sorted(rows(merge.protected(stored, fresh, ["id"]))) == [(1, "now", 5, ["a"]), (2, "x", 1, None)]
-    assert sorted(rows(merge.protected(stored, fresh, ["id"], "parity"))) == [(1, "then", 5, ["a"]), (2, "x", 1, None)]
+    kind = "id string, text string, metrics struct<likes:int>, source struct<captured_via:string,backfilled:boolean,name:string>, captured_at int, updated_at int"
+    stored = spark.createDataFrame([("1", "now", (7,), ("xhr", True, "op"), 1, 1)], kind)
+    fresh = spark.createDataFrame([("1", "then", (3,), ("y", True, "z"), 9, 9), ("2", "x", (1,), ("y", True, "z"), 9, 9)], kind)
+    got = {r["id"]: r for r in merge.protected(stored, fresh, "intended").collect()}
+    assert (got["1"]["text"], got["1"]["metrics"], tuple(got["1"]["source"]), got["1"]["captured_at"]) == ("then", (7,), ("xhr", True, "op"), 1)
+    assert got["2"]["metrics"] is None and got["2"]["source"] is None
+    got = {r["id"]: r for r in merge.protected(stored, fresh).collect()}
+    assert tuple(got["1"]["source"]) == ("fetch", False, "op") and got["1"]["metrics"] == (7,)
     with pytest.raises(ValueError):
-        merge.protected(stored, fresh, ["id"], "other")
+        merge.protected(stored, fresh, "other")
+
+
+def test_archives_merge_in_two_modes(spark):
+    copies = spark.createDataFrame([("1", 5, 0, "a", None), ("1", 9, 1, None, None), ("1", 3, 2, "old", None), ("2", 4, 0, "b", "1")], "id string, captured_at int, place int, text string, edited_from string")
+    gone = spark.createDataFrame([("2", "2020")], "id string, deleted_at string")
+    reader = {r["id"]: (r["captured_at"], r["text"]) for r in merge.merge_archives(copies, gone, ["place"], ["text", "edited_from"]).collect()}
+    assert reader == {"1": (9, "a"), "2": (4, "b")}
+    documented = {r["id"]: (r["captured_at"], r["text"], r["superseded_by"], r["deleted_at"]) for r in merge.merge_archives(copies, gone, ["place"], ["text", "edited_from"], "documented").collect()}
+    assert documented == {"1": (3, "a", "2", None), "2": (4, "b", None, "2020")}
 
 
 def test_marks_stay_and_ties_are_settled(spark):
