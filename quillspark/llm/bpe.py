@@ -1,10 +1,12 @@
 """Byte-level BPE encoding and decoding by a rank file.
 
-Each Arrow batch is split by the tokenizer's pattern; its distinct new words are folded by ranked
-merges over their bytes, words of a length together, and texts are put together from the words'
-ids. Decoding concatenates the ids' byte strings. There is no shuffle: the vocabulary (at most
-65,536 ranks, checked) goes to the tasks with the function, and words already folded stay in a
-cache of bounded size in each worker.
+Encoding: each Arrow batch is split by the tokenizer's pattern; its distinct new words are folded by
+ranked merges over their bytes, words of a length together, and texts are put together from the
+words' ids. There is no shuffle: the vocabulary (at most 65,536 ranks, checked) goes to the tasks
+with the function, and words already folded stay in a cache of bounded size in each worker. Decoding
+concatenates the ids' binary pieces out of a literal array, in built-in functions.
+
+encode_by_functions() is the same fold in higher-order functions, over a literal rank map.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.common import sliced
@@ -61,7 +64,7 @@ class Bpe:
 
         self.pattern = regex.compile(pattern)
         self.simple = _SIMPLE_OF.get(pattern, self.pattern)
-        self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in content.splitlines() if x)}
+        self.ranks = _ranks(content)
         size = max(self.ranks.values()) + 1
         self.words = [b""] * size
         for word, rank in self.ranks.items():
@@ -177,7 +180,7 @@ class Bpe:
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text; null is empty."""
         if len(self.index) > CACHE_WORDS:
-            self._forget()
+            self._forget()  # a chunk's own words come on top, CHUNK texts at most
         index, first, texts_words = self.index, len(self.index), []
         for text in texts:
             text = text or ""
@@ -212,40 +215,142 @@ def _bpe(content: bytes, pattern: str) -> Bpe:
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs with n_tokens (long) and ids (binary: little-endian unsigned 32-bit integers).
+    """docs with n_tokens (long), ids (binary: little-endian unsigned 32-bit integers) and tokens (array of the same ids).
 
     Every whole text is split by pattern and each match folded by the ranks in the file at path,
     which the driver reads. No special tokens. A null or empty text has no ids. Columns of docs
-    named n_tokens or ids are replaced; all others stay, rows repeat as in docs.
+    named n_tokens, ids or tokens are replaced; all others stay, rows repeat as in docs.
     """
-    docs = docs.drop("n_tokens", "ids")
+    docs = docs.drop("n_tokens", "ids", "tokens")
     content = read_ranks(path)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(content, pattern)
         for batch in sliced(batches, CHUNK):
-            ids = [x.astype("<u4").tobytes() for x in bpe.encode(batch.column(text).to_pylist())]
+            found = list(bpe.encode(batch.column(text).to_pylist()))
+            n = [len(x) for x in found]
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *found]), pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                names=[*batch.schema.names, "n_tokens", "ids"],
+                [*batch.columns, pa.array(n, pa.int64()), pa.array([x.astype("<u4").tobytes() for x in found], pa.binary()), tokens],
+                names=[*batch.schema.names, "n_tokens", "ids", "tokens"],
             )
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(each, schema)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """encoded with decoded (binary), the ids' byte strings in turn; null ids give null.
+def decode(encoded: DataFrame, path: str, ids: str = "tokens") -> DataFrame:
+    """encoded with decoded (binary), the tokens' byte strings in turn; null tokens give null.
 
-    An id that the rank file lacks is an error. A column named decoded is replaced.
+    The column holds arrays of ids; their byte strings come from a literal array, as hex digits, and
+    are concatenated: no Python. An id that the rank file lacks is an error. A column named decoded
+    is replaced.
     """
-    encoded = encoded.drop("decoded")
-    content = read_ranks(path)
+    ranks = _ranks(read_ranks(path))
+    words = [""] * (max(ranks.values()) + 1)
+    for word, rank in ranks.items():
+        words[rank] = word.hex()
+    pieces = _literal(words, "string")
+    found = F.transform(F.col(ids), lambda i: F.get(pieces, i))
+    # An id beyond the table has no piece, one that the file leaves out an empty one; neither may pass in silence.
+    known = F.assert_true(F.col(ids).isNull() | F.forall(found, lambda p: F.coalesce(p != "", F.lit(False))), F.lit("an id is not in the rank file"))
+    return encoded.drop("decoded").withColumn("decoded", F.when(known.isNull(), F.unhex(F.array_join(found, ""))))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _bpe(content, pattern)
-        for batch in sliced(batches, CHUNK):
-            out = [None if x is None else bpe.decode(np.frombuffer(x, dtype="<u4")) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(each, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
+# -- the fold in built-in functions --------------------------------------------------------------------
+
+
+def _ranks(content: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in (x.split() for x in content.splitlines() if x)}
+
+
+def _literal(values, kind: str) -> Column:
+    """A literal array, out of one literal text that the optimizer takes apart once."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def rank_map(content: bytes) -> tuple[Column, Column, Column]:
+    """(ids of bytes, places, shifts): the rank file's merges as literal arrays that are looked up in constant time.
+
+    A map's literal would be searched from its start. A pair (a, b) has the key a * 65536 + b; its
+    place is key + shifts[key % d], modulo the number of places, where the key and its rank are
+    packed into one number. Shifts are chosen so that no two keys share a place.
+    """
+    ranks = _ranks(content)
+    merges = {}
+    for word, rank in ranks.items():
+        for cut in range(1, len(word)):
+            a, b = ranks.get(word[:cut]), ranks.get(word[cut:])
+            if a is not None and b is not None:
+                merges[a << 16 | b] = rank
+    n = _PLACES
+    while n < 2 * len(merges):
+        n = 2 * n + 1
+    dealt: dict[int, list[int]] = {}
+    for key in merges:
+        dealt.setdefault(key % _SHIFTS, []).append(key)
+    places, shifts, rng = np.full(n, -1, dtype=np.int64), np.zeros(_SHIFTS, dtype=np.int64), np.random.default_rng(3)
+    for group, keys in sorted(dealt.items(), key=lambda x: -len(x[1])):
+        own = np.array(keys) % n
+        while True:
+            shift = int(rng.integers(n))
+            at = (own + shift) % n
+            if (places[at] < 0).all() and len(np.unique(at)) == len(at):
+                break
+        shifts[group] = shift
+        places[at] = [key << 16 | merges[key] for key in keys]
+    return _literal([ranks[bytes([b])] for b in range(256)], "bigint"), _literal(places, "bigint"), _literal(shifts, "bigint")
+
+
+_PLACES, _SHIFTS = 262_147, 65_537
+
+
+def folded(word: Column, table: tuple[Column, Column, Column]) -> Column:
+    """The ids of a word (a string) by ranked merges over its bytes: each step merges the leftmost pair of the lowest rank."""
+    byte_ids, places, shifts = table
+    size = F.size(places).cast("bigint")
+
+    def rank_of(a: Column, b: Column) -> Column:
+        return _let(a * 65536 + b, lambda key: _let(
+            F.get(places, ((key + F.get(shifts, (key % _SHIFTS).cast("int"))) % size).cast("int")), lambda at: F.when(F.shiftright(at, 16) == key, at.bitwiseAND(65535))))
+
+    raw, n = word.cast("binary"), F.octet_length(word)
+    ids = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(byte_ids, F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int")))
+    state = F.struct(ids.alias("ids"), F.lit(True).alias("open"))
+
+    def step(acc: Column, _: Column) -> Column:
+        merged = lambda x, ranks: _let(F.array_min(ranks), lambda low: F.when(low.isNull(), F.struct(x.alias("ids"), F.lit(False).alias("open"))).otherwise(
+            _let(F.array_position(ranks, low).cast("int"), lambda at: F.struct(
+                F.concat(F.slice(x, F.lit(1), at - 1), F.array(low), F.slice(x, at + 2, F.size(x))).alias("ids"), F.lit(True).alias("open")))))
+        return F.when(~acc["open"], acc).otherwise(_let(acc["ids"], lambda x: _let(F.zip_with(x, F.slice(x, F.lit(2), F.size(x)), rank_of), lambda ranks: merged(x, ranks))))
+
+    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.aggregate(F.sequence(F.lit(1), n), state, step)["ids"])
+
+
+def encode_by_functions(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """docs with n_tokens and tokens (array of ids), by higher-order functions alone.
+
+    A text's matches are made distinct and sorted, each distinct word is folded once, and every match
+    finds its word's ids by a binary search in its row. Equal to encode(), and slower: the README has
+    the check tool's figures, for which encode() is the one that queries use.
+    """
+    table = rank_map(read_ranks(path))
+    words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(0))
+    rows = docs.drop("n_tokens", "tokens").withColumn("__words", words)
+    rows = rows.withColumn("__distinct", F.array_sort(F.array_distinct("__words")))
+    rows = rows.withColumn("__folded", F.transform("__distinct", lambda w: folded(w, table)))
+
+    def place(word: Column) -> Column:
+        """The 0-based place of a word among the distinct ones: the last that is not greater."""
+        halve = lambda acc, bit: F.when((acc + bit < F.size("__distinct")) & (F.get("__distinct", acc + bit) <= word), acc + bit).otherwise(acc)
+        bits = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size("__distinct") + 1)).cast("int")), lambda i: F.pow(F.lit(2), F.ceil(F.log2(F.size("__distinct") + 1)) - i).cast("int"))
+        return F.aggregate(bits, F.lit(0), halve)
+
+    tokens = F.flatten(F.transform("__words", lambda w: F.get("__folded", place(w))))
+    out = rows.withColumn("tokens", F.transform(tokens, lambda x: x.cast("int"))).drop("__words", "__distinct", "__folded")
+    return out.withColumn("n_tokens", F.size("tokens").cast("bigint"))

@@ -48,7 +48,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), *_tokenizer())
-    decoded = bpe.decode(encoded.drop("text"), *_tokenizer())
+    decoded = bpe.decode(encoded.drop("text"), _tokenizer()[0])
     return decoded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )

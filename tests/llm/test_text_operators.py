@@ -105,20 +105,71 @@ TEXTS = [
 ]
 
 
+def brute_bpe(text, ranks, pattern):
+    """Ranked merges as they are defined: the leftmost pair of the lowest rank, again and again."""
+    import regex
+
+    out = []
+    for word in regex.findall(pattern, text):
+        parts = [bytes([b]) for b in word.encode()]
+        while True:
+            found = [(ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks]
+            if not found:
+                break
+            _, i = min(found)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        out += [ranks[p] for p in parts]
+    return out
+
+
+def test_bpe_equals_brute_force(spark, tokenizer):
+    import numpy as np
+
+    path, pattern = tokenizer
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, tokens int")
+    for r in bpe.decode(bpe.encode(docs, *tokenizer), path).collect():
+        assert r["tokens"] == brute_bpe(r["text"] or "", ranks, pattern) and r["n_tokens"] == len(r["tokens"])
+        assert np.frombuffer(r["ids"], dtype="<u4").tolist() == r["tokens"]
+        assert bytes(r["decoded"]).decode() == (r["text"] or "")
+    assert bpe.encode(docs.limit(0), *tokenizer).count() == 0
+    bad = spark.createDataFrame([([70000],)], "tokens array<int>")
+    with pytest.raises(Exception, match="rank file"):
+        bpe.decode(bad, path).collect()
+    assert bpe.decode(spark.createDataFrame([(None,)], "tokens array<int>"), path).first()["decoded"] is None
+
+
+def test_bpe_by_functions_equals_brute_force(spark, tokenizer):
+    path, pattern = tokenizer
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    texts = [t for t in TEXTS if t is None or len(t) < 400]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in bpe.encode_by_functions(docs, *tokenizer).collect():
+        assert r["tokens"] == brute_bpe(r["text"] or "", ranks, pattern) and r["n_tokens"] == len(r["tokens"])
+
+
 def test_bpe_equals_tiktoken(spark, tokenizer):
     tiktoken = pytest.importorskip("tiktoken")
     path, pattern = tokenizer
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     reference = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(TEXTS)], "doc_id long, text string, ids int")
-    rows = bpe.decode(bpe.encode(docs, *tokenizer), *tokenizer).collect()
-    import numpy as np
-
-    for r in rows:
-        ids = np.frombuffer(r["ids"], dtype="<u4").tolist()
-        assert ids == reference.encode_ordinary(r["text"] or "") and r["n_tokens"] == len(ids)
-        assert bytes(r["decoded"]).decode() == (r["text"] or "")
-    assert bpe.encode(docs.limit(0), *tokenizer).count() == 0
+    for r in bpe.encode(docs, *tokenizer).collect():
+        assert r["tokens"] == reference.encode_ordinary(r["text"] or "")
+
+
+def test_pii_in_long_runs(spark):
+    """Runs of a megabyte and 100,000 matches take linear time; each text in a job of its own."""
+    import time
+
+    many = " ".join(f"u{i}@x{i}.co_" for i in range(100_000))
+    for text, n in (("a" * 1_000_000 + " @", 0), ("1" * 1_000_000 + " 1.2", 0), (many, 100_000)):
+        frame = spark.createDataFrame([(text,)], "text string")
+        start = time.perf_counter()
+        spans = frame.select(pii.base_spans(F.col("text")).alias("s")).first()["s"]
+        assert len(spans) == n and time.perf_counter() - start < 60
+        if n:
+            assert all(text[s["start"]:s["end"]] == s["value"] for s in spans[::9973])
 
 
 def test_chat_round_trip(spark, tokenizer):
