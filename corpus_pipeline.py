@@ -49,7 +49,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     tokenizer = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode(docs.select("doc_id", "source", "text"), *tokenizer).drop("text")
-    return bpe.decode(encoded, *tokenizer).select(
+    return bpe.decode(encoded, tokenizer[0]).select(
         "doc_id", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
