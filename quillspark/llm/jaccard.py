@@ -231,7 +231,7 @@ def _counted(sets: DataFrame, nodes: DataFrame, threshold, held: Tables) -> tupl
     for last in (False, True):
         entries = held.keep(sets.join(small(left.select("node"), left), "node").select("node", "set").mapInArrow(tokens, "token long, node long"))
         counts = held.keep(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
-        met = entries.join(small(counts), "token")
+        met = entries.join(counts, "token")
         if last:
             met = met.groupBy("node").agg(F.collect_list(F.struct("df", "token")).alias("rows")).join(small(left), "node")
             met = met.where(F.size("rows") * threshold[1] >= F.col("n") * threshold[0]).select("node", "n", "rows")
@@ -369,7 +369,8 @@ def components(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = T
     entries = reps.select("node", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "node", F.col("n").cast("int").alias("n"), (F.col("pos") + 1).alias("pos"))
     entries = entries.distinct() if repeated else entries
     counts = held.keep(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
-    listed = held.keep(entries.join(small(counts), "token"))
+    # Neither side is ever broadcast: both grow with the corpus. Adaptive execution splits frequent tokens.
+    listed = held.keep(entries.join(counts, "token"))
     planned = lambda rows, longest, most: held.keep(rows.mapInArrow(_plans(threshold, longest, most), _PLAN))
     plans = planned(listed.groupBy("node", "n").agg(F.collect_list(F.struct("pos", "df", "token")).alias("rows")), LONGEST, SHORT)
     direct = held.keep(_ordered(_matched(plans, listed, SHORT, threshold)), parts)

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from quillspark.llm.common import sliced
 from quillspark.llm.sampling import bounded_sample, held_out
 
-#: Labelled rows that are learned from, at most; languages, at most (the most frequent of the sample).
-TRAIN_ROWS, LANGUAGES = 4_000, 200
+#: Labelled rows that are learned from, at most. All languages among them are learned.
+TRAIN_ROWS = 4_000
 #: Hash buckets and size of an embedding.
 BUCKETS, SIZE = 1 << 13, 16
 #: What is predicted for texts without letters.
@@ -68,14 +68,13 @@ class Model:
     def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, heat: float, reject: float):
         self.languages, self.table, self.bias, self.heat, self.reject = languages, table, bias, heat, reject
 
-    def predict(self, counts: np.ndarray) -> tuple[str, float]:
-        """The likeliest language and its calibrated probability."""
-        if not self.languages:
-            return UNDETERMINED, 0.0
-        z = (counts @ self.table / max(1, counts.sum()) + self.bias) / self.heat
-        p = np.exp(z - z.max())
-        best = int(p.argmax())
-        return self.languages[best], float(p[best] / p.sum())
+    def predict(self, counts: np.ndarray) -> list[tuple[str, float]]:
+        """The likeliest language of each row of counts, and its calibrated probability."""
+        if not self.languages or not len(counts):
+            return [(UNDETERMINED, 0.0)] * len(counts)
+        p = _softmax((counts @ self.table / np.maximum(1, counts.sum(axis=1, keepdims=True)) + self.bias) / self.heat)
+        best = p.argmax(axis=1)
+        return [(self.languages[b], float(p[i, b])) for i, b in enumerate(best)]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -139,17 +138,14 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     rows = sample.mapInArrow(each, f"doc_id {id_type}, lang string, at array<int>, n array<int>").toArrow()
     order = np.argsort(np.array([str(x) for x in rows.column("doc_id").to_pylist()]), kind="stable")
     langs = rows.column("lang").to_pylist()
-    often: dict[str, int] = {}
-    for lang in langs:
-        often[lang] = often.get(lang, 0) + 1
-    languages = sorted(sorted(often, key=lambda x: (-often[x], x))[:LANGUAGES])
-    order = [i for i in order if langs[i] in languages]
+    languages = sorted(set(langs))
+    number = {lang: k for k, lang in enumerate(languages)}
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     counts, at, n = np.zeros((len(order), BUCKETS), dtype=np.float32), rows.column("at"), rows.column("n")
     for k, i in enumerate(order):
         counts[k, at[i].values.to_numpy()] = n[i].values.to_numpy()
-    return train(counts, np.array([languages.index(langs[i]) for i in order]), languages)
+    return train(counts, np.array([number[langs[i]] for i in order]), languages)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -163,9 +159,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            out = [
-                model.predict(bucket_counts(t)) if has_letter(t) else (UNDETERMINED, 0.0) for t in batch.column(text).to_pylist()
-            ]
+            texts = batch.column(text).to_pylist()
+            known = [i for i, t in enumerate(texts) if has_letter(t)]
+            out = [(UNDETERMINED, 0.0)] * len(texts)
+            for i, found in zip(known, model.predict(np.stack([bucket_counts(texts[i]) for i in known]) if known else np.zeros((0, BUCKETS))), strict=True):
+                out[i] = found
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()),
                  pa.array([x[0] == UNDETERMINED or x[1] < model.reject for x in out], pa.bool_())],

@@ -6,6 +6,8 @@ The trees, the calibration and the lexicon are fitted on a bounded sample of lab
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -269,14 +271,18 @@ def _stem_rows(wanted: frozenset[str] | None):
 
 def _entries(clean: dict[str, int]) -> list[str]:
     """Stems as beginnings: of nested ones that hold nearly the same rows the longest, of others the shorter."""
-    kept: list[str] = []
+    kept: set[str] = set()
+    # What begins with a stem follows it in order; only beginnings that do not count themselves look there.
+    listed = sorted(clean)
     for stem in sorted(clean, key=lambda s: (len(s.rstrip("*")), not s.endswith("*"), s)):
         root = stem.rstrip("*")
-        longer = [s for s in clean if s != stem and s.startswith(root) and clean[s] >= 0.95 * clean[stem]]
-        if stem.endswith("*") and longer:
+        if any(root[:n] in kept for n in range(1, len(root) + 1)):
             continue
-        if not any(root.startswith(k) for k in kept):
-            kept.append(root)
+        if stem.endswith("*"):
+            after = itertools.takewhile(lambda s, root=root: s.startswith(root), (listed[i] for i in range(bisect.bisect_left(listed, root), len(listed))))
+            if any(s != stem and clean[s] >= 0.95 * clean[stem] for s in after):
+                continue
+        kept.add(root)
     return [k + "*" for k in sorted(kept, key=lambda k: (-max(clean.get(k, 0), clean.get(k + "*", 0)), k))[:LEXICON_SIZE]]
 
 
