@@ -130,7 +130,7 @@ def assemble(formatted: DataFrame, row_tokens: int = ROW_TOKENS) -> DataFrame:
 
 
 def read_back(assembled: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Digests of what assemble()'s rows say, which must still be in their order; one row a conversation.
+    """Digests of what assemble()'s rows say, which must still be in their order (else it is an error); one row a conversation.
 
     n_turns, turns_sha256 (role, line feed, text, line feed for each turn), loss_chars and
     loss_sha256 (the text under the mask, unescaped), formatted_chars (of the template's text).
@@ -148,7 +148,7 @@ def read_back(assembled: DataFrame, path: str, pattern: str) -> DataFrame:
             yield unescape_role(role), unescape(text), unescape(learned), len(START) + len(inside) + len(END) + 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, schema, state, out = _bpe(content, pattern), None, None, []
+        bpe, schema, state, last, out = _bpe(content, pattern), None, None, None, []
 
         def done() -> tuple:
             conv, n, said, chars, loss, total = state
@@ -163,6 +163,9 @@ def read_back(assembled: DataFrame, path: str, pattern: str) -> DataFrame:
                 ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()),
             ])
             for conv, chunk, ids, mask in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "chunk", "ids", "mask")), strict=True):
+                if chunk != (0 if last is None or chunk == 0 else last[1] + 1) or chunk and conv != last[0]:
+                    raise ValueError(f"chunk {chunk} of conversation {conv} does not follow {last}: rows are not in the order of assemble()")
+                last = conv, chunk
                 if chunk == 0:
                     if state:
                         out.append(done())

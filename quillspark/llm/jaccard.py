@@ -459,3 +459,19 @@ def keep_first(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = T
     found = components(docs, size, threshold)
     gone = materialize(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
     return docs.join(small(gone), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+
+
+#: DuckDB SQL for query op3_jaccard.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+n AS (SELECT md5(array_to_string(list_sort(s), chr(10))) AS node, any_value(s) AS s, len(any_value(s)) AS n FROM s WHERE len(s) > 0 GROUP BY 1),
+e AS (SELECT node, n, unnest(s) AS t FROM n),
+l AS (SELECT a.node AS a, b.node AS b FROM e a JOIN e b ON a.t = b.t AND a.node <> b.node GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+m AS (SELECT md5(array_to_string(list_sort(s), chr(10))) AS node, min(doc_id) AS least FROM s WHERE len(s) > 0 GROUP BY 1),
+reach AS (SELECT node AS a, node AS b FROM n UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+c AS (SELECT a AS node, min(least) AS component_id FROM reach JOIN m ON m.node = reach.b GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON len(s.s) > 0 AND c.node = md5(array_to_string(list_sort(s.s), chr(10)))
+"""

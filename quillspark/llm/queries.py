@@ -94,6 +94,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_jaccard": jaccard.ORACLE,
     "op4_embeddings": vectors.ORACLE_NEAR,
     "op5_topk": vectors.ORACLE_TOP,
     "op8_chat": chat.ORACLE,
