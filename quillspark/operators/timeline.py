@@ -33,6 +33,32 @@ def page_status(page: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     )
 
 
+def scanned_page(rows: DataFrame, keys: Sequence[str], limit: int, budget: int, after: Sequence | None = None, where: Column | None = None) -> DataFrame:
+    """(items, scanned, has_more, exhausted_scan, next_*): a page of matches for which at most `budget` rows are looked at.
+
+    Rows are looked at in descending order of keys until the page is full or the budget used up. The
+    next key is the last item's on a full page, else the last row's that was looked at; at the end
+    of the rows there is none. items is an array of the matches' keys. The head of at most budget
+    rows is numbered in one task, which the budget bounds.
+    """
+    if after is not None:
+        bound = [F.lit(v).cast(rows.schema[k].dataType).alias(k) for k, v in zip(keys, after, strict=True)]
+        rows = rows.where((F.col(keys[0]) <= bound[0]) & (F.struct(*keys) < F.struct(*bound)))
+    order = [F.col(k).desc() for k in keys]
+    head = rows.select(*keys, F.coalesce(where if where is not None else F.lit(True), F.lit(False)).alias("hit")).orderBy(*order).limit(budget)
+    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = head.select(F.struct(*keys).alias("key"), "hit", F.count("*").over(w).alias("n"), F.count_if("hit").over(w).alias("hits"))
+    full = F.min(F.when(F.col("hit") & (F.col("hits") == limit), F.col("n")))
+    found = ranked.crossJoin(F.broadcast(ranked.agg(full.alias("full"), F.count("*").alias("looked")))).where(F.col("n") <= F.coalesce("full", "looked"))
+    summed = found.agg(
+        F.sort_array(F.collect_list(F.when(F.col("hit"), F.col("key"))), asc=False).alias("items"), F.count("*").alias("scanned"),
+        F.max("full").isNotNull().alias("page_full"), F.min("key").alias("last"),
+    )
+    more = F.col("page_full") | (F.col("scanned") >= budget)
+    return summed.select("items", "scanned", more.alias("has_more"), (~F.col("page_full") & (F.col("scanned") >= budget)).alias("exhausted_scan"),
+                         *[F.when(more, F.col(f"last.{k}")).alias(f"next_{k}") for k in keys])
+
+
 def phrase_match(columns: Sequence[Column], phrase: str | None, as_is: Sequence[Column] = ()) -> Column:
     """One trimmed phrase, in lower case, within any column; an empty one matches all. as_is are not lower-cased."""
     term = (phrase or "").strip().lower()
@@ -172,6 +198,28 @@ def jump_to_day(rows: DataFrame, time: str, tie: str, day: date, offset_minutes:
     )
 
 
+def jump(placed: DataFrame, time: str, day: date, direction: str, offset_minutes: int = 0, stride: int = 200, shown: Column | None = None) -> DataFrame:
+    """(position, exact, shown): where a day begins in a list of any direction; no row if it lies before all of them.
+
+    placed has position. In a list that falls the first row before the day's end counts, in one that
+    rises the first that is not before its start. In a mixed list every stride-th row is looked at
+    and the nearest to the day's start taken, the first of equals. exact tells whether the row lies
+    on the day, shown whether it is among what a filter leaves.
+    """
+    start = F.lit(day).cast("timestamp_ntz") - F.expr(f"interval {int(offset_minutes)} minutes")
+    end = start + F.expr("interval 1 day")
+    known = placed.where(F.col(time).isNotNull()).withColumn("at", F.col(time).cast("timestamp_ntz")).withColumn("shown", F.coalesce(shown if shown is not None else F.lit(True), F.lit(False)))
+    row = F.struct("at", "shown")
+    if direction == "mixed":
+        gap = F.abs(F.timestamp_diff("MICROSECOND", F.col("at"), start))
+        found = known.where(F.col("position") % stride == 0).agg(F.min(F.struct(gap.alias("gap"), "position")).alias("best"), F.min_by(row, F.struct(gap, "position")).alias("row"))
+        found = found.select(F.col("best.position").alias("position"), "row")
+    else:
+        fits = F.col("at") < end if direction == "desc" else F.col("at") >= start
+        found = known.where(fits).agg(F.min("position").alias("position"), F.min_by(row, "position").alias("row"))
+    return found.where("position is not null").select("position", ((F.col("row.at") >= start) & (F.col("row.at") < end)).alias("exact"), F.col("row.shown").alias("shown"))
+
+
 def failure_streak(outcomes: DataFrame, partition: str, order: Sequence[str], failed: Column, stop: int = 5) -> DataFrame:
     """(partition, longest, stopped): the longest run of failures in a row, by gaps and islands."""
     w = Window.partitionBy(partition).orderBy(*order)

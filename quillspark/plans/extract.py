@@ -171,7 +171,7 @@ def archived_profiles(rows: DataFrame, body: str = "body") -> DataFrame:
 
 def roster_rows(rows: DataFrame, body: str = "body", most: int = 200) -> DataFrame:
     """(position, user_id, screen_name, name, bio) out of a follow list's entries."""
-    kind = "array<struct<type:string,entries:array<struct<content:struct<entryType:string,itemContent:struct<itemType:string,user_results:struct<result:struct<rest_id:string,core:struct<screen_name:string,name:string>,legacy:struct<screen_name:string,name:string,description:string>>>>>>>>"
+    kind = "array<struct<type:string,entries:array<struct<content:struct<entryType:string,itemContent:struct<itemType:string,user_results:struct<result:struct<rest_id:string,core:struct<screen_name:string,name:string>,legacy:struct<screen_name:string,name:string,description:string>>>>>>>>>"
     path = "$.data.user.result.timeline.timeline.instructions"
     entries = F.flatten(F.transform(F.filter(F.from_json(F.get_json_object(F.col(body), path), kind), lambda i: i["type"] == "TimelineAddEntries"), lambda i: i["entries"]))
     users = F.filter(F.transform(entries, lambda e: e["content"]["itemContent"]), lambda c: c["itemType"] == "TimelineUser")

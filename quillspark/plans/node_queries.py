@@ -192,3 +192,87 @@ def _(read):
     """Counts that are numbers and not negative."""
     rows = nodes.shown_counts([("balance", F.col("c_acctbal")), ("nation", F.col("c_nationkey")), ("listed", F.lit(None).cast("double"))])
     return read("customer").select(F.col("c_custkey").alias("id"), F.explode(rows).alias("r")).select("id", "r.label", "r.value")
+
+
+@query("live_records", """SELECT doc_id::VARCHAR AS id, source AS shown, doc_id % 3 = 0 AS is_reply, CASE WHEN doc_id % 2 = 0 THEN '77' WHEN doc_id % 3 = 0 THEN '99' ELSE doc_id::VARCHAR END AS conversation, doc_id % 2 <> 0 AS inferred, doc_id::BIGINT AS likes,
+ CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 12 END::BIGINT AS views, TIMESTAMP '2018-10-10 20:19:24' AS created_at, CASE WHEN doc_id % 4 = 0 THEN '55' WHEN doc_id % 4 = 1 THEN '66' END AS quote_id, doc_id % 6 = 0 AS liked, lang AS handle FROM documents WHERE source <> ''""")
+def _(read):
+    """Posts out of result nodes by ordered fallbacks."""
+    k = F.col("doc_id")
+    body = F.concat(
+        F.when(k % 2 == 0, _json('{"rest_id":', _text("doc_id"))).otherwise(_json('{"rest_id":"","id_str":', _text("doc_id"))),
+        _json(',"core":{"user_results":{"result":{"rest_id":"7","legacy":{"screen_name":', F.col("lang"), '}}}},"views":{"count":'), F.when(k % 5 == 0, '"-"').otherwise('"12"'),
+        _json('},"legacy":{"full_text":', F.col("source"), ',"created_at":"Wed Oct 10 20:19:24 +0000 2018","favorite_count":', k, ',"favorited":', k % 6 == 0),
+        F.when(k % 3 == 0, ',"in_reply_to_status_id_str":"99"').otherwise(""), F.when(k % 2 == 0, ',"conversation_id_str":"77"').otherwise(""), F.when(k % 4 == 0, ',"quoted_status_id_str":"55"').otherwise(""),
+        F.lit("}"), F.when(k % 4 == 1, ',"attachment_url":"https://x.com/a/status/66?s=1"').otherwise(""), F.lit("}"),
+    )
+    found = extract.live_posts(read("documents").where("source <> ''").select(body.alias("body")))
+    return found.select(
+        "id", F.col("text").alias("shown"), "is_reply", F.col("conversation_id").alias("conversation"), F.col("conversation_inferred").alias("inferred"), F.col("metrics.likes").alias("likes"), F.col("metrics.views").alias("views"),
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"), "quote_id", F.col("viewer_state.liked").alias("liked"), F.col("author.screen_name").alias("handle"),
+    )
+
+
+@query("archived_records", """SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 4 = 0 THEN 'shared ' || doc_id WHEN doc_id % 4 = 1 THEN 'long ' || doc_id ELSE source END AS shown, doc_id % 3 = 0 AS is_reply, CASE WHEN doc_id % 3 = 0 THEN 'you' END AS reply_to, doc_id % 4 = 0 AS is_retweet, lang AS author,
+ CASE WHEN doc_id % 2 = 0 THEN 'last,v9' ELSE '' END AS media, CASE WHEN doc_id % 5 = 0 THEN '1,' || doc_id END AS edits, doc_id::BIGINT AS likes, TIMESTAMP '2020-01-02 03:04:05' AS created_at FROM documents WHERE source <> ''""")
+def _(read):
+    """Archived envelopes joined with what they include."""
+    k, number = F.col("doc_id"), _text("doc_id")
+    refs = F.array_join(F.array_compact(F.array(F.when(k % 3 == 0, '{"type":"replied_to","id":"4"}'), F.when(k % 4 == 0, '{"type":"retweeted","id":"8"}'))), ",")
+    body = F.concat(
+        _json('{"data":{"id":', number, ',"text":', F.col("source"), ',"author_id":"1","in_reply_to_user_id":"2","created_at":"2020-01-02T03:04:05.000Z","public_metrics":{"like_count":', k, '},"referenced_tweets":['), refs, F.lit("]"),
+        F.when(k % 4 == 1, _json(',"note_tweet":{"text":', F.concat(F.lit("long "), number), "}")).otherwise(""), F.when(k % 2 == 0, ',"attachments":{"media_keys":["k1","gone","k2"]}').otherwise(""),
+        F.when(k % 5 == 0, _json(',"edit_history_tweet_ids":["1",', number, "]")).when(k % 5 == 1, ',"edit_history_tweet_ids":["1","2"]').otherwise(""),
+        _json('},"includes":{"users":[{"id":"1","username":', F.col("lang"), '},{"id":"1","username":"other"}'), F.when(k % 3 == 0, ',{"id":"2","username":"you"}').otherwise(""),
+        _json('],"tweets":[{"id":"8","text":', F.concat(F.lit("shared "), number), '}],"media":[{"media_key":"k1","type":"photo","url":"first"},{"media_key":"k1","type":"photo","url":"last"},{"media_key":"k2","type":"video","variants":[{"url":"v1","bit_rate":1,"content_type":"video/mp4"},{"url":"v9","bit_rate":9,"content_type":"video/mp4"},{"url":"m","content_type":"application/x"}]}]}}'),
+    )
+    found = extract.archived_posts(read("documents").where("source <> ''").select(body.alias("body")))
+    return found.select(
+        "id", F.col("text").alias("shown"), "is_reply", F.col("reply_to_handle").alias("reply_to"), "is_retweet", F.col("author.screen_name").alias("author"), F.array_join(F.transform("media", lambda m: m["url"]), ",").alias("media"),
+        F.array_join("edit_ids", ",").alias("edits"), F.col("metrics.likes").alias("likes"), F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+@query("archived_people", "SELECT c_custkey::VARCHAR AS user_id, c_name AS screen_name, c_mktsegment AS bio, c_custkey::BIGINT AS followers, c_custkey % 2 = 0 AS protected FROM customer WHERE c_custkey % 5 <> 0")
+def _(read):
+    """The included user whose handle is the requested one, whatever its case."""
+    k = F.col("c_custkey")
+    body = F.concat(
+        _json('{"includes":{"users":[{"id":"0","username":"nobody"},{"id":', _text("c_custkey"), ',"username":', F.when(k % 5 == 0, "else").otherwise(F.col("c_name")), ',"description":', F.col("c_mktsegment"),
+              ',"protected":', k % 2 == 0, ',"public_metrics":{"followers_count":', k, "}}]}}"),
+    )
+    found = extract.archived_profiles(read("customer").select(body.alias("body"), F.upper("c_name").alias("handle")))
+    return found.select("user_id", "screen_name", "bio", "followers", "protected")
+
+
+@query("roster_collected", "SELECT p.page_id, u.position::INTEGER AS position, (p.page_id * 10 + u.position)::VARCHAR AS user_id, 'u' || u.position AS screen_name FROM pages p, (SELECT unnest([0, 2]) AS position) u")
+def _(read):
+    """P20: users of a list's added entries; other instructions, items and users without an id go."""
+    entry = lambda place, kind: _json('{"content":{"entryType":"TimelineTimelineItem","itemContent":{"itemType":', F.lit(kind), ',"user_results":{"result":{"rest_id":', place, ',"core":{"screen_name":')
+    user = lambda i, kind="TimelineUser": F.concat(entry((F.col("page_id") * 10 + i).cast("string"), kind), F.lit(f'"u{i}"' + "}}}}}}"))
+    bad = F.concat(entry(F.lit("none"), "TimelineUser"), F.lit('"u1"}}}}}}'))
+    body = F.concat(F.lit('{"data":{"user":{"result":{"timeline":{"timeline":{"instructions":[{"type":"TimelineClearCache"},{"type":"TimelineAddEntries","entries":['), user(0), F.lit(","), bad, F.lit(","), user(9, "TimelineCursor"), F.lit(","), user(2), F.lit("]}]}}}}}}"))
+    rows = read("pages").select("page_id", body.alias("body"))
+    found = extract.roster_rows(rows)
+    return found.select((F.floor(F.col("user_id").cast("bigint") / 10)).alias("page_id"), "position", "user_id", "screen_name")
+
+
+@query("request_parts", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'q' || doc_id END AS query_id, CASE WHEN doc_id % 2 = 0 THEN 'UserTweets' END AS operation, CASE WHEN doc_id % 2 = 0 THEN doc_id::VARCHAR END AS asked FROM documents")
+def _(read):
+    """Query, operation and variables out of a request's address."""
+    k, number = F.col("doc_id"), _text("doc_id")
+    url = F.when(k % 2 == 0, F.concat(F.lit("https://x.com/i/api/graphql/q"), number, F.lit("/UserTweets?variables=%7B%22userId%22%3A%22"), number, F.lit("%22%7D&features=1"))).otherwise("https://x.com/i/api/1.1/other.json")
+    parts = extract.requests(read("documents").select("doc_id", url.alias("url")))
+    return parts.select("doc_id", "query_id", "operation", F.get_json_object("variables", "$.userId").alias("asked"))
+
+
+@query("collected_results", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS results, page_id::VARCHAR AS first FROM pages")
+def _(read):
+    """Result nodes anywhere in an answer, each id once, quoted ones left out."""
+    k, number = F.col("page_id"), _text("page_id")
+    one = _json('{"tweet_results":{"result":{"rest_id":', number, ',"quoted_status_result":{"tweet_results":{"result":{"rest_id":"q"}}}}}}')
+    body = F.concat(F.lit('{"deep":[{"a":{"b":['), one, F.lit(","), one, F.when(k % 2 == 0, _json(',{"items":[{"tweet_results":{"result":{"rest_id":', F.concat(F.lit("1"), number), "}}}]}")).otherwise(""), F.lit("]}}]}"))
+    found = extract.collect_results(read("pages").select(body.alias("body")), "body").select("position", F.get_json_object("body", "$.rest_id").alias("rest_id"))
+    firsts = found.where("position = 0").select(F.col("rest_id").cast("bigint").alias("page_id"), F.col("rest_id").alias("first"))
+    more = found.where("position = 1").select(F.substring("rest_id", 2, 20).cast("bigint").alias("page_id"), F.lit(1).alias("more"))
+    return firsts.join(more, "page_id", "left").select("page_id", (1 + F.coalesce("more", F.lit(0))).cast("bigint").alias("results"), "first")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -362,3 +362,84 @@ def _(read):
     thread = views.thread(read)
     counts = relate.children_counts(thread.select("id", "parent"))
     return thread.select("id", F.col("parent").isNotNull().alias("is_reply")).join(counts, "id", "left").select("id", F.coalesce("replies", F.lit(0)).alias("replies"), "is_reply")
+
+
+# -- pages, jumps and functions ----------------------------------------------------------------------
+
+
+@query("scan_budget_page", sql("posts", """h AS (SELECT created_at, id, contains(text, 'LOW') AS hit FROM posts ORDER BY created_at DESC, id DESC LIMIT 100),
+ n AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS n, count(*) FILTER (hit) OVER (ORDER BY created_at DESC, id DESC ROWS UNBOUNDED PRECEDING) AS hits FROM h),
+ f AS (SELECT min(n) FILTER (hit AND hits = 40) AS full_at FROM n), s AS (SELECT n.*, full_at FROM n, f WHERE n <= coalesce(full_at, 1000000))
+ SELECT count(*) FILTER (hit)::BIGINT AS items, count(*)::BIGINT AS scanned, bool_or(full_at IS NOT NULL) OR count(*) >= 100 AS has_more, NOT bool_or(full_at IS NOT NULL) AND count(*) >= 100 AS exhausted_scan, arg_max(id, n) AS next_id FROM s"""))
+def _(read):
+    """O1: a page of matches within a budget of rows that are looked at."""
+    posts = views.posts(read)
+    page = timeline.scanned_page(posts, ["created_at", "id"], 40, 100, where=posts["text"].contains("LOW"))
+    return page.select(F.size("items").cast("bigint").alias("items"), "scanned", "has_more", "exhausted_scan", "next_id")
+
+
+def _jump(name: str, order: str, direction: str, offset: int = 0):
+    key = {"desc": "ts DESC, event_id DESC", "asc": "ts, event_id", "mixed": "event_id"}[direction]
+    start = f"(TIMESTAMP '2024-01-11' - INTERVAL {offset} MINUTE)"
+    pick = {"desc": f"SELECT min(p) AS p FROM r WHERE ts < {start} + INTERVAL 1 DAY", "asc": f"SELECT min(p) AS p FROM r WHERE ts >= {start}",
+            "mixed": f"SELECT p FROM r WHERE p % 20 = 0 ORDER BY abs(epoch_us(ts) - epoch_us({start})), p LIMIT 1"}[direction]
+
+    @query(name, f"WITH r AS (SELECT ts, event_type, row_number() OVER (ORDER BY {key}) - 1 AS p FROM events), f AS ({pick}) SELECT f.p AS position, ts >= {start} AND ts < {start} + INTERVAL 1 DAY AS exact, event_type <> 'error' AS shown FROM f JOIN r ON r.p = f.p")
+    def _(read):
+        """Where a day begins in a list that falls, rises or does neither, and whether a filter shows it."""
+        columns = {"desc": [F.col("ts").desc(), F.col("event_id").desc()], "asc": [F.col("ts").asc(), F.col("event_id").asc()], "mixed": [F.col("event_id").asc()]}[direction]
+        placed = timeline.with_positions(read("events").select("ts", "event_id", "event_type"), columns)
+        return timeline.jump(placed, "ts", date(2024, 1, 11), direction, offset, 20, F.col("event_type") != "error")
+
+
+_jump("day_jump_falling", "desc", "desc", 480)
+_jump("day_jump_rising", "asc", "asc")
+_jump("day_jump_mixed", "mixed", "mixed")
+
+
+@query("url_rules", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://pbs.twimg.com/a' || page_id || '_400x400.JPG' WHEN page_id % 3 = 1 THEN 'http://pbs.twimg.com/x_mini.png/' ELSE 'https://pbs.twimg.com.evil.org/a.png' END AS larger,
+ page_id % 3 = 0 AS allowed, CASE WHEN page_id % 2 = 0 THEN 'https://x.com/a/status/' || page_id ELSE 'https://x.com/i/web/status/' || page_id END AS post, page_id % 4 = 0 AS picture FROM pages""")
+def _(read):
+    """URL functions: media hosts, post addresses, larger avatars and embedded pictures."""
+    k, number = F.col("page_id"), F.col("page_id").cast("string")
+    media = F.when(k % 3 == 0, F.concat(F.lit("https://pbs.twimg.com/a"), number, F.lit("_Normal.JPG"))).when(k % 3 == 1, "http://pbs.twimg.com/x_mini.png/").otherwise("https://pbs.twimg.com.evil.org/a.png")
+    post = F.when(k % 2 == 0, F.concat(F.lit("https://x.com/a/status/"), number)).otherwise("https://other.org/status/1")
+    data = F.when(k % 4 == 0, "data:image/png;base64,QUJD").when(k % 4 == 1, "data:image/svg+xml;base64,QUJD").when(k % 4 == 2, "data:image/png;base64,a b")
+    return read("pages").select(
+        "page_id", urls.larger_avatar(media).alias("larger"), urls.https_on(media, ["pbs.twimg.com"]).isNotNull().alias("allowed"),
+        urls.post_url(post, number, ["x.com"], "https://x.com/i/web/status/").alias("post"), urls.data_image(data).isNotNull().alias("picture"),
+    )
+
+
+@query("text_rules", """SELECT event_id, CASE WHEN event_id % 4000 < 3600 THEN (event_id % 4000) // 60 || ':' || lpad(((event_id % 4000) % 60)::VARCHAR, 2, '0') ELSE (event_id % 4000) // 3600 || ':' || lpad((((event_id % 4000) // 60) % 60)::VARCHAR, 2, '0') || ':' || lpad(((event_id % 4000) % 60)::VARCHAR, 2, '0') END AS length,
+ '&lt;' || event_type || '&gt;&amp;&#39;&quot;' AS escaped, event_type || ',b' AS folded, event_type || '__x_.-' AS safe,
+ CASE event_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'mp4' ELSE 'bin' END AS kind FROM events""")
+def _(read):
+    """Durations, escaped markup, distinct spellings, safe names and files by their first bytes."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    content = F.when(k % 4 == 0, F.unhex(F.lit("89504E470D0A1A0A"))).when(k % 4 == 1, F.unhex(F.lit("474946383961"))).when(k % 4 == 2, F.unhex(F.lit("00000018667479706D703432"))).otherwise(F.lit(b"plain"))
+    return read("events").select(
+        "event_id", text.duration((k % 4000) * 1000).alias("length"), text.escape_markup(F.concat(F.lit("<"), kind, F.lit(">&'\""))).alias("escaped"),
+        F.array_join(text.distinct_ignoring_case(F.array(kind, F.upper(kind), F.lit("b"), F.lit("B"))), ",").alias("folded"), text.safe_name(F.concat(kind, F.lit("/ x?.-"))).alias("safe"), text.magic_extension(content).alias("kind"),
+    )
+
+
+@query("span_rules", """SELECT doc_id, '0-' || length(lang) || ',' || length(lang) || '-9' AS kept, (2 + length(lang) + 1)::BIGINT AS units FROM documents WHERE length(lang) BETWEEN 2 AND 5""")
+def _(read):
+    """Overlapping spans (the longer first one stays, touching ones do) and offsets in UTF-16 units."""
+    n = F.length("lang")
+    span = lambda a, b: F.struct(F.lit("k").alias("kind"), a.cast("int").alias("start"), b.cast("int").alias("end"))
+    spans = F.array(span(n, F.lit(9)), span(F.lit(0), F.lit(1)), span(F.lit(0), n), span(F.lit(1), n + 1), span(F.lit(4), F.lit(4)))
+    body = F.concat(F.lit("\U0001d11e"), F.col("lang"), F.lit("é"))
+    return read("documents").where(n.between(2, 5)).select(
+        "doc_id", F.array_join(F.transform(text.resolve_spans(spans), lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",").alias("kept"),
+        text.utf16_offset(body, n + 2).cast("bigint").alias("units"),
+    )
+
+
+@query("sanitiser_rejects", """SELECT CASE WHEN NOT regexp_matches(source, '^src[0-9]+$') THEN 'id' WHEN text IS NULL THEN 'text' ELSE 'kept' END AS outcome, count(*)::BIGINT AS rows FROM documents GROUP BY 1""")
+def _(read):
+    """records that are kept, and how many are refused for what."""
+    sound = coerce.record_id(F.substring("source", 4, 30)).isNotNull() & F.col("source").startswith("src")
+    outcome = F.when(~F.coalesce(sound, F.lit(False)), "id").when(F.col("text").isNull(), "text").otherwise("kept")
+    return read("documents").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("rows"))
