@@ -276,3 +276,33 @@ def _(read):
     firsts = found.where("position = 0").select(F.col("rest_id").cast("bigint").alias("page_id"), F.col("rest_id").alias("first"))
     more = found.where("position = 1").select(F.substring("rest_id", 2, 20).cast("bigint").alias("page_id"), F.lit(1).alias("more"))
     return firsts.join(more, "page_id", "left").select("page_id", (1 + F.coalesce("more", F.lit(0))).cast("bigint").alias("results"), "first")
+
+
+@query("visible_texts", r"""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'é' || chr(119070) || source WHEN 1 THEN 'long ' || doc_id WHEN 2 THEN substr('é' || chr(119070) || source, 1, 3) WHEN 3 THEN 'é' || chr(119070) || source || ' https://t.co/a' || doc_id ELSE 'é' || chr(119070) || source || ' https://t.co/a' || doc_id END AS shown FROM documents WHERE length(source) > 1""")
+def _(read):
+    """An archived post's text up to its display end, without a link to its own media at the end."""
+    k, number = F.col("doc_id") % 5, _text("doc_id")
+    link = F.concat(F.lit("https://t.co/a"), number)
+    target = F.when(k == 3, F.concat(F.lit("https://x.com/a/status/9"), number, F.lit("/photo/1"))).when(k == 4, F.concat(F.lit("https://e.org/r?ref=x.com/status/"), number)).otherwise(F.concat(F.lit("https://x.com/a/status/"), number, F.lit("/photo/1")))
+    data = F.concat(
+        _json('{"text":', F.concat(F.lit("é\U0001d11e"), F.col("source"), F.lit(" "), link), ',"entities":{"urls":[{"url":', link, ',"expanded_url":', target, "}]}"),
+        F.when(k == 1, _json(',"note_tweet":{"text":', F.concat(F.lit("long "), number), "}")).otherwise(""), F.when(k == 2, ',"display_text_range":[0,3]').otherwise(""), F.lit("}"),
+    )
+    return read("documents").where(F.length("source") > 1).select("doc_id", nodes.visible_text(data, F.array(number)).alias("shown"))
+
+
+@query("archived_entities", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'u,v' ELSE 'v' END AS urls, 'Tag,' || source AS tags, lang AS mentions, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'who0-' || length(lang) || ',tag' || (length(lang) + 1) || '-' || (length(lang) + 4) END AS spans FROM documents WHERE lang <> '' AND lower(source) <> 'tag'""")
+def _(read):
+    """Entities each once, links to own media that the text does not show left out, spans that fit the text."""
+    k, n = F.col("doc_id"), F.length("lang")
+    measured = F.concat(F.col("lang"), F.lit(" Tag v"))
+    body = F.when(k % 3 == 0, F.concat(F.lit("\U0001d11e\U0001d11e"), measured)).otherwise(measured)
+    own = F.concat(F.lit("https://x.com/a/status/"), _text("doc_id"), F.lit("/photo/1"))
+    raw = _json('{"urls":[{"url":"u","expanded_url":', F.when(k % 2 == 0, "https://x.com/a/status/1").otherwise(own), '},{"url":"v","expanded_url":', own, '},{"url":"v","expanded_url":', own,
+                '},{"expanded_url":"z"}],"hashtags":[{"tag":"Tag","start":', n + 1, ',"end":', n + 4, '},{"tag":"tag","start":', n + 1, ',"end":', n + 4, '},{"tag":""},{"tag":', F.col("source"),
+                ',"start":5,"end":5}],"mentions":[{"username":', F.col("lang"), ',"start":0,"end":', n, '},{"username":', F.upper("lang"), "}]}")
+    found = read("documents").where("lang <> '' and lower(source) <> 'tag'").select("doc_id", nodes.archived_entities(raw, body, measured, F.array(_text("doc_id"))).alias("e"))
+    return found.select(
+        "doc_id", F.array_join(F.transform("e.urls", lambda u: u["url"]), ",").alias("urls"), F.array_join("e.hashtags", ",").alias("tags"), F.array_join("e.mentions", ",").alias("mentions"),
+        F.array_join(F.transform("e.spans", lambda s: F.concat(s["kind"], s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",").alias("spans"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions.coerce import platform_timestamp, record_id
+from quillspark.functions.urls import host
 from quillspark.plans.extract import count_at, first_of
 
 # Where an answer may hold its media, entities, long text and links, in the order in which they are tried.
@@ -202,3 +203,54 @@ def shown_counts(fields: Sequence[tuple[str, Column]]) -> Column:
     """(label, value) of each count that is a number and not negative."""
     every = F.array(*[F.struct(F.lit(name).alias("label"), value.cast("double").alias("value")) for name, value in fields])
     return F.filter(every, lambda r: F.coalesce((r["value"] >= 0) & (r["value"] < float("inf")) & ~F.isnan(r["value"]), F.lit(False)))
+
+
+# Hosts of a post's own address.
+PERMALINK_HOSTS = ("x.com", "www.x.com", "mobile.x.com", "twitter.com", "www.twitter.com", "mobile.twitter.com")
+
+
+def own_media_link(expanded: Column, own_ids: Column) -> Column:
+    """Whether an address is that of one of these posts, or of a picture or video of it."""
+    parts = F.filter(F.split(F.try_parse_url(expanded, F.lit("PATH")), "/"), lambda p: p != "")
+    n, at = F.size(parts), lambda i: F.get(parts, F.lit(i))
+    tail = (n == 3) | ((n == 5) & at(3).isin("photo", "video") & at(4).rlike(r"\A[0-9]+\z"))
+    sound = (F.try_parse_url(expanded, F.lit("PROTOCOL")) == "https") & host(expanded).isin(*PERMALINK_HOSTS)
+    return F.coalesce(sound & (n >= 3) & (at(1) == "status") & F.array_contains(own_ids, at(2)) & tail, F.lit(False))
+
+
+def visible_text(data: Column, own_ids: Column) -> Column:
+    """An archived post's text as it is shown: the long one, else the short one up to its display end, without a link to its own media at the end."""
+    text, end = F.coalesce(F.get_json_object(data, "$.text"), F.lit("")), F.get(F.from_json(F.get_json_object(data, "$.display_text_range"), "array<int>"), F.lit(1))
+    cut = F.when((end > 0) & (end < F.length(text)), F.substring(text, F.lit(1), end)).otherwise(text)
+    ends = r"(?U)\s*(https://t\.co/[A-Za-z0-9]+)\s*\z"
+    entry = F.get(F.filter(_list(data, "$.entities.urls", _LINK, 10_000), lambda u: u["url"] == F.regexp_extract(cut, ends, 1)), F.lit(0))
+    return F.coalesce(first_of(data, ["$.note_tweet.text"]), F.when(own_media_link(entry["expanded_url"], own_ids), F.regexp_replace(cut, ends, "")).otherwise(cut))
+
+
+def _first_of_each(items: Column, key) -> Column:
+    keys = F.transform(items, key)
+    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+
+
+def archived_entities(raw: Column, body: Column, measured: Column, own_ids: Column) -> Column:
+    """(urls, hashtags, mentions, spans) of an archived post's entities, each once; own media that the body does not show go.
+
+    Spans (kind, start, end) are in characters of the text they were measured on, sorted by start; those
+    that do not cut the same piece out of body go. Without a measured text there are none.
+    """
+    span = "start:int,end:int"
+    kind = f"struct<urls:array<struct<url:string,expanded_url:string,display_url:string,{span}>>,hashtags:array<struct<tag:string,{span}>>,mentions:array<struct<username:string,{span}>>>"
+    found = F.from_json(raw, kind)
+    urls = F.filter(found["urls"], lambda u: u["url"].isNotNull() & ~(~F.contains(body, u["url"]) & own_media_link(u["expanded_url"], own_ids)))
+    tags = F.filter(found["hashtags"], lambda h: F.coalesce(h["tag"] != "", F.lit(False)))
+    people = F.filter(found["mentions"], lambda m: F.coalesce(m["username"] != "", F.lit(False)))
+    placed = lambda items, name: F.coalesce(F.transform(items, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(name).alias("kind"))), F.array())
+    every = F.array_distinct(F.concat(placed(urls, "url"), placed(tags, "tag"), placed(people, "who")))
+    same = lambda s: F.substring(measured, s["start"] + 1, s["end"] - s["start"]) == F.substring(body, s["start"] + 1, s["end"] - s["start"])
+    sound = F.filter(every, lambda s: F.coalesce((s["start"] >= 0) & (s["end"] > s["start"]) & (s["start"] < F.length(measured)) & same(s), F.lit(False)))
+    links_ = F.transform(urls, lambda u: F.struct(u["url"].alias("url"), u["expanded_url"].alias("expanded_url"), u["display_url"].alias("display_url")))
+    return F.struct(
+        F.coalesce(F.array_distinct(links_), F.array()).alias("urls"), F.coalesce(F.transform(_first_of_each(tags, lambda h: F.lower(h["tag"])), lambda h: h["tag"]), F.array()).alias("hashtags"),
+        F.coalesce(F.transform(_first_of_each(people, lambda m: F.lower(m["username"])), lambda m: m["username"]), F.array()).alias("mentions"),
+        F.transform(F.array_sort(sound), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"),
+    )
