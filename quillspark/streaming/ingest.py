@@ -7,7 +7,7 @@ import os
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,14 +15,16 @@ from quillspark.operators.timeline import with_positions
 
 
 class SnapshotTable:
-    """A table as a chain of Parquet versions and a pointer to the newest one.
+    """A table as Parquet parts by hashed key, each with a chain of versions, and a pointer to the newest ones.
 
-    A batch writes a new version and then moves the pointer; the pointer holds the batch number, so
-    a batch that is repeated after a failure is not applied twice. Old versions stay until vacuum().
+    A batch writes new versions of the buckets that it touches and then moves the pointer; the
+    pointer holds the batch number, so a batch that is repeated after a failure is not applied
+    twice. Buckets that a batch does not touch are neither read nor written. Old versions stay until
+    vacuum(). Keys are hashed with xxhash64 over `buckets`, a number that cannot change later.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str] = (), buckets: int = 64):
+        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path.rstrip("/"), schema, list(keys), buckets if keys else 1
         jvm = spark._jvm
         self._conf = spark._jsc.hadoopConfiguration()
         self._fs_path = jvm.org.apache.hadoop.fs.Path
@@ -34,43 +36,54 @@ class SnapshotTable:
         for name in ("current.json", "next.json"):
             if self._fs.exists(self._fs_path(f"{self.path}/{name}")):
                 return json.loads(self.spark.read.text(f"{self.path}/{name}").first()[0])
-        return {"version": None, "batch": -1}
-
-    def read(self) -> DataFrame:
-        version = self._pointer()["version"]
-        if version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
-
-    def replace(self, rows: DataFrame, batch: int) -> bool:
-        """Make rows the newest version; False if the batch was applied already."""
-        if batch <= self._pointer()["batch"]:
+        return {"parts": {}, "batch": -1}
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int") if self.keys else F.lit(0)
+
+    def read(self, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The newest rows, of some buckets or all."""
+        parts = self._pointer()["parts"]
+        paths = [f"{self.path}/{v}/bucket={b}" for b, v in parts.items() if buckets is None or int(b) in buckets]
+        paths = [p for p in paths if self._fs.exists(self._fs_path(p))]  # a version whose bucket has become empty has no files
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def replace(self, rows: DataFrame, batch: int, buckets: Sequence[int] | None = None) -> bool:
+        """Make rows the newest version of these buckets (all, without); False if the batch was applied already."""
+        now = self._pointer()
+        if batch <= now["batch"]:
             return False
         version = f"v-{uuid.uuid4().hex}"
-        rows.select(*self.schema.names).write.parquet(f"{self.path}/{version}")
+        rows.select(*self.schema.names, self.bucket().alias("bucket")).write.partitionBy("bucket").parquet(f"{self.path}/{version}")
+        parts = now["parts"] | {str(b): version for b in (range(self.buckets) if buckets is None else buckets)}
         out = self._fs.create(self._fs_path(f"{self.path}/next.json"), True)
-        out.write(json.dumps({"version": version, "batch": batch}).encode())
+        out.write(json.dumps({"parts": parts, "batch": batch}).encode())
         out.close()
         self._fs.delete(self._fs_path(f"{self.path}/current.json"), False)
         self._fs.rename(self._fs_path(f"{self.path}/next.json"), self._fs_path(f"{self.path}/current.json"))
         return True
 
     def vacuum(self) -> None:
-        """Delete all versions but the newest."""
-        now = self._pointer()["version"]
+        """Delete all versions that no bucket points to."""
+        used = set(self._pointer()["parts"].values())
         for status in self._fs.listStatus(self._fs_path(self.path)):
             name = status.getPath().getName()
-            if name.startswith("v-") and name != now:
+            if name.startswith("v-") and name not in used:
                 self._fs.delete(status.getPath(), True)
 
 
 def upsert_stream(stream: DataFrame, table: SnapshotTable, apply: Callable[[DataFrame, DataFrame], DataFrame], keys: Sequence[str], order: str, checkpoint: str):
-    """A writer that merges each micro-batch into the table: apply(stored, newest row of each key)."""
+    """A writer that merges each micro-batch into the table: apply(stored, newest row of each key).
+
+    Only buckets that hold a key of the batch are read and written anew, if the table has keys.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
         n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
         fresh = batch.withColumn("__n", n).where("__n = 1").drop("__n")
-        table.replace(apply(table.read(), fresh), number)
+        # At most as many numbers as there are buckets.
+        touched = [r[0] for r in fresh.select(table.bucket()).distinct().collect()]
+        table.replace(apply(table.read(touched), fresh), number, touched)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
 
@@ -130,14 +143,30 @@ class ImportJob:
             json.dump(self.state, f)
         os.replace(self.path + ".new", self.path)
 
-    def run(self, snapshots: DataFrame, stored: Callable[[], DataFrame], fetch: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame], None], stop: int = 5) -> str:
+    def run(self, snapshots: DataFrame, stored: Callable[[], DataFrame], fetch: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame], None], stop: int = 5,
+            most: int | None = None, blocked: Callable[[], str | None] = lambda: None, cancelled: Callable[[], bool] = lambda: False) -> str:
         """Work through snapshots(position, id); fetch(batch) gives (id, record, error) and store(rows) keeps records.
 
-        In mode gaps, stored ids are skipped without being fetched. Stops at the end (done) or after
-        `stop` failures in a row (archive-down).
+        In mode gaps, stored ids are skipped without being fetched. Stops at the end (done), after
+        `stop` failures in a row (archive-down), once `most` were fetched in this call (batch), when
+        blocked() gives a reason (blocked) or cancelled() is true (cancelled); both are asked before
+        each batch. What was done is saved, and the next call goes on there.
         """
+
+        def ended(reason: str) -> str:
+            self.state["reason"] = reason
+            self.save()
+            return reason
+
+        before = self.state["fetched"]
         total = snapshots.agg(F.max("position")).first()[0]
         while total is not None and self.state["cursor"] <= total:
+            if cancelled():
+                return ended("cancelled")
+            if blocked() is not None:
+                return ended("blocked")
+            if most is not None and self.state["fetched"] - before >= most:
+                return ended("batch")
             low = self.state["cursor"]
             part = snapshots.where((F.col("position") >= low) & (F.col("position") < low + self.state["batch"]))
             known = part.join(stored().select("id"), "id", "left_semi").count()
@@ -153,12 +182,9 @@ class ImportJob:
             for failed in errors:
                 self.state["consecutive_failures"] = self.state["consecutive_failures"] + 1 if failed else 0
                 if self.state["consecutive_failures"] >= stop:
-                    self.state["reason"] = "archive-down"
-                    self.save()
-                    return "archive-down"
+                    fetched.unpersist()
+                    return ended("archive-down")
             self.state["cursor"] = low + self.state["batch"]
             fetched.unpersist()
             self.save()
-        self.state["reason"] = "done"
-        self.save()
-        return "done"
+        return ended("done")

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators.merge import upsert
@@ -51,13 +52,14 @@ def test_requests(spark):
     assert (row["query_id"], row["operation"], row["variables"]) == ("abc", "Timeline", '{"a":1}')
 
 
-def test_stream_upserts_once(spark, tmp_path):
+@pytest.mark.parametrize("keys", [(), ("id",)])
+def test_stream_upserts_once(spark, tmp_path, keys):
     source = tmp_path / "in"
     source.mkdir()
     kind = "id string, text string, at int"
     (source / "a.json").write_text('{"id":"1","text":"first","at":1}\n{"id":"1","text":"second","at":2}\n{"id":"2","text":"x","at":1}\n')
     schema = spark.createDataFrame([], kind).schema
-    table = ingest.SnapshotTable(spark, str(tmp_path / "table"), schema)
+    table = ingest.SnapshotTable(spark, str(tmp_path / "table"), schema, keys, 8)
 
     def run():
         stream = spark.readStream.schema(schema).json(str(source))
@@ -71,6 +73,14 @@ def test_stream_upserts_once(spark, tmp_path):
     assert table.replace(table.read(), 0) is False
     table.vacuum()
     assert table.read().count() == 2
+    if keys:
+        # A batch leaves the buckets that it does not touch as they are.
+        before = table._pointer()["parts"]
+        (source / "c.json").write_text('{"id":"2","text":"y","at":9}\n')
+        run()
+        after = table._pointer()["parts"]
+        assert sum(before[b] != after[b] for b in before) == (1 if before.keys() == after.keys() else 0)
+        assert sorted(tuple(r) for r in table.read().collect()) == [("1", "second", 3), ("2", "y", 9)]
 
 
 def test_queue(spark):
@@ -103,6 +113,11 @@ def test_import_resumes_and_stops(spark, tmp_path):
     assert job.state["cursor"] == 4 and job.state["skipped"] == 1
     assert job.run(snapshots, stored, fetch, store) == "done"
     assert sorted(kept) == sorted(map(str, range(10))) and kept["3"] == "old" and job.state["imported"] == 9
+    paused = ingest.ImportJob(str(tmp_path / "paused.json"), mode="verify", batch=4)
+    assert paused.run(snapshots, stored, lambda b: fetch(b, ("x",)), store, cancelled=lambda: True) == "cancelled" and paused.state["cursor"] == 0
+    assert paused.run(snapshots, stored, lambda b: fetch(b, ("x",)), store, blocked=lambda: "offline") == "blocked"
+    assert paused.run(snapshots, stored, lambda b: fetch(b, ("x",)), store, most=4) == "batch" and paused.state["cursor"] == 4
+    assert paused.run(snapshots, stored, lambda b: fetch(b, ("x",)), store) == "done"
     failing = ingest.ImportJob(str(tmp_path / "other.json"), mode="verify", batch=10)
     assert failing.run(snapshots, stored, lambda b: fetch(b, tuple("01234567")), store) == "archive-down"
 
