@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import coerce, text, urls
