@@ -65,3 +65,34 @@ def parsed_record(text: Column) -> Column:
     """A variant out of JSON text that is one value from end to end, null otherwise. Within brackets the parser sees what follows a value, too."""
     within = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     return F.when(F.try_variant_get(within, "$[1]", "variant").isNull(), F.try_variant_get(within, "$[0]", "variant"))
+
+
+def patched_settings(current: Column, patch: Column, flags: list[str], ranges: dict[str, tuple[int, int]], texts: list[str] = ()) -> Column:
+    """Settings (a struct) with what a patch (JSON text) sets: booleans, whole numbers in a range and strings, each only as such.
+
+    A value of another type or out of its range is ignored, not bent to fit.
+    """
+    at = lambda name: F.try_variant_get(F.try_parse_json(patch), f"$.{name}", "variant")
+    kind = lambda name: F.coalesce(F.schema_of_variant(at(name)), F.lit(""))
+    fields = {}
+    for name in flags:
+        fields[name] = F.when(kind(name) == "BOOLEAN", at(name).cast("boolean"))
+    for name, (low, high) in ranges.items():
+        n = F.when(kind(name).startswith("BIGINT"), F.try_variant_get(F.try_parse_json(patch), f"$.{name}", "bigint"))
+        fields[name] = F.when(n.between(low, high), n)
+    for name in texts:
+        fields[name] = F.when(kind(name).startswith("STRING"), at(name).cast("string"))
+    return F.struct(*[F.coalesce(value, current[name]).alias(name) for name, value in fields.items()])
+
+
+def message_refusal(payload: Column, most_text: int, most_chars: int) -> Column:
+    """Why a message (JSON text) is refused: its id, text, media, author or size; null if it is sound."""
+    whole = F.try_parse_json(payload)
+    at = lambda name: F.try_variant_get(whole, f"$.{name}", "variant")
+    kind = lambda name: F.coalesce(F.schema_of_variant(at(name)), F.lit("VOID"))
+    text = F.when(kind("text").startswith("STRING"), at("text").cast("string"))
+    return (
+        F.when(~F.coalesce(F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False)), "no object").when(~kind("id").startswith("STRING") | record_id(at("id").try_cast("string")).isNull(), "id")
+        .when(text.isNull() | (F.length(text) > most_text), "text").when(~kind("media").startswith("ARRAY") & (kind("media") != "VOID"), "media")
+        .when(~kind("author").startswith("OBJECT") & (kind("author") != "VOID"), "author").when(F.length(payload) > most_chars, "size")
+    )

@@ -129,3 +129,31 @@ def magic_extension(content: Column) -> Column:
         .when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "webp").when(head.startswith("1A45DFA3"), "webm")
         .when(F.substring(head, 9, 8) == "66747970", "mp4").otherwise("bin")
     )
+
+
+def occurrences(text: Column, needle: Column) -> Column:
+    """0-based starts of a text within another, one after the other without overlap; empty for an empty needle."""
+    parts = F.split(text, F.concat(F.lit(r"\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
+    ends = lambda i: F.aggregate(F.slice(parts, F.lit(1), i + 1), F.lit(0), lambda acc, p: acc + F.length(p)) + i * F.length(needle)
+    found = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), ends)
+    return F.when((F.length(needle) > 0) & (F.size(parts) > 1), found).otherwise(F.array().cast("array<int>"))
+
+
+def link_spans(text: Column, urls: Column) -> Column:
+    """(kind, start, end) of links that a text shows: each url's display form wherever it occurs, else its short form.
+
+    urls is an array of (url, expanded_url, display_url); those that lead nowhere are passed over.
+    """
+    def one(u: Column) -> Column:
+        safe = F.coalesce(F.coalesce(u["expanded_url"], u["url"]).rlike("(?i)^https?://"), F.lit(False))
+        shown, short = occurrences(text, F.coalesce(u["display_url"], F.lit(""))), occurrences(text, F.coalesce(u["url"], F.lit("")))
+        at = lambda starts, needle: F.transform(starts, lambda s: F.struct(F.lit("url").alias("kind"), s.alias("start"), (s + F.length(needle)).alias("end")))
+        return F.when(safe & (F.size(shown) > 0), at(shown, u["display_url"])).when(safe, at(short, u["url"])).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+
+    return F.flatten(F.transform(urls, one))
+
+
+def listed_only(found: Column, listed: Column) -> Column:
+    """Of tags or handles found in a text those that a list names, whatever their case."""
+    known = F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda x: F.lower(x))
+    return F.filter(found, lambda x: F.array_contains(known, F.lower(x)))

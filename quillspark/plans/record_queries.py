@@ -443,3 +443,63 @@ def _(read):
     sound = coerce.record_id(F.substring("source", 4, 30)).isNotNull() & F.col("source").startswith("src")
     outcome = F.when(~F.coalesce(sound, F.lit(False)), "id").when(F.col("text").isNull(), "text").otherwise("kept")
     return read("documents").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("rows"))
+
+
+@query("settings_patches", """SELECT event_id, event_id % 4 = 0 AS debug, CASE WHEN event_id % 600 BETWEEN 1 AND 500 AND event_id % 2 = 0 THEN event_id % 600 ELSE 100 END::BIGINT AS batch, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'none' END AS handle FROM events""")
+def _(read):
+    """Settings take what a patch sets in the right type and range."""
+    k = F.col("event_id")
+    patch = F.concat(
+        F.lit('{"debug":'), F.when(k % 4 == 0, "true").when(k % 4 == 1, "1").when(k % 4 == 2, '"true"').otherwise("null"), F.lit(',"batch":'),
+        F.when(k % 2 == 0, (k % 600).cast("string")).otherwise(F.concat(F.lit('"'), (k % 600).cast("string"), F.lit('"'))), F.lit(',"handle":'),
+        F.when(k % 3 == 0, F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))).otherwise("7"), F.lit("}"),
+    )
+    now = F.struct(F.lit(False).alias("debug"), F.lit(100).cast("bigint").alias("batch"), F.lit("none").alias("handle"))
+    return read("events").select("event_id", coerce.patched_settings(now, patch, ["debug"], {"batch": (1, 500)}, ["handle"]).alias("s")).select("event_id", "s.debug", "s.batch", "s.handle")
+
+
+@query("message_validators", """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'no object' WHEN 1 THEN 'id' WHEN 2 THEN 'text' WHEN 3 THEN 'media' WHEN 4 THEN 'author' WHEN 5 THEN 'size' END AS refusal FROM documents""")
+def _(read):
+    """messages are refused for their shape, id, text, lists or size."""
+    k, number = F.col("doc_id") % 7, F.col("doc_id").cast("string")
+    sound = lambda more: F.concat(F.lit('{"id":"'), number, F.lit('","text":"a"'), more, F.lit("}"))
+    payload = (
+        F.when(k == 0, "[1]").when(k == 1, F.concat(F.lit('{"id":'), number, F.lit(',"text":"a"}'))).when(k == 2, F.concat(F.lit('{"id":"'), number, F.lit('","text":null}')))
+        .when(k == 3, sound(F.lit(',"media":{}'))).when(k == 4, sound(F.lit(',"author":[]'))).when(k == 5, sound(F.concat(F.lit(',"x":"'), F.repeat(F.lit("y"), F.lit(400)), F.lit('"'))))
+        .otherwise(sound(F.lit(',"media":null,"author":{}')))
+    )
+    return read("documents").select("doc_id", coerce.message_refusal(payload, 100, 300).alias("refusal"))
+
+
+@query("linkified", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '5-8,9-12' WHEN page_id % 3 = 1 THEN '13-18' ELSE '' END AS links, CASE WHEN page_id % 2 = 0 THEN 'Tag' ELSE '' END AS tags, 'user' || page_id AS people FROM pages""")
+def _(read):
+    """Links by display form, else by short form; tags and handles only if they are listed."""
+    k, number = F.col("page_id"), F.col("page_id").cast("string")
+    body = F.concat(F.lit("see: a.b a.b t.co/ #Tag #no @user"), number, F.lit(" @other"))
+    link = lambda url, expanded, shown: F.array(F.struct(F.lit(url).alias("url"), F.lit(expanded).alias("expanded_url"), F.lit(shown).alias("display_url")))
+    urls_ = F.when(k % 3 == 0, link("t.co/", "https://a.b/", "a.b")).when(k % 3 == 1, link("t.co/", "http://x", "zzz")).otherwise(link("t.co/", "javascript:1", "a.b"))
+    spans = F.array_join(F.transform(text.link_spans(body, urls_), lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    tags = text.listed_only(text.hashtags(body), F.when(k % 2 == 0, F.array(F.lit("tAG"))).otherwise(F.array(F.lit("else"))))
+    people = text.listed_only(text.mentions(body), F.array(F.concat(F.lit("USER"), number)))
+    return read("pages").select("page_id", spans.alias("links"), F.array_join(tags, ",").alias("tags"), F.array_join(people, ",").alias("people"))
+
+
+@query("merged_media", sql("media", """k AS (SELECT DISTINCT post_id, media_id FROM media), b AS (SELECT post_id, media_id, min(size) AS size FROM media WHERE type <> 'R' GROUP BY ALL)
+ SELECT k.post_id % 100 AS grp, count(b.size)::BIGINT AS packed, (count(*) - count(b.size))::BIGINT AS missing, min('media/' || k.post_id || '_' || k.media_id || CASE WHEN b.size % 2 = 0 THEN '.png' ELSE '.bin' END) FILTER (b.size IS NOT NULL) AS first_name FROM k LEFT JOIN b USING (post_id, media_id) GROUP BY grp"""))
+def _(read):
+    """Each file of a group once, those without a blob counted, extensions by their first bytes."""
+    wanted = views.media(read).select("post_id", "media_id").distinct()
+    blobs = views.media(read).where("type <> 'R'").groupBy("post_id", "media_id").agg(F.min("size").alias("size"))
+    content = F.when(F.col("size") % 2 == 0, F.unhex(F.lit("89504E470D0A1A0A"))).when(F.col("size").isNotNull(), F.lit(b"?"))
+    named = wanted.join(blobs, ["post_id", "media_id"], "left").withColumn("blob", content)
+    name = F.concat(F.lit("media/"), F.col("post_id").cast("string"), F.lit("_"), F.col("media_id").cast("string"), F.lit("."), text.magic_extension(F.col("blob")))
+    return named.groupBy((F.col("post_id") % 100).alias("grp")).agg(
+        F.count("blob").alias("packed"), F.count_if(F.col("blob").isNull()).alias("missing"), F.min(F.when(F.col("blob").isNotNull(), name)).alias("first_name"))
+
+
+@query("group_updated_or_exported", sql("posts authors", "g AS (SELECT nation, max(created_at) FILTER (status = 'F' AND nation < 20) AS newest FROM authors LEFT JOIN posts USING (author_id) GROUP BY nation) SELECT nation, coalesce(newest::DATE, DATE '2024-05-06')::VARCHAR AS updated FROM g"))
+def _(read):
+    """The day of a group's newest record, or that of its export where it has none."""
+    newest = F.max(F.when((F.col("status") == "F") & (F.col("nation") < 20), F.col("created_at")))
+    joined = views.authors(read).select("author_id", "nation").join(views.posts(read).select("author_id", "created_at", "status"), "author_id", "left")
+    return joined.groupBy("nation").agg(newest.alias("newest")).select("nation", F.coalesce(F.to_date("newest"), F.lit(date(2024, 5, 6))).cast("string").alias("updated"))
