@@ -182,7 +182,7 @@ def _(read):
 
 @query("media_total_bytes", sql("media", "SELECT sum(size)::BIGINT AS bytes, count(*) AS files FROM media"))
 def _(read):
-    """A8, A13."""
+    """Bytes and files of all media."""
     return views.media(read).agg(F.sum("size").alias("bytes"), F.count("*").alias("files"))
 
 
@@ -369,7 +369,7 @@ def _(read):
 @query("media_join", sql("posts media", """f AS (SELECT post_id, media_id, source, row_number() OVER (PARTITION BY post_id, media_id ORDER BY part, source, size) AS n FROM media)
  SELECT p.id, f.media_id, f.source FROM posts p LEFT JOIN f ON f.post_id = p.id AND f.n = 1 WHERE p.status = 'P'"""))
 def _(read):
-    """Posts with the first file of each key."""
+    """Posts with the first file of each key."""
     first = views.media(read).groupBy(F.col("post_id").alias("id"), "media_id").agg(F.min(F.struct("part", "source", "size")).alias("f"))
     return views.posts(read).where("status = 'P'").select("id").join(first, "id", "left").select("id", "media_id", F.col("f.source").alias("source"))
 
@@ -377,7 +377,7 @@ def _(read):
 @query("media_join_all", sql("posts media", """f AS (SELECT post_id, media_id, source, row_number() OVER (PARTITION BY post_id, media_id ORDER BY part, source, size) AS n FROM media)
  SELECT p.id, f.media_id, f.source FROM posts p LEFT JOIN f ON f.post_id = p.id AND f.n = 1"""))
 def _(read):
-    """All posts with the first file of each key."""
+    """All posts with the first file of each key."""
     first = views.media(read).groupBy(F.col("post_id").alias("id"), "media_id").agg(F.min(F.struct("part", "source", "size")).alias("f"))
     return views.posts(read).select("id").join(first, "id", "left").select("id", "media_id", F.col("f.source").alias("source"))
 
@@ -396,7 +396,7 @@ def _(read):
 
 @query("avatar_join", sql("authors posts", "b AS (SELECT author_id, max(id) AS blob FROM posts GROUP BY author_id) SELECT a.author_id, b.blob FROM authors a LEFT JOIN b ON b.author_id = a.author_id"))
 def _(read):
-    """People with their newest blob."""
+    """People with their newest blob."""
     blobs = views.posts(read).groupBy("author_id").agg(F.max("id").alias("blob"))
     return views.authors(read).select("author_id").join(blobs, "author_id", "left")
 
@@ -484,7 +484,7 @@ def _(read):
 @query("upsert_people", sql("captures authors", """c AS (SELECT id, arg_max(k, captured_at) FILTER (k IS NOT NULL) AS k, max(captured_at) AS captured_at FROM captures GROUP BY id)
  SELECT coalesce(a.author_id, c.id) AS id, coalesce(c.k, a.nation)::BIGINT AS k, a.handle, coalesce(c.captured_at, TIMESTAMP '2000-01-01') AS seen FROM authors a FULL JOIN c ON c.id = a.author_id"""))
 def _(read):
-    """M3, M6, M9: fresh answers over stored ones."""
+    """M2: fresh answers over stored ones."""
     stored = views.authors(read).select(F.col("author_id").alias("id"), F.col("nation").cast("bigint").alias("k"), "handle", F.lit(datetime(2000, 1, 1)).cast("timestamp_ntz").alias("seen"))
     fresh = merge.newest_answers(views.captures(read), ["id"], "captured_at", ["k"]).select("id", "k", F.lit(None).cast("string").alias("handle"), F.col("captured_at").alias("seen"))
     return merge.upsert(stored, fresh, ["id"])
@@ -564,14 +564,14 @@ def _(read):
 
 @query("strip_tags", r"SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')))::BIGINT AS chars, sha256(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS digest FROM pages")
 def _(read):
-    """Text of markup."""
+    """Text of markup, for names out of HTML."""
     plain = text.strip_tags(F.col("html"))
     return read("pages").select("page_id", F.length(plain).cast("bigint").alias("chars"), F.sha2(plain, 256).alias("digest"))
 
 
 @query("hashtags_extract", r"SELECT page_id, array_to_string(regexp_extract_all(url, '#([\p{L}\p{N}_]+)', 1), ',') AS tags FROM pages")
 def _(read):
-    """P7, entities: tags in order."""
+    """Tags in a text, in order."""
     return read("pages").select("page_id", F.array_join(text.hashtags(F.col("url")), ",").alias("tags"))
 
 

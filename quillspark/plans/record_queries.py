@@ -503,3 +503,21 @@ def _(read):
     newest = F.max(F.when((F.col("status") == "F") & (F.col("nation") < 20), F.col("created_at")))
     joined = views.authors(read).select("author_id", "nation").join(views.posts(read).select("author_id", "created_at", "status"), "author_id", "left")
     return joined.groupBy("nation").agg(newest.alias("newest")).select("nation", F.coalesce(F.to_date("newest"), F.lit(date(2024, 5, 6))).cast("string").alias("updated"))
+
+
+@query("media_by_name", sql("posts media", """f AS (SELECT post_id, media_id || '_x' AS media_id, count(*)::BIGINT AS files FROM media WHERE size % 3 <> 0 GROUP BY ALL) SELECT p.id, f.media_id, f.files FROM posts p JOIN f ON f.post_id = p.id"""))
+def _(read):
+    """Files joined to posts by their names, cut at the first underscore; other names go."""
+    odd = F.col("size") % 3 == 0
+    name = F.concat(F.when(odd, "other/").otherwise("media/"), F.col("post_id").cast("string"), F.lit("_"), F.col("media_id").cast("string"), F.lit("_x.jpg"))
+    keys = views.media(read).select(relate.media_name_key(name).alias("key")).where("key is not null")
+    files = keys.groupBy(F.col("key.post_id").cast("bigint").alias("id"), F.col("key.media_id").alias("media_id")).agg(F.count("*").alias("files"))
+    return views.posts(read).select("id").join(files, "id")
+
+
+@query("best_variants", sql("media", "SELECT post_id, arg_max(media_id, struct_pack(b := CASE WHEN type = 'N' THEN 0 ELSE size END, o := -media_id)) AS media_id FROM (SELECT post_id, media_id, min(type) AS type, max(size) AS size FROM media GROUP BY post_id, media_id) GROUP BY post_id"))
+def _(read):
+    """The variant of the highest bitrate, null counting as 0; the first wins ties."""
+    variants = views.media(read).groupBy("post_id", "media_id").agg(F.min("type").alias("type"), F.max("size").alias("size"))
+    ranked = variants.select("post_id", "media_id", F.col("media_id").alias("place"), F.when(F.col("type") != "N", F.col("size")).alias("bitrate"))
+    return relate.best_variant(ranked, ["post_id"], "bitrate", "place").select("post_id", "media_id")
