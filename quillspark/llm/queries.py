@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, chat, jaccard, langid, linededup, mixing, pii, toxicity, vectors
+from quillspark.llm import bpe, chat, jaccard, langid, linededup, mixing, pii, quality, repair, toxicity, vectors, whitening
 from quillspark.llm.sampling import held_out
 
 
@@ -80,6 +80,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(_table(spark, sf_dir, "documents"), F.col("source"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_language": op2_language,
@@ -91,6 +104,9 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_lines": op9_lines,
     "op10_toxicity": op10_toxicity,
+    "op11_repair": op11_repair,
+    "op12_quality": op12_quality,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
@@ -99,4 +115,5 @@ ORACLES: dict[str, str] = {
     "op5_topk": vectors.ORACLE_TOP,
     "op8_chat": chat.ORACLE,
     "op9_lines": linededup.ORACLE,
+    "op12_quality": quality.ORACLE,
 }
