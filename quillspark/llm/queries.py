@@ -115,5 +115,6 @@ ORACLES: dict[str, str] = {
     "op5_topk": vectors.ORACLE_TOP,
     "op8_chat": chat.ORACLE,
     "op9_lines": linededup.ORACLE,
+    "op11_repair": repair.ORACLE,
     "op12_quality": quality.ORACLE,
 }

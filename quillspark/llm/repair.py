@@ -371,3 +371,43 @@ def repair_damaged(rows: DataFrame) -> DataFrame:
         F.col("__id").alias("conv_id"), *map(zero, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"),
     )
+
+
+def _oracle() -> str:
+    """The repair in SQL: four states a turn, each the least of cost and audit as one string, walked turn by turn."""
+    add = lambda v, cost, letters: f"(lpad((substr({v}, 1, 10)::BIGINT + {cost})::VARCHAR, 10, '0') || substr({v}, 11) || '{letters}')"
+    opened = (
+        f"SELECT conv_id, i, z, s, least(u, {add('z', 2, 'I')}, {add('s', 2, 'I')}, {add('a', 2, 'I')}) AS u, "
+        f"least(a, {add('u', 2, 'I')}, {add('z', 4, 'II')}, {add('s', 4, 'II')}) AS a FROM walk"
+    )
+    every = lambda cost, letter: ", ".join(add(f"w.{v}", cost, letter) for v in "zsa")
+    return rf"""WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i))),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+summed AS (SELECT keyed.*, xor(list_reduce(list_transform(range(1, length(k) + 1), lambda p: ascii(substr(k, p, 1))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS way FROM keyed, tab),
+hurt AS (SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role, CASE way WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM summed, range(2) c(copy) WHERE way <> 0 AND (copy = 0 OR way = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i FROM hurt),
+told AS (SELECT *, substr(role, 1, 1) AS r, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+  WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN '-' ELSE 't' END AS f FROM placed),
+turns AS (SELECT *, f IN ('b', 'd') AS must, (f = 't')::INT AS t FROM told),
+walk AS (SELECT conv_id, 0::BIGINT AS i, '0000000000' AS z, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM (SELECT DISTINCT conv_id FROM turns)
+  UNION ALL SELECT w.conv_id, x.i, {add('w.z', 3, 'D')}, least({add('w.s', 3, 'D')}, CASE WHEN NOT must AND r = 's' THEN {add('w.z', 't', 'K')} END),
+  least({add('w.u', 3, 'D')}, CASE WHEN NOT must AND r = 'u' THEN least({every('t', 'K')}) END, CASE WHEN NOT must THEN least({every('t + 2', 'R')}) END),
+  least({add('w.a', 3, 'D')}, CASE WHEN NOT must AND r = 'a' THEN {add('w.u', 't', 'K')} END, CASE WHEN NOT must THEN {add('w.u', 't + 2', 'R')} END)
+  FROM ({opened}) w JOIN turns x ON x.conv_id IS NOT DISTINCT FROM w.conv_id AND x.i = w.i + 1),
+best AS (SELECT conv_id, arg_max(least(z, a), i) AS v FROM ({opened}) GROUP BY conv_id),
+audits AS (SELECT conv_id, substr(v, 1, 10)::BIGINT AS cost, substr(v, 11) AS audit FROM best),
+letters AS (SELECT conv_id, p, l, sum((l <> 'I')::INT) OVER (PARTITION BY conv_id ORDER BY p) AS i FROM (SELECT conv_id, p, substr(audit, p, 1) AS l FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM audits))),
+left_ AS (SELECT e.conv_id, l, x.role, CASE WHEN l = 'I' THEN '' ELSE x.text END AS text, row_number() OVER (PARTITION BY e.conv_id ORDER BY p) - 1 AS k
+  FROM letters e LEFT JOIN turns x ON x.conv_id IS NOT DISTINCT FROM e.conv_id AND x.i = e.i WHERE l <> 'D'),
+lead_ AS (SELECT *, first_value(l = 'K' AND substr(role, 1, 1) = 's') OVER (PARTITION BY conv_id ORDER BY k)::INT AS off FROM left_),
+mended AS (SELECT conv_id, sha256(string_agg(CASE WHEN l = 'K' THEN role WHEN (k - off) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY k)) AS digest FROM lead_ GROUP BY conv_id),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(f = 'b')::BIGINT AS blank, count_if(f = 'd')::BIGINT AS duplicate, count_if(f = 't')::BIGINT AS truncated,
+  count_if(p IS NOT NULL AND p || r NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal FROM (SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM turns) GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+  coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN mended m ON m.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+ORACLE = _oracle()
