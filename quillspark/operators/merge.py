@@ -47,40 +47,39 @@ def upsert_posts(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     capture's; an inferred conversation never replaces a known one. is_reply and is_poll follow the
     merged reply_to_id and poll (its is_poll, if it has one) alone; is_edit and is_retweet turn true
     where edited_from and retweeted_id are there and never turn back. Rows that only one side has
-    stay as they are. Only columns that exist are touched.
+    stay as they are. Only columns that exist are touched. All of it is worked out from the two rows
+    of one join.
     """
-    has = set(stored.columns)
-    first = {"first_captured_at": F.coalesce("old.first_captured_at", "old.captured_at", "new.captured_at")} if {"first_captured_at", "captured_at"} <= has else {}
-    merged = upsert(stored, fresh, ["id"], [c for c in ("captured_at",) if c in has], first)
-    if "updated_at" in has:
-        times = fresh.select(F.col("id").alias("__id"), F.col("captured_at").alias("__at"))
-        merged = merged.join(times, F.col("id") == F.col("__id"), "left").withColumn("updated_at", F.coalesce("__at", "updated_at")).drop("__id", "__at")
+    has, kind = set(stored.columns), stored.schema
+    old, new = F.col("old"), F.col("new")
+    rules: dict[str, Column] = {}
+    if {"first_captured_at", "captured_at"} <= has:
+        rules["first_captured_at"] = F.coalesce("old.first_captured_at", "old.captured_at", "new.captured_at")
+    if "captured_at" in has:
+        rules["captured_at"] = sticky(old["captured_at"], new["captured_at"], kind["captured_at"].dataType)
+    if {"updated_at", "captured_at"} <= has:
+        rules["updated_at"] = F.coalesce("new.captured_at", "new.updated_at", "old.updated_at")
     if {"conversation_id", "conversation_inferred"} <= has:
-        old = stored.where(~F.coalesce("conversation_inferred", F.lit(False)) & F.col("conversation_id").isNotNull())
-        new = fresh.select(F.col("id").alias("__f"), F.col("conversation_inferred").alias("__guess"))
-        known = old.join(new, F.col("id") == F.col("__f")).where("__guess").select(F.col("id").alias("__k"), F.col("conversation_id").alias("__conversation"))
-        merged = (
-            merged.join(known, F.col("id") == F.col("__k"), "left")
-            .withColumn("conversation_inferred", F.when(F.col("__k").isNotNull(), False).otherwise(F.col("conversation_inferred")))
-            .withColumn("conversation_id", F.coalesce("__conversation", "conversation_id")).drop("__k", "__conversation")
-        )
-    there = lambda field: ~is_absent(F.col(field), stored.schema[field].dataType)
-    # What a row was before it was merged with nothing stays as it came.
-    both = stored.select(F.col("id").alias("__b")).join(fresh.select(F.col("id").alias("__b")), "__b", "left_semi")
-    merged = merged.join(both, F.col("id") == F.col("__b"), "left")
-    rules = {}
+        known = ~F.coalesce("old.conversation_inferred", F.lit(False)) & F.col("old.conversation_id").isNotNull() & F.coalesce("new.conversation_inferred", F.lit(False))
+        taken = lambda c: F.when(is_absent(new[c], kind[c].dataType), old[c]).otherwise(new[c])
+        rules["conversation_id"] = F.when(known, old["conversation_id"]).otherwise(taken("conversation_id"))
+        rules["conversation_inferred"] = F.when(known, False).otherwise(taken("conversation_inferred"))
+    merged = merge_structs(old, new, kind, rules)
+    there = lambda field: ~is_absent(F.col(f"r.{field}"), kind[field].dataType)
+    flags: dict[str, Column] = {}
     if {"is_reply", "reply_to_id"} <= has:
-        rules["is_reply"] = there("reply_to_id")
+        flags["is_reply"] = there("reply_to_id")
     if {"is_poll", "poll"} <= has:
-        kind = stored.schema["poll"].dataType
-        own = F.coalesce(F.col("poll.is_poll"), F.lit(False)) if isinstance(kind, T.StructType) and "is_poll" in kind.names else there("poll")
-        rules["is_poll"] = there("poll") & own
+        of = kind["poll"].dataType
+        own = F.coalesce(F.col("r.poll.is_poll"), F.lit(False)) if isinstance(of, T.StructType) and "is_poll" in of.names else there("poll")
+        flags["is_poll"] = there("poll") & own
     for flag, field in (("is_retweet", "retweeted_id"), ("is_edit", "edited_from")):
         if {flag, field} <= has:
-            rules[flag] = F.coalesce(F.col(flag), F.lit(False)) | there(field)
-    for flag, rule in rules.items():
-        merged = merged.withColumn(flag, F.when(F.col("__b").isNotNull(), rule).otherwise(F.col(flag)))
-    return merged.select(*stored.columns)
+            flags[flag] = F.coalesce(F.col(f"r.{flag}"), F.lit(False)) | there(field)
+    both = old.isNotNull() & new.isNotNull()
+    met = _sides(stored, fresh, ["id"]).select("old", "new", F.when(both, merged).otherwise(F.coalesce(old, new)).alias("r"))
+    # What a row was before it was merged with nothing stays as it came.
+    return met.select(*[F.when(both, flags[c]).otherwise(F.col(f"r.{c}")).alias(c) if c in flags else F.col(f"r.{c}") for c in stored.columns])
 
 
 def insert_if_absent(stored: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -180,9 +179,9 @@ def mark_superseded(posts: DataFrame, at: str = "updated_at", stamp: bool = True
 
 
 def mark_deleted(posts: DataFrame, deletions: DataFrame) -> DataFrame:
-    """deleted_at on posts; the first deletion known stays and no row is removed."""
+    """deleted_at on posts, of the type that it has there, else in deletions; the first deletion known stays and no row is removed."""
     first = first_deletions(deletions).select(F.col("id").alias("__gone"), F.col("deleted_at").alias("__at"))
-    stored = F.col("deleted_at") if "deleted_at" in posts.columns else F.lit(None).cast("timestamp")
+    stored = F.col("deleted_at") if "deleted_at" in posts.columns else F.lit(None).cast(deletions.schema["deleted_at"].dataType)
     return posts.join(first, F.col("id") == F.col("__gone"), "left").withColumn("deleted_at", F.coalesce(stored, F.col("__at"))).drop("__gone", "__at")
 
 

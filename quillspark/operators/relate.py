@@ -100,16 +100,17 @@ def byte_budget(sizes: Column, budget: int, each: int) -> Column:
     return F.aggregate(sizes, zero, step)["out"]
 
 
-def ancestors(edges: DataFrame, starts: DataFrame, most: int = 20) -> DataFrame:
+def ancestors(edges: DataFrame, starts: DataFrame, most: int = 20, order: str | None = None) -> DataFrame:
     """(start, ancestor, hops): parents of parents of each start, at most `most` hops, cycles cut.
 
-    edges is (id, parent) and may have more columns; of rows with one id the one with the largest
-    parent counts, so no id multiplies rows. starts is (start), each counted once. Each id has the
+    edges is (id, parent) and may have more columns; of rows with one id the last in the order
+    column counts, without one that with the largest parent, so no id multiplies rows. starts is (start), each counted once. Each id has the
     list of its next ancestors, and a round appends to it the list of its last one, so lists
     double: five joins for 20 hops, each written to the shared folder. Rounds end when no list is
     full. Null ids and parents are no edges.
     """
-    edges = edges.where("id is not null and parent is not null").groupBy("id").agg(F.max("parent").alias("parent"))
+    last = F.max("parent") if order is None else F.max_by("parent", F.struct(order, "parent"))
+    edges = edges.where("id is not null").groupBy("id").agg(last.alias("parent")).where("parent is not null")
     chains, length = materialize(edges.select("id", F.array("parent").alias("chain"))), 1
     while length < most:
         more = min(length, most - length)

@@ -81,13 +81,6 @@ def _(read):
     return timeline.with_positions(views.posts(read).select("id", "created_at", "author_id"), order).select("id", "position")
 
 
-@query("numeric_id_order", sql("posts", "SELECT id::VARCHAR AS id FROM posts ORDER BY length(id::VARCHAR), id::VARCHAR LIMIT 100"))
-def _(read):
-    """Digit strings as numbers."""
-    ids = views.posts(read).select(F.col("id").cast("string").alias("id"))
-    return ids.orderBy(*timeline.numeric_id_order(F.col("id"))).limit(100)
-
-
 @query("numeric_id_order_all", sql("posts", "SELECT id::VARCHAR AS id, row_number() OVER (ORDER BY length(id::VARCHAR), id::VARCHAR) - 1 AS position FROM posts"))
 def _(read):
     """All digit strings with their positions as numbers."""
@@ -366,14 +359,6 @@ def _(read):
     return views.posts(read).where("status = 'P'").select("id").join(files, "id")
 
 
-@query("media_join", sql("posts media", """f AS (SELECT post_id, media_id, source, row_number() OVER (PARTITION BY post_id, media_id ORDER BY part, source, size) AS n FROM media)
- SELECT p.id, f.media_id, f.source FROM posts p LEFT JOIN f ON f.post_id = p.id AND f.n = 1 WHERE p.status = 'P'"""))
-def _(read):
-    """Posts with the first file of each key."""
-    first = views.media(read).groupBy(F.col("post_id").alias("id"), "media_id").agg(F.min(F.struct("part", "source", "size")).alias("f"))
-    return views.posts(read).where("status = 'P'").select("id").join(first, "id", "left").select("id", "media_id", F.col("f.source").alias("source"))
-
-
 @query("media_join_all", sql("posts media", """f AS (SELECT post_id, media_id, source, row_number() OVER (PARTITION BY post_id, media_id ORDER BY part, source, size) AS n FROM media)
  SELECT p.id, f.media_id, f.source FROM posts p LEFT JOIN f ON f.post_id = p.id AND f.n = 1"""))
 def _(read):
@@ -414,14 +399,6 @@ def _(read):
     return relate.children_counts(views.thread(read))
 
 
-@query("ancestor_chain", sql("thread", """w AS (SELECT id AS start, parent AS ancestor, 1 AS hops FROM thread WHERE parent IS NOT NULL AND turn % 3 = 2
- UNION ALL SELECT w.start, t.parent, w.hops + 1 FROM w JOIN thread t ON t.id = w.ancestor WHERE t.parent IS NOT NULL AND w.hops < 20) SELECT start, ancestor, hops FROM w""", recursive=True))
-def _(read):
-    """Ancestors of posts, 20 hops at most."""
-    thread = views.thread(read)
-    return relate.ancestors(thread.select("id", "parent"), thread.where("turn % 3 = 2").select(F.col("id").alias("start")))
-
-
 @query("ancestor_chain_all", sql("thread", """w AS (SELECT id AS start, parent AS ancestor, 1 AS hops FROM thread WHERE parent IS NOT NULL
  UNION ALL SELECT w.start, t.parent, w.hops + 1 FROM w JOIN thread t ON t.id = w.ancestor WHERE t.parent IS NOT NULL AND w.hops < 20) SELECT start, ancestor, hops FROM w""", recursive=True))
 def _(read):
@@ -591,12 +568,6 @@ def _(read):
     return read("documents").select("doc_id", text.compact_count(F.col("n_chars")).alias("label"))
 
 
-@query("sanitised_ids", "SELECT doc_id, CASE WHEN regexp_matches(source, '^src[0-9]+$') THEN substr(source, 4) END AS id, nullif(substr(text, 1, 20), '') AS head FROM documents")
-def _(read):
-    """bounded and checked fields."""
-    return read("documents").select("doc_id", coerce.record_id(F.substring("source", 4, 30)).alias("id"), coerce.non_empty(F.col("text"), 20).alias("head"))
-
-
 @query("sanitised_ids_all", """SELECT doc_id, CASE WHEN regexp_matches(source, '^src[0-9]+$') THEN substr(source, 4) END AS id, length(t)::BIGINT AS chars, sha256(t) AS digest
  FROM (SELECT doc_id, source, nullif(substr(text, 1, 200000), '') AS t FROM documents)""")
 def _(read):

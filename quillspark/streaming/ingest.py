@@ -7,10 +7,11 @@ import os
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.operators import merge
 from quillspark.operators.timeline import with_positions
 
 
@@ -72,15 +73,16 @@ class SnapshotTable:
                 self._fs.delete(status.getPath(), True)
 
 
-def upsert_stream(stream: DataFrame, table: SnapshotTable, apply: Callable[[DataFrame, DataFrame], DataFrame], keys: Sequence[str], order: str, checkpoint: str):
+def upsert_stream(stream: DataFrame, table: SnapshotTable, apply: Callable[[DataFrame, DataFrame], DataFrame], keys: Sequence[str], order: str, checkpoint: str, ties: Sequence[str] = ()):
     """A writer that merges each micro-batch into the table: apply(stored, newest row of each key).
 
-    Only buckets that hold a key of the batch are read and written anew, if the table has keys.
+    ties order rows of equal times, the greatest last; rows that are equal in these too are ordered
+    by a hash of the whole row, so a repeated batch gives the same. Only buckets that hold a key of
+    the batch are read and written anew, if the table has keys.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
-        fresh = batch.withColumn("__n", n).where("__n = 1").drop("__n")
+        fresh = merge.newest(batch, keys, [*[F.col(c).desc_nulls_last() for c in (order, *ties)], F.xxhash64(*batch.columns)])
         # At most as many numbers as there are buckets.
         touched = [r[0] for r in fresh.select(table.bucket()).distinct().collect()]
         table.replace(apply(table.read(touched), fresh), number, touched)

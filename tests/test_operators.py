@@ -141,6 +141,27 @@ def test_archives_merge_in_two_modes(spark):
     assert documented == {"1": (3, "a", "2", None), "2": (4, "b", None, "2020")}
 
 
+def test_deletion_marks_keep_their_type(spark):
+    posts = spark.createDataFrame([("1",), ("2",)], "id string")
+    texts = merge.mark_deleted(posts, spark.createDataFrame([("1", "no time"), ("2", "2020-01-01")], "id string, deleted_at string"))
+    assert sorted(rows(texts)) == [("1", "no time"), ("2", "2020-01-01")]
+    times = merge.mark_deleted(posts, spark.createDataFrame([("1", datetime(2020, 1, 1))], "id string, deleted_at timestamp"))
+    assert sorted(rows(times)) == [("1", datetime(2020, 1, 1)), ("2", None)]
+
+
+def test_posts_are_merged_by_one_join(spark):
+    kind = "id string, text string, reply_to_id string, is_reply boolean, conversation_id string, conversation_inferred boolean, first_captured_at int, captured_at int, updated_at int"
+    stored, fresh = (spark.createDataFrame([], kind) for _ in range(2))
+    plan = merge.upsert_posts(stored.hint("merge"), fresh)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("Join") == 1
+
+
+def test_last_of_repeated_ids_is_the_parent(spark):
+    edges = spark.createDataFrame([(2, 9, 0), (2, 1, 1), (3, 2, 2), (4, 7, 3), (4, None, 4)], "id long, parent long, place int")
+    starts = spark.createDataFrame([(3,), (4,)], "start long")
+    assert sorted(rows(relate.ancestors(edges, starts, order="place"))) == [(3, 1, 2), (3, 2, 1)]
+
+
 def test_marks_stay_and_ties_are_settled(spark):
     posts = spark.createDataFrame([(1, None, 5, 9), (2, None, 5, None), (3, 2, 8, None), (4, 2, 7, None)], "id int, edited_from int, updated_at int, superseded_by int")
     got = {r["id"]: (r["superseded_by"], r["updated_at"]) for r in merge.mark_superseded(posts).collect()}
