@@ -28,7 +28,7 @@ TRAIN_ROWS = 6_000
 LEXICON_SIZE, CANDIDATES = 400, 20_000
 #: A document is predicted toxic from this score on.
 THRESHOLD = 0.3
-#: Distinct tokens that a worker remembers.
+#: Distinct tokens that a worker remembers, of two generations each: what is looked up again outlives the older one.
 CACHE_TOKENS = 1 << 17
 
 # Second-person words of the corpus languages.
@@ -57,10 +57,15 @@ def _stems(word: str) -> set[str]:
 
 
 class Tokens(dict):
-    """Flags of each token, worked out at its first lookup."""
+    """Flags of each token, worked out at its first lookup.
+
+    Once CACHE_TOKENS are known they become the older generation, which serves lookups until the
+    next one is full, so tokens that come again and again are never worked out anew.
+    """
 
     def __init__(self, lexicon: list[str], weak: list[str] = ()):
         super().__init__()
+        self.older: dict[str, int] = {}
         self.weak = tuple(x.rstrip("*") for x in weak)
         self.whole = frozenset(x for x in lexicon if not x.endswith("*"))
         self.begin = frozenset(x[:-1] for x in lexicon if x.endswith("*"))
@@ -70,13 +75,24 @@ class Tokens(dict):
         return word in self.whole or any(word[:n] in self.begin for n in self.lengths if len(word) >= n)
 
     def __missing__(self, token: str) -> int:
+        flags = self.older.get(token)
+        if flags is None:
+            flags = self.flags(token)
+        self[token] = flags
+        return flags
+
+    def flags(self, token: str) -> int:
         lower = token.lower()
         core = lower.strip(".,;:!?\"'()[]{}<>*_-#%&$/\\|+=~`“”‘’«»…")
-        flags = 0
+        flags, letters, again = 0, core.isalpha(), _REPEAT.search(lower)
         if self.listed(core):
             flags |= _LEX
         elif self.weak and core.startswith(self.weak):
             flags |= _WEAK
+        elif letters:
+            # Nothing but letters stands for nothing else; only repeated ones can hide a word.
+            if again and (short := _REPEAT.sub(r"\1", core)) != core and self.listed(short):
+                flags |= _HIDDEN
         elif any(c.isalpha() for c in core):
             plain = "".join(_LETTERS.findall(core.translate(LEET)))
             joined = "".join(_LETTERS.findall(core))
@@ -91,19 +107,18 @@ class Tokens(dict):
             flags |= _YOU
         if len(core) > 2 and token.isupper():
             flags |= _CAPS
-        if _INNER.search(token):
+        if not token.isalpha() and _INNER.search(token):
             flags |= _SYMBOL
-        if any(c.isdigit() for c in core) and any(c.isalpha() for c in core):
+        if not letters and any(c.isdigit() for c in core) and any(c.isalpha() for c in core):
             flags |= _DIGIT
         if "!" in token or "?" in token:
             flags |= _STRESS
-        if _REPEAT.search(lower):
+        if again:
             flags |= _LONG
         if core != lower:
             flags |= _PUNCT
-        if len(core) == 1 and core.isalpha():
+        if len(core) == 1 and letters:
             flags |= _SINGLE
-        self[token] = flags
         return flags
 
     def features(self, text: str | None) -> list[float]:
@@ -113,6 +128,7 @@ class Tokens(dict):
         if not n:
             return [0.0] * len(FEATURES)
         if len(self) > CACHE_TOKENS:
+            self.older = dict(self)
             self.clear()
         flags = np.fromiter(map(self.__getitem__, tokens), dtype=np.int32, count=n)
         count = [int(np.count_nonzero(flags & (1 << i))) for i in range(11)]
