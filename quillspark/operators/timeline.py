@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.scratch import materialize, small
+from quillspark.scratch import Tables, materialize, small
 
 
 def keyset_page(rows: DataFrame, keys: Sequence[str], limit: int = 30, after: Sequence | None = None, where: Column | None = None) -> DataFrame:
@@ -170,6 +170,35 @@ def running_max(rows: DataFrame, groups: Sequence[str], order: Sequence[Column],
     return met.select(*[F.col(f"`{c}`") for c in rows.columns], F.greatest("__local", "__carried").alias(name))
 
 
+def placed_parts(rows: DataFrame, groups: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """rows dealt by ranges of group and order and sorted, with __at, which grows with the order; to be written before it is used twice.
+
+    The upper bits of __at are the range's number. Ties are broken by a hash of the whole row.
+    """
+    hashed = [F.col(f"`{f.name}`") for f in rows.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"]
+    whole = [*[F.col(f"`{g}`").asc_nulls_first() for g in groups], *order, *([F.xxhash64(*hashed)] if hashed else [])]
+    return rows.repartitionByRange(*whole).sortWithinPartitions(*whole).select("*", F.monotonically_increasing_id().alias("__at"))
+
+
+def running_sum(placed: DataFrame, groups: Sequence[str], value: str, name: str, held: Tables) -> DataFrame:
+    """A written table of placed_parts() with the sum of value over the rows before each in its group (0 for the first).
+
+    A window runs within each range's part of a group; one over the parts, one row each, carries
+    their sums on, so a group with a third of all rows is many tasks.
+    """
+    part = F.shiftrightunsigned("__at", 33)
+    sums = placed.groupBy(*[F.col(g).alias(f"__g_{g}") for g in groups], part.alias("__p")).agg(F.sum(value).alias("__sum"))
+    earlier = Window.partitionBy(*[f"__g_{g}" for g in groups]).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = held.keep(sums.select("*", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__carried")).drop("__sum"))
+    cut = placed.withColumn("__part", part)
+    local = Window.partitionBy(*groups, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    test = F.col("__part") == F.col("__p")
+    for g in groups:
+        test = test & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    met = cut.withColumn("__local", F.coalesce(F.sum(value).over(local), F.lit(0))).join(small(carried), test)
+    return met.select(*[F.col(f"`{c}`") for c in placed.columns], (F.col("__local") + F.col("__carried")).alias(name))
+
+
 def order_of(sampled: DataFrame, position: str, time: str) -> DataFrame:
     """(direction): asc, desc or mixed by steps between sampled neighbours; a nine-tenths rule."""
     step = F.col(time) > F.lag(time).over(Window.orderBy(position))

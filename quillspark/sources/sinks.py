@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import csv_cell, safe_name
 from quillspark.functions.urls import safe_archive_name
+from quillspark.operators import shards
 from quillspark.operators.timeline import numbered
 from quillspark.sources.envelope import dump
 
@@ -48,34 +49,10 @@ def write_envelope(records: DataFrame, order: Sequence[Column], columns: Sequenc
     return n
 
 
-def shard_numbers(records: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str], budget: int, overhead: int = 6, size: Column | None = None) -> DataFrame:
-    """records with shard: closed greedily by the bytes of each record's JSON, or else by size, within each group.
-
-    The greedy rule is sequential in a group; it streams over sorted rows of a partition and holds
-    one record at a time.
-    """
-    import pyarrow as pa
-    from pyspark.sql import types as T
-
+def shard_numbers(records: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str], budget: int, overhead: int = 6, size: Column | None = None, most: int | None = None) -> DataFrame:
+    """records with shard: closed greedily by the bytes of each record's JSON, or else by size, within each group; see shards.greedy()."""
     size = F.octet_length(record_json(columns)) + overhead if size is None else size
-    sized = records.withColumn("__bytes", size.cast("bigint"))
-    dealt = sized.repartition(*group).sortWithinPartitions(*group, *order)
-
-    def each(batches):
-        now, used, shard = None, 0, 0
-        for batch in batches:
-            out = []
-            keys = list(zip(*(batch.column(g).to_pylist() for g in group), strict=True))
-            for key, size in zip(keys, batch.column("__bytes").to_pylist(), strict=True):
-                if key != now:
-                    now, used, shard = key, 0, 0
-                elif used and used + size > budget:
-                    used, shard = 0, shard + 1
-                used += size
-                out.append(shard)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "shard"])
-
-    return dealt.mapInArrow(each, T.StructType([*dealt.schema.fields, T.StructField("shard", T.IntegerType())])).drop("__bytes")
+    return shards.greedy(records, group, order, size, budget, most)
 
 
 def write_shards(sharded: DataFrame, columns: Sequence[str], path: str) -> None:
