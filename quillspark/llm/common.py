@@ -55,7 +55,7 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array([root(x) for x in leaves], pa.int64())], names=["u", "v"])
 
 
-def connected_components(edges: DataFrame, parts: int | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, parts: int | None = None, held: Tables | None = None) -> DataFrame:
     """(node, component) for undirected edges (src, dst) of longs: component is the smallest node reachable.
 
     Edges are first contracted to stars within each batch, then large-star and small-star steps
@@ -63,9 +63,10 @@ def connected_components(edges: DataFrame, parts: int | None = None) -> DataFram
     back: by broadcast if they are few, else by a join whose two shuffles adaptive execution splits
     at a node that holds a third of the edges. Self loops and nulls are dropped; nodes without an
     edge do not appear. No edge reaches the driver, only counts and one checksum a round. parts is
-    the number of tasks that write the edges, if the caller knows that they are few.
+    the number of tasks that write the edges, if the caller knows that they are few. What the result
+    reads is among the tables of held, to be deleted with them.
     """
-    held = Tables()
+    held = Tables() if held is None else held
     pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u > v")
     pairs = pairs if parts is None else pairs.coalesce(parts)
     state = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -353,7 +353,7 @@ def components(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = T
     """
     docs, held = docs.select("doc_id", "text"), Tables()
     signed = held.keep(_signatures(docs, size, threshold))
-    # Tables of nodes, pairs and links are written by a task for this many documents.
+    # Tables of nodes and pairs are written by a task for this many documents; what verifies pairs has as many tasks as they need.
     parts = max(8, signed.count() // 20_000)
     of_key = signed.where("node is not null").groupBy("node", "key").agg(F.count("*").alias("times"))
     nodes = held.keep(of_key.groupBy("node").agg(F.min(F.struct("key", "times")).alias("r")).select("node", "r.key", "r.times"), parts)
@@ -410,8 +410,8 @@ def components(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = T
     # Sets of the long readers are there; those of the other nodes of a pair are made now.
     wanted = tested.select(F.col("src").alias("node")).union(tested.select("dst"))
     sets = held.keep(_sets(docs, key_of(wanted.join(small(readers.select("node"), readers), "node", "left_anti")), size)).union(long_sets)
-    links = held.keep(_verified(tested, sets, threshold), parts)
-    labels = held.keep(connected_components(links, parts), parts)
+    links = held.keep(_verified(tested, sets, threshold))
+    labels = held.keep(connected_components(links, parts, held), parts)
 
     def ranked(table: DataFrame, *more: str) -> DataFrame:
         """table with rank, (size, component) of each node's component."""
@@ -430,15 +430,15 @@ def components(docs: DataFrame, size: int = SIZE, threshold: tuple[int, int] = T
         leaders = others.groupBy("token").agg(F.min(F.struct(odd, "node", "n", "shared", "rank")).alias("lead"))
         found = _ordered(led(ranked(long_reads, "l"), leaders, F.col("rank") != F.col("lead.rank")))
         fresh = held.keep(found.join(tested, ["src", "dst"], "left_anti"), parts)
-        again = held.keep(_verified(fresh, long_sets, threshold), parts)
+        again = held.keep(_verified(fresh, long_sets, threshold))
         if not again.isEmpty():
             links = held.keep(links.union(again), parts)
-            labels = held.keep(connected_components(links, parts), parts)
+            labels = held.keep(connected_components(links, parts, held), parts)
         sketches = held.keep(_sketches(long_sets.join(small(still), "node", "left_semi")), parts)
         across = held.keep(_across(ranked(long_reads, "l"), ranked(lists, "pos"), sketches, threshold, held), parts)
-        again = held.keep(_verified(across, long_sets, threshold), parts)
+        again = held.keep(_verified(across, long_sets, threshold))
         if not again.isEmpty():
-            labels = held.keep(connected_components(links.union(again), parts), parts)
+            labels = held.keep(connected_components(links.union(again), parts, held), parts)
 
     rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(small(labels), "node", "left")
     group = F.coalesce("component", "node")
