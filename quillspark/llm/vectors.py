@@ -364,7 +364,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     else:
         raise RuntimeError(f"the search found {recall:.4f} of the audited links, less than {LEAST_RECALL}")
     edges = out.where(F.col("kind") == _EDGE).select(F.col("a").alias("src"), F.col("b").alias("dst")).union(foreign.select("a", "b"))
-    labels = held.keep(connected_components(edges))
+    labels = held.keep(connected_components(edges, held=held))
     rows = placed.join(small(copies), "node", "left").join(small(links), "node", "left").join(small(labels), "node", "left")
     rows = materialize(rows.select("vec_id", F.coalesce(F.col("links"), F.lit(0)).alias("links"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("component", "node").alias("group")))
     least = materialize(rows.where("group is not null").groupBy("group").agg(F.min("vec_id").alias("component_id")))
@@ -380,6 +380,8 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 #: Vectors and queries of a block; dimensions of the first partial sum; blocks of the first norm band.
 BLOCK, ASK_BLOCK, HEAD, BAND = 4096, 1024, 16, 4
+#: Join keys of a band, about, its blocks times their copies.
+SALTED = 256
 
 
 def _blocks(size: int):
@@ -561,8 +563,11 @@ def top_inner_products(rows: DataFrame, asks: Column, k: int = 10, scale: float
             F.collect_list(F.struct("row", "low")).alias("floors"), F.sum(1 - reached).alias("over")
         )
         live = ask_blocks.join(small(held.keep(floors)), "ask", "left").where(F.coalesce("over", F.lit(0)) < F.col("ask_n")).drop("over")
-        sent = live.withColumn("rank", F.explode(F.sequence(F.lit(at), F.lit(min(n_blocks, at + step) - 1))))
-        found = sent.withColumn("rank", F.col("rank").cast("long")).join(blocks.select("rank", "n", "ids", "q"), "rank").mapInArrow(met, kind)
+        # A band of few blocks is met by all queries: its blocks are repeated, so that queries spread over as many tasks as in a wide one.
+        salts = max(1, SALTED // step)
+        sent = live.withColumn("rank", F.explode(F.sequence(F.lit(at), F.lit(min(n_blocks, at + step) - 1)))).withColumn("salt", F.pmod(F.xxhash64("ask"), F.lit(salts)))
+        band = blocks.where((F.col("rank") >= at) & (F.col("rank") < at + step)).select("rank", "n", "ids", "q").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        found = sent.withColumn("rank", F.col("rank").cast("long")).join(band, ["rank", "salt"]).mapInArrow(met, kind)
         merged = best.union(found).withColumn("place", F.row_number().over(by_query)).where(F.col("place") <= k).drop("place")
         done, best = best, held.keep(merged)
         held.drop(done)
