@@ -15,14 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, release
+from quillspark.llm.common import materialize, release, small
 
 #: Strictness: 1 asks that a term is never seen without the entity; higher finds more terms.
 ALPHA = 1.05
 #: Distinct texts in which a term must stand near an entity, and how many characters near is.
 SUPPORT, NEAR = 3, 40
-#: Rows up to which a table of terms or texts is broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 50_000
 
 KINDS = ("email", "ip", "card", "phone")
 # The expressions match what the nested forms of their definitions match, written without repeated
@@ -149,11 +147,6 @@ def _near_terms(text: Column, span: Column) -> Column:
     return F.array_distinct(words)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(doc_id, text_md5, base, terms) for each row of docs(doc_id, text).
 
@@ -181,6 +174,7 @@ def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataF
     release(contexts)
     no_terms = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
     if pairs.isEmpty():
+        release(pairs)
         return based.select("doc_id", "text_md5", "base", no_terms.alias("terms"))
 
     entities = (
@@ -189,7 +183,7 @@ def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataF
     )
     held = materialize(
         known.select("text_md5", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-        .join(_small(pairs.select("term").distinct()), "term").distinct()
+        .join(small(pairs.select("term").distinct(), pairs), "term").distinct()
     )
     terms = held.groupBy("term").agg(F.count("*").alias("n_term"))
     telling = F.log2(F.col("together") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
@@ -197,16 +191,16 @@ def find(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataF
     disclosing = materialize(
         pairs.join(entities, "entity").join(terms, "term").where((own > 0) & (telling >= own / alpha - 1e-9)).select("term").distinct()
     )
-    where = materialize(held.join(_small(disclosing), "term").groupBy("text_md5").agg(F.sort_array(F.collect_set("term")).alias("words")))
+    where = materialize(held.join(small(disclosing), "term").groupBy("text_md5").agg(F.sort_array(F.collect_set("term")).alias("words")))
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}])(?:"), F.array_join("words", "|"), F.lit(r")(?![\p{L}])"))
     placed = (
-        known.select("text_md5", "text").join(_small(where), "text_md5")
+        known.select("text_md5", "text").join(small(where), "text_md5")
         .select("text_md5", _matches(F.col("text"), pattern, F.lit("term")).alias("terms")).dropDuplicates(["text_md5"])
     )
     placed = materialize(placed)
     for table in (pairs, held, disclosing, where):
         release(table)
-    return based.join(_small(placed), "text_md5", "left").select(
+    return based.join(small(placed), "text_md5", "left").select(
         "doc_id", "text_md5", "base", F.coalesce("terms", no_terms).alias("terms")
     )
 
