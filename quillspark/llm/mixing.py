@@ -13,6 +13,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
 #: Documents that one task rounds together at a level of the reduction tree.
 GROUP = 128
+#: Copies of one text that a task writes; what comes oftener is dealt to several first.
+COPIES = 1_000
 _TINY = 1e-9
 
 
@@ -190,4 +192,8 @@ def repeat(docs: DataFrame, weights=WEIGHTS, most: float = MOST, group: int = GR
     once = met(mixed.where("rows = 1"))
     if not mixed.where("rows > 1").isEmpty():
         once = once.union(met(mixed.where("rows > 1")).dropDuplicates(["key"]))
-    return once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    if not mixed.where(F.col("copies") > COPIES).isEmpty():
+        # A text that comes very often is dealt to several tasks before it is multiplied.
+        parts = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES)))
+        once = once.withColumn("part", parts).withColumn("copies", F.least(F.lit(COPIES), F.col("copies") - F.col("part") * COPIES)).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "part")
+    return once.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -175,3 +175,17 @@ def test_mixing(spark):
         copies[r["doc_id"]] += r["copies"]
     assert repeated == +copies
     assert mixing.mix(frame.limit(0)).count() == 0
+
+
+def test_a_million_repeats_are_many_tasks(spark):
+    """One text 40,000 times beside a few others: its copies are dealt to tasks before they are multiplied."""
+    rows = spark.range(40_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("a").alias("source"))
+    rows = rows.union(spark.createDataFrame([(1, "four five", "b"), (2, "six", None)], "doc_id long, text string, source string"))
+    mixed = mixing.mix(rows)
+    assert mixed.count() == 40_002
+    wanted = {r[0]: r[1] for r in mixed.groupBy("doc_id").agg(F.sum("copies")).collect() if r[1]}
+    out = mixing.repeat(rows)
+    assert out.columns == rows.columns
+    assert {r[0]: r[1] for r in out.groupBy("doc_id").agg(F.count("*")).collect()} == wanted
+    most = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 0.75 * sum(wanted.values())
