@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
 
 from pyspark.sql import Column
@@ -12,7 +13,8 @@ from quillspark.operators import merge, relate, timeline
 from quillspark.plans import views
 from quillspark.plans.registry import query
 from quillspark.plans.views import sql
-from quillspark.sources import sinks
+from quillspark.scratch import remove, scratch_dir
+from quillspark.sources import ranges, sinks
 
 # -- lookups and scans -------------------------------------------------------------------------------
 
@@ -521,3 +523,18 @@ def _(read):
     variants = views.media(read).groupBy("post_id", "media_id").agg(F.min("type").alias("type"), F.max("size").alias("size"))
     ranked = variants.select("post_id", "media_id", F.col("media_id").alias("place"), F.when(F.col("type") != "N", F.col("size")).alias("bitrate"))
     return relate.best_variant(ranked, ["post_id"], "bitrate", "place").select("post_id", "media_id")
+
+
+# -- archive files -----------------------------------------------------------------------------------
+
+
+@query("archive_by_ranges", "SELECT doc_id, lang, length(text)::BIGINT AS chars, sha256(coalesce(text, '')) AS digest FROM documents")
+def _(read):
+    """Documents written as envelopes by the tasks, and read again by byte ranges."""
+    docs = read("documents").select("doc_id", "lang", "text")
+    path = f"{scratch_dir(docs.sparkSession).rstrip('/')}/archive-{uuid.uuid4().hex}"
+    sinks.write_envelopes(docs, [F.col("doc_id").asc()], ["doc_id", "lang", "text"], path, {"schemaVersion": 1, "note": '"tweets":['}, {"deletions": [{"id": "1"}]})
+    found = ranges.read_ranges(docs.sparkSession, path).where("record is not null")
+    remove(docs.sparkSession, path)
+    row = F.from_json("record", "doc_id long, lang string, text string")
+    return found.select(row.alias("r")).select("r.doc_id", "r.lang", F.length("r.text").cast("bigint").alias("chars"), F.sha2(F.coalesce("r.text", F.lit("")), 256).alias("digest"))

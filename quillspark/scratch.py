@@ -35,14 +35,18 @@ def materialize(df: DataFrame, parts: int | None = None) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file of any store that Spark can reach."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that materialize() wrote, once nothing that is still to run reads them."""
     for df in tables:
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            remove(df.sparkSession, path)
 
 
 class Tables:

@@ -139,20 +139,29 @@ def stream_elements(chunks: Iterator[str], key: str) -> Iterator[tuple[str | Non
 
 
 @contextmanager
-def open_envelope(content: bytes, entry: str = "tweets.json") -> Iterator[IO[bytes]]:
+def open_envelope(content: bytes | IO[bytes], entry: str = "tweets.json") -> Iterator[IO[bytes]]:
     """The envelope within a file as a stream: itself, or a ZIP's entry of any size if the file begins with PK.
 
-    The entry's checksum is tested where the stream ends. A checksum that does not match, an unknown
-    method or an oversize central directory raises ValueError.
+    content is the file's bytes or the file, open at its start and able to seek. The entry's checksum
+    is tested where the stream ends. A checksum that does not match, an unknown method or an oversize
+    central directory raises ValueError.
     """
-    if content[:2] != b"PK":
-        yield io.BytesIO(content)
+    file = io.BytesIO(content) if isinstance(content, bytes) else content
+    zipped = file.read(2) == b"PK"
+    file.seek(0)
+    if not zipped:
+        yield file
         return
-    end = content.rfind(b"PK\x05\x06")
-    if end >= 0 and len(content) - int.from_bytes(content[end + 16:end + 20], "little") > MOST_DIRECTORY_BYTES:
+    # The end record lies in the last 64 KB and a bit; what it says of the directory is tested before that is read.
+    size = file.seek(0, io.SEEK_END)
+    file.seek(max(0, size - (1 << 16) - 22))
+    tail = file.read()
+    end = tail.rfind(b"PK\x05\x06")
+    if end >= 0 and size - int.from_bytes(tail[end + 16:end + 20], "little") > MOST_DIRECTORY_BYTES and tail[end + 16:end + 20] != b"\xff" * 4:
         raise ValueError("the central directory is too large")
+    file.seek(0)
     try:
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
+        with zipfile.ZipFile(file) as z:
             names = [n for n in z.namelist() if n == entry or n.endswith("/" + entry)]
             if not names:
                 raise ValueError(f"no {entry} in the archive")
@@ -162,6 +171,23 @@ def open_envelope(content: bytes, entry: str = "tweets.json") -> Iterator[IO[byt
         raise ValueError(str(e)) from e
 
 
+def stored_elements(opened, key: str, entry: str = "tweets.json") -> Iterator[tuple]:
+    """(position, record, error) of a file's array; opened() gives the file at its start, twice.
+
+    It is streamed twice: checksum and encoding first, so a damaged file gives no records, then its
+    elements. A file that cannot be read gives one row with an error.
+    """
+    try:
+        with opened() as file, open_envelope(file, entry) as stream:
+            for _ in _chunks(stream):
+                pass
+        with opened() as file, open_envelope(file, entry) as stream:
+            for i, (record, problem) in enumerate(stream_elements(_chunks(stream), key)):
+                yield None if record is None else i, record, problem
+    except (ValueError, UnicodeDecodeError) as e:
+        yield None, None, str(e)
+
+
 def envelope_bytes(content: bytes, entry: str = "tweets.json") -> bytes:
     """The whole envelope within a file, see open_envelope."""
     with open_envelope(content, entry) as stream:
@@ -186,17 +212,6 @@ def read_envelopes(spark: SparkSession, paths: list[str] | str, key: str = "twee
     """
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
 
-    def rows(path: str, content: bytes) -> Iterator[tuple]:
-        try:
-            with open_envelope(content, entry) as stream:
-                for _ in _chunks(stream):
-                    pass
-            with open_envelope(content, entry) as stream:
-                for i, (record, problem) in enumerate(stream_elements(_chunks(stream), key)):
-                    yield path, None if record is None else i, record, problem
-        except (ValueError, UnicodeDecodeError) as e:
-            yield path, None, None, str(e)
-
     def packed(part: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in part], pa.string()), pa.array([r[1] for r in part], pa.int64()),
@@ -208,7 +223,8 @@ def read_envelopes(spark: SparkSession, paths: list[str] | str, key: str = "twee
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 part, chars = [], 0
-                for row in rows(path, content):
+                for row in stored_elements(lambda content=content: io.BytesIO(content), key, entry):
+                    row = (path, *row)
                     part.append(row)
                     chars += len(row[2] or "")
                     if len(part) == 5000 or chars >= BATCH_CHARS:

@@ -32,21 +32,45 @@ def export_profile(profiles: DataFrame) -> DataFrame:
     return profiles.orderBy(F.col("imported").asc(), F.col("last_seen_at").desc_nulls_last(), F.col("user_id").desc()).limit(1)
 
 
-def write_envelope(records: DataFrame, order: Sequence[Column], columns: Sequence[str], path: str, head: dict, tail: dict) -> int:
-    """One envelope file on the driver's disk, streamed partition by partition; returns the records written."""
-    rows = records.orderBy(*order).select(record_json(columns).alias("r"))
-    n = 0
-
-    def lines() -> Iterator[str]:
-        nonlocal n
-        for row in rows.toLocalIterator(prefetchPartitions=True):
-            n += 1
-            yield row["r"]
-
-    with open(path, "w", encoding="utf-8") as f:
-        for line in dump(head, lines(), tail):
-            f.write(line + "\n")
-    return n
+def envelope_lines(records: DataFrame, order: Sequence[Column], columns: Sequence[str], head: dict, tail: dict, files: int | None = None) -> DataFrame:
+    """(value): the lines of one envelope a partition, each with its own count; records come in order, range by range.
+
+    files is the number of envelopes, by default as many as ranges are dealt to; 1 gives the whole
+    archive as one, streamed through one task. A range without records gives no envelope, an empty
+    table one that is empty.
+    """
+    import pyarrow as pa
+
+    rows = records.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order).select(record_json(columns).alias("value"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next((b for b in batches if b.num_rows), None)
+        if first is None:
+            return
+
+        def texts() -> Iterator[str]:
+            yield from first.column(0).to_pylist()
+            for batch in batches:
+                yield from batch.column(0).to_pylist()
+
+        part: list[str] = []
+        size = 0
+        for line in dump(head, texts(), tail):
+            part.append(line)
+            size += len(line)
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["value"])
+                part, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["value"])
+
+    if records.isEmpty():
+        return records.sparkSession.createDataFrame([(line,) for line in dump(head, iter(()), tail)], "value string").coalesce(1)
+    return rows.mapInArrow(each, "value string")
+
+
+def write_envelopes(records: DataFrame, order: Sequence[Column], columns: Sequence[str], path: str, head: dict, tail: dict, files: int | None = None) -> None:
+    """An archive as a folder of envelopes, written by the tasks; see envelope_lines()."""
+    envelope_lines(records, order, columns, head, tail, files).write.text(path)
 
 
 def shard_numbers(records: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str], budget: int, overhead: int = 6, size: Column | None = None, most: int | None = None) -> DataFrame:

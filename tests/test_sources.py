@@ -98,9 +98,12 @@ def test_bad_checksum_is_refused():
 
 def test_envelope_round_trip(spark, tmp_path):
     posts = spark.createDataFrame([("1", "a\n\"x\""), ("2", None)], "id string, text string")
-    path = str(tmp_path / "out.json")
-    assert sinks.write_envelope(posts, [F.col("id").desc()], ["id", "text"], path, {"schemaVersion": 5}, {"deletions": [], "connections": [1]}) == 2
-    document = json.load(open(path, encoding="utf-8"))
+    path = tmp_path / "out"
+    sinks.write_envelopes(posts, [F.col("id").desc()], ["id", "text"], str(path), {"schemaVersion": 5}, {"deletions": [], "connections": [1]}, files=1)
+    document = json.loads("".join(p.read_text(encoding="utf-8") for p in path.glob("part-*")))
+    empty = tmp_path / "empty"
+    sinks.write_envelopes(posts.limit(0), [F.col("id").desc()], ["id", "text"], str(empty), {"schemaVersion": 5}, {})
+    assert [json.loads(p.read_text()) for p in empty.glob("part-*") if p.stat().st_size] == [{"schemaVersion": 5, "tweets": [], "count": 0}]
     assert list(document) == ["schemaVersion", "tweets", "count", "connections"]
     assert document["tweets"] == [{"id": "2", "text": None}, {"id": "1", "text": 'a\n"x"'}]
 
