@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.coerce import platform_timestamp, record_id, strictly_true
-from quillspark.functions.urls import permalink_id
+from quillspark.functions.coerce import record_id
 
 
 def first_of(body: Column, paths: Sequence[str]) -> Column:
@@ -21,39 +20,6 @@ def count_at(body: Column, path: str) -> Column:
     return F.when(n >= 0, n)
 
 
-MEDIA = "array<struct<id_str:string,media_key:string,type:string,media_url_https:string,ext_alt_text:string,original_info:struct<width:int,height:int>,video_info:struct<duration_millis:bigint,aspect_ratio:array<double>,variants:array<struct<url:string,bitrate:bigint,content_type:string>>>>>"
-ENTITIES = "struct<urls:array<struct<url:string,expanded_url:string,display_url:string>>,hashtags:array<struct<text:string>>,user_mentions:array<struct<id_str:string,screen_name:string,name:string>>>"
-
-
-def media_of(body: Column, paths: Sequence[str], most: int = 64) -> Column:
-    """The first list of media among paths, as structs with a best variant for videos."""
-    lists = [F.from_json(F.get_json_object(body, p), MEDIA) for p in paths]
-    chosen = F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists], F.array().cast(MEDIA))
-
-    def one(m: Column) -> Column:
-        playable = F.filter(m["video_info"]["variants"], lambda v: v["content_type"] == "video/mp4")
-        ranked = F.transform(playable, lambda v, i: F.struct(F.coalesce(v["bitrate"], F.lit(0)).alias("rate"), (-i).alias("place"), v["url"].alias("url")))
-        return F.struct(
-            m["id_str"].alias("id"), m["media_key"].alias("media_key"), m["type"].alias("type"),
-            F.coalesce(F.array_max(ranked)["url"], m["media_url_https"]).alias("url"), F.concat(m["media_url_https"], F.lit("?name=small")).alias("thumbnail_url"),
-            m["original_info"]["width"].alias("width"), m["original_info"]["height"].alias("height"), m["ext_alt_text"].alias("alt_text"),
-            m["video_info"]["duration_millis"].alias("duration_ms"),
-        )
-
-    return F.slice(F.transform(chosen, one), 1, most)
-
-
-def entities_of(body: Column, paths: Sequence[str], most: int = 64) -> Column:
-    """Links, tags and mentions of the first entities among paths, each list capped."""
-    found = F.from_json(first_of(body, paths), ENTITIES)
-    cap = lambda x, kind: F.slice(F.coalesce(x, F.array().cast(kind)), 1, most)
-    return F.struct(
-        cap(F.transform(found["urls"], lambda u: F.struct(u["url"].alias("url"), u["expanded_url"].alias("expanded_url"), u["display_url"].alias("display_url"))), "array<struct<url:string,expanded_url:string,display_url:string>>").alias("urls"),
-        cap(F.transform(found["hashtags"], lambda h: h["text"]), "array<string>").alias("hashtags"),
-        cap(F.transform(found["user_mentions"], lambda m: F.struct(m["id_str"].alias("id"), m["screen_name"].alias("screen_name"), m["name"].alias("name"))), "array<struct<id:string,screen_name:string,name:string>>").alias("mentions"),
-    )
-
-
 #: Bindings of a card that are read.
 BINDINGS = 256
 
@@ -78,44 +44,6 @@ def poll_of(card: Column) -> Column:
     ))
 
 
-def live_posts(rows: DataFrame, body: str = "body") -> DataFrame:
-    """Posts out of result nodes: one select of ordered fallbacks; nodes without a sound id go."""
-    b = F.col(body)
-    note, legacy = "$.note_tweet.note_tweet_results.result", "$.legacy"
-    media = media_of(b, [f"{legacy}.extended_entities.media", f"{legacy}.entities.media"])
-    short = F.regexp_replace(F.get_json_object(b, f"{legacy}.full_text"), r"\s*https://t\.co/\w+$", "")
-    text = F.coalesce(first_of(b, [f"{note}.text"]), F.when(F.size(media) > 0, short).otherwise(F.get_json_object(b, f"{legacy}.full_text")))
-    reply = record_id(F.get_json_object(b, f"{legacy}.in_reply_to_status_id_str"))
-    post = record_id(first_of(b, ["$.rest_id", f"{legacy}.id_str", "$.id_str"]))
-    user = "$.core.user_results.result"
-    edits = F.slice(F.array_distinct(F.coalesce(F.from_json(F.get_json_object(b, "$.edit_control.edit_tweet_ids"), "array<string>"), F.array().cast("array<string>"))), 1, 64)
-    own_quote = first_of(b, [f"{legacy}.quoted_status_id_str", "$.quoted_status_result.result.rest_id"])
-    return rows.select(
-        post.alias("id"), text.alias("text"), F.get_json_object(b, f"{legacy}.lang").alias("lang"),
-        platform_timestamp(F.get_json_object(b, f"{legacy}.created_at")).alias("created_at"), F.get_json_object(b, f"{legacy}.created_at").alias("created_at_raw"),
-        reply.isNotNull().alias("is_reply"), reply.alias("reply_to_id"), F.get_json_object(b, f"{legacy}.in_reply_to_screen_name").alias("reply_to_handle"),
-        F.coalesce(record_id(F.get_json_object(b, f"{legacy}.conversation_id_str")), reply, post).alias("conversation_id"),
-        F.get_json_object(b, f"{legacy}.conversation_id_str").isNull().alias("conversation_inferred"),
-        F.coalesce(record_id(own_quote), permalink_id(first_of(b, ["$.attachment_url"]))).alias("quote_id"),
-        edits.alias("edit_ids"), (F.size(edits) > 1).alias("is_edit"),
-        F.struct(
-            record_id(F.get_json_object(b, f"{user}.rest_id")).alias("id"), first_of(b, [f"{user}.core.screen_name", f"{user}.legacy.screen_name"]).alias("screen_name"),
-            first_of(b, [f"{user}.core.name", f"{user}.legacy.name"]).alias("name"), first_of(b, [f"{user}.avatar.image_url", f"{user}.legacy.profile_image_url_https"]).alias("avatar_url"),
-        ).alias("author"),
-        F.struct(
-            count_at(b, f"{legacy}.favorite_count").alias("likes"), count_at(b, f"{legacy}.retweet_count").alias("retweets"), count_at(b, f"{legacy}.reply_count").alias("replies"),
-            count_at(b, f"{legacy}.quote_count").alias("quotes"), count_at(b, f"{legacy}.bookmark_count").alias("bookmarks"), count_at(b, "$.views.count").alias("views"),
-        ).alias("metrics"),
-        media.alias("media"), entities_of(b, [f"{note}.entity_set", f"{legacy}.entities"]).alias("entities"), poll_of(F.get_json_object(b, "$.card")).alias("poll"),
-        F.struct(
-            strictly_true(F.get_json_object(b, f"{legacy}.favorited").try_cast("boolean")).alias("liked"),
-            strictly_true(F.get_json_object(b, f"{legacy}.bookmarked").try_cast("boolean")).alias("bookmarked"),
-            strictly_true(F.get_json_object(b, f"{legacy}.retweeted").try_cast("boolean")).alias("reposted"),
-        ).alias("viewer_state"),
-        F.get_json_object(b, f"{legacy}.possibly_sensitive").try_cast("boolean").alias("sensitive"),
-    ).where("id is not null")
-
-
 USERS = "array<struct<id:string,username:string,name:string,profile_image_url:string>>"
 TWEETS = "array<struct<id:string,text:string,author_id:string>>"
 FILES = "array<struct<media_key:string,type:string,url:string,width:int,height:int,alt_text:string,duration_ms:bigint,variants:array<struct<url:string,bit_rate:bigint,content_type:string>>>>"

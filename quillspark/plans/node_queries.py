@@ -206,7 +206,7 @@ def _(read):
         F.when(k % 3 == 0, ',"in_reply_to_status_id_str":"99"').otherwise(""), F.when(k % 2 == 0, ',"conversation_id_str":"77"').otherwise(""), F.when(k % 4 == 0, ',"quoted_status_id_str":"55"').otherwise(""),
         F.lit("}"), F.when(k % 4 == 1, ',"attachment_url":"https://x.com/a/status/66?s=1"').otherwise(""), F.lit("}"),
     )
-    found = extract.live_posts(read("documents").where("source <> ''").select(body.alias("body")))
+    found = nodes.live_posts(read("documents").where("source <> ''").select(body.alias("body")))
     return found.select(
         "id", F.col("text").alias("shown"), "is_reply", F.col("conversation_id").alias("conversation"), F.col("conversation_inferred").alias("inferred"), F.col("metrics.likes").alias("likes"), F.col("metrics.views").alias("views"),
         F.col("created_at").cast("timestamp_ntz").alias("created_at"), "quote_id", F.col("viewer_state.liked").alias("liked"), F.col("author.screen_name").alias("handle"),

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.coerce import platform_timestamp, record_id
-from quillspark.functions.urls import host
-from quillspark.plans.extract import count_at, first_of
+from quillspark.functions.coerce import platform_timestamp, record_id, strictly_true
+from quillspark.functions.urls import host, permalink_id
+from quillspark.plans.extract import count_at, first_of, poll_of
 
 # Where an answer may hold its media, entities, long text and links, in the order in which they are tried.
 MEDIA_PATHS = ("$.legacy.extended_entities.media", "$.legacy.entities.media", "$.extended_entities.media", "$.entities.media", "$.tweet.legacy.extended_entities.media")
@@ -254,3 +254,36 @@ def archived_entities(raw: Column, body: Column, measured: Column, own_ids: Colu
         F.coalesce(F.transform(_first_of_each(people, lambda m: F.lower(m["username"])), lambda m: m["username"]), F.array()).alias("mentions"),
         F.transform(F.array_sort(sound), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"),
     )
+
+
+def live_posts(rows: DataFrame, body: str = "body", previous: Column | None = None) -> DataFrame:
+    """Posts out of result nodes: one select of the parts above; refused nodes and those without a sound id go.
+
+    previous is the version that the request of an edit names. Null and broken bodies give no post.
+    """
+    b, legacy = F.col(body), "$.legacy"
+    at = lambda path: F.get_json_object(b, path)
+    post, reply = record_id(first_of(b, ["$.rest_id", f"{legacy}.id_str", "$.id_str"])), record_id(at(f"{legacy}.in_reply_to_status_id_str"))
+    shared = record_id(first_of(b, [f"{legacy}.retweeted_status_result.result.rest_id", f"{legacy}.retweeted_status_id_str"]))
+    quoted = first_of(b, [f"{legacy}.quoted_status_id_str", "$.quoted_status_result.result.rest_id"])
+    edit = edit_info(b, previous if previous is not None else F.lit(None).cast("string"))
+    state = lambda leaf: strictly_true(at(f"{legacy}.{leaf}").try_cast("boolean"))
+    user = "$.core.user_results.result"
+    who = author(b)
+    return rows.where(~is_refused(b)).select(
+        post.alias("id"), F.coalesce(shown_text(b), F.lit("")).alias("text"), at(f"{legacy}.lang").alias("lang"),
+        platform_timestamp(at(f"{legacy}.created_at")).alias("created_at"), at(f"{legacy}.created_at").alias("created_at_raw"),
+        reply.isNotNull().alias("is_reply"), reply.alias("reply_to_id"), at(f"{legacy}.in_reply_to_screen_name").alias("reply_to_handle"),
+        shared.isNotNull().alias("is_retweet"), shared.alias("retweeted_id"),
+        F.coalesce(record_id(at(f"{legacy}.conversation_id_str")), reply, post).alias("conversation_id"), at(f"{legacy}.conversation_id_str").isNull().alias("conversation_inferred"),
+        F.coalesce(record_id(quoted), permalink_id(first_of(b, ["$.attachment_url"]))).alias("quote_id"), quoted_post(b).alias("quoted"),
+        edit["is_edit"].alias("is_edit"), edit["edited_from"].alias("edited_from"), edit["ids"].alias("edit_ids"), edit["initial_id"].alias("edit_initial_id"), edit["remaining"].alias("edits_remaining"),
+        who.withField("avatar_url", first_of(b, [f"{user}.avatar.image_url", f"{user}.legacy.profile_image_url_https"])).alias("author"),
+        F.struct(
+            count_at(b, f"{legacy}.favorite_count").alias("likes"), count_at(b, f"{legacy}.retweet_count").alias("retweets"), count_at(b, f"{legacy}.reply_count").alias("replies"),
+            count_at(b, f"{legacy}.quote_count").alias("quotes"), count_at(b, f"{legacy}.bookmark_count").alias("bookmarks"), count_at(b, "$.views.count").alias("views"),
+        ).alias("metrics"),
+        media(b).alias("media"), entities(b).alias("entities"), links(b).alias("links"), poll_of(at("$.card")).alias("poll"), posted_via(at("$.source")).alias("posted_via"),
+        F.struct(state("favorited").alias("liked"), state("bookmarked").alias("bookmarked"), state("retweeted").alias("reposted")).alias("viewer_state"),
+        at(f"{legacy}.possibly_sensitive").try_cast("boolean").alias("sensitive"),
+    ).where("id is not null")

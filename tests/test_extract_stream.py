@@ -6,29 +6,29 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators.merge import upsert
-from quillspark.plans import extract
+from quillspark.plans import extract, nodes
 from quillspark.streaming import ingest
 
 LIVE = {
     "rest_id": "100", "core": {"user_results": {"result": {"rest_id": "7", "legacy": {"screen_name": "someone", "name": "Some One"}}}},
     "legacy": {
         "full_text": "short https://t.co/abc", "created_at": "Wed Oct 10 20:19:24 +0000 2018", "favorite_count": 3, "in_reply_to_status_id_str": "99", "favorited": True,
-        "extended_entities": {"media": [{"id_str": "m", "type": "video", "media_url_https": "https://e.com/t.jpg", "video_info": {"variants": [
+        "extended_entities": {"media": [{"id_str": "12", "type": "video", "url": "https://t.co/abc", "indices": [6, 22], "media_url_https": "https://e.com/t.jpg", "video_info": {"variants": [
             {"url": "u1", "bitrate": 1, "content_type": "video/mp4"}, {"url": "u2", "bitrate": 9, "content_type": "video/mp4"}, {"url": "u3", "content_type": "x"}]}}]},
         "entities": {"urls": [{"url": "a", "expanded_url": "b", "display_url": "c"}], "hashtags": [{"text": "tag"}]},
     },
-    "views": {"count": "12"}, "edit_control": {"edit_tweet_ids": ["98", "100"]},
+    "views": {"count": "12"}, "edit_control": {"edit_control_initial": {"edit_tweet_ids": ["98", "100"], "initial_tweet_id": "98"}},
     "card": {"legacy": {"name": "poll2choice_text_only", "binding_values": [{"key": "choice1_label", "value": {"string_value": "yes"}}, {"key": "choice2_label", "value": {"string_value": "no"}}, {"key": "counts_are_final", "value": {"boolean_value": True}}]}},
 }
 
 
 def test_live_posts(spark):
-    bodies = spark.createDataFrame([(json.dumps(LIVE),), ("{}",), ("nonsense",), (None,)], "body string")
-    got = extract.live_posts(bodies).collect()
+    bodies = spark.createDataFrame([(json.dumps(LIVE),), ("{}",), ("nonsense",), (None,), (json.dumps(LIVE | {"__typename": "TweetTombstone"}),)], "body string")
+    got = nodes.live_posts(bodies).collect()
     assert len(got) == 1
     post = got[0]
     assert (post["id"], post["text"], post["is_reply"], post["conversation_id"], post["conversation_inferred"]) == ("100", "short", True, "99", True)
-    assert post["media"][0]["url"] == "u2" and post["entities"]["hashtags"] == ["tag"] and post["poll"]["choices"] == ["yes", "no"] and post["poll"]["final"]
+    assert [v["url"] for v in post["media"][0]["variants"]] == ["u1", "u2", "u3"] and post["edit_initial_id"] == "98" and post["entities"]["hashtags"] == ["tag"] and post["poll"]["choices"] == ["yes", "no"] and post["poll"]["final"]
     assert post["metrics"]["views"] == 12 and post["is_edit"] and post["viewer_state"]["liked"] and post["author"]["screen_name"] == "someone"
 
 
