@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators.timeline import numbered
-from quillspark.scratch import materialize, release
+from quillspark.operators.timeline import numbered, placed_parts, running_sum
+from quillspark.scratch import Tables, materialize, release
 
 
 def media_files(wanted: DataFrame, files: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -84,20 +84,19 @@ def greedy_shards(sizes: Column, budget: int) -> Column:
     return F.aggregate(sizes, zero, step)["out"]
 
 
-def byte_budget(sizes: Column, budget: int, each: int) -> Column:
-    """Which files are taken: those over `each` are passed over, the first that breaks the budget ends it."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(False).alias("over"), F.array().cast("array<boolean>").alias("out"))
+def within_budget(files: DataFrame, groups: Sequence[str], order: Sequence[Column], size: str, budget: int, each: int) -> DataFrame:
+    """files with taken: those over `each` are passed over, the first that breaks the budget ends its group.
 
-    def step(acc: Column, size: Column) -> Column:
-        large = size > each
-        breaks = ~large & (acc["used"] + size > budget)
-        take = ~acc["over"] & ~large & ~breaks
-        return F.struct(
-            F.when(take, acc["used"] + size).otherwise(acc["used"]).cast("bigint").alias("used"), (acc["over"] | breaks).alias("over"),
-            F.concat(acc["out"], F.array(take)).alias("out"),
-        )
-
-    return F.aggregate(sizes, zero, step)["out"]
+    Since sizes are not negative, what is taken is what a running sum of the others keeps within the
+    budget, so no group passes through one task. Null sizes are 0. A column named taken is replaced.
+    """
+    held = Tables()
+    fits = F.coalesce(F.col(size), F.lit(0)) <= each
+    sized = files.drop("taken").withColumn("__size", F.when(fits, F.coalesce(F.col(size), F.lit(0))).otherwise(0).cast("bigint"))
+    placed = held.keep(placed_parts(sized, groups, order))
+    used = held.keep(running_sum(placed, groups, "__size", "__used", held))
+    held.close(used)
+    return used.withColumn("taken", fits & (F.col("__used") + F.col("__size") <= budget)).drop("__size", "__used", "__at")
 
 
 def ancestors(edges: DataFrame, starts: DataFrame, most: int = 20, order: str | None = None) -> DataFrame:

@@ -92,6 +92,11 @@ def numeric_id_order(ids: Column) -> list[Column]:
     return [F.length(ids).asc(), ids.asc()]
 
 
+def collated(text: Column, order: str = "UNICODE") -> Column:
+    """Text that sorts and ranges as people expect it in all scripts: punctuation before digits before letters, small before large."""
+    return F.collate(text, order)
+
+
 def spread_sample(rows: DataFrame, order: Sequence[Column], count: int) -> DataFrame:
     """`count` rows evenly spread over an order: positions floor((n - 1) k / (count - 1)).
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import zipfile
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import csv_cell, safe_name
 from quillspark.functions.urls import safe_archive_name
 from quillspark.operators import shards
-from quillspark.operators.timeline import numbered
+from quillspark.operators.timeline import collated, numbered, with_positions
 from quillspark.sources.envelope import dump
 
 #: Columns of a roster file, in order.
@@ -90,10 +89,33 @@ def roster_lines(roster: DataFrame) -> DataFrame:
     return roster.select("list", "userId", F.concat_ws(",", *cells).alias("line"))
 
 
-def roster_csv(roster: DataFrame) -> str:
-    """A whole roster file; rosters are small and sorted by list, handle and id."""
-    rows = roster_lines(roster).orderBy("list", "userId").select("line").toLocalIterator()
-    return "\r\n".join([",".join(ROSTER), *(r["line"] for r in rows)]) + "\r\n"
+def write_roster(roster: DataFrame, path: str) -> None:
+    """A roster file as a folder of ranges in order, by list, handle in the order of UNICODE, and id; the first range begins with the header."""
+    handle = [collated(F.col("screenName")).asc()] if "screenName" in roster.columns else []
+    placed = with_positions(roster, [F.col("list").asc(), *handle, F.col("userId").asc()])
+    first = roster.sparkSession.createDataFrame([(-1, ",".join(ROSTER))], "position long, line string")
+    cells = [csv_cell(F.col(c)) if c in roster.columns else F.lit("") for c in ROSTER]
+    lines = first.union(placed.select("position", F.concat_ws(",", *cells).alias("line")))
+    lines.repartitionByRange("position").sortWithinPartitions("position").select("line").write.option("lineSep", "\r\n").text(path)
+
+
+def write_listings(rows: DataFrame, order: Sequence[Column], path: str) -> None:
+    """Snapshot listings of rows(timestamp, original), a file a range: an array of arrays behind a header."""
+    import pyarrow as pa
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = False
+        for batch in batches:
+            lines = ["," + json.dumps(list(r), ensure_ascii=False) for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([] if some else ['[["timestamp","original"]'], pa.string())], names=["value"])
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+                some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(["]"], pa.string())], names=["value"])
+
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("timestamp", "original")
+    dealt.mapInArrow(each, "value string").write.text(path)
 
 
 def media_names(media: DataFrame, *more: str) -> DataFrame:
@@ -102,19 +124,6 @@ def media_names(media: DataFrame, *more: str) -> DataFrame:
     return media.where(F.col("blob").isNotNull() & F.col("post_id").cast("string").rlike("^[0-9]{1,25}$")).select("post_id", "media_id", name.alias("name"), "blob", *more)
 
 
-def write_zip(entries: DataFrame, path: str) -> tuple[int, int]:
-    """A ZIP of stored (name, blob) rows by name, on the driver's disk; returns (written, skipped)."""
-    written = skipped = 0
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED, allowZip64=False) as z:
-        for row in entries.withColumn("ok", safe_archive_name(F.col("name"))).orderBy("name").toLocalIterator():
-            if not row["ok"] or row["blob"] is None:
-                skipped += 1
-                continue
-            z.writestr(zipfile.ZipInfo(row["name"], (1980, 1, 1, 0, 0, 0)), bytes(row["blob"]))
-            written += 1
-    return written, skipped
-
-
 def media_index_text(entries: DataFrame) -> DataFrame:
     """(line): post, media and file in columns of 18, 18 and 43, with blanks between and longer values uncut, then the kind or a question mark.
 

@@ -100,11 +100,6 @@ def responses_to_posts(stream: DataFrame) -> DataFrame:
     ).where("id is not null")
 
 
-def session_gauges(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """(session, gauge, updates) by session over a stream with a watermark: the greatest value of each gauge."""
-    return stream.withWatermark("at", late).groupBy(F.window("at", "1 hour"), "session", "gauge").agg(F.max("value").alias("value"), F.count("*").alias("updates"))
-
-
 def enqueue(queue: DataFrame, fresh: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """(queue, dropped) after fresh(id, place) joined a queue(id, place): each id once, `most` in order of place."""
     last = queue.agg(F.coalesce(F.max("place"), F.lit(-1)).alias("last"))

@@ -207,7 +207,9 @@ def test_shards_and_budgets(spark):
     one = spark.range(1)
     sizes = F.array(*[F.lit(x).cast("bigint") for x in (4, 4, 4, 20, 1)])
     assert one.select(relate.greedy_shards(sizes, 10)).first()[0] == [0, 0, 1, 2, 3]
-    assert one.select(relate.byte_budget(sizes, 9, 10)).first()[0] == [True, True, False, False, False]
+    files = spark.createDataFrame([(g, i, n) for g in ("a", None) for i, n in enumerate((4, 4, 20, 4, 1, None))], "g string, i int, size int")
+    taken = relate.within_budget(files, ["g"], [F.col("i").asc()], "size", 9, 10)
+    assert [r["taken"] for r in taken.where("g is null").orderBy("i").collect()] == [True, True, False, False, False, False] and taken.columns == ["g", "i", "size", "taken"]
     names = spark.createDataFrame([("media/12_a_b.jpg",), ("media/12.jpg",), ("other/12_a.jpg",)], "n string")
     assert [r[0] and tuple(r[0]) for r in names.select(relate.media_name_key(F.col("n"))).collect()] == [("12", "a_b"), None, None]
 
@@ -224,3 +226,9 @@ def test_ancestors_beyond_one_hop_a_round(spark):
     assert sorted(rows(relate.ancestors(line, starts))) == sorted([(30, 30 - h, h) for h in range(1, 21)] + [(7, 7 - h, h) for h in range(1, 8)])
     tail = spark.createDataFrame([(9, 1), (1, 2), (2, 3), (3, 1)], "id long, parent long")
     assert sorted(rows(relate.ancestors(tail, tail.selectExpr("id as start").where("id in (9, 2)")))) == [(2, 1, 2), (2, 3, 1), (9, 1, 1), (9, 2, 2), (9, 3, 3)]
+
+
+def test_collated_order(spark):
+    names = spark.createDataFrame([("1a",), ("_a",), ("B",), ("a",), ("ä",), ("z",), ("A",), ("a",)], "n string")
+    got = timeline.with_positions(names, [timeline.collated(F.col("n")).asc()]).orderBy("position").collect()
+    assert [r["n"] for r in got] == ["_a", "1a", "a", "a", "A", "ä", "B", "z"] and [r["position"] for r in got] == list(range(8))

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.sources import envelope, sinks
+from quillspark.sources import envelope, sinks, zips
 
 RECORDS = [
     {"id": "1", "text": 'brackets ] } [ {'}, {"id": "2", "text": 'quotes " and \\ backslash'}, {"id": "3", "text": "日本語 😇"}, {"id": "4", "text": "", "deep": [[[{"a": []}]]]},
@@ -116,11 +116,12 @@ def test_shards(spark):
 
 def test_roster_zip_and_tree(spark, tmp_path):
     roster = spark.createDataFrame([("followers", "2", "=cmd"), ("followers", "1", 'q"q')], "list string, userId string, name string")
-    lines = sinks.roster_csv(roster).split("\r\n")
+    sinks.write_roster(roster, str(tmp_path / "roster"))
+    lines = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "roster").glob("part-*"))).split("\r\n")
     assert lines[0].startswith("list,userId,") and lines[1].count(",") == 13 and '"q""q"' in lines[1] and ",'=cmd," in lines[2]
     blobs = spark.createDataFrame([("media/1_a.jpg", bytearray(b"x")), ("../bad", bytearray(b"y"))], "name string, blob binary")
-    assert sinks.write_zip(blobs, str(tmp_path / "m.zip")) == (1, 1)
-    assert zipfile.ZipFile(tmp_path / "m.zip").read("media/1_a.jpg") == b"x"
+    zips.write_zip(blobs, str(tmp_path / "m.zip"))
+    assert zipfile.ZipFile(tmp_path / "m.zip").namelist() == ["media/1_a.jpg"] and zipfile.ZipFile(tmp_path / "m.zip").read("media/1_a.jpg") == b"x"
     files = spark.sql("select id as post_id, 'm' as media_id, timestamp'2020-05-01' as created_at, '.jpg' as ext from range(5)")
     paths = sorted(r["path"] for r in sinks.hosted_layout(files, 2).collect())
     assert paths == ["media/2020/05-2/2_m.jpg", "media/2020/05-2/3_m.jpg", "media/2020/05-3/4_m.jpg", "media/2020/05/0_m.jpg", "media/2020/05/1_m.jpg"]
@@ -131,3 +132,23 @@ def test_roster_zip_and_tree(spark, tmp_path):
 def test_listing(spark, tmp_path):
     (tmp_path / "l.json").write_text(json.dumps([["timestamp", "original"], ["20240101000000", "https://example.com/u/status/1"]]))
     assert [tuple(r) for r in envelope.listing(spark, str(tmp_path / "l.json")).collect()] == [("20240101000000", "https://example.com/u/status/1")]
+
+
+def test_zip_of_many_tasks(spark, tmp_path):
+    rows = [(f"media/{i}_u.bin", bytearray(bytes([i % 256]) * (i * 7 % 500)), f"20{i % 40 + 10}-03-0{i % 9 + 1} 12:3{i % 10}:41") for i in range(150)]
+    entries = spark.createDataFrame([*rows, ("media/none", None, None), ("/root", bytearray(b"x"), None)], "name string, blob binary, at string").withColumn("at", F.to_timestamp("at")).repartition(6)
+    written = zips.write_zip(entries, str(tmp_path / "all.zip"), "at").first()["bytes"]
+    assert written == (tmp_path / "all.zip").stat().st_size and [p.name for p in tmp_path.iterdir()] == ["all.zip"]
+    with zipfile.ZipFile(tmp_path / "all.zip") as z:
+        assert z.testzip() is None and {n: z.read(n) for n in z.namelist()} == {n: bytes(b) for n, b, _ in rows}
+        assert z.namelist() == sorted(z.namelist()) and z.getinfo("media/1_u.bin").date_time == (2011, 3, 2, 12, 31, 40)
+    zips.write_zip(entries.limit(0), str(tmp_path / "empty.zip"))
+    assert zipfile.ZipFile(tmp_path / "empty.zip").namelist() == []
+    pieces = zips.zip_pieces(entries, "at")
+    assert b"".join(r["bytes"] for r in pieces.orderBy("at").collect()) == (tmp_path / "all.zip").read_bytes()
+
+
+def test_dos_times(spark):
+    times = [("1979-12-31 23:59:59",), ("1980-01-01 00:00:00",), ("2024-02-29 13:45:59",), ("2108-01-01 00:00:00",), (None,)]
+    got = [tuple(r["d"]) for r in spark.createDataFrame(times, "t string").select(zips.dos_time(F.to_timestamp("t")).alias("d")).collect()]
+    assert got == [(33, 0), (33, 0), ((44 << 9) | (2 << 5) | 29, (13 << 11) | (45 << 5) | 29), ((127 << 9) | (12 << 5) | 31, (23 << 11) | (59 << 5) | 29), (33, 0)]
