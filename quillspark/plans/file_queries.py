@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import records, relate, shards, timeline
+from quillspark.operators import records, relate, search, shards, timeline
 from quillspark.plans import views
 from quillspark.plans.registry import query
 from quillspark.plans.views import sql
@@ -121,3 +121,12 @@ def _(read):
     merged = records.merge_records(views.captures(read).select("id", "captured_at", "event_id", body.alias("body")), "id", "body", ["captured_at", "event_id"])
     at = lambda path, kind: F.get_json_object("body", path).cast(kind)
     return merged.select("id", at("$.value", "double").alias("value"), at("$.k", "bigint").alias("k"), *[at(f"$.seen.by.{k}.last", "bigint").alias(k) for k in ("click", "signup", "error")])
+
+
+@query("indexed_search", "SELECT doc_id FROM documents WHERE doc_id > 0 AND contains(lower(concat_ws(chr(10), text, lang, source)), 'the') AND contains(lower(concat_ws(chr(10), text, lang, source)), 'src1') AND contains(lower(concat_ws(chr(10), text, lang, source)), 'an') AND n_chars > 500")
+def _(read):
+    """An index of pieces and a tab's list, intersected as bitmaps and verified on the whole texts."""
+    docs = read("documents").select("doc_id", "text", "lang", "source", "n_chars")
+    hay = search.haystack([F.col("text"), F.col("lang"), F.col("source")])
+    tab = search.list_bitmaps(docs.where("n_chars > 500"), "doc_id")
+    return search.search(docs, "doc_id", hay, search.index(docs, "doc_id", hay), "The src1 an", [tab]).select("doc_id")
