@@ -57,9 +57,10 @@ def _(read):
 
 
 @query("zip_archive", """WITH e AS (SELECT 'media/' || doc_id || '_t.txt' AS name, coalesce(strlen(text), 0) AS size FROM documents),
- l AS (SELECT name, 30 + strlen(name) + size AS local, 46 + strlen(name) AS central FROM e),
- p AS (SELECT name, local, central, sum(local) OVER w - local AS o, sum(central) OVER w - central AS c, sum(local) OVER () AS body, sum(central) OVER () AS listed FROM l WINDOW w AS (ORDER BY name ROWS UNBOUNDED PRECEDING))
- SELECT 'entry' AS kind, name, o::BIGINT AS at, local::BIGINT AS bytes FROM p UNION ALL SELECT 'directory', name, (body + c)::BIGINT, central::BIGINT FROM p UNION ALL SELECT 'end', NULL, max(body + listed)::BIGINT, 22 FROM p""")
+ l AS (SELECT name, 30 + strlen(name) + size AS local, sum(30 + strlen(name) + size) OVER (ORDER BY name ROWS UNBOUNDED PRECEDING) - (30 + strlen(name) + size) AS o FROM e),
+ m AS (SELECT *, 46 + strlen(name) + CASE WHEN o >= 4294967295 THEN 12 ELSE 0 END AS central FROM l),
+ p AS (SELECT *, sum(central) OVER (ORDER BY name ROWS UNBOUNDED PRECEDING) - central AS c, sum(local) OVER () AS body, sum(central) OVER () AS listed FROM m)
+ SELECT 'entry' AS kind, name, o::BIGINT AS at, local::BIGINT AS bytes FROM p UNION ALL SELECT 'directory', name, (body + c)::BIGINT, central::BIGINT FROM p UNION ALL SELECT 'end', NULL, max(body + listed)::BIGINT, CASE WHEN count(*) >= 65535 OR max(body) >= 4294967295 OR max(listed) >= 4294967295 THEN 98 ELSE 22 END FROM p""")
 def _(read):
     """Texts as a stored ZIP, cut into the pieces that make up the file."""
     entries = read("documents").select(F.concat(F.lit("media/"), F.col("doc_id").cast("string"), F.lit("_t.txt")).alias("name"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("blob"))

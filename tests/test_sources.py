@@ -152,3 +152,18 @@ def test_dos_times(spark):
     times = [("1979-12-31 23:59:59",), ("1980-01-01 00:00:00",), ("2024-02-29 13:45:59",), ("2108-01-01 00:00:00",), (None,)]
     got = [tuple(r["d"]) for r in spark.createDataFrame(times, "t string").select(zips.dos_time(F.to_timestamp("t")).alias("d")).collect()]
     assert got == [(33, 0), (33, 0), ((44 << 9) | (2 << 5) | 29, (13 << 11) | (45 << 5) | 29), ((127 << 9) | (12 << 5) | 31, (23 << 11) | (59 << 5) | 29), (33, 0)]
+
+
+def test_zip_beyond_the_short_form(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(zips, "MOST_BYTES", 300)  # from here on offsets take the long form
+    monkeypatch.setattr(zips, "MOST_ENTRIES", 12)
+    entries = spark.range(20).select(F.format_string("media/%02d.bin", "id").alias("name"), F.encode(F.repeat(F.lit("xy"), F.col("id").cast("int") * 3), "utf-8").alias("blob"))
+    pieces = {r["kind"]: bytes(r["bytes"]) for r in zips.zip_pieces(entries).orderBy("at").collect()}
+    assert len(pieces["end"]) == 98 and pieces["directory"][-12:-8] == b"\x01\x00\x08\x00"
+    monkeypatch.undo()
+    monkeypatch.setattr(zips, "MOST_ENTRIES", 12)  # the short form says 12, which readers take as "look further"
+    monkeypatch.setattr(zips, "MOST_BYTES", (1 << 32) - 1)
+    whole = b"".join(bytes(r["bytes"]) for r in zips.zip_pieces(entries).orderBy("at").collect())
+    whole = whole[:-22] + whole[-22:].replace(b"\x0c\x00\x0c\x00", b"\xff\xff\xff\xff")
+    with zipfile.ZipFile(io.BytesIO(whole)) as z:
+        assert z.testzip() is None and z.read("media/07.bin") == b"xy" * 21 and len(z.namelist()) == 20
