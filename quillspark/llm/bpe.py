@@ -337,7 +337,7 @@ def encode_by_functions(docs: DataFrame, path: str, pattern: str, text: str = "t
 
     A text's matches are made distinct and sorted, each distinct word is folded once, and every match
     finds its word's ids by a binary search in its row. Equal to encode(), and slower: the README has
-    the check tool's figures, for which encode() is the one that queries use.
+    the figures of a timing by hand, for which encode() is the one that queries use.
     """
     table = rank_map(read_ranks(path))
     words = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(0))

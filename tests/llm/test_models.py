@@ -49,3 +49,61 @@ def test_trees_learn_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     margin = toxicity.Boosted().fit(x[:1500], y[:1500]).margin(x[1500:])
     assert ((margin > 0) == (y[1500:] > 0)).mean() > 0.95
+
+
+def test_subword_counts_equal_counting_one_by_one(monkeypatch):
+    monkeypatch.setattr(langid, "_SLICE", 50)  # long texts are cut, with an overlap
+    rng = random.Random(4)
+    for text in ["a", "Hello, World!", "Größe  naïve", "日本 語", " ".join(rng.choice(["ab", "c", "Straße", "1", "!"]) for _ in range(80))]:
+        raw = langid._CODES[np.frombuffer((" " + text + " ").encode(), dtype=np.uint8)].astype(int).tolist()
+        expected = np.zeros(langid.BUCKETS, dtype=int)
+        for order in langid._ORDERS:
+            for i in range(len(raw) - order + 1):
+                gram = raw[i:i + order]
+                if (32 in gram[1:-1]) if order > 2 else gram == [32] * order or (order == 2 and gram == [32, 32]):
+                    continue
+                h = order
+                for k, code in enumerate(gram):
+                    h = ((h ^ code) * int(langid._FACTORS[k])) % 2**32
+                    h ^= h >> 15
+                expected[h % langid.BUCKETS] += 1
+        assert langid.bucket_counts(text).tolist() == expected.tolist(), text
+
+
+def test_features_equal_counting_one_by_one():
+    lexicon, weak = ["idiot*", "moron*", "scum*"], ["stup*"]
+    tokens = toxicity.Tokens(lexicon, weak)
+    rng = random.Random(7)
+    words = ["you", "idiots!", "1d1ot", "m.o.r.o.n", "scuuum", "FINE", "stupid,", "a", "x9", "so-so", "What?!", "Du", "ok", "mo*on", "naïve", "...", "b"]
+    for _ in range(60):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30)))
+        f = dict(zip(toxicity.FEATURES, tokens.features(text), strict=True))
+        split = text.split()
+        core = [t.lower().strip(".,;:!?*-") for t in split]
+        n, rate = len(split), lambda test: sum(map(test, range(n))) / n
+        assert f["lexicon"] == sum(c.startswith(("idiot", "moron", "scum")) for c in core)
+        assert f["hidden"] >= sum(t in ("1d1ot", "m.o.r.o.n", "scuuum") for t in split)
+        assert f["weak"] == sum(c.startswith("stup") for c in core)
+        assert abs(f["second_person_rate"] - rate(lambda i: core[i] in ("you", "du"))) < 1e-12
+        assert abs(f["capitals_rate"] - rate(lambda i: split[i].isupper() and len(core[i]) > 2)) < 1e-12
+        assert abs(f["stress_rate"] - rate(lambda i: "!" in split[i] or "?" in split[i])) < 1e-12
+        assert abs(f["digit_rate"] - rate(lambda i: any(c.isdigit() for c in core[i]) and any(c.isalpha() for c in core[i]))) < 1e-12
+        assert abs(f["single_rate"] - rate(lambda i: len(core[i]) == 1 and core[i].isalpha())) < 1e-12
+        assert abs(f["lengthened_rate"] - rate(lambda i: "uuu" in split[i])) < 1e-12
+
+
+def test_what_is_remembered_changes_nothing(monkeypatch):
+    texts = [" ".join(f"w{(i * k) % 97}" for i in range(200)) for k in range(1, 20)]
+    whole = [toxicity.Tokens(["w1*"]).features(t) for t in texts]
+    monkeypatch.setattr(toxicity, "CACHE_TOKENS", 30)
+    tokens = toxicity.Tokens(["w1*"])
+    assert [tokens.features(t) for t in texts] == whole and tokens.older
+
+
+def test_repeated_and_null_ids_are_rows_like_others(spark):
+    rows = spark.createDataFrame([(1, "the cat and the dog", "en"), (1, "the cat and the dog", "en"), (None, "le chat et le chien", "fr"), (None, None, None)], "doc_id long, text string, lang string")
+    named = langid.identify(rows, langid.fit(rows)).collect()
+    assert len(named) == 4 and len({r["lang_pred"] for r in named if r["doc_id"] == 1}) == 1
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "doc_id long, toxic int")
+    scored = toxicity.score(rows, toxicity.fit(rows, labels)).collect()
+    assert len(scored) == 4 and all(0 <= r["toxicity"] <= 1 for r in scored) and len({r["toxicity"] for r in scored if r["doc_id"] == 1}) == 1
