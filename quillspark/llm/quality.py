@@ -25,8 +25,8 @@ MOST_SYMBOLS, MOST_DUP_LINES, WORD_LENGTHS = 25, 50, (2, 20)
 WINDOW = 5
 #: A host is rejected where at least this share of its documents fails a rule, once shrunk.
 HOST_RATE = 0.5
-#: Weight of the prior, in documents, where hosts differ by no more than chance.
-STRONGEST = 1e9
+#: Weight of the prior, in documents: where hosts differ as much as can be, and where they differ by no more than chance.
+WEAKEST, STRONGEST = 1.0, 1e9
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 _SYMBOLS = np.zeros(256, dtype=bool)
@@ -105,7 +105,7 @@ def prior(hosts: DataFrame) -> tuple[float, float]:
     """(rate, weight) of the beta prior of hosts(documents, failures), by moments.
 
     rate is that of all documents; weight says how many documents it counts for: few where hosts
-    differ, STRONGEST where they differ by chance alone. Without documents the rate is 0.
+    differ, WEAKEST at least, STRONGEST where they differ by chance alone. Without documents the rate is 0.
     """
     n, f = F.col("documents").cast("double"), F.col("failures").cast("double")
     row = hosts.agg(F.sum(n).alias("n"), F.sum(f).alias("f"), F.count("*").alias("h"), F.sum(n * n).alias("nn"), F.sum(f * f / n).alias("ff")).first()
@@ -117,7 +117,7 @@ def prior(hosts: DataFrame) -> tuple[float, float]:
     between = (spread - noise) / room if room > 0 else 0.0
     if between <= 0 or not 0 < rate < 1:
         return rate, STRONGEST
-    return rate, min(max(rate * (1 - rate) / between - 1, 0.0), STRONGEST)
+    return rate, min(max(rate * (1 - rate) / between - 1, WEAKEST), STRONGEST)
 
 
 def host_verdicts(documents: DataFrame, most: float = HOST_RATE) -> DataFrame:
@@ -165,6 +165,6 @@ g AS (SELECT *, base_failed OR 100 * n_symbols > {MOST_SYMBOLS} * n_words OR 100
 h AS (SELECT source, count(*)::DOUBLE AS n, count_if(failed)::DOUBLE AS f FROM g WHERE source IS NOT NULL GROUP BY source),
 s AS (SELECT sum(f) / sum(n) AS p, sum(f * f / n) - sum(n) * (sum(f) / sum(n)) ** 2 AS spread, count(*) - 1 AS k, sum(n) - sum(n * n) / sum(n) AS room FROM h),
 b AS (SELECT p, CASE WHEN room > 0 THEN (spread - k * p * (1 - p)) / room ELSE 0 END AS between_ FROM s),
-q AS (SELECT p, CASE WHEN between_ <= 0 OR p <= 0 OR p >= 1 THEN {STRONGEST} ELSE least(greatest(p * (1 - p) / between_ - 1, 0), {STRONGEST}) END AS weight FROM b),
+q AS (SELECT p, CASE WHEN between_ <= 0 OR p <= 0 OR p >= 1 THEN {STRONGEST} ELSE least(greatest(p * (1 - p) / between_ - 1, {WEAKEST}), {STRONGEST}) END AS weight FROM b),
 v AS (SELECT source, (f + p * weight) / (n + weight) < {HOST_RATE} AS host_kept FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_kept, true) AS kept FROM g LEFT JOIN v USING (source)"""
