@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.operators.timeline import numbered
-from quillspark.scratch import Tables, materialize, release, small
+from quillspark.scratch import Tables, small
 
 _QUOTE, _BACKSLASH, _COMMA = ord('"'), ord("\\"), ord(",")
 _STEP = np.zeros(256, dtype=np.int8)
@@ -306,10 +306,12 @@ def read_ranges(spark: SparkSession, paths: list[str] | str, key: str = "tweets"
     )
     # A slot is done once a range goes on behind it; the last one of a file only with the array's bracket.
     joined = parts.select("path", "slot", F.aggregate("parts", F.lit("").cast("binary"), lambda acc, p: F.concat(acc, p["text"])).alias("text"), "end", F.col("open") & F.coalesce(F.col("end") != "]", F.lit(True)))
-    done = whole.union(joined.toDF("path", "slot", "text", "end", "open"))
+    joined = held.keep(joined.toDF("path", "slot", "text", "end", "open"))
+    done = whole.union(joined)
     trimmed = F.decode(F.col("text"), "utf-8")
     trimmed = F.regexp_replace(trimmed, r"\A[ \t\r\n]+|[ \t\r\n]+\z", "")
-    found = held.keep(done.where(~F.col("open")).select("path", "slot", trimmed.alias("record")).where("record <> ''"))
+    # Elements lie in one written table only; what is done to them on the way out is not written again.
+    found = done.where(~F.col("open")).select("path", "slot", trimmed.alias("record")).where("record <> ''")
     counts = found.groupBy("path").agg((F.count("*") == F.max("slot") + 1).alias("dense"))
     if counts.where("not dense").isEmpty():
         records = found.select("path", F.col("slot").alias("position"), "record", F.lit(None).cast("string").alias("error"))
@@ -318,9 +320,9 @@ def read_ranges(spark: SparkSession, paths: list[str] | str, key: str = "tweets"
     ends = plans.where("error is null").select("path").distinct().join(placed.where("end is not null").select("path", "end"), "path", "left")
     problem = F.when(F.col("end").isNull(), "truncated").when(F.col("end") == "}", "depth-underflow")
     problems = ends.select("path", problem.alias("error")).union(plans.select("path", "error")).where("error is not null and error <> 'zip'")
-    out = materialize(records.union(problems.select("path", F.lit(None).cast("bigint"), F.lit(None).cast("string"), "error")))
-    held.close()
-    return out
+    problems = held.keep(problems.select("path", F.lit(None).cast("bigint").alias("position"), F.lit(None).cast("string").alias("record"), "error"))
+    held.close(slots, offsets, joined, problems)
+    return records.union(problems)
 
 
 def zips(spark: SparkSession, paths: list[str] | str) -> DataFrame:
