@@ -75,3 +75,8 @@ def merged_export_name(stem: str, handle: Column, day: Column, extension: str) -
     """stem-handle-merged-date.extension, other than letters, digits and underscores of the handle replaced."""
     safe = F.regexp_replace(F.coalesce(handle, F.lit("archive")), "[^A-Za-z0-9_]", "_")
     return F.concat(F.lit(stem), safe, F.lit("-merged-"), F.date_format(day, "yyyy-MM-dd"), F.lit("." + extension))
+
+
+def grid_shape(count: Column) -> Column:
+    """The layout of a post's pictures: as many places as there are, 1 to 4."""
+    return F.least(F.greatest(F.coalesce(count, F.lit(0)), F.lit(1)), F.lit(4))

@@ -247,3 +247,65 @@ def purge(posts: DataFrame, category: str) -> DataFrame:
     """Posts without those of a category: superseded or deleted; another name removes nothing."""
     column = {"superseded": "superseded_by", "deleted": "deleted_at"}.get(category)
     return posts if column is None else posts.where(is_absent(F.col(column), posts.schema[column].dataType))
+
+
+def fold_archives(copies: DataFrame, key: str, scan: Sequence[str], time: str, columns: Sequence[str]) -> DataFrame:
+    """(key, place..., time, columns...): copies of several archives, each post once at its first place.
+
+    Copies of a key are folded as fold_copies() has it; place is scan's columns of the first. Rows
+    without a key, null or empty, cannot be matched and stay as they are, each by itself.
+    """
+    known = ~is_absent(F.col(key), copies.schema[key].dataType)
+    narrow = list(dict.fromkeys([key, *scan, time, *columns]))
+    kept = copies.where(~F.coalesce(known, F.lit(False))).select(*narrow)
+    rest = copies.where(known).select(*narrow)
+    folded = fold_copies(rest, [key], scan, time, columns)
+    first = rest.groupBy(F.col(key).alias("__key")).agg(F.min(F.struct(*scan)).alias("__first"))
+    met = folded.join(first, F.col(key) == F.col("__key")).select(key, *[F.col(f"__first.{s}").alias(s) for s in scan if s not in columns and s != time and s != key], *[c for c in (time, *columns) if c != key])
+    return met.unionByName(kept.select(*met.columns))
+
+
+def record_deletions(stored: DataFrame, fresh: DataFrame, arrival: str | None = None) -> DataFrame:
+    """Deletions (id, deleted_at, ...) after fresh ones came: an id whose stored time is an answer stays, any other is replaced.
+
+    Of several fresh ones of an id the first counts, as first_deletions() has it. Other columns of
+    stored that fresh rows cannot tell are null in new rows.
+    """
+    kind = stored.schema["deleted_at"].dataType
+    answered = stored.where(~is_absent(F.col("deleted_at"), kind))
+    first = first_deletions(fresh, arrival).where("id is not null")
+    new = first.join(answered.select("id"), "id", "left_anti")
+    silent = stored.where(is_absent(F.col("deleted_at"), kind)).join(new.select("id"), "id", "left_anti")
+    return answered.unionByName(silent).unionByName(new, allowMissingColumns=True)
+
+
+def put(stored: DataFrame, fresh: DataFrame, keys: Sequence[str], skip_known: bool = False) -> DataFrame:
+    """Rows by key after fresh ones (one a key) came: a whole row replaces the stored one, or is skipped if its key is known."""
+    if skip_known:
+        return insert_if_absent(stored, fresh, keys)
+    return stored.join(fresh.select(*keys), list(keys), "left_anti").select(*stored.columns).unionByName(fresh.select(*stored.columns))
+
+
+def fill_links(stored: DataFrame, fresh: DataFrame, entities: str = "entities") -> DataFrame:
+    """stored(id, entities as JSON text, ...) with filled: links of fresh(id, urls as a JSON array) set where there are none.
+
+    Only a container that is an object, null or absent is filled, and only if its urls are no array
+    with elements. Tags and mentions that are missing become empty lists; those that are there stay,
+    whatever they are. An empty or unsound list of fresh links fills nothing. Rows are never added;
+    text that is not filled stays as it is, filled containers come with sorted keys. Of several fresh
+    rows of an id the one with the greatest text counts. A container that is no JSON is malformed and stays.
+    """
+    news = fresh.groupBy(F.col("id").alias("__id")).agg(F.max("urls").alias("__urls"))
+    whole, urls = F.try_parse_json(F.col(entities)), F.try_parse_json("__urls")
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    holds = lambda v: kind(v).startswith("ARRAY") & (F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
+    gap = F.col(entities).isNull() | (kind(whole) == "VOID") | (kind(whole).startswith("OBJECT") & ~holds(F.try_variant_get(whole, "$.urls", "variant")))
+    fills = F.coalesce(gap & holds(urls), F.lit(False))
+    none = F.expr("map_from_arrays(array('hashtags', 'mentions'), array(parse_json('[]'), parse_json('[]')))")
+    fields = F.coalesce(F.try_variant_get(whole, "$", "map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
+    missing_ = F.map_filter(none, lambda k, v: ~F.map_contains_key(fields, k))
+    filled = F.map_concat(F.map_filter(fields, lambda k, v: k != "urls"), missing_, F.create_map(F.lit("urls"), urls))
+    pairs = F.transform(F.array_sort(F.map_keys(filled)), lambda k: F.concat(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2), F.lit(":"), F.to_json(F.element_at(filled, k))))
+    text = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    met = stored.join(news, F.col("id") == F.col("__id"), "left").withColumn("filled", fills)
+    return met.withColumn(entities, F.when(F.col("filled"), text).otherwise(F.col(entities))).select(*stored.columns, "filled")

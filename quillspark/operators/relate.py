@@ -137,3 +137,58 @@ def missing_parents(posts: DataFrame, key: str = "id", parent: str = "parent") -
     """Posts whose parent is not there."""
     there = posts.select(F.col(key).alias("__there")).distinct()
     return posts.where(F.col(parent).isNotNull()).join(there, F.col(parent) == F.col("__there"), "left_anti")
+
+
+def edit_chains(posts: DataFrame, key: str = "id", previous: str = "edited_from", order: str | None = None) -> DataFrame:
+    """(id, initial_id, version, versions, is_superseded) of each post: its chain of edits over stored rows.
+
+    initial_id is where its chain of earlier posts ends, stored or not; version counts from 1 there,
+    versions is the highest in all that begins at the same post. A post is superseded if a stored one names
+    it as the one before. Of rows with one id the last in the order column counts, without one that
+    with the greatest earlier id. Posts in a circle, or behind one, have no initial id and no
+    version, and come with nulls. Null ids go.
+
+    Pointers double: a round replaces each row's pointer by that of the post it points to, so a
+    chain of n edits takes log n joins, each written to the shared folder. While a chain is open
+    each round closes some row; a round that closes none leaves circles only.
+    """
+    last = F.max(previous) if order is None else F.max_by(previous, F.struct(order, previous))
+    edges = materialize(posts.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(last.alias("at")))
+    # at: the farthest earlier post known; hops: how far it is; a pointer is open while its post has one itself.
+    now = materialize(edges.select("id", F.coalesce("at", "id").alias("at"), F.when(F.col("at").isNull(), 0).otherwise(1).cast("bigint").alias("hops"), F.col("at").isNotNull().alias("open")))
+    left = None
+    while True:
+        count = now.where("open").count()
+        if count == 0 or count == left:
+            break
+        left = count
+        ahead = now.select(F.col("id").alias("__id"), F.col("at").alias("__at"), F.col("hops").alias("__hops"), F.col("open").alias("__open"))
+        met = now.where("open").join(ahead, F.col("at") == F.col("__id"), "left").select(
+            "id", F.coalesce("__at", "at").alias("at"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"), F.coalesce("__open", F.lit(False)).alias("open")
+        )
+        further = materialize(met.unionByName(now.where("not open")))
+        release(now)
+        now = further
+    named = edges.where("at is not null").select(F.col("at").alias("id")).distinct().withColumn("__named", F.lit(True))
+    whole = now.where("not open").groupBy(F.col("at").alias("initial_id")).agg((F.max("hops") + 1).alias("versions"))
+    own = now.select("id", F.when(~F.col("open"), F.col("at")).alias("initial_id"), F.when(~F.col("open"), F.col("hops") + 1).alias("version"))
+    out = own.join(whole, "initial_id", "left").join(named, "id", "left").select(
+        "id", "initial_id", "version", "versions", F.coalesce("__named", F.lit(False)).alias("is_superseded")
+    )
+    done = materialize(out)
+    release(edges, now)
+    return done
+
+
+def indexed_media(wanted: DataFrame, entries: DataFrame, files: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "name") -> tuple[DataFrame, DataFrame]:
+    """(wanted with the file of the first entry of each key whose file is there, (entries, used, skipped) in one row).
+
+    entries is (keys..., name, ...), files (name); entries of files that are not there are skipped
+    before the first of a key is taken. used counts entries whose file is there. Names without case
+    folding; null names are no files.
+    """
+    there = files.select(F.col(name).alias("__there")).where("__there is not null").distinct()
+    met = entries.join(there, F.col(name) == F.col("__there"), "left")
+    found = met.where("__there is not null").drop("__there")
+    counts = met.agg(F.count("*").alias("entries"), F.count("__there").alias("used")).withColumn("skipped", F.col("entries") - F.col("used"))
+    return media_files(wanted, found, keys, order), counts

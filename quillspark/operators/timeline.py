@@ -83,8 +83,13 @@ def all_terms_match(columns: Sequence[Column], query: str) -> Column:
 
 def merged_order(rows: DataFrame, created: str, captured: str, source: str, local: str) -> DataFrame:
     """Newest first by creation, else capture; ties by source and place."""
+    return rows.orderBy(*merged_keys(created, captured, source, local))
+
+
+def merged_keys(created: str, captured: str, source: str, local: str) -> list[Column]:
+    """Sort keys of the merged order; rows with neither time come last, as if from 1970."""
     time = F.coalesce(F.col(created), F.col(captured), F.timestamp_seconds(F.lit(0)))
-    return rows.orderBy(time.desc(), F.col(source).asc(), F.col(local).asc())
+    return [time.desc(), F.col(source).asc(), F.col(local).asc()]
 
 
 def numeric_id_order(ids: Column) -> list[Column]:

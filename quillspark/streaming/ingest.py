@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -121,11 +120,11 @@ class ImportJob:
     def __init__(self, path: str, mode: str = "gaps", batch: int = 100):
         self.path = path
         self.state = {"v": 1, "mode": mode, "batch": batch, "cursor": 0, "fetched": 0, "imported": 0, "enriched": 0, "skipped": 0, "failed": 0, "consecutive_failures": 0, "reason": None}
-        if os.path.exists(path):
-            with open(path) as f:
-                stored = json.load(f)
+        for name in (path, path + ".new"):  # between deleting the old state and renaming the new one only the latter is there
+            stored = self._load(name)
             if self.valid(stored):
                 self.state = stored
+                break
 
     @classmethod
     def valid(cls, state: object) -> bool:
@@ -135,10 +134,29 @@ class ImportJob:
             and all(isinstance(state[k], int) and state[k] >= 0 for k in cls.FIELDS[2:10])
         )
 
+    def _files(self):
+        """The store that holds the state, any that Spark reaches: a driver that comes up elsewhere goes on with it."""
+        spark = SparkSession.getActiveSession()
+        at = spark._jvm.org.apache.hadoop.fs.Path
+        return spark, at, at(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _load(self, name: str) -> object:
+        spark, at, files = self._files()
+        if not files.exists(at(name)):
+            return None
+        try:
+            return json.loads(spark.read.text(name, wholetext=True).first()[0])
+        except (TypeError, ValueError):
+            return None
+
     def save(self) -> None:
-        with open(self.path + ".new", "w") as f:
-            json.dump(self.state, f)
-        os.replace(self.path + ".new", self.path)
+        _, at, files = self._files()
+        new = at(self.path + ".new")
+        out = files.create(new, True)
+        out.write(json.dumps(self.state).encode())
+        out.close()
+        files.delete(at(self.path), False)
+        files.rename(new, at(self.path))
 
     def run(self, snapshots: DataFrame, stored: Callable[[], DataFrame], fetch: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame], None], stop: int = 5,
             most: int | None = None, blocked: Callable[[], str | None] = lambda: None, cancelled: Callable[[], bool] = lambda: False) -> str:
