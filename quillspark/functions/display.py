@@ -16,12 +16,14 @@ def mime_for(variants: Column, kind: Column, index: int = 0) -> Column:
 
 def relative_time(at: Column, now: Column) -> Column:
     """`now`, `5 min`, `3 h`, `12 d` before now; a date and time from 30 days on and for the future; a dash for null."""
-    gap = F.timestamp_diff("SECOND", at, now)
-    text = lambda unit, name: F.concat(F.floor(gap / unit).cast("string"), F.lit(name))
-    full = F.date_format(at, "yyyy-MM-dd HH:mm")
+    # Two times without a zone are subtracted as they are, so no zone's change of clocks comes in; nor does half a second count as none.
+    gap = now - at
+    part = lambda unit: F.extract(F.lit(unit), gap)
+    text = lambda unit, name: F.concat(part(unit).cast("string"), F.lit(name))
+    full = F.substring_index(at.cast("string"), ":", 2)
     return (
-        F.when(at.isNull(), "—").when(gap < 0, full).when(gap < 60, "now").when(gap < 3600, text(60, " min")).when(gap < 86400, text(3600, " h"))
-        .when(gap < 30 * 86400, text(86400, " d")).otherwise(full)
+        F.when(at.isNull(), "—").when(at > now, full).when(part("DAY") >= 30, full).when(part("DAY") > 0, text("DAY", " d"))
+        .when(part("HOUR") > 0, text("HOUR", " h")).when(part("MINUTE") > 0, text("MINUTE", " min")).otherwise("now")
     )
 
 

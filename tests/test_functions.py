@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.functions import coerce, text, urls
+from quillspark.functions import coerce, display, text, urls
 from quillspark.functions.absence import is_absent, merge_value
 
 
@@ -41,6 +41,20 @@ def test_counts(spark):
     assert column(spark, [512, 1536, None], "long", text.byte_count) == ["512 B", "1.5 KB", "\u2014"]
 
 
+def test_relative_times(spark):
+    now = F.lit("2024-03-31 12:00:00").cast("timestamp_ntz")
+    ago = lambda v: display.relative_time(v.cast("timestamp_ntz"), now)
+    times = ["2024-03-31 12:00:00.000001", "2024-03-31 12:00:00.999999", "2024-03-31 12:00:00", "2024-03-31 11:59:00.000001", "2024-03-31 11:59:00", "2024-03-31 11:00:00.000001", "2024-03-31 11:00:00",
+             "2024-03-30 12:00:00.000001", "2024-03-30 12:00:00", "2024-03-01 12:00:00.000001", "2024-03-01 12:00:00", "2024-03-31 12:30:00", "2030-03-31 02:30:59", None]
+    labels = ["2024-03-31 12:00", "2024-03-31 12:00", "now", "now", "1 min", "59 min", "1 h", "23 h", "1 d", "29 d", "2024-03-01 12:00", "2024-03-31 12:30", "2030-03-31 02:30", "—"]
+    assert column(spark, times, "string", ago) == labels
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")  # clocks go forward from 2 to 3 on the last day of March
+    try:
+        assert column(spark, times, "string", ago) == labels
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_text(spark):
     assert column(spark, ["=a", 'say "x"', None], "string", text.csv_cell) == ["'=a", '"say ""x"""', ""]
     assert column(spark, ["Rock #Café_1 #b"], "string", text.hashtags) == [["Café_1", "b"]]

@@ -69,3 +69,11 @@ def test_media_of_all_posts(spark, sf_dir, duck):
 def test_greedy_shards_collect_no_group(spark, sf_dir):
     plan = entry.queries()["greedy_shards"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "collect_list" not in plan
+
+
+def test_times_within_the_second_after_now(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT * FROM (VALUES (1, TIMESTAMP '2024-01-15 12:00:00.4'), (2, TIMESTAMP '2024-01-15 12:00:00'), (3, TIMESTAMP '2024-01-15 11:59:59.6'), (4, TIMESTAMP '2024-01-15 11:58:59.6'), (5, NULL)) t(event_id, ts)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    got = entry.queries()["relative_times"](spark, str(tmp_path)).select("event_id", "label").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.ORACLES["relative_times"]).fetchall())
