@@ -18,10 +18,14 @@ def non_empty(value: Column, limit: int = TEXT_LIMIT) -> Column:
     return F.nullif(clean_string(value, limit), F.lit(""))
 
 
+def is_record_id(value: Column) -> Column:
+    """Ids are 1 to 25 digits; null for null."""
+    return value.cast("string").rlike("^[0-9]{1,25}$")
+
+
 def record_id(value: Column) -> Column:
-    """Ids are 1 to 25 digits, kept as text since they exceed 64 bits."""
-    text = value.cast("string")
-    return F.when(text.rlike("^[0-9]{1,25}$"), text)
+    """An id, kept as text since it may exceed 64 bits."""
+    return F.when(is_record_id(value), value.cast("string"))
 
 
 def finite_number(value: Column) -> Column:

@@ -12,11 +12,20 @@ from quillspark.functions.coerce import record_id
 
 def first_of(body: Column, paths: Sequence[str]) -> Column:
     """The first path that gives a string that is not empty."""
-    return F.coalesce(*[F.nullif(F.get_json_object(body, p), F.lit("")) for p in paths])
+    return first_answer(*[F.get_json_object(body, p) for p in paths])
+
+
+def first_answer(*values: Column) -> Column:
+    """The first string that is not empty."""
+    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
 
 
 def count_at(body: Column, path: str) -> Column:
-    n = F.get_json_object(body, path).try_cast("bigint")
+    return count_of(F.get_json_object(body, path))
+
+
+def count_of(value: Column) -> Column:
+    n = value.try_cast("bigint")
     return F.when(n >= 0, n)
 
 

@@ -141,26 +141,26 @@ def _user(read):
         _json('"tweet_counts":{"tweets":5,"media_tweets":', F.col("c_nationkey"), '},"is_blue_verified":', k % 2 == 0, ',"verification":{"verified":"true?"},"location":{"location":""},"website":{"url":', F.col("c_mktsegment"), '},'),
         F.when(k % 3 == 0, '"privacy":{"protected":true},').otherwise(""), _json('"pinned_items":{"tweet_ids_str":[', _text("c_nationkey"), ',"9"]},"banner":{"image_url":"b"},"action_counts":{"favorites_count":12}}'),
     )
-    return read("customer").select("c_custkey", body.alias("body"))
+    people = read("customer")
+    # The file has few row groups for its rows, and a node takes far longer to read than to deal out.
+    return people.repartition(int(people.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select(k.alias("id"), body.alias("body"))
 
 
 @query("user_nodes", """SELECT c_custkey AS id, c_name AS handle, lower(c_name) AS lower_handle, c_mktsegment AS bio, 2::BIGINT AS urls, '' AS location, c_mktsegment AS website, c_custkey::BIGINT AS followers, NULL::BIGINT AS following, c_custkey % 2 = 0 AS blue, false AS verified FROM customer WHERE c_custkey % 7 <> 0""")
 def _(read):
     """users' flat fields; without a sound id there is none."""
-    found = _user(read).select(F.col("c_custkey").alias("id"), nodes.user_node(F.col("body")).alias("u")).where("u is not null")
-    return found.select(
-        "id", F.col("u.screen_name").alias("handle"), F.col("u.screen_name_lower").alias("lower_handle"), "u.bio", F.size("u.bio_urls").cast("bigint").alias("urls"), "u.location",
-        F.col("u.website_url").alias("website"), "u.followers", "u.following", F.col("u.blue_verified").alias("blue"), "u.verified",
+    return nodes.users(_user(read)).select(
+        "id", F.col("screen_name").alias("handle"), F.col("screen_name_lower").alias("lower_handle"), "bio", F.size("bio_urls").cast("bigint").alias("urls"), "location",
+        F.col("website_url").alias("website"), "followers", "following", F.col("blue_verified").alias("blue"), "verified",
     )
 
 
 @query("live_profiles", """SELECT c_custkey AS id, c_name AS mentions, CASE WHEN c_custkey % 3 = 0 THEN true END AS protected, c_nationkey::VARCHAR AS pinned, c_nationkey::BIGINT AS media, 12::BIGINT AS likes, NULL::BIGINT AS listed, 'b' AS banner FROM customer WHERE c_custkey % 7 <> 0""")
 def _(read):
     """What a profile shows beside a user's fields."""
-    found = _user(read).select(F.col("c_custkey").alias("id"), nodes.profile_node(F.col("body")).alias("p")).where("p is not null")
-    return found.select(
-        "id", F.array_join("p.bio_mentions", ",").alias("mentions"), "p.protected", F.col("p.pinned_id").alias("pinned"), F.col("p.media_count").alias("media"),
-        F.col("p.like_count").alias("likes"), F.col("p.listed_count").alias("listed"), F.col("p.banner_url").alias("banner"),
+    return nodes.profiles(_user(read)).select(
+        "id", F.array_join("bio_mentions", ",").alias("mentions"), "protected", F.col("pinned_id").alias("pinned"), F.col("media_count").alias("media"),
+        F.col("like_count").alias("likes"), F.col("listed_count").alias("listed"), F.col("banner_url").alias("banner"),
     )
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.coerce import platform_timestamp, record_id, strictly_true
+from quillspark.functions.coerce import is_record_id, platform_timestamp, record_id, strictly_true
 from quillspark.functions.urls import host, permalink_id
-from quillspark.plans.extract import count_at, first_of, poll_of
+from quillspark.plans.extract import count_at, count_of, first_answer, first_of, poll_of
 
 # Where an answer may hold its media, entities, long text and links, in the order in which they are tried.
 MEDIA_PATHS = ("$.legacy.extended_entities.media", "$.legacy.entities.media", "$.extended_entities.media", "$.entities.media", "$.tweet.legacy.extended_entities.media")
@@ -155,37 +155,63 @@ def edit_info(body: Column, previous: Column) -> Column:
     )
 
 
-def _bio_list(body: Column, leaf: str, kind: str) -> Column:
-    return F.coalesce(F.from_json(F.get_json_object(body, f"$.profile_bio.entities.description.{leaf}"), f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
+def _bio_list(text: Column, kind: str) -> Column:
+    return F.coalesce(F.from_json(text, f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
 
 
-def user_node(body: Column, most_bio: int | None = None) -> Column:
-    """A user's flat fields; null without a sound id. most_bio cuts the bio."""
-    at = lambda path: F.get_json_object(body, path)
-    found = F.filter(_bio_list(body, "urls", _LINK), lambda u: F.coalesce(_some(u["expanded_url"]), _some(u["url"])).isNotNull())
+def _of_sound_nodes(rows: DataFrame, body: str, fields: Callable[[Callable[[str], Column]], dict[str, Column]]) -> DataFrame:
+    """The rows whose node has a sound id, with fields as columns; fields takes a function that gives what is at a path.
+
+    Each path is read once, in a projection of its own, and one that no column in use needs is not read
+    at all: reading a path parses the whole node.
+    """
+    read: dict[str, Column] = {}
+
+    def at(path: str) -> Column:
+        name = f"__at{path[1:].replace('.', '_')}"
+        read[name] = F.get_json_object(F.col(body), path).alias(name)
+        return F.col(name)
+
+    sound, found = is_record_id(at("$.rest_id")), fields(at)
+    others = [c for c in rows.columns if c != body]
+    return rows.select(*others, *read.values()).where(sound).select(*others, *[value.alias(name) for name, value in found.items()])
+
+
+def _user_fields(at: Callable[[str], Column], most_bio: int | None = None) -> dict[str, Column]:
+    found = F.filter(_bio_list(at("$.profile_bio.entities.description.urls"), _LINK), lambda u: F.coalesce(_some(u["expanded_url"]), _some(u["url"])).isNotNull())
     urls = F.transform(F.slice(found, 1, MOST_BIO), lambda u: F.struct(
         F.coalesce(_some(u["url"]), u["expanded_url"]).alias("url"), F.coalesce(_some(u["expanded_url"]), u["url"]).alias("expanded_url"), _some(u["display_url"]).alias("display_url")))
-    bio, number, true = at("$.profile_bio.description"), lambda path: count_at(body, path), lambda path: F.coalesce(at(path) == "true", F.lit(False))
+    bio, number, true = at("$.profile_bio.description"), lambda path: count_of(at(path)), lambda path: F.coalesce(at(path) == "true", F.lit(False))
     handle = _some(at("$.core.screen_name"))
-    return F.when(record_id(at("$.rest_id")).isNotNull(), F.struct(
-        at("$.rest_id").alias("user_id"), handle.alias("screen_name"), F.coalesce(F.lower(handle), F.lit("")).alias("screen_name_lower"), _some(at("$.core.name")).alias("name"),
-        _some(at("$.core.created_at")).alias("account_created_at"), (bio if most_bio is None else F.substring(bio, 1, most_bio)).alias("bio"), urls.alias("bio_urls"),
-        at("$.location.location").alias("location"), first_of(body, ["$.website.expanded_url", "$.website.url"]).alias("website_url"), _some(at("$.profile_description_language")).alias("lang"),
-        true("$.is_blue_verified").alias("blue_verified"), true("$.verification.verified").alias("verified"), number("$.relationship_counts.followers").alias("followers"),
-        number("$.relationship_counts.following").alias("following"), number("$.tweet_counts.tweets").alias("posts"), _some(at("$.avatar.image_url")).alias("avatar_url"),
-    ))
+    return {
+        "user_id": at("$.rest_id"), "screen_name": handle, "screen_name_lower": F.coalesce(F.lower(handle), F.lit("")), "name": _some(at("$.core.name")),
+        "account_created_at": _some(at("$.core.created_at")), "bio": bio if most_bio is None else F.substring(bio, 1, most_bio), "bio_urls": urls,
+        "location": at("$.location.location"), "website_url": first_answer(at("$.website.expanded_url"), at("$.website.url")), "lang": _some(at("$.profile_description_language")),
+        "blue_verified": true("$.is_blue_verified"), "verified": true("$.verification.verified"), "followers": number("$.relationship_counts.followers"),
+        "following": number("$.relationship_counts.following"), "posts": number("$.tweet_counts.tweets"), "avatar_url": _some(at("$.avatar.image_url")),
+    }
+
+
+def _profile_fields(at: Callable[[str], Column]) -> dict[str, Column]:
+    mentions = _bio_list(at("$.profile_bio.entities.description.mentions"), "struct<screen_name:string,username:string>")
+    named = F.transform(mentions, lambda m: F.coalesce(_some(m["screen_name"]), _some(m["username"])))
+    pinned = F.get(F.from_json(at("$.pinned_items.tweet_ids_str"), "array<string>"), F.lit(0))
+    return {
+        "user": F.struct(*[value.alias(name) for name, value in _user_fields(at, MOST_BIO_CHARS).items()]), "banner_url": _some(at("$.banner.image_url")),
+        "bio_mentions": F.slice(F.array_compact(named), 1, MOST_BIO), "protected": F.when(at("$.privacy.protected").isin("true", "false"), at("$.privacy.protected") == "true"),
+        "pinned_id": record_id(pinned), "media_count": count_of(at("$.tweet_counts.media_tweets")), "like_count": count_of(at("$.action_counts.favorites_count")),
+        "listed_count": F.lit(None).cast("bigint"),
+    }
+
 
+def users(rows: DataFrame, body: str = "body", most_bio: int | None = None) -> DataFrame:
+    """Users' flat fields in place of their nodes; those without a sound id go. most_bio cuts the bio."""
+    return _of_sound_nodes(rows, body, lambda at: _user_fields(at, most_bio))
 
-def profile_node(body: Column) -> Column:
+
+def profiles(rows: DataFrame, body: str = "body") -> DataFrame:
     """A user's fields and what only a profile shows: banner, mentions of the bio, privacy, pinned post and more counts."""
-    at = lambda path: F.get_json_object(body, path)
-    named = F.transform(_bio_list(body, "mentions", "struct<screen_name:string,username:string>"), lambda m: F.coalesce(_some(m["screen_name"]), _some(m["username"])))
-    pinned = F.get(F.from_json(at("$.pinned_items.tweet_ids_str"), "array<string>"), F.lit(0))
-    return F.when(record_id(at("$.rest_id")).isNotNull(), F.struct(
-        user_node(body, MOST_BIO_CHARS).alias("user"), _some(at("$.banner.image_url")).alias("banner_url"), F.slice(F.array_compact(named), 1, MOST_BIO).alias("bio_mentions"),
-        F.when(at("$.privacy.protected").isin("true", "false"), at("$.privacy.protected") == "true").alias("protected"), record_id(pinned).alias("pinned_id"),
-        count_at(body, "$.tweet_counts.media_tweets").alias("media_count"), count_at(body, "$.action_counts.favorites_count").alias("like_count"), F.lit(None).cast("bigint").alias("listed_count"),
-    ))
+    return _of_sound_nodes(rows, body, _profile_fields)
 
 
 def badges(flags: Sequence[tuple[str, Column]]) -> Column:

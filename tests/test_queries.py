@@ -5,9 +5,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quillspark.plans import registry
+from quillspark.plans import nodes, registry
 
 
 def normal(rows):
@@ -77,3 +78,19 @@ def test_times_within_the_second_after_now(spark, tmp_path):
     con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
     got = entry.queries()["relative_times"](spark, str(tmp_path)).select("event_id", "label").collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(registry.ORACLES["relative_times"]).fetchall())
+
+
+@pytest.mark.parametrize("name, paths", [("live_profiles", 8), ("user_nodes", 12)])
+def test_user_nodes_are_dealt_out_and_read_for_what_is_asked(spark, sf_dir, name, paths):
+    got = entry.queries()[name](spark, sf_dir)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("get_json_object(") <= paths
+    assert got.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_odd_user_nodes(spark):
+    bodies = ['{"rest_id":"1"}', '{"rest_id":"x"}', "[]", None, "{", '{"rest_id":5,"core":"text","privacy":{"protected":"false"},"pinned_items":{"tweet_ids_str":{}},"action_counts":{"favorites_count":-1}}',
+              '{"rest_id":"6","core":{"screen_name":"A"},"profile_bio":{"entities":{"description":{"mentions":[null,{"username":""},{"username":"b"}]}}},"privacy":{"protected":1},"pinned_items":{"tweet_ids_str":["7"]}}']
+    rows = spark.createDataFrame(list(enumerate(bodies)), "n int, body string")
+    found = nodes.profiles(rows).orderBy("n").select("n", "user.user_id", "user.screen_name_lower", "bio_mentions", "protected", "pinned_id", "like_count")
+    assert [tuple(r) for r in found.collect()] == [(0, "1", "", [], None, None, None), (5, "5", "", [], False, None, None), (6, "6", "a", ["b"], None, "7", None)]
+    assert [tuple(r) for r in nodes.users(rows).orderBy("n").select("n", "screen_name").collect()] == [(0, None), (5, None), (6, "A")]
