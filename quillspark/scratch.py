@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Size up to which a table is broadcast in a join, on disk or in rows; larger ones are joined by a shuffle.
 BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 200_000
+#: Rows that a task groups where there are almost as many keys as rows: from so many on tables are dealt to more tasks, and to no fewer than for so many.
+TASK_ROWS, MOST_TASK_ROWS = 500_000, 2_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -82,3 +84,16 @@ def small(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
     at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
     size = at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys to a task for every TASK_ROWS rows, spark.sql.shuffle.partitions at least.
+
+    For keys that are nearly unique: a grouping by them after this holds no more in a task as the table
+    grows, and none in the tasks that scan, where there is next to nothing to put together. These write
+    up to bypassMergeThreshold parts without holding rows, so there are more only beyond MOST_TASK_ROWS.
+    """
+    conf, rows = df.sparkSession.sparkContext.getConf(), df.count()
+    unheld = int(conf.get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, min(unheld, -(-rows // TASK_ROWS)), -(-rows // MOST_TASK_ROWS)), *keys)

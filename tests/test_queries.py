@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quillspark import scratch
 from quillspark.plans import nodes, registry
 
 
@@ -94,3 +95,22 @@ def test_odd_user_nodes(spark):
     found = nodes.profiles(rows).orderBy("n").select("n", "user.user_id", "user.screen_name_lower", "bio_mentions", "protected", "pinned_id", "like_count")
     assert [tuple(r) for r in found.collect()] == [(0, "1", "", [], None, None, None), (5, "5", "", [], False, None, None), (6, "6", "a", ["b"], None, "7", None)]
     assert [tuple(r) for r in nodes.users(rows).orderBy("n").select("n", "screen_name").collect()] == [(0, None), (5, None), (6, "A")]
+
+
+def test_files_are_grouped_once_in_tasks_of_bounded_rows(spark, sf_dir, monkeypatch):
+    plan = lambda: entry.queries()["merged_media"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan() and "RepartitionByExpression [post_id" in plan()
+    parts = lambda rows: scratch.dealt(spark.range(rows), "id").rdd.getNumPartitions()
+    monkeypatch.setattr(scratch, "TASK_ROWS", 10)
+    monkeypatch.setattr(scratch, "MOST_TASK_ROWS", 40)
+    assert [parts(rows) for rows in (0, 40, 41, 2_000, 2_010, 8_000, 8_001)] == [4, 4, 5, 200, 200, 200, 201]
+
+
+def test_merged_media_of_odd_files(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE lineitem AS SELECT *, 0 AS l_partkey, 0 AS l_suppkey, TIMESTAMP '2024-01-01' AS l_shipdate FROM (VALUES (1, 1, 4.0, 'A'), (1, 1, 3.0, 'R'), (1, 2, 3.0, 'R'), (1, 3, 5.0, NULL), (101, 1, 7.0, 'N'), (101, 1, 6.0, 'N'),
+        (NULL, 1, 2.0, 'A'), (NULL, NULL, 2.0, 'A'), (2, NULL, 2.0, 'A'), (2, 1, NULL, 'A'), (10, 1, 2.0, 'A'), (110, 1, 2.0, 'A'), (-5, 1, 2.0, 'A')) t(l_orderkey, l_linenumber, l_quantity, l_returnflag)""")
+    con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'")
+    expected = con.execute(registry.ORACLES["merged_media"])
+    names = [d[0] for d in expected.description]
+    assert normal(expected.fetchall()) == normal(map(tuple, entry.queries()["merged_media"](spark, str(tmp_path)).select(*names).collect()))
